@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard, packing, tokenfile
+from tessera.llm import decontam, jaccard, packing, quality, tokenfile, toxicity
+from tessera.llm.labelled import remainder
 from tessera.llm.store import shared_dir
 
 QUERIES: dict = {}
@@ -47,6 +48,19 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.doc_id = d
 """
 
 
+def _verdicts(scored: DataFrame, mod: int, held_out: int) -> DataFrame:
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), mod=3, held_out=1)
+    return _verdicts(quality.score(docs, model), 3, 1)
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, capacity=4096)
@@ -64,3 +78,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=1)
     read = tokenfile.read_token_files(spark, path)
     return tokenfile.token_checksums(read.select("doc_id", "start", "n_tokens", "tokens"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), mod=5, held_out=0)
+    return _verdicts(toxicity.score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model), 5, 0)
