@@ -1,20 +1,23 @@
-"""Toxicity: a counterfactual-regularised linear classifier over words.
+"""Toxicity: a counterfactual-regularised linear classifier over words and word beginnings.
 
-Words are runs of letters, digits and non-ASCII bytes in lower case.  The vocabulary holds words whose share
-among toxic texts differs from that among others beyond chance, and all identity terms.  A logistic
-regression on the presence of these words is fitted together with a penalty on score changes: for every
-labelled text that names a group, each term is swapped for the next one of its kind, and the squared change
-of the log-odds counts against the model.  So a neutral mention of a group doesn't raise a score.
+Words are runs of letters, digits and non-ASCII bytes in lower case; a term is a word, or the first 4 to 8
+bytes of a longer one, so that inflected and compound words share evidence.  A term counts at three levels:
+the text holds it; it holds it twice or more and once in 400 words; twice or more and once in 100 words.  The
+vocabulary holds terms some level of which is more or less frequent among toxic texts beyond chance.  A
+logistic regression on these levels is fitted together with a penalty on score changes: in every labelled
+text that names a group, identity terms are swapped for others of their kind, and the squared change of the
+log-odds counts against the model.  So a neutral mention of a group doesn't raise a score.
 
-At most ``labelled.MAX_ROWS`` labelled rows and ``MAX_WORDS`` words fit the model; scoring is one pass.
+At most ``MAX_ROWS`` labelled rows and ``MAX_TERMS`` terms fit the model; scoring is one pass over the texts.
 
-Defined results: null, empty and white texts have no words and get the score of those; repeated rows get equal
+Defined results: null, empty and white texts hold no term and get the score of those; repeated rows get equal
 scores; without labelled rows, or with one label only, the smoothed rate of label 1 is everyone's score; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.decontam import words
-from tessera.llm.labelled import MAX_ROWS, labelled_sample
-from tessera.llm.textblocks import blocks
+from tessera.llm.decontam import _WORD
+from tessera.llm.labelled import labelled_sample
+from tessera.llm.textblocks import LOWER, blocks, prefix_hashes, runs, span_hashes
 
 #: Terms of each kind are swapped for the next one of it.
 IDENTITY_TERMS = (
@@ -41,81 +44,94 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "foreigner"),
     ("immigrants", "refugees", "foreigners"),
 )
-MAX_WORDS, LEAST_TEXTS, LEAST_Z = 4_096, 4, 5.0
-STEPS, CG_STEPS, RIDGE, SWAP_WEIGHT = 30, 60, 3e-5, 1.0
+SWAP = {kind[i].encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERMS for i in range(len(kind))}
+MAX_ROWS, MAX_TERMS, LEAST_TEXTS, LEAST_Z = 20_000, 4_096, 4, 5.0
+STEPS, CG_STEPS, RIDGE, SWAP_WEIGHT = 30, 60, 1e-4, 1.0
+BEGINNINGS = (4, 5, 6, 7, 8)
+LEVELS = 3
 
 
-def _term_hashes() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the identity terms, and of the term that replaces each."""
-    flat = [t for kind in IDENTITY_TERMS for t in kind]
-    text = " ".join(flat).encode()
-    hashes, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    at = {t: i for i, t in enumerate(flat)}
-    follower = [at[kind[(i + 1) % len(kind)]] for kind in IDENTITY_TERMS for i in range(len(kind))]
-    return hashes, hashes[follower]
+def swap_identities(text: bytes) -> bytes:
+    """The lower-cased text with each identity term replaced by the next one of its kind."""
+    return re.sub(rb"[0-9a-z\x80-\xff]+", lambda m: SWAP.get(m[0], m[0]), text.lower())
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text) of each term in a block, and the texts' numbers of words."""
+    starts, ends = runs(_WORD[data], offsets)
+    count = np.diff(np.searchsorted(starts, offsets))
+    text, prefix = np.repeat(np.arange(len(offsets) - 1), count), prefix_hashes(LOWER[data])
+    hashes, owners = [span_hashes(prefix, starts, ends)], [text]
+    for n in BEGINNINGS:
+        long = ends - starts > n
+        hashes.append(span_hashes(prefix, starts[long], starts[long] + n) + np.uint64(n))
+        owners.append(text[long])
+    return np.concatenate(hashes), np.concatenate(owners), count
+
+
+def levels(times: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many levels a term reaches that stands ``times`` times in ``words`` words."""
+    often = times >= 2
+    return 1 + (often & (times * 400 >= words)) + (often & (times * 100 >= words))
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: np.ndarray  # sorted hashes
-    weights: np.ndarray
+    vocabulary: np.ndarray  # sorted hashes of terms
+    weights: np.ndarray  # by term and level
     bias: float
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, vocabulary entry) of each word that a text holds, once each."""
-        hashes, first = words(data, offsets)
+    def entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number of term and level) of all levels reached."""
+        hashes, text, words = terms(data, offsets)
         if not len(self.vocabulary) or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         hit = np.flatnonzero(self.vocabulary[at] == hashes)
-        text = np.searchsorted(first, hit, "right") - 1
-        both = np.unique(text * len(self.vocabulary) + at[hit])
-        return both // len(self.vocabulary), both % len(self.vocabulary)
+        both, times = np.unique(text[hit] * len(self.vocabulary) + at[hit], return_counts=True)
+        text, term = both // len(self.vocabulary), both % len(self.vocabulary)
+        reached = levels(times, words[text])
+        which = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
+        return np.repeat(text, reached), np.repeat(term, reached) * LEVELS + which
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        text, entry = self.presence(data, offsets)
+        text, entry = self.entries(data, offsets)
         total = self.bias + np.bincount(text, self.weights[entry], len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(vocabulary: np.ndarray, rows: np.ndarray, entries: np.ndarray, y: np.ndarray) -> ToxicityModel:
-    """Logistic regression on presences (row, entry), with the counterfactual penalty, by Newton's method."""
-    n, v = len(y), len(vocabulary)
+def fit(v: int, y: np.ndarray, rows: np.ndarray, entries: np.ndarray, moved: np.ndarray, moved_entries: np.ndarray, moved_by: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of v entries and the bias.
+
+    (rows, entries): what each text reaches.  (moved, moved_entries, moved_by): what swapping identity terms adds
+    to (+1) or takes from (-1) a text.  Newton's method on the penalised likelihood; conjugate gradients solve
+    each step.
+    """
+    n = len(y)
     rate = (y.sum() + 1) / (n + 2)
     bias = float(np.log(rate / (1 - rate)))
     if not v or len(np.unique(y)) < 2:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), bias)
-    terms, others = _term_hashes()
-    place = dict(zip(vocabulary.tolist(), range(v)))
-    swap = np.full(v, -1)
-    for a, b in zip(terms.tolist(), others.tolist()):
-        if a in place and b in place:
-            swap[place[a]] = place[b]
-    named = swap[entries] >= 0
-    s_rows, s_from, s_to = rows[named], entries[named], swap[entries[named]]
-    swapped = max(len(np.unique(s_rows)), 1)
-
-    # The last entry of the solution is the bias, which no penalty touches.
+        return np.zeros(v), bias
+    swapped = max(len(np.unique(moved)), 1)
+    ridge = np.append(np.full(v, RIDGE), 0)  # the last entry is the bias, which no penalty touches
+
     def margins(w: np.ndarray) -> np.ndarray:
         return w[v] + np.bincount(rows, w[entries], n)
 
     def changes(w: np.ndarray) -> np.ndarray:
-        return np.bincount(s_rows, w[s_to] - w[s_from], n)
+        return np.bincount(moved, w[moved_entries] * moved_by, n)
 
-    def back(off: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    def back(off: np.ndarray, change: np.ndarray) -> np.ndarray:
         out = np.append(np.bincount(entries, off[rows], v), off.sum()) / n
-        if len(s_rows):
-            out[:v] += 2 * SWAP_WEIGHT / swapped * (np.bincount(s_to, moved[s_rows], v) - np.bincount(s_from, moved[s_rows], v))
+        out[:v] += 2 * SWAP_WEIGHT / swapped * np.bincount(moved_entries, change[moved] * moved_by, v)
         return out
 
-    ridge = np.append(np.full(v, RIDGE), 0)
-
     def loss(w: np.ndarray) -> float:
         m = margins(w)
         return float((np.logaddexp(0, m) - y * m).mean() + 0.5 * (ridge * w * w).sum() + SWAP_WEIGHT / swapped * (changes(w) ** 2).sum())
 
     w = np.append(np.zeros(v), bias)
-    for _ in range(STEPS):  # Newton's method; conjugate gradients solve each step
+    for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(margins(w), -30, 30)))
         slope = back(p - y, changes(w)) + ridge * w
         step, left = np.zeros(v + 1), -slope
@@ -131,48 +147,81 @@ def fit(vocabulary: np.ndarray, rows: np.ndarray, entries: np.ndarray, y: np.nda
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w + size * step) > now + 1e-4 * size * (slope @ step):
             size /= 2
-        if size <= 1e-4 or np.abs(size * step).max() < 1e-6:
+        if size <= 1e-4 or np.abs(size * step).max() < 1e-5:
             break
         w = w + size * step
-    weights, b = w[:v], w[v]
-    return ToxicityModel(vocabulary, weights, float(b))
+    return w[:v], float(w[v])
 
 
-def choose_vocabulary(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Words whose shares of toxic and other texts differ by LEAST_Z standard errors, the surest first; and the identity terms."""
-    words_, which = np.unique(hashes, return_inverse=True)
-    held = np.bincount(which, minlength=len(words_))
-    toxic = np.bincount(which, y[rows], len(words_))
-    share = max(y.mean(), 1e-9)
-    z = (toxic - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
-    sure = np.flatnonzero((held >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
-    sure = sure[np.lexsort((words_[sure], -np.abs(z[sure])))][:MAX_WORDS]
-    return np.unique(np.concatenate([words_[sure], _term_hashes()[0]]))
+def choose_vocabulary(sample: DataFrame) -> np.ndarray:
+    """Hashes of the terms one level of which splits toxic from other texts by LEAST_Z standard errors, the surest MAX_TERMS."""
 
-
-def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> ToxicityModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, data, offsets in blocks(batch.column(0)):
-                hashes, first = words(data, offsets)
-                out += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            values = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(values)), batch.column(1)], names=["words", "label"])
+            label = np.asarray(batch.column(1))
+            for low, _, data, offsets in blocks(batch.column(0)):
+                hashes, text, words = terms(data, offsets)
+                order = np.lexsort((hashes, text))
+                hashes, text = hashes[order], text[order]
+                edge = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]), [True]]))
+                if len(edge) < 2:
+                    continue
+                hashes, text, times = hashes[edge[:-1]], text[edge[:-1]], np.diff(edge)
+                reached = levels(times, words[text])
+                toxic = label[low + text].astype(np.float64)
+                for level in range(1, LEVELS + 1):
+                    keys, which = np.unique(hashes[reached >= level], return_inverse=True)
+                    if len(keys):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(keys.view(np.int64)),
+                                pa.array(np.full(len(keys), level, np.int32)),
+                                pa.array(np.bincount(which)),
+                                pa.array(np.bincount(which, toxic[reached >= level]).astype(np.int64)),
+                            ],
+                            names=["term", "level", "texts", "toxic"],
+                        )
+
+    share = sample.select(F.avg("label").alias("share"))
+    counts = sample.mapInArrow(run, "term bigint, level int, texts bigint, toxic bigint").groupBy("term", "level").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    z = (F.col("toxic") - F.col("texts") * F.col("share")) / F.sqrt(F.greatest(F.col("texts") * F.col("share") * (1 - F.col("share")), F.lit(1e-9)))
+    sure = counts.filter(F.col("texts") >= LEAST_TEXTS).join(F.broadcast(share)).select("term", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z)
+    rows = sure.groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
+
+def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> ToxicityModel:
     sample = labelled_sample(docs, labels, "toxic", mod, held_out, max_rows)
-    held = sample.mapInArrow(run, "words array<bigint>, label int").toArrow()
-    y = held.column("label").to_numpy().astype(float)
-    if not len(y):
-        return fit(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), y)
-    lists = held.column("words").combine_chunks()
-    length = np.diff(np.asarray(lists.offsets))
-    rows, hashes = np.repeat(np.arange(len(y)), length), np.asarray(lists.flatten()).view(np.uint64)
-    vocabulary = choose_vocabulary(rows, hashes, y)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    known = vocabulary[at] == hashes
-    return fit(vocabulary, rows[known], at[known], y)
+    vocabulary = choose_vocabulary(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel(vocabulary, np.zeros(0), 0.0)
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column(0)):
+                n = high - low
+                texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                other = [swap_identities(t) for t in texts]
+                sides = []
+                for raw in (texts, other):
+                    at = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+                    text, entry = model.entries(np.frombuffer(b"".join(raw), np.uint8), at)
+                    sides.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(entry.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, n), *sides], names=["label", "entries", "swapped"])
+
+    held = sample.mapInArrow(run, "label int, entries array<int>, swapped array<int>").toArrow()
+    y, v = held.column("label").to_numpy().astype(float), len(vocabulary) * LEVELS
+    sides = []
+    for name in ("entries", "swapped"):
+        lists = pa.concat_arrays(held.column(name).chunks) if len(y) else pa.array([], pa.list_(pa.int32()))
+        sides.append((np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()).astype(np.int64)))
+    (rows, entries), (other, other_entries) = sides
+    moved = np.concatenate([other * max(v, 1) + other_entries, rows * max(v, 1) + entries])
+    by = np.concatenate([np.ones(len(other)), -np.ones(len(rows))])
+    keys, which = np.unique(moved, return_inverse=True)
+    total = np.bincount(which, by) if len(keys) else np.zeros(0)
+    keys, total = keys[total != 0], total[total != 0]
+    weights, bias = fit(v, y, rows, entries, keys // max(v, 1), keys % max(v, 1), total)
+    return ToxicityModel(vocabulary, weights, bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
