@@ -76,15 +76,21 @@ def _set_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1))
 
 
-def _sets(column: pa.Array, k: int, classes: np.ndarray) -> Iterator[np.ndarray]:
-    """Each text's set, rarest first."""
-    for low, high, data, offsets in blocks(column):
+def _sets(column: pa.Array, k: int, classes: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, row after the last, each text's set, rarest first) by blocks: what leaves a task at once is bounded."""
+    for low, high, data, offsets in blocks(column, 1 << 20):
         hashes, _, _, first = word_hashes(data, offsets)
         grams, at = shingle_hashes(hashes, first, k)
-        keys = _set_keys(grams, classes)
+        keys, out = _set_keys(grams, classes), []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             own = np.sort(keys[a:b])
-            yield own[np.concatenate([[True], own[1:] != own[:-1]])] if b - a > 1 else own
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if b - a > 1 else own)
+        yield low, high, out
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
 def _class_id(own: np.ndarray) -> bytes:
@@ -96,15 +102,11 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, prefix = [], [], []
-            for own in _sets(batch.column(1), k, classes):
-                size = len(own)
-                n.append(size)
-                cid.append(_class_id(own))
-                prefix.append(own[: size + num * size // -den + 1 if size else 0].view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["doc_id", "n", "cid", "prefix"])
+            for low, high, sets in _sets(batch.column(1), k, classes):
+                n = np.array([len(own) for own in sets], np.int64)
+                prefix = _lists([own[: size + num * size // -den + 1 if size else 0] for own, size in zip(sets, n.tolist())])
+                cid = pa.array([_class_id(own) for own in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), cid, prefix], names=["doc_id", "n", "cid", "prefix"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, cid binary, prefix array<bigint>")
 
@@ -132,15 +134,10 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int, classes: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.unpackbits(squeezed)
         for batch in batches:
-            cid, grams = [], []
-            for own in _sets(batch.column(0), k, classes):
-                c = _class_id(own)
-                if want[int.from_bytes(c[:3], "little")]:
-                    cid.append(c)
-                    grams.append(own.view(np.int64))
-            if cid:
-                at = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(grams)))], names=["cid", "grams"])
+            for _, _, sets in _sets(batch.column(0), k, classes):
+                found = [(c, own) for own in sets if want[int.from_bytes((c := _class_id(own))[:3], "little")]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), _lists([own for _, own in found])], names=["cid", "grams"])
 
     found = docs.select("text").mapInArrow(run, "cid binary, grams array<bigint>").groupBy("cid").agg(F.first("grams").alias("grams"))
     return wanted.join(found, "cid").select("node", "grams")
