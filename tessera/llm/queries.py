@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard, packing, quality, sharding, tokenfile, topk, toxicity
+from tessera.llm import decontam, jaccard, packing, quality, sharding, suffixes, tokenfile, topk, toxicity
 from tessera.llm.labelled import remainder
 from tessera.llm.store import shared_dir
 
@@ -94,6 +94,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
