@@ -109,19 +109,44 @@ class Items:
             yield t, i, start, size, same
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, doc_word (the overlap's first word), n_words, n_equal: one row a document and item that overlap."""
+def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of the items, block after block."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     n_blocks = size // BLOCK_WORDS + 1
-    out = None
     for block in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        part = _overlaps(docs, [r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, doc_word (the overlap's first word), n_words, n_equal: one row a document and item that overlap."""
+    out = None
+    for ids, texts in _item_blocks(benchmark):
+        part = _overlaps(docs, ids, texts)
         out = part if out is None else out.unionAll(part)
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that no item contaminates: one pass a block of items, without a shuffle."""
+    for _, texts in _item_blocks(benchmark):
+        docs = _clean(docs, texts)
+    return docs
+
+
+def _clean(docs: DataFrame, texts: list) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items([0] * len(texts), texts)
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+                clean = np.ones(high - low, bool)
+                clean[[t for t, *_ in items.found(*words(data, offsets))]] = False
+                yield batch.slice(low, high - low).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _overlaps(docs: DataFrame, ids: list, texts: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items([-1 if i is None else i for i in ids], texts)
@@ -135,9 +160,3 @@ def _overlaps(docs: DataFrame, ids: list, texts: list) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "doc_word", "n_words", "n_equal"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, doc_word bigint, n_words bigint, n_equal bigint")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that any item contaminates (rows of a null id stay only if they are clean themselves)."""
-    hit = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")

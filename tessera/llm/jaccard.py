@@ -98,7 +98,7 @@ def _class_id(own: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), cid (equal for equal sets), prefix (the n-grams one of which a similar set must share)."""
+    """doc_id, h (hash of the text), n (set size), cid (equal for equal sets), prefix (n-grams one of which a similar set must share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +106,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes: np.ndarray)
                 n = np.array([len(own) for own in sets], np.int64)
                 prefix = _lists([own[: size + num * size // -den + 1 if size else 0] for own, size in zip(sets, n.tolist())])
                 cid = pa.array([_class_id(own) for own in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), cid, prefix], names=["doc_id", "n", "cid", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(n), cid, prefix], names=["doc_id", "h", "n", "cid", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, cid binary, prefix array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, n bigint, cid binary, prefix array<bigint>")
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
@@ -161,7 +162,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of Jaccard similarity num/den or more)."""
+    """doc_id, h (xxhash64 of the text), n_shingles, component_id (the smallest doc_id reachable over links of similarity num/den or more)."""
     frequencies = frequency_classes(docs, k)
     rows = materialise(signatures(docs, k, num, den, frequencies))
     nodes = materialise(
@@ -218,11 +219,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = nodes.join(labels, "node", "left").select("cid", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "component").select("cid", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _prefix_meetings(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Groups of several classes meet with themselves on their first n-gram, even where no other group does."""
     shared = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
     return nodes.join(shared, nodes["node"] == shared["g"]).select(F.get("prefix", F.lit(0)).alias("key"), "g", "n", F.lit(0).cast("bigint").alias("pos")).select("key", "g", "n", "pos")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without near duplicates: of each component the row of the smallest id stays, rows equal in id and text once.
+
+    Texts without words, and components without any id, stay as they are.
+    """
+    found = materialise(jaccard_components(docs, k, num, den))
+    worded = F.col("n_shingles") > 0
+    stays = found.filter(~worded | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.max(worded).alias("worded"))
+    # Of several texts with the smallest id, the one with the least hash.
+    least = stays.filter("worded and doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("least"))
+    stays = stays.join(least, "doc_id", "left").filter("least is null or h = least or not worded").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("rows").alias("_rows"))
+    repeated = stays.filter("_rows > 1").limit(1).count() > 0
+    text_hash = F.xxhash64("text")
+    out = docs.join(stays, docs["doc_id"].cast("bigint").eqNullSafe(stays["_id"]) & (text_hash == stays["_h"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

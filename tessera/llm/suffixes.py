@@ -21,7 +21,7 @@ get one result each; an empty table gives no rows; other columns are kept by ``r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -326,11 +326,12 @@ def _keyed(docs: DataFrame, plain: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in blocks(batch.column(1), 1 << 20):
-                h = text_hashes(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(h)], names=["doc_id", "text", "h"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, pa.array(text_hashes(data, offsets))], names=[*batch.schema.names, "h"])
 
-    keyed = docs.withColumn("h", F.lit(0).cast("bigint")) if plain else docs.mapInArrow(run, "doc_id bigint, text string, h bigint")
-    return keyed.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "h", F.coalesce("text", F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c == "others"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = docs.withColumn("h", F.lit(0).cast("bigint")) if plain else docs.mapInArrow(run, f"{schema}, h bigint")
+    return keyed.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "h", F.coalesce("text", F.lit("")).alias("text"), *others)
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
@@ -343,16 +344,23 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (array of the maximal removed runs' start and end)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
+    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (the maximal removed runs' start and end), columns in ``keep``.
+
+    ``whole_characters`` leaves a removed run's ends where they don't cut a UTF-8 character.
+    """
+    others = F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in keep))
+    full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", others.alias("others"))
+    docs = full.select("doc_id", "text")
     n = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.sum(F.octet_length("text"))).first()
     plain = n[0] == n[1]
     whole, partial = _spans(docs, max(8, (n[2] or 0) // BUCKET_BYTES), plain)
     spans = whole.unionAll(partial)
     by_doc = materialise(spans.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
     seen = bitmap(by_doc, _key())
-    schema = "doc_id bigint, kept binary, n_bytes bigint, spans array<struct<start:int,end:int>>"
+    extra = full.schema["others"].dataType.simpleString()
+    schema = f"doc_id bigint, kept binary, n_bytes bigint, spans array<struct<start:int,end:int>>, others {extra}"
+    names = ["doc_id", "kept", "n_bytes", "spans", "others"]
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +370,8 @@ def repeats(docs: DataFrame) -> DataFrame:
             for low in range(0, len(keep), 256):
                 text = batch.column(2).take(pa.array(keep[low : low + 256]))
                 empty = pa.array([[]] * len(text), pair)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep[low : low + 256])), text, pa.array([len(t) for t in text.to_pylist()], pa.int64()), empty], names=["doc_id", "kept", "n_bytes", "spans"])
+                some = pa.array(keep[low : low + 256])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), text, pa.array([len(t) for t in text.to_pylist()], pa.int64()), empty, batch.column(3).take(some)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,14 +380,16 @@ def repeats(docs: DataFrame) -> DataFrame:
                 kept, size, runs = [], [], []
                 for text, spans_ in zip(batch.column(1).slice(low, 256).to_pylist(), batch.column(2).slice(low, 256).to_pylist()):
                     merged = _merged([(x["start"], x["end"]) for x in spans_ or []])
+                    if whole_characters:
+                        merged = [m for m in (_inward(text, *m) for m in merged) if m[0] < m[1]]
                     edges = [0, *(e for m in merged for e in m), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     size.append(len(text))
                     runs.append([{"start": a, "end": b} for a, b in merged])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 256], pa.int64()), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(runs, pair)], names=["doc_id", "kept", "n_bytes", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 256], pa.int64()), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(runs, pair), batch.column(3).slice(low, 256)], names=names)
 
-    keyed = _keyed(docs, plain)
-    narrow = keyed.select("doc_id", _key().alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = _keyed(full, plain)
+    narrow = keyed.select("doc_id", _key().alias("key"), F.col("text").cast("binary").alias("text"), "others")
     rest = narrow.mapInArrow(untouched, schema)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +397,30 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.flatnonzero(want[np.asarray(batch.column(3)).view(np.uint64) & np.uint64(len(want) - 1)])
             for low in range(0, len(keep), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep[low : low + 256])) for i in (0, 1, 2, 4)], names=["doc_id", "id", "h", "text"])
-
-    wide = keyed.select("doc_id", "id", "h", _key().alias("key"), F.col("text").cast("binary").alias("text"))
-    hit = wide.mapInArrow(touched, "doc_id bigint, id bigint, h bigint, text binary").join(by_doc, ["id", "h"], "left")
-    return rest.unionAll(hit.select("doc_id", "text", "spans").mapInArrow(cut, schema))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep[low : low + 256])) for i in (0, 1, 2, 4, 5)], names=["doc_id", "id", "h", "text", "others"])
+
+    wide = keyed.select("doc_id", "id", "h", _key().alias("key"), F.col("text").cast("binary").alias("text"), "others")
+    hit = wide.mapInArrow(touched, f"doc_id bigint, id bigint, h bigint, text binary, others {extra}").join(by_doc, ["id", "h"], "left")
+    out = rest.unionAll(hit.select("doc_id", "text", "spans", "others").mapInArrow(cut, schema))
+    return out.select("doc_id", "kept", "n_bytes", "spans", *(F.col("others")[c].alias(c) for c in keep))
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, all of them, without the repeated stretches of their texts; ``n_chars`` follows where there is one."""
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = repeats(docs, keep, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
+    if "n_chars" in keep:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def _inward(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters at its ends."""
+    while start < end and text[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -226,14 +226,26 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, m
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and score, the model's probability of label 1, for each row."""
+    names = [*keep, *(["text"] if "text" not in keep else [])]
+    text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
-            for low, high, data, offsets in blocks(batch.column(last)):
-                kept = [batch.column(i).slice(low, high - low) for i in range(last)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(data, offsets))], names=[*batch.schema.names[:last], "_score"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, _score double").withColumnRenamed("_score", "score")
+            for low, high, data, offsets in blocks(batch.column(text)):
+                kept = batch.slice(low, high - low).columns[: len(keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(data, offsets))], names=[*keep, "score"])
+
+    rows = docs.select(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"{schema}, score double")
+
+
+def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents that score less than ``threshold``, in one pass and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+                yield batch.slice(low, high - low).filter(pa.array(model.score(data, offsets) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
