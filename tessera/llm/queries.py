@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard, packing, quality, sharding, suffixes, tokenfile, topk, toxicity
+from tessera.llm import chat, decontam, jaccard, packing, quality, sharding, suffixes, tokenfile, topk, toxicity
 from tessera.llm.labelled import remainder
-from tessera.llm.store import shared_dir
+from tessera.llm.store import shared_dir, small_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +20,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +77,27 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(quality.score(docs, model), 3, 1)
 
 
+#: What tool calls in the conversations are checked against.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "read_file": {"path": ("string", True)},
+    "run": {"command": ("string", True), "timeout": ("number", False), "env": ("object", False)},
+}
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"), TOOLS)
+
+
+#: The driver's conversations hold no tool calls; tests/llm holds linked ones against a brute-force version.
+ORACLES["op4_chat_formatting"] = """
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_level, NULL::VARCHAR AS link, NULL::VARCHAR AS tool_errors,
+       '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message
+FROM conversations
+"""
+
+
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
