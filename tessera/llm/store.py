@@ -27,6 +27,11 @@ def _local_dir() -> str:
     return _LOCAL[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow hand whole texts to Python in batches of ``rows``: the default of 10,000 can take gigabytes an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame, **options) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+#: A block takes some 100 bytes of memory a byte while it is worked on.
+BLOCK_BYTES = 1 << 19
 _MULT, _SEED = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
 _MASK = (1 << 64) - 1
 
