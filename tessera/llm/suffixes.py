@@ -34,7 +34,7 @@ from tessera.llm.textblocks import blocks, powers, prefix_hashes, span_hashes
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1  # anchors' places in a window
-BUCKET_BYTES, FLUSH = 16 << 20, 3_000_000
+BUCKET_BYTES, FLUSH = 16 << 20, 400_000
 ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("pos", "<i4"), ("low", "u1"), ("high", "u1")])
 LAST = np.iinfo(np.int64).max
 
@@ -83,8 +83,8 @@ def _dealt(held: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
     rows = [(-1, held[later])] * bool(later.any()) + [(b, kept[cuts[b] : cuts[b + 1]]) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
     for b, part in rows:
-        for low in range(0, len(part), 65_536):
-            piece = part[low : low + 65_536]
+        for low in range(0, len(part), 16_384):
+            piece = part[low : low + 16_384]
             # field after field, so that the shuffle's compression finds runs
             columns = [pa.array([piece[name].tobytes()], pa.binary()) for name in ANCHOR.names]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *columns], names=["bucket", *ANCHOR.names])
