@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,39 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+#: So many links (16 MB) are united by one task; more by distributed steps.
+ONE_TASK = 1_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of links (u bigint, v bigint): the component's smallest node.
+    """(node, component) for each node of links (u bigint, v bigint): the component's smallest node."""
+    if links.count() <= ONE_TASK:
+        return links.select("u", "v").coalesce(1).mapInArrow(_united, "node bigint, component bigint")
+    return star_components(links)
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """The same for any number of links.
 
     Every step writes the links that are left to the shared folder; nothing but their number and a checksum
     comes to the driver.  The number of steps grows with the logarithm of the longest chain.

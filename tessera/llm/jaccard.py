@@ -93,23 +93,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
-def _class_id(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+def _class_id(own: np.ndarray, size: int = 0) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16, salt=size.to_bytes(16, "little")).digest()
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, h (hash of the text), n (set size), cid (equal for equal sets), prefix (n-grams one of which a similar set must share)."""
+    """doc_id, h (hash of the text), n (set size), cid and gid (equal for equal sets, and for equal prefixes and sizes), prefix (n-grams one of which a similar set must share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, sets in _sets(batch.column(1), k, classes):
                 n = np.array([len(own) for own in sets], np.int64)
-                prefix = _lists([own[: size + num * size // -den + 1 if size else 0] for own, size in zip(sets, n.tolist())])
-                cid = pa.array([_class_id(own) for own in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(n), cid, prefix], names=["doc_id", "h", "n", "cid", "prefix"])
+                prefixes = [own[: size + num * size // -den + 1 if size else 0] for own, size in zip(sets, n.tolist())]
+                cid, gid = pa.array([_class_id(own) for own in sets], pa.binary()), pa.array([_class_id(p, size) for p, size in zip(prefixes, n.tolist())], pa.binary())
+                columns = [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(n), cid, gid, _lists(prefixes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "cid", "gid", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, n bigint, cid binary, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, n bigint, cid binary, gid binary, prefix array<bigint>")
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
@@ -144,14 +145,42 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int, classes: np.ndarray
     return wanted.join(found, "cid").select("node", "grams")
 
 
-def _near(pa_: Column, na: Column, pb: Column, nb: Column, num: int, den: int) -> Column:
-    """Whether sets whose first common n-gram stands at these positions can be similar enough."""
-    common = F.least(na - pa_, nb - pb)
+def _near(at_a: Column, at_b: Column, num: int, den: int) -> Column:
+    """Whether sets whose first common n-gram stands at these places can be similar enough."""
+    na, nb = _size(at_a), _size(at_b)
+    common = F.least(na - _pos(at_a), nb - _pos(at_b))
     return den * common >= num * (na + nb - common)
 
 
+# A place is one number, position * 2**32 + size of the set, so that tokens stay narrow and sort by position.
+def _pos(at: Column) -> Column:
+    return F.shiftright(at, 32)
+
+
+def _size(at: Column) -> Column:
+    return at.bitwiseAND(0xFFFFFFFF)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose prefixes leave room for similarity.
+
+    What one prefix holds up to the other's last n-gram, and the other doesn't, is not in the other set at all.
+    """
+    side = nodes.select("node", "n", "prefix")
+    a, b = (side.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+
+    def missing(mine: str, other: str) -> Column:
+        last = F.element_at(other, -1)
+        return F.size(F.filter(F.array_except(mine, other), lambda x: x <= last))
+
+    common = F.least(F.col("nu") - missing("pu", "pv"), F.col("nv") - missing("pv", "pu"))
+    return both.filter(den * common >= num * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough."""
+    pairs = materialise(_possible(pairs, nodes, num, den))
     wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "cid"), "node")
     sets = materialise(_wanted_sets(docs, wanted, k, classes))
     a, b = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
@@ -165,55 +194,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """doc_id, h (xxhash64 of the text), n_shingles, component_id (the smallest doc_id reachable over links of similarity num/den or more)."""
     frequencies = frequency_classes(docs, k)
     rows = materialise(signatures(docs, k, num, den, frequencies))
-    nodes = materialise(
-        rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id())
-    )
-    groups = nodes.groupBy("n", "prefix").agg(F.min("node").alias("g"), F.count("*").alias("size"))
-    tokens = groups.select("g", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("bigint"))
-    leaders = tokens.groupBy("key").agg(F.min(F.struct("pos", "n", "g")).alias("lead"), F.count("*").alias("met"))
-    leaders = leaders.filter("met > 1").select("key", F.col("lead.pos").alias("lead_pos"), F.col("lead.n").alias("lead_n"), F.col("lead.g").alias("lead_g"))
+    firsts = [F.first(c).alias(c) for c in ("n", "gid", "prefix")]
+    nodes = materialise(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), *firsts).withColumn("node", F.monotonically_increasing_id()))
+    # Nearly every group is one class, so the classes under another's name are the short list.
+    several = nodes.groupBy("gid").agg(F.min("node").alias("g"), F.count("*").alias("size")).filter("size > 1")
+    under = materialise(nodes.select("node", "gid").join(several, "gid").filter("node <> g").select("node", "g"))
+    tokens = nodes.join(under, "node", "left_anti").select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("pos", "key"))
+    tokens = tokens.select("key", "g", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("n")).alias("at"))
+    leaders = tokens.groupBy("key").agg(F.min(F.struct("at", "g")).alias("lead"), F.count("*").alias("met"))
+    leaders = leaders.filter("met > 1").select("key", F.col("lead.at").alias("lead_at"), F.col("lead.g").alias("lead_g"))
     meetings = materialise(tokens.join(leaders, "key"))
-    in_group = nodes.join(groups.filter("size > 1").select("n", "prefix", "g"), ["n", "prefix"]).select("node", "g")
-    members = nodes.join(in_group, "node", "left").select("node", F.coalesce("g", "node").alias("g"), "n", "cid")
-    members = materialise(members)
-
-    led = meetings.filter(F.col("g") != F.col("lead_g")).filter(_near(F.col("pos"), F.col("n"), F.col("lead_pos"), F.col("lead_n"), num, den))
-    led = led.select(F.col("lead_g").alias("gu"), F.col("g").alias("gv")).distinct()
-    own = members.select("node", "g")
-    first = (
-        led.join(own.select(F.col("g").alias("gu"), F.col("node").alias("u")), "gu")
-        .join(own.select(F.col("g").alias("gv"), F.col("node").alias("v")), "gv")
-        .select("u", "v")
-        .unionAll(own.filter("node <> g").select(F.col("g").alias("u"), F.col("node").alias("v")))
-    )
-    first = materialise(first)
-    links = _linked(docs, first, members, k, num, den, frequencies)
+
+    led = meetings.filter(F.col("g") != F.col("lead_g")).filter(_near(F.col("at"), F.col("lead_at"), num, den))
+    led = led.select(F.col("lead_g").alias("u"), F.col("g").alias("v")).distinct()
+    first = materialise(_members(_members(led, under, "u"), under, "v").unionAll(under.select(F.col("g").alias("u"), F.col("node").alias("v"))))
+    links = _linked(docs, first, nodes, k, num, den, frequencies)
     labels = materialise(components(links))
 
-    # Where different labels still meet.
-    labelled = (
-        meetings.select("key", "g", "n", "pos")
-        .unionAll(_prefix_meetings(nodes, members))
-        .join(own, "g")
-        .join(labels, "node", "left")
-        .select("key", "node", "n", "pos", F.coalesce("component", "node").alias("label"))
-    )
-    labelled = materialise(labelled)
-    spans = labelled.groupBy("key", "label").agg(F.min("pos").alias("pos"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # Where different labels still meet.  Groups of several classes meet with themselves on their first n-gram.
+    inside = nodes.join(under.select(F.col("g").alias("node")).distinct(), "node", "left_semi").select(F.get("prefix", F.lit(0)).alias("key"), F.col("node").alias("g"), F.col("n").alias("at"))
+    labelled = _members(meetings.select("key", "g", "at").unionAll(inside).withColumnRenamed("g", "node"), under, "node")
+    labelled = materialise(labelled.join(labels, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("label")))
+    spans = labelled.groupBy("key", "label").agg(F.min(_pos(F.col("at"))).alias("pos"), F.min(_size(F.col("at"))).alias("low"), F.max(_size(F.col("at"))).alias("high"))
     mixed = spans.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
     spans = spans.join(mixed, "key")
     a, b = (spans.select("key", *(F.col(c).alias(c + x) for c in ("label", "pos", "low", "high"))) for x in "ab")
     common = F.least(F.col("higha") - F.col("posa"), F.col("highb") - F.col("posb"))
     apart = a.join(b, "key").filter((F.col("labela") < F.col("labelb")) & ((den + num) * common >= num * (F.col("lowa") + F.col("lowb"))))
     apart = apart.select("key", "labela", "labelb")
-    left, right = (labelled.select("key", *(F.col(c).alias(c + x) for c in ("label", "node", "n", "pos"))) for x in "ab")
-    second = apart.join(left, ["key", "labela"]).join(right, ["key", "labelb"])
-    second = second.filter(_near(F.col("posa"), F.col("na"), F.col("posb"), F.col("nb"), num, den))
+    left, right = (labelled.select("key", *(F.col(c).alias(c + x) for c in ("label", "node", "at"))) for x in "ab")
+    second = apart.join(left, ["key", "labela"]).join(right, ["key", "labelb"]).filter(_near(F.col("ata"), F.col("atb"), num, den))
     second = second.select(F.least("nodea", "nodeb").alias("u"), F.greatest("nodea", "nodeb").alias("v")).distinct()
     done = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     second = materialise(second.join(done, ["u", "v"], "left_anti"))
-    if not second.isEmpty():
-        more = _linked(docs, second, members, k, num, den, frequencies)
+    if second.count():
+        more = _linked(docs, second, nodes, k, num, den, frequencies)
         labels = materialise(components(links.unionAll(more)))
 
     named = nodes.join(labels, "node", "left").select("cid", "least", F.coalesce("component", "node").alias("component"))
@@ -223,10 +238,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _prefix_meetings(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Groups of several classes meet with themselves on their first n-gram, even where no other group does."""
-    shared = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
-    return nodes.join(shared, nodes["node"] == shared["g"]).select(F.get("prefix", F.lit(0)).alias("key"), "g", "n", F.lit(0).cast("bigint").alias("pos")).select("key", "g", "n", "pos")
+def _members(rows: DataFrame, under: DataFrame, column: str) -> DataFrame:
+    """The rows, and once more for every class that stands under the group in ``column``."""
+    more = under.select(F.col("g").alias(column), F.col("node").alias("_node"))
+    return rows.unionByName(rows.join(more, column).drop(column).withColumnRenamed("_node", column))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
