@@ -22,13 +22,17 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _count(column: str, term: str) -> Column:
+    return F.size(F.filter(column, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R-02: id and keyword score of the documents (id, text) that hold a query term.
 
     Term counts are taken where the text is; only the query's terms leave the scan.
     """
     wanted = sorted({t.lower() for t in query})
-    rows = docs.select("id", terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    rows = docs.select("id", terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), *(_count("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     score = F.lit(0.0)
     for i in range(len(wanted)):
@@ -132,7 +136,7 @@ def regressions(before: DataFrame, after: DataFrame, most: float = 0.05) -> Data
 
 def drift_weekly(rows: DataFrame) -> DataFrame:
     """R-13: week, number, mean and range of similarities (ts, score)."""
-    return rows.groupBy(F.date_trunc("week", "ts").cast("date").alias("week")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"))
+    return rows.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"))
 
 
 def priority(severity: Column) -> Column:
@@ -145,7 +149,7 @@ def priority(severity: Column) -> Column:
 def backlog(notes: DataFrame, most: int = WEEKLY_NOTES) -> DataFrame:
     """R-14: note_id, week, priority and status of notes (note_id, severity, ts): the gravest of each week are open, the rest noop."""
     grade = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    week = F.date_trunc("week", "ts").cast("date")
+    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
     order = Window.partitionBy("week").orderBy("_grade", "note_id")
     rows = notes.withColumn("week", week).withColumn("_grade", grade).withColumn("_n", F.row_number().over(order))
     return rows.select("note_id", "week", priority(F.col("severity")).alias("priority"), F.when(F.col("_n") <= most, "open").otherwise("noop").alias("status"))

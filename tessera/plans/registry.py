@@ -1,6 +1,788 @@
-"""Queries over the driver's tables and their SQL oracles, by name."""
+"""Every registered query of the engine with its SQL oracle, by name.
+
+A query binds an operator to the driver's tables in the roles of ``tessera.sources.views``; its oracle is
+written over the same roles in SQL.  Queries without SQL are checked by tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text, vector
+from tessera.operators import ask, catalog, chunking, coverage, graph, ranking, search, summaries
+from tessera.plans.oracle_views import with_views
+from tessera.sources import content_type, ignore
+from tessera.sources.views import Views
+from tessera.streaming import edits
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "2024-02-15"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Views], DataFrame]):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return register
+
+
+# Vector and hybrid search
+
+
+@query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
+WHERE o.product_id = 1 ORDER BY s.score DESC, s.chunk_id LIMIT 10""")
+def search_by_product(v: Views) -> DataFrame:
+    return search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 1, v.query_vector())
+
+
+@query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
+WHERE o.product_id = 2 AND starts_with(f.path, 'src1') AND f.content_type = 'text/plain' ORDER BY s.score DESC, s.chunk_id LIMIT 5""")
+def search_by_product_filtered(v: Views) -> DataFrame:
+    return search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 2, v.query_vector(), 5, "src1", "text/plain")
+
+
+@query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id WHERE l.source_id = 'src3' ORDER BY s.score DESC, s.chunk_id LIMIT 10""")
+def search_by_source(v: Views) -> DataFrame:
+    return search.search_by_source(v.embeddings, v.files, v.snapshots, "src3", v.query_vector())
+
+
+@query("SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id WHERE f.snapshot_id = 'src2/en' ORDER BY s.score DESC, s.chunk_id LIMIT 10")
+def search_by_snapshot(v: Views) -> DataFrame:
+    return search.search_by_snapshot(v.embeddings, v.files, "src2/en", v.query_vector())
+
+
+@query("SELECT chunk_id, model, score FROM scored ORDER BY score DESC, chunk_id LIMIT 10")
+def search_similar_global(v: Views) -> DataFrame:
+    return search.similar_chunks(v.embeddings, v.query_vector()).select("chunk_id", "model", "score")
+
+
+@query("""SELECT query_id, rank, chunk_id, score FROM (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.vector, b.vector), 6) AS score,
+ row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 6) DESC, b.chunk_id)::INT AS rank
+ FROM vectors a, vectors b WHERE a.chunk_id < 20) WHERE rank <= 5""")
+def batch_topk(v: Views) -> DataFrame:
+    queries = v.embeddings.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    out = search.batch_top_k(v.embeddings, queries, 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
+_SUMMARY = """SELECT s.id, s.snapshot_id, s.summary_type, s.target_path, s.arch_type, c.score FROM summaries s JOIN scored c ON c.chunk_id = s.id"""
+
+
+@query(f"{_SUMMARY} WHERE s.snapshot_id = 'src5/en' AND s.summary_type IN ('file', 'directory') ORDER BY c.score DESC, s.id LIMIT 5")
+def summary_search_typed(v: Views) -> DataFrame:
+    return search.search_summaries(v.summaries, v.embeddings, v.query_vector(), types=["file", "directory"], snapshot_id="src5/en")
+
+
+@query(f"{_SUMMARY} WHERE s.snapshot_id = 'src5/en' ORDER BY c.score DESC, s.id LIMIT 8")
+def summary_search_all(v: Views) -> DataFrame:
+    return search.search_summaries(v.summaries, v.embeddings, v.query_vector(), 8, snapshot_id="src5/en")
+
+
+@query(f"{_SUMMARY} WHERE s.snapshot_id = 'src4/en' AND s.summary_type = 'architecture' ORDER BY c.score DESC, s.id LIMIT 5")
+def summary_search_architecture(v: Views) -> DataFrame:
+    return search.search_summaries(v.summaries, v.embeddings, v.query_vector(), types=["architecture"], snapshot_id="src4/en")
+
+
+@query(f"{_SUMMARY} JOIN latest l ON l.id = s.snapshot_id JOIN sources o ON o.id = l.source_id WHERE o.product_id = 0 ORDER BY c.score DESC, s.id LIMIT 5")
+def summary_search_by_product(v: Views) -> DataFrame:
+    return search.search_summaries(v.summaries, v.embeddings, v.query_vector(), within=_latest_of(v, 0))
+
+
+def _latest_of(v: Views, product: int) -> DataFrame:
+    mine = v.sources.filter(F.col("product_id") == product).select(F.col("id").alias("source_id"))
+    return search.latest_snapshots(v.snapshots.join(mine, "source_id", "left_semi")).select(F.col("id").alias("snapshot_id"))
+
+
+@query(f"""SELECT 'chunk' AS kind, chunk_id AS id, score FROM (SELECT s.chunk_id, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
+WHERE o.product_id = 1 ORDER BY s.score DESC, s.chunk_id LIMIT 10) UNION ALL SELECT 'summary', id, score FROM ({_SUMMARY} JOIN latest l ON l.id = s.snapshot_id JOIN sources o ON o.id = l.source_id WHERE o.product_id = 1 ORDER BY c.score DESC, s.id LIMIT 5)""")
+def hybrid_union(v: Views) -> DataFrame:
+    q = v.query_vector()
+    chunks = search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 1, q)
+    return search.hybrid(chunks, search.search_summaries(v.summaries, v.embeddings, q, within=_latest_of(v, 1)))
+
+
+@query("""SELECT c.id, c.file_id, c.ordinal, p.id AS prev_id, n.id AS next_id FROM chunks c LEFT JOIN chunks p ON p.file_id = c.file_id AND p.ordinal = c.ordinal - 1
+LEFT JOIN chunks n ON n.file_id = c.file_id AND n.ordinal = c.ordinal + 1 WHERE c.chunk_type = 'assistant'""")
+def search_with_neighbors(v: Views) -> DataFrame:
+    return search.neighbours(v.chunks.filter("chunk_type = 'assistant'"), v.chunks)
+
+
+@query("SELECT id, ordinal, chunk_type FROM chunks WHERE file_id = 4 AND ordinal BETWEEN 1 AND 3 ORDER BY ordinal")
+def context_window(v: Views) -> DataFrame:
+    return search.context_window(v.chunks, 4, 2).select("id", "ordinal", "chunk_type")
+
+
+@query("SELECT h.file_id, h.ordinal AS hit_ordinal, c.ordinal, c.id FROM chunks h JOIN chunks c ON c.file_id = h.file_id AND c.ordinal BETWEEN h.ordinal - 2 AND h.ordinal + 1 WHERE h.chunk_type = 'user'")
+def context_of_hits(v: Views) -> DataFrame:
+    return search.context_of_hits(v.chunks.filter("chunk_type = 'user'"), v.chunks, 2, 1)
+
+
+@query("""WITH h AS (SELECT chunk_id FROM scored ORDER BY score DESC, chunk_id LIMIT 20)
+SELECT h.chunk_id, f.path, s.source_id, s.version_identifier, f.content_hash FROM h JOIN files f ON f.id = h.chunk_id JOIN snapshots s ON s.id = f.snapshot_id""")
+def provenance(v: Views) -> DataFrame:
+    return search.provenance(search.similar_chunks(v.embeddings, v.query_vector(), 20), v.files, v.snapshots)
+
+
+@query("""SELECT d.model AS doc, round(sum(best), 6) AS max_sim FROM (SELECT e.model, e.chunk_id % 7 AS token, max(list_inner_product(e.vector, q.vector)) AS best
+FROM vectors e, vectors q WHERE q.chunk_id < 4 GROUP BY ALL) d GROUP BY d.model""")
+def max_sim(v: Views) -> DataFrame:
+    q = v.embeddings.filter("chunk_id < 4").select(F.col("vector").alias("query_vector"))
+    return search.max_sim(q, v.embeddings.select(F.col("model").alias("doc"), (F.col("chunk_id") % 7).alias("token"), "vector"))
+
+
+# Snapshots, lists and lookups
+
+
+@query("SELECT id, source_id FROM latest")
+def latest_snapshot_per_source(v: Views) -> DataFrame:
+    return search.latest_snapshots(v.snapshots).select("id", "source_id")
+
+
+@query("SELECT id, source_id, indexed_at, created_at FROM snapshots WHERE source_id = 'src7' AND indexed ORDER BY indexed_at DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 1")
+def latest_snapshot_one(v: Views) -> DataFrame:
+    return search.latest_snapshot(v.snapshots, "src7").select("id", "source_id", "indexed_at", "created_at")
+
+
+@query("SELECT s.id, r.ref_name FROM git_refs r JOIN snapshots s ON s.id = r.snapshot_id JOIN sources o ON o.id = r.source_id WHERE r.ref_name = 'fr' AND o.product_id = 1")
+def snapshot_by_ref(v: Views) -> DataFrame:
+    refs = v.git_refs.filter("ref_name = 'fr'").join(v.sources.filter("product_id = 1").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return refs.select(F.col("snapshot_id").alias("id"), "ref_name").join(v.snapshots.select("id"), "id")
+
+
+@query("SELECT id, name, created_at FROM products ORDER BY created_at DESC")
+def list_products(v: Views) -> DataFrame:
+    return v.products.orderBy(F.desc("created_at"), "id")
+
+
+@query("SELECT id, name FROM products WHERE name = 'ASIA'")
+def product_by_name(v: Views) -> DataFrame:
+    return v.products.filter("name = 'ASIA'").select("id", "name")
+
+
+@query("SELECT id, name, source_type FROM sources WHERE product_id = 2 ORDER BY created_at DESC")
+def sources_by_product(v: Views) -> DataFrame:
+    return v.sources.filter("product_id = 2").orderBy(F.desc("created_at")).select("id", "name", "source_type")
+
+
+@query("SELECT id, product_id FROM sources WHERE source_type = 'local' ORDER BY created_at DESC")
+def sources_by_type(v: Views) -> DataFrame:
+    return v.sources.filter("source_type = 'local'").orderBy(F.desc("created_at")).select("id", "product_id")
+
+
+@query("SELECT id, indexed FROM snapshots WHERE source_id = 'src1' AND version_identifier = 'de'")
+def snapshot_by_version(v: Views) -> DataFrame:
+    return v.snapshots.filter("source_id = 'src1' and version_identifier = 'de'").select("id", "indexed")
+
+
+@query("SELECT id, indexed_at FROM snapshots WHERE indexed ORDER BY indexed_at DESC NULLS FIRST, id")
+def indexed_snapshots(v: Views) -> DataFrame:
+    return v.snapshots.filter("indexed").orderBy(F.desc_nulls_first("indexed_at"), "id").select("id", "indexed_at")
+
+
+@query("SELECT id, ref_name, snapshot_id FROM git_refs WHERE source_id = 'src4' ORDER BY ref_name")
+def refs_by_source(v: Views) -> DataFrame:
+    return v.git_refs.filter("source_id = 'src4'").orderBy("ref_name").select("id", "ref_name", "snapshot_id")
+
+
+@query("SELECT id, path, size, content_type FROM files WHERE snapshot_id = 'src0/en' ORDER BY path")
+def files_by_snapshot(v: Views) -> DataFrame:
+    return v.files.filter("snapshot_id = 'src0/en'").select("id", "path", "size", "content_type").orderBy("path")
+
+
+@query("SELECT path, content_hash FROM files WHERE snapshot_id = 'src0/en'")
+def file_hashes(v: Views) -> DataFrame:
+    return v.files.filter("snapshot_id = 'src0/en'").select("path", "content_hash")
+
+
+@query("SELECT id, path FROM files WHERE snapshot_id = 'src1/en' AND content_type = 'text/markdown' ORDER BY path")
+def files_by_content_type(v: Views) -> DataFrame:
+    return v.files.filter("snapshot_id = 'src1/en' and content_type = 'text/markdown'").select("id", "path").orderBy("path")
+
+
+@query("SELECT id, path FROM files WHERE snapshot_id = 'src1/en' AND domain = 'unknown' ORDER BY path")
+def files_by_domain(v: Views) -> DataFrame:
+    return v.files.filter("snapshot_id = 'src1/en' and domain = 'unknown'").select("id", "path").orderBy("path")
+
+
+@query("SELECT b.id, b.path FROM files a JOIN files b ON a.content_hash = b.content_hash WHERE a.id = 3 ORDER BY b.created_at DESC")
+def files_by_hash(v: Views) -> DataFrame:
+    mine = v.files.filter("id = 3").select("content_hash")
+    return v.files.join(F.broadcast(mine), "content_hash").orderBy(F.desc("created_at")).select("id", "path")
+
+
+@query("SELECT id, chunk_type, token_count FROM chunks WHERE file_id = 7 ORDER BY ordinal")
+def chunks_by_file(v: Views) -> DataFrame:
+    return v.chunks.filter("file_id = 7").orderBy("ordinal").select("id", "chunk_type", "token_count")
+
+
+@query("SELECT id, depth, target_path FROM summaries WHERE snapshot_id = 'src2/en' AND summary_type = 'directory' ORDER BY depth DESC, target_path")
+def directory_summaries(v: Views) -> DataFrame:
+    return v.summaries.filter("snapshot_id = 'src2/en' and summary_type = 'directory'").select("id", "depth", "target_path").orderBy(F.desc("depth"), "target_path")
+
+
+@query("SELECT id, arch_type, content FROM summaries WHERE snapshot_id = 'src2/en' AND summary_type = 'architecture' AND arch_type = 'data_flow'")
+def architecture_summary(v: Views) -> DataFrame:
+    return v.summaries.filter("snapshot_id = 'src2/en' and summary_type = 'architecture' and arch_type = 'data_flow'").select("id", "arch_type", "content")
+
+
+@query("SELECT snapshot_id, summary_type, count(*) AS n, coalesce(max(CASE WHEN summary_type = 'directory' THEN depth END), 0)::INT AS max_depth FROM summaries GROUP BY ALL")
+def summary_counts(v: Views) -> DataFrame:
+    return v.summaries.groupBy("snapshot_id", "summary_type").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("summary_type") == "directory", F.col("depth"))), F.lit(0)).alias("max_depth"))
+
+
+@query("SELECT s.snapshot_id, count(*) AS n FROM vectors e JOIN summaries s ON s.id = e.chunk_id GROUP BY 1")
+def summary_embedding_counts(v: Views) -> DataFrame:
+    return v.embeddings.withColumnRenamed("chunk_id", "id").join(v.summaries, "id").groupBy("snapshot_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT to_id, dep_type, symbol FROM dependencies WHERE from_id = 1 ORDER BY dep_type, symbol NULLS LAST")
+def dependencies_of_chunk(v: Views) -> DataFrame:
+    return v.dependencies.filter("from_id = 1").orderBy("dep_type", F.asc_nulls_last("symbol")).select("to_id", "dep_type", "symbol")
+
+
+@query("SELECT from_id, symbol FROM dependencies WHERE to_id = 10 AND dep_type = 'N' ORDER BY symbol NULLS LAST, from_id")
+def incoming_by_type(v: Views) -> DataFrame:
+    return v.dependencies.filter("to_id = 10 and dep_type = 'N'").orderBy(F.asc_nulls_last("symbol"), "from_id").select("from_id", "symbol")
+
+
+@query("SELECT id, product_id, output_path, generated_at FROM wiki ORDER BY generated_at DESC")
+def list_wiki(v: Views) -> DataFrame:
+    return v.wiki.orderBy(F.desc("generated_at"))
+
+
+# Aggregates and coverage
+
+
+@query("""SELECT p.id, p.name, count(DISTINCT s.id)::INT AS source_count, max(CASE WHEN ss.indexed THEN ss.indexed_at END) AS last_indexed_at, max(w.generated_at) AS wiki_generated_at
+FROM products p LEFT JOIN sources s ON s.product_id = p.id LEFT JOIN snapshots ss ON ss.source_id = s.id AND ss.indexed LEFT JOIN wiki w ON w.product_id = p.id GROUP BY p.id, p.name ORDER BY p.name""")
+def products_with_stats(v: Views) -> DataFrame:
+    return coverage.products_with_stats(v.products, v.sources, v.snapshots, v.wiki)
+
+
+@query("""SELECT coalesce(f.domain, 'unknown') AS domain, count(DISTINCT f.id) AS file_count, coalesce(sum(c.n), 0)::BIGINT AS chunk_count
+FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM chunks GROUP BY 1) c ON c.file_id = f.id GROUP BY f.domain""")
+def domain_coverage_raw(v: Views) -> DataFrame:
+    return coverage.domain_counts(v.files, v.chunks)
+
+
+@query("""SELECT coalesce(sf.domain, 'unknown') AS domain, count(*) AS total_files, sum(CASE WHEN sf.indexed THEN 1 ELSE 0 END)::BIGINT AS indexed_files, coalesce(sum(c.n), 0)::BIGINT AS indexed_chunks,
+ round(sum(CASE WHEN sf.indexed THEN 1 ELSE 0 END) * 100.0 / count(*), 2)::DOUBLE AS coverage_rate, round(coalesce(avg(c.r), 0.0), 6) AS avg_comment_ratio, round(coalesce(avg(c.x), 0.0), 6) AS avg_complexity
+FROM snapshot_files sf LEFT JOIN (SELECT file_id, count(*) AS n, avg(coalesce(comment_ratio, 0.0)) AS r, avg(coalesce(cyclomatic_complexity, 0)) AS x FROM chunks GROUP BY 1) c ON c.file_id = sf.id GROUP BY 1""")
+def domain_coverage_stats(v: Views) -> DataFrame:
+    return coverage.domain_coverage(v.snapshot_files, v.chunks)
+
+
+@query("SELECT coalesce(domain, 'unknown') AS domain, grouping(coalesce(domain, 'unknown'))::INT AS is_total, count(*) AS files, count(*) FILTER (indexed) AS indexed_files FROM snapshot_files GROUP BY ROLLUP (coalesce(domain, 'unknown'))")
+def coverage_map(v: Views) -> DataFrame:
+    return coverage.coverage_map(v.snapshot_files)
+
+
+@query("""SELECT file_path FROM snapshot_files WHERE NOT indexed AND (file_path ILIKE '%README.md' OR file_path ILIKE '%/docs/adr/%' OR file_path ILIKE '%/docs/design/%' OR file_path ILIKE '%/docs/decisions/%'
+ OR file_path IN ('package.json', 'go.mod', 'Dockerfile', 'docker-compose.yml')) ORDER BY file_path""")
+def unindexed_important_files(v: Views) -> DataFrame:
+    return coverage.unindexed_important(v.snapshot_files)
+
+
+@query("SELECT c.id, c.git_commit_hash, c.indexed_at, f.path AS file_path FROM chunks c JOIN files f ON f.id = c.file_id WHERE c.is_latest AND c.git_commit_hash IS NOT NULL")
+def chunks_with_git_info(v: Views) -> DataFrame:
+    return coverage.chunks_with_commit(v.chunks, v.files).select("id", "git_commit_hash", "indexed_at", "file_path")
+
+
+@query(f"SELECT id, git_commit_hash, indexed_at FROM chunks WHERE is_latest AND git_commit_hash IS NOT NULL AND indexed_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY indexed_at, id")
+def stale_chunks(v: Views) -> DataFrame:
+    return coverage.stale(v.chunks, AS_OF, 30).select("id", "git_commit_hash", "indexed_at").orderBy("indexed_at", "id")
+
+
+@query(f"SELECT count(*) AS stale_count FROM chunks WHERE is_latest AND git_commit_hash IS NOT NULL AND indexed_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY")
+def stale_count(v: Views) -> DataFrame:
+    return coverage.stale(v.chunks, AS_OF, 30).agg(F.count("*").alias("stale_count"))
+
+
+@query("SELECT chunk_type, count(*) AS chunks, sum(token_count)::BIGINT AS tokens FROM chunks GROUP BY 1")
+def source_token_stats(v: Views) -> DataFrame:
+    return coverage.source_tokens(v.chunks)
+
+
+@query("SELECT s.source_id, s.id, s.indexed_at FROM snapshots s JOIN latest l ON l.id = s.id")
+def index_status(v: Views) -> DataFrame:
+    return search.latest_snapshots(v.snapshots).select("source_id", "id", "indexed_at")
+
+
+@query("SELECT count(DISTINCT p.id) AS products, count(DISTINCT s.id) AS sources, count(DISTINCT ss.id) AS snapshots, count(DISTINCT f.id) AS files FROM products p LEFT JOIN sources s ON s.product_id = p.id LEFT JOIN snapshots ss ON ss.source_id = s.id LEFT JOIN files f ON f.snapshot_id = ss.id")
+def global_stats(v: Views) -> DataFrame:
+    src = v.sources.join(v.products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    snap = v.snapshots.join(src.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    files = v.files.join(snap.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_semi")
+    count = lambda df, name: df.agg(F.count_distinct("id").alias(name))
+    return count(v.products, "products").join(count(src, "sources")).join(count(snap, "snapshots")).join(count(files, "files"))
+
+
+@query("SELECT count(*) AS rows, round(100.0 * count(comment_ratio) / count(*), 2)::DOUBLE AS comment_ratio_rate, round(100.0 * count(cyclomatic_complexity) / count(*), 2)::DOUBLE AS cyclomatic_complexity_rate, round(100.0 * count(git_commit_hash) / count(*), 2)::DOUBLE AS git_commit_hash_rate FROM chunks")
+def metadata_fill_rate(v: Views) -> DataFrame:
+    return coverage.fill_rate(v.chunks, ["comment_ratio", "cyclomatic_complexity", "git_commit_hash"])
+
+
+@query("SELECT content_hash, count(*) AS copies FROM files GROUP BY 1 HAVING count(*) > 1")
+def dup_by_hash(v: Views) -> DataFrame:
+    return coverage.duplicate_keys(v.files, "content_hash")
+
+
+@query("SELECT snapshot_id, count(*) AS copies FROM files GROUP BY 1 HAVING count(*) > 1")
+def dup_key_having(v: Views) -> DataFrame:
+    return coverage.duplicate_keys(v.files, "snapshot_id")
+
+
+@query("SELECT language, coalesce(domain, 'unknown') AS domain, count(*) AS n FROM files GROUP BY ALL")
+def language_histogram(v: Views) -> DataFrame:
+    return v.files.groupBy("language", F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type = 'error' AS failed, count(*) AS n FROM events GROUP BY 1")
+def pipeline_stats(v: Views) -> DataFrame:
+    return v.table("events").groupBy((F.col("event_type") == "error").alias("failed")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT coalesce(domain, 'unknown') AS domain, count(*) AS total_files, count(*) FILTER (indexed) AS indexed_files, round(count(*) FILTER (indexed) * 100.0 / count(*), 2) AS rate FROM snapshot_files GROUP BY 1)
+SELECT 'readme_not_indexed' AS alert, file_path AS subject FROM snapshot_files WHERE NOT indexed AND file_path ILIKE '%readme.md'
+UNION ALL SELECT 'low_test_coverage', domain FROM c WHERE domain = 'tests' AND rate < 50 UNION ALL SELECT 'few_decisions_indexed', domain FROM c WHERE domain = 'architecture' AND total_files >= 10 AND indexed_files < 500""")
+def kpi_alerts(v: Views) -> DataFrame:
+    return coverage.alerts(coverage.domain_coverage(v.snapshot_files, v.chunks), coverage.unindexed_important(v.snapshot_files), adr_indexed=500, test_rate=50.0)
+
+
+# Changes of tables
+
+
+@query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change
+FROM (SELECT path, content_hash AS h FROM files WHERE id % 10 <> 3) a FULL JOIN (SELECT path, CASE WHEN id % 10 = 5 THEN sha256(content || '!') ELSE content_hash END AS h FROM files WHERE id % 10 <> 7) b ON a.path = b.path""")
+def file_diff(v: Views) -> DataFrame:
+    new = v.files.filter("id % 10 <> 7").select("path", F.when(F.col("id") % 10 == 5, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    return catalog.file_diff(v.files.filter("id % 10 <> 3"), new)
+
+
+@query("""SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.t ELSE o.source_type END AS source_type, coalesce(o.created_at, n.c) AS created_at FROM sources o
+FULL JOIN (SELECT id, 'pdf' AS t, created_at + 1 AS c FROM sources WHERE created_at < 5 UNION ALL SELECT 'new', 'notion', 99) n ON n.id = o.id""")
+def upsert_source(v: Views) -> DataFrame:
+    old = v.sources.select("id", "source_type", "created_at")
+    new = old.filter("created_at < 5").select("id", F.lit("pdf").alias("source_type"), (F.col("created_at") + 1).alias("created_at"))
+    new = new.unionAll(v.spark.createDataFrame([("new", "notion", 99)], "id string, source_type string, created_at int"))
+    return catalog.upsert(old, new, ["id"], keep=["created_at"])
+
+
+@query("""WITH t AS (SELECT DISTINCT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id < 100 AND symbol IS NOT NULL UNION ALL SELECT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id < 100 AND symbol IS NULL),
+n AS (SELECT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id BETWEEN 90 AND 120)
+SELECT * FROM t UNION ALL SELECT DISTINCT * FROM n WHERE symbol IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.from_id = n.from_id AND t.to_id = n.to_id AND t.dep_type = n.dep_type AND t.symbol = n.symbol)
+UNION ALL SELECT * FROM n WHERE symbol IS NULL""")
+def dep_insert_ignore(v: Views) -> DataFrame:
+    key = ["from_id", "to_id", "dep_type", "symbol"]
+    d = v.dependencies.select(*key)
+    old = d.filter("from_id < 100")
+    old = old.filter("symbol is not null").distinct().unionAll(old.filter("symbol is null"))
+    return catalog.insert_or_ignore(old, d.filter("from_id between 90 and 120"), key)
+
+
+@query("SELECT id, CASE WHEN id = 'src1/de' THEN true ELSE indexed END AS indexed, CASE WHEN id = 'src1/de' THEN 12345 ELSE indexed_at END AS indexed_at FROM snapshots")
+def mark_indexed(v: Views) -> DataFrame:
+    done = {"indexed": F.lit(True), "indexed_at": F.lit(12345).cast("bigint")}
+    return catalog.update(v.snapshots, F.col("id") == "src1/de", done).select("id", "indexed", "indexed_at")
+
+
+@query("SELECT c.id, CASE WHEN u.id IS NOT NULL THEN u.s ELSE c.comment_ratio END AS comment_ratio FROM chunks c LEFT JOIN (SELECT id, ordinal / 10.0 AS s FROM chunks WHERE chunk_type = 'user') u ON u.id = c.id")
+def update_importance_batch(v: Views) -> DataFrame:
+    changes = v.chunks.filter("chunk_type = 'user'").select("id", (F.col("ordinal") / 10).alias("comment_ratio"))
+    return catalog.update_from(v.chunks.select("id", "comment_ratio"), changes, ["id"], ["comment_ratio"])
+
+
+@query("SELECT id, path FROM files WHERE NOT (snapshot_id = 'src0/en' AND path IN (SELECT path FROM files WHERE id % 3 = 0))")
+def delete_by_paths(v: Views) -> DataFrame:
+    gone = v.files.filter("id % 3 = 0 and snapshot_id = 'src0/en'").select("snapshot_id", "path")
+    return catalog.delete_keys(v.files, gone, ["snapshot_id", "path"]).select("id", "path")
+
+
+@query("""SELECT 'snapshots' AS t, count(*) AS n FROM snapshots WHERE source_id NOT IN (SELECT id FROM sources WHERE product_id = 1)
+UNION ALL SELECT 'files', count(*) FROM files f JOIN snapshots s ON s.id = f.snapshot_id WHERE s.source_id NOT IN (SELECT id FROM sources WHERE product_id = 1)
+UNION ALL SELECT 'vectors', count(*) FROM vectors e WHERE e.chunk_id NOT IN (SELECT f.id FROM files f JOIN snapshots s ON s.id = f.snapshot_id JOIN sources o ON o.id = s.source_id WHERE o.product_id = 1)""")
+def cascade_delete(v: Views) -> DataFrame:
+    gone = v.sources.filter("product_id = 1").select("id")
+    left = catalog.cascade(gone, [(v.snapshots, "source_id", "id"), (v.files, "snapshot_id", "id"), (v.embeddings, "chunk_id", "chunk_id")])
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n") for name, t in zip(("snapshots", "files", "vectors"), left)]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query("SELECT w.s AS source_id, w.l AS version_identifier FROM (SELECT DISTINCT source AS s, lang AS l FROM documents) w WHERE NOT EXISTS (SELECT 1 FROM snapshots x WHERE x.indexed AND x.source_id = w.s AND x.version_identifier = w.l)")
+def versions_to_index(v: Views) -> DataFrame:
+    wanted = v.table("documents").select(F.col("source").alias("source_id"), F.col("lang").alias("version_identifier")).distinct()
+    return catalog.not_indexed(wanted, v.snapshots)
+
+
+@query("SELECT id, name, source_type FROM sources UNION ALL SELECT 'brand-new', 'brand-new', 'git'")
+def insert_source(v: Views) -> DataFrame:
+    new = v.spark.createDataFrame([("brand-new", "brand-new", "git")], "id string, name string, source_type string")
+    return catalog.insert(v.sources.select("id", "name", "source_type"), new, ["name"])
+
+
+# Hierarchies and graphs
+
+
+@query("SELECT n.parent AS id, EXISTS (SELECT 1 FROM hierarchy e WHERE e.parent = n.parent) AS has_children FROM (SELECT parent FROM hierarchy UNION SELECT child FROM hierarchy) n")
+def has_children(v: Views) -> DataFrame:
+    return graph.has_children(_nodes(v.hierarchy), v.hierarchy)
+
+
+@query("SELECT n.parent AS id, EXISTS (SELECT 1 FROM hierarchy e WHERE e.child = n.parent) AS has_parent FROM (SELECT parent FROM hierarchy UNION SELECT child FROM hierarchy) n")
+def has_parent(v: Views) -> DataFrame:
+    return graph.has_parent(_nodes(v.hierarchy), v.hierarchy)
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent").alias("id")).union(edges.select("child")).distinct()
+
+
+@query("SELECT child AS id FROM hierarchy WHERE parent = 'n3' ORDER BY ordinal")
+def child_chunks(v: Views) -> DataFrame:
+    return graph.children(v.hierarchy, _nodes(v.hierarchy), "n3")
+
+
+@query("SELECT child, min(parent) AS parent FROM chain GROUP BY child")
+def parent_chunk(v: Views) -> DataFrame:
+    return graph.parent_of(v.chain)
+
+
+@query("SELECT parent, count(*) AS child_count FROM hierarchy GROUP BY 1")
+def count_children(v: Views) -> DataFrame:
+    return v.hierarchy.groupBy("parent").agg(F.count("*").alias("child_count"))
+
+
+@query("""WITH RECURSIVE t(node, depth, sort) AS (SELECT 'r1', 1, [0::BIGINT] UNION ALL SELECT h.child, t.depth + 1, list_append(t.sort, h.ordinal) FROM t JOIN hierarchy h ON h.parent = t.node WHERE t.depth < 3)
+SELECT node, depth::INT AS depth, row_number() OVER (ORDER BY sort) AS place FROM t""")
+def subtree(v: Views) -> DataFrame:
+    rows = graph.subtree(v.hierarchy, "r1", 3)
+    return rows.select("node", "depth", F.row_number().over(Window.orderBy("sort")).cast("bigint").alias("place"))
+
+
+@query("""WITH RECURSIVE t(node, up, depth) AS (SELECT child, parent, 1 FROM chain UNION ALL SELECT t.node, c.parent, t.depth + 1 FROM t JOIN chain c ON c.child = t.up)
+SELECT node, arg_max(up, depth) AS root, max(depth)::INT AS depth FROM t GROUP BY node UNION ALL SELECT DISTINCT parent, parent, 0 FROM chain WHERE parent NOT IN (SELECT child FROM chain)""")
+def depth(v: Views) -> DataFrame:
+    return graph.path_to_root(v.chain).select("node", "root", F.col("depth").cast("int").alias("depth"))
+
+
+@query("""WITH RECURSIVE t(node, up, p) AS (SELECT child, parent, child || '>' || parent FROM chain UNION ALL SELECT t.node, c.parent, t.p || '>' || c.parent FROM t JOIN chain c ON c.child = t.up)
+SELECT node, arg_max(p, length(p)) AS path FROM t GROUP BY node""")
+def path_to_root(v: Views) -> DataFrame:
+    return graph.paths(v.chain).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("""WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
+def cycle_nodes(v: Views) -> DataFrame:
+    edges = v.spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)], "parent int, child int")
+    return graph.cycle_nodes(edges)
+
+
+@query("""SELECT coalesce(o.n, i.n) AS node, coalesce(o.d, 0) AS out_degree, coalesce(i.d, 0) AS in_degree FROM (SELECT from_id AS n, count(*) AS d FROM dependencies GROUP BY 1) o FULL JOIN (SELECT to_id AS n, count(*) AS d FROM dependencies GROUP BY 1) i ON i.n = o.n""")
+def dep_out_in_degree(v: Views) -> DataFrame:
+    return graph.degrees(v.dependencies)
+
+
+def _page_sql(rounds: int) -> str:
+    step = """SELECT n.node, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(sum(r.rank * e.w / o.total), 0) + (SELECT coalesce(sum(rank), 0) FROM {r} WHERE node NOT IN (SELECT a FROM o)) / (SELECT count(*) FROM nodes)) AS rank
+ FROM nodes n LEFT JOIN e ON e.b = n.node LEFT JOIN o ON o.a = e.a LEFT JOIN {r} r ON r.node = e.a GROUP BY n.node"""
+    parts = [
+        "e AS (SELECT from_id % 500 AS a, to_id % 500 AS b, count(*)::DOUBLE AS w FROM dependencies WHERE from_id < 2000 GROUP BY ALL)",
+        "nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e)", "o AS (SELECT a, sum(w) AS total FROM e GROUP BY a)", "r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)",
+    ]
+    parts += [f"r{k + 1} AS ({step.format(r=f'r{k}')})" for k in range(rounds)]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_page_sql(5))
+def pagerank(v: Views) -> DataFrame:
+    edges = v.dependencies.filter("from_id < 2000").select((F.col("from_id") % 500).alias("from_id"), (F.col("to_id") % 500).alias("to_id"))
+    return graph.pagerank(edges).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query("""WITH d AS (SELECT to_id AS id, count(*) AS refs, count(DISTINCT from_id) AS callers FROM dependencies GROUP BY 1)
+SELECT id, round((refs - (SELECT min(refs) FROM d)) / ((SELECT max(refs) FROM d) - (SELECT min(refs) FROM d))::DOUBLE * 0.6 + (callers - (SELECT min(callers) FROM d)) / ((SELECT max(callers) FROM d) - (SELECT min(callers) FROM d))::DOUBLE * 0.4, 4) AS importance FROM d""")
+def importance_score(v: Views) -> DataFrame:
+    parts = v.dependencies.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("refs"), F.count_distinct("from_id").alias("callers"))
+    return graph.importance(parts, {"refs": 0.6, "callers": 0.4})
+
+
+@query("""WITH c AS (SELECT chunk_type AS name, id, [CASE WHEN ordinal % 2 = 0 THEN 'assistant' ELSE 'user' END] AS calls FROM chunks WHERE file_id < 20)
+SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'call' AS dep_type, b.name AS symbol FROM c a JOIN c b ON list_contains(a.calls, b.name) AND a.id <> b.id""")
+def derive_edges(v: Views) -> DataFrame:
+    calls = F.array(F.when(F.col("ordinal") % 2 == 0, "assistant").otherwise("user"))
+    return graph.derive_edges(v.chunks.filter("file_id < 20").select("id", F.col("chunk_type").alias("name"), calls.alias("calls")))
+
+
+# Directories and summaries
+
+
+@query("SELECT file_id, sha256(string_agg(content_hash, ':' ORDER BY content_hash)) AS source_hash FROM chunks GROUP BY file_id")
+def merkle_dir_hash(v: Views) -> DataFrame:
+    return summaries.group_hashes(v.chunks, "file_id", "content_hash")
+
+
+@query("""WITH d2 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(content_hash, ':' ORDER BY content_hash)) AS hash FROM files GROUP BY 1),
+d1 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, sha256(string_agg(hash, ':' ORDER BY hash)) AS hash FROM d2 GROUP BY 1)
+SELECT * FROM d2 UNION ALL SELECT * FROM d1 UNION ALL SELECT '', sha256(string_agg(hash, ':' ORDER BY hash)) FROM d1""")
+def merkle_tree(v: Views) -> DataFrame:
+    return summaries.directory_hashes(v.files)
+
+
+@query("""WITH d AS (SELECT DISTINCT unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS path FROM files)
+SELECT d.path, CASE WHEN d.path = '' THEN NULL WHEN contains(d.path, '/') THEN split_part(d.path, '/', 1) ELSE '' END AS parent, CASE WHEN d.path = '' THEN 0 ELSE len(string_split(d.path, '/')) END::INT AS depth,
+ (SELECT count(*) FROM files f WHERE regexp_replace(f.path, '/[^/]*$', '') = d.path) AS files,
+ (SELECT count(*) FROM d x WHERE x.path <> '' AND d.path = CASE WHEN contains(x.path, '/') THEN split_part(x.path, '/', 1) ELSE '' END) AS subdirs FROM d""")
+def directory_tree(v: Views) -> DataFrame:
+    return summaries.directories(v.files)
+
+
+@query("""WITH d AS (SELECT unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS path, language FROM files),
+g AS (SELECT path, language, count(*) AS n FROM d GROUP BY ALL) SELECT path, sum(n)::BIGINT AS files, string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM g GROUP BY path""")
+def dir_recursive_counts(v: Views) -> DataFrame:
+    rows = summaries.recursive_counts(v.files)
+    pairs = F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rows.select("path", "files", F.array_join(pairs, ",").alias("languages"))
+
+
+@query("""WITH now AS (SELECT file_id AS path, sha256(string_agg(content_hash, ':' ORDER BY content_hash)) AS source_hash FROM chunks GROUP BY 1)
+SELECT path, source_hash FROM now WHERE path % 4 <> 1 OR path % 8 = 1""")
+def changed_summaries(v: Views) -> DataFrame:
+    now = summaries.group_hashes(v.chunks, "file_id", "content_hash").withColumnRenamed("file_id", "path")
+    old = now.filter("path % 4 = 1").withColumn("source_hash", F.when(F.col("path") % 8 == 1, "old").otherwise(F.col("source_hash")))
+    return summaries.changed(now, old)
+
+
+@query("SELECT file_id, string_agg(content, chr(10) ORDER BY ordinal) AS body FROM chunks WHERE file_id < 40 GROUP BY 1")
+def prompt_body(v: Views) -> DataFrame:
+    return summaries.prompt_body(v.chunks.filter("file_id < 40"), 10_000_000)
+
+
+@query("SELECT path, count(*) AS edits, max(ts) AS last_edit FROM commits WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
+def edit_frequency(v: Views) -> DataFrame:
+    return summaries.edit_frequency(v.commits, "2024-01-15")
+
+
+@query("SELECT path, hash, author, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM commits) WHERE rn = 1")
+def last_commit_per_file(v: Views) -> DataFrame:
+    return summaries.last_commit(v.commits)
+
+
+# Text and chunks
+
+
+@query(r"""SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '//')))::INT AS loc,
+ len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS nonblank FROM documents""")
+def line_metrics(v: Views) -> DataFrame:
+    return v.files.select("id", text.code_lines(F.col("content")).alias("m")).select("id", F.col("m.loc"), F.col("m.nonblank"))
+
+
+_CODE = ["package a\n\n// one\nfunc f() {\n\tif a && b {\n\t}\n}\n", "/* x */ y\n/* open\nstill\nclose */\nz := 1\n\n", "", "// all\n// comments"]
+
+
+@query("SELECT * FROM (VALUES (0, 5, 0.166667, 3), (1, 1, 0.8, 1), (2, 0, 0.0, 1), (3, 0, 1.0, 1)) t(id, loc, comment_ratio, complexity)")
+def comment_ratio(v: Views) -> DataFrame:
+    rows = v.spark.createDataFrame(list(enumerate(_CODE)), "id int, content string").withColumn("m", text.code_lines(F.col("content")))
+    return rows.select("id", F.col("m.loc"), F.round(text.comment_ratio(F.col("m")), 6).alias("comment_ratio"), text.branch_count(F.col("content")).alias("complexity"))
+
+
+_MARKDOWN = [(1, "intro\n# A\ntext\n```\n# no\n```\n## B\n| x |\n# still table |\nend\n# C"), (2, "no heading"), (3, "# only\n\n#x\n"), (4, "```\n# never closed")]
+
+
+@query("SELECT * FROM (VALUES (1, 0, 1, 1), (1, 1, 2, 6), (1, 2, 7, 10), (1, 3, 11, 11), (2, 0, 1, 1), (3, 0, 1, 2), (3, 1, 3, 4), (4, 0, 1, 2)) t(id, section, start_line, end_line)")
+def md_sections(v: Views) -> DataFrame:
+    return chunking.sections(v.spark.createDataFrame(_MARKDOWN, "id int, text string"))
+
+
+@query("SELECT id, 'p/' || split_part(path, '/', 1) || '/' || path || '#L1-L' || len(string_split(content, chr(10))) || ':0@' || language AS chunk_key FROM files")
+def chunk_key(v: Views) -> DataFrame:
+    source, lines = F.split("path", "/")[0], F.size(F.split("content", "\n"))
+    return v.files.select("id", text.chunk_key(F.lit("p"), source, F.col("path"), F.lit(1), lines, F.lit(0), F.col("language")).alias("chunk_key"))
+
+
+_PATHS = ["a/x_test.go", "tests/b.py", "scripts/run.py", "x/deploy.sh", "docs/a.go", "README.md", "Dockerfile", "k8s/a.json", "main.tf", "src/main.go", "spec/x.rb", "my/docker-compose.yml"]
+_DOMAINS = ["tests", "tests", "ops", "ops", "architecture", "architecture", "infra", "infra", "infra", "code", "tests", "infra"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{d}')" for p, d in zip(_PATHS, _DOMAINS)) + ") t(path, domain)")
+def domain_classify(v: Views) -> DataFrame:
+    return v.spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", text.classify_domain(F.col("path")).alias("domain"))
+
+
+@query("SELECT id, token_count FROM chunks WHERE token_count >= 100")
+def min_token_filter(v: Views) -> DataFrame:
+    return v.chunks.select("id", text.est_tokens(F.col("content")).alias("token_count")).filter("token_count >= 100")
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '\\.git/?$', '') AS source_name FROM pages")
+def source_name(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", text.source_name(F.col("url")).alias("source_name"))
+
+
+_TYPES = [("a.go", "text/x-go", "Go"), ("b/c.PY", "text/x-python", "Python"), ("Dockerfile", "text/x-dockerfile", "Dockerfile"), ("x.unknown", "text/plain", None), ("m.d/noend", "text/plain", None), ("r.md", "text/markdown", "Markdown")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', {repr(x) if x else 'NULL'})" for p, m, x in _TYPES) + ") t(path, content_type, language)")
+def content_types(v: Views) -> DataFrame:
+    rows = v.spark.createDataFrame([(p,) for p, _, _ in _TYPES], "path string")
+    return rows.select("path", content_type.content_type(F.col("path")).alias("content_type"), content_type.language(F.col("path")).alias("language"))
+
+
+_IGNORE = [("a/node_modules/x.js", True), ("src/main.go", False), ("keep.log", True), ("docs/a.md", False), ("private/x.txt", True), ("private/keep.txt", False), ("a/b/build", True), ("builder/x", False), ("x.pyc", True)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(x).lower()})" for p, x in _IGNORE) + ") t(path, ignored)")
+def ignore_filter(v: Views) -> DataFrame:
+    rows = v.spark.createDataFrame([(p,) for p, _ in _IGNORE], "path string")
+    return rows.select("path", ignore.ignored(F.col("path"), ["# mine", "private/*", "!private/keep.txt"]).alias("ignored"))
+
+
+@query()
+def chunk_plain(v: Views) -> DataFrame:
+    return chunking.chunk_files(v.files).drop("content")
+
+
+@query("SELECT id, 'File: ' || path || chr(10) || 'Package: ' || language || chr(10) || chr(10) || substr(content, 1, 20) AS context FROM files WHERE id % 10 = 0")
+def embedding_context(v: Views) -> DataFrame:
+    return v.files.filter("id % 10 = 0").select("id", ask.embedding_context(F.substring("content", 1, 20), F.col("path"), F.col("language"), parent=F.lit(None).cast("string")).alias("context"))
+
+
+@query()
+def embed_chunks(v: Views) -> DataFrame:
+    return ask.embed(v.chunks.select("id", "content"), ask.HashingEmbedder()).select("id", "vector")
+
+
+# Ranking and quality
+
+
+def _bm25_sql(words: list[str]) -> str:
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / al))" for i in range(len(words)))
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}'))::DOUBLE AS tf{i}" for i, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
+    return rf"""WITH a AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+b AS (SELECT id, len(t)::DOUBLE AS l, {tf} FROM a), s AS (SELECT count(*) AS n, avg(l) AS al, {df} FROM b)
+SELECT id, round({score}, 6) AS keyword FROM b, s WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(words)))}"""
+
+
+@query(_bm25_sql(["from", "que", "thing"]))
+def keyword_bm25(v: Views) -> DataFrame:
+    return ranking.bm25(v.files.select("id", F.col("content").alias("text")), ["thing", "que", "from"])
+
+
+@query("""WITH a AS (SELECT chunk_id AS id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS s FROM scored WHERE chunk_id < 200),
+k AS (SELECT doc_id AS id, (n_chars - min(n_chars) OVER ()) / (max(n_chars) OVER () - min(n_chars) OVER ())::DOUBLE AS k FROM documents WHERE doc_id BETWEEN 100 AND 300)
+SELECT coalesce(a.id, k.id) AS id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS hybrid FROM a FULL JOIN k ON a.id = k.id""")
+def fusion_minmax(v: Views) -> DataFrame:
+    hits = search.scored(v.embeddings.filter("chunk_id < 200"), v.query_vector()).select(F.col("chunk_id").alias("id"), "score")
+    return ranking.fuse(hits, v.files.filter("id between 100 and 300").select("id", F.col("size").cast("double").alias("keyword")))
+
+
+@query("""SELECT s.chunk_id AS id, round((0.5 * s.score + 0.2 * (d.n_chars % 100) / 100.0 + 0.15 * (d.doc_id % 10) / 10.0 + 0.1 * (d.doc_id % 7) / 7.0) * CASE WHEN d.doc_id % 4 = 0 THEN 0.7 ELSE 1 END
+ * CASE WHEN l.quality = 1 THEN 1.2 WHEN l.quality = 0 THEN 0.7 ELSE 1 END * pow(0.9, coalesce(l.toxic, 0)), 4) AS final FROM scored s JOIN documents d ON d.doc_id = s.chunk_id LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def rerank_final_score(v: Views) -> DataFrame:
+    rows = search.scored(v.embeddings, v.query_vector()).withColumnRenamed("chunk_id", "doc_id").join(v.table("documents").select("doc_id", "n_chars"), "doc_id").join(v.table("labels"), "doc_id", "left")
+    parts = {"hybrid": F.col("score"), "keyword": F.col("n_chars") % 100 / 100, "importance": F.col("doc_id") % 10 / 10, "freshness": F.col("doc_id") % 7 / 7, "path": F.lit(None).cast("double")}
+    final = ranking.adjusted(ranking.final_score(parts), F.col("doc_id") % 4 == 0, F.col("quality"), F.col("toxic"))
+    return rows.select(F.col("doc_id").alias("id"), F.round(final, 4).alias("final"))
+
+
+@query("SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.quality, 1) <> 0 AND coalesce(l.toxic, 0) <> 1")
+def quality_penalty(v: Views) -> DataFrame:
+    rows = v.table("documents").join(v.table("labels"), "doc_id", "left")
+    rows = rows.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "needs_fix").alias("ingest_status"), F.when(F.col("toxic") == 1, "detected").alias("secret_scan"))
+    return ranking.exclude(rows).select("id")
+
+
+_QUESTIONS = ["How do I deploy the service?", "Which endpoint takes the request", "Why this architecture", "where is the function parse", "hello"]
+_INTENTS = ["operations", "api_spec", "design", "code_reading", "default"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{i}')" for q, i in zip(_QUESTIONS, _INTENTS)) + ") t(query, intent)")
+def intent_classify(v: Views) -> DataFrame:
+    return v.spark.createDataFrame([(q,) for q in _QUESTIONS], "query string").select("query", text.classify_intent(F.col("query")).alias("intent"))
+
+
+@query("""WITH r AS (SELECT a.chunk_id AS query_id, b.chunk_id AS id, a.model = b.model AS hit, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.chunk_id) AS rank FROM vectors a, vectors b WHERE a.chunk_id < 25 AND b.chunk_id <> a.chunk_id),
+w AS (SELECT a.chunk_id AS query_id, count(*) AS wanted FROM vectors a JOIN vectors b ON a.model = b.model AND a.chunk_id <> b.chunk_id WHERE a.chunk_id < 25 GROUP BY 1)
+SELECT r.query_id, round(count(*) FILTER (hit AND rank <= 5) / 5.0, 6)::DOUBLE AS precision_5, round(count(*) FILTER (hit AND rank <= 20) / any_value(wanted)::DOUBLE, 6) AS recall_20,
+ round(coalesce(sum(1 / log2(rank + 1.0)) FILTER (hit AND rank <= 10), 0) / any_value(list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1.0)))), 6) AS ndcg_10, round(avg(rank) FILTER (hit), 6) AS acr
+FROM r JOIN w ON w.query_id = r.query_id WHERE rank <= 50 GROUP BY r.query_id""")
+def retrieval_metrics(v: Views) -> DataFrame:
+    q = v.embeddings.filter("chunk_id < 25").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("model").alias("wanted"))
+    pairs = v.embeddings.join(F.broadcast(q), F.col("chunk_id") != F.col("query_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    ranked = pairs.withColumn("score", vector.score(F.col("vector"), F.col("query_vector"), 9)).withColumn("rank", F.row_number().over(order)).filter("rank <= 50").select("query_id", "rank", F.col("chunk_id").alias("id"))
+    relevant = v.embeddings.join(F.broadcast(q.drop("query_vector")), (F.col("model") == F.col("wanted")) & (F.col("chunk_id") != F.col("query_id"))).select("query_id", F.col("chunk_id").alias("id"))
+    return ranking.retrieval_metrics(ranked, relevant)
+
+
+@query("SELECT * FROM (VALUES ('b', 0.8, 0.7, 0.125)) t(metric, old, new, \"drop\")")
+def regression_gate(v: Views) -> DataFrame:
+    old = v.spark.createDataFrame([("a", 0.7), ("b", 0.8), ("c", 0.0)], "metric string, value double")
+    return ranking.regressions(old, v.spark.createDataFrame([("a", 0.665), ("b", 0.7), ("c", 0.1)], "metric string, value double"))
+
+
+_NOTES = "SELECT event_id AS note_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, ts, value > 50 AS resolved FROM events"
+
+
+@query(f"""WITH n AS ({_NOTES}), r AS (SELECT *, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, row_number() OVER (PARTITION BY date_trunc('week', ts) ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, note_id) AS k FROM n)
+SELECT note_id, week, CASE severity WHEN 'critical' THEN 'P1' WHEN 'high' THEN 'P2' ELSE 'P3' END AS priority, CASE WHEN k <= 5 THEN 'open' ELSE 'noop' END AS status FROM r""")
+def quality_backlog_top5(v: Views) -> DataFrame:
+    return ranking.backlog(_notes(v))
+
+
+@query(f"WITH n AS ({_NOTES}) SELECT severity, count(*) AS notes, count(*) FILTER (resolved) AS resolved, (DATE '{AS_OF}' - max(ts)::DATE)::INT AS days_since_last FROM n GROUP BY 1")
+def quality_metrics(v: Views) -> DataFrame:
+    return ranking.quality_metrics(_notes(v), AS_OF)
+
+
+def _notes(v: Views) -> DataFrame:
+    e = F.col("event_type")
+    severity = F.when(e == "error", "critical").when(e == "purchase", "high").when(e == "signup", "medium").otherwise("low")
+    return v.table("events").select(F.col("event_id").alias("note_id"), severity.alias("severity"), "ts", (F.col("value") > 50).alias("resolved"))
+
+
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high FROM events GROUP BY 1")
+def similarity_drift_weekly(v: Views) -> DataFrame:
+    return ranking.drift_weekly(v.table("events").select("ts", F.col("value").alias("score")))
+
+
+@query("SELECT c.id, CASE WHEN x.kind = 'p' THEN 'parent' ELSE 'child' END AS kind, x.other FROM (SELECT 'n3' AS id) c JOIN (SELECT child AS id, 'p' AS kind, parent AS other FROM hierarchy UNION ALL SELECT parent, 'c', child FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ordinal, child) AS k FROM hierarchy) WHERE k <= 10) x ON x.id = c.id")
+def family_expansion(v: Views) -> DataFrame:
+    return ranking.expand_family(v.spark.createDataFrame([("n3",)], "id string"), v.hierarchy)
+
+
+@query("SELECT doc_id AS id, max(s)::DOUBLE AS score FROM (SELECT doc_id, doc_id % 7 AS s FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id, doc_id % 5 FROM documents WHERE doc_id BETWEEN 30 AND 80) GROUP BY 1")
+def query_rewrite_merge(v: Views) -> DataFrame:
+    d = v.table("documents").select(F.col("doc_id").alias("id"))
+    return ranking.merge_rewrites(d.filter("id < 50").withColumn("score", (F.col("id") % 7).cast("double")), d.filter("id between 30 and 80").withColumn("score", (F.col("id") % 5).cast("double")))
+
+
+@query("""WITH a AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 200), b AS (SELECT a.*, d.n_chars FROM a JOIN documents d ON d.doc_id = a.chunk_id ORDER BY score + n_chars / 1e6 DESC, chunk_id LIMIT 20)
+SELECT chunk_id AS id FROM b ORDER BY score + n_chars / 1e6 + (chunk_id % 10) / 100.0 DESC, chunk_id LIMIT 10""")
+def cascade_stages(v: Views) -> DataFrame:
+    first = search.similar_chunks(v.embeddings, v.query_vector(), ranking.COARSE)
+    rows = first.select(F.col("chunk_id").alias("id"), "score").join(v.files.select("id", "size"), "id")
+    fine = F.col("score") + F.col("size") / 1e6
+    return ranking.cascade(rows, F.col("score"), fine, fine + F.col("id") % 10 / 100).select("id")
+
+
+@query("SELECT string_agg(part, chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM (SELECT s.chunk_id, s.score, '### ' || row_number() OVER (ORDER BY s.score DESC, s.chunk_id) || '. ' || f.path || ' (score ' || printf('%.3f', s.score) || ')' || chr(10) || substr(f.content, 1, 60) AS part FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 5) s JOIN files f ON f.id = s.chunk_id)")
+def prompt_context(v: Views) -> DataFrame:
+    hits = search.similar_chunks(v.embeddings, v.query_vector(), 5).select("chunk_id", "score").join(v.files.select(F.col("id").alias("chunk_id"), "path", F.substring("content", 1, 60).alias("content")), "chunk_id")
+    return ask.context(hits)
+
+
+# Windows over time (extension)
+
+
+@query("""SELECT w AS window_start, 'u' || user_id || '.go' AS path, count(*) AS edits FROM (SELECT user_id, unnest([date_trunc('day', ts) - INTERVAL (i) DAY FOR i IN [0, 1, 2, 3, 4, 5, 6]]) AS w FROM events) GROUP BY ALL""")
+def edit_windows(v: Views) -> DataFrame:
+    return edits.edit_windows(v.commits)
