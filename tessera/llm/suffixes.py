@@ -345,7 +345,7 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (the maximal removed runs' start and end), columns in ``keep``.
+    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (the maximal removed runs' start and end), others (struct of the columns in ``keep``).
 
     ``whole_characters`` leaves a removed run's ends where they don't cut a UTF-8 character.
     """
@@ -401,17 +401,17 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
 
     wide = keyed.select("doc_id", "id", "h", _key().alias("key"), F.col("text").cast("binary").alias("text"), "others")
     hit = wide.mapInArrow(touched, f"doc_id bigint, id bigint, h bigint, text binary, others {extra}").join(by_doc, ["id", "h"], "left")
-    out = rest.unionAll(hit.select("doc_id", "text", "spans", "others").mapInArrow(cut, schema))
-    return out.select("doc_id", "kept", "n_bytes", "spans", *(F.col("others")[c].alias(c) for c in keep))
+    return rest.unionAll(hit.select("doc_id", "text", "spans", "others").mapInArrow(cut, schema))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all of them, without the repeated stretches of their texts; ``n_chars`` follows where there is one."""
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = repeats(docs, keep, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
+    text, others = F.col("kept").cast("string"), F.col("others")
+    columns = {c: others[c] for c in keep} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in keep:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return repeats(docs, keep, whole_characters=True).select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def _inward(text: bytes, start: int, end: int) -> tuple[int, int]:
