@@ -161,11 +161,11 @@ def choose_vocabulary(sample: DataFrame) -> np.ndarray:
             label = np.asarray(batch.column(1))
             for low, _, data, offsets in blocks(batch.column(0)):
                 hashes, text, words = terms(data, offsets)
+                if not len(hashes):
+                    continue
                 order = np.lexsort((hashes, text))
                 hashes, text = hashes[order], text[order]
                 edge = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]), [True]]))
-                if len(edge) < 2:
-                    continue
                 hashes, text, times = hashes[edge[:-1]], text[edge[:-1]], np.diff(edge)
                 reached = levels(times, words[text])
                 toxic = label[low + text].astype(np.float64)
