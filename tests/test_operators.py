@@ -168,7 +168,7 @@ def test_broken_source_is_an_error():
 
 
 def test_long_functions_are_split():
-    body = "\n".join(f"\tif a{i} > {i} {{\n\t\tdoSomethingLong(a{i}, b{i}, c{i}, d{i}, e{i})\n\t\tdoSomethingElse(a{i}, b{i}, c{i}, d{i}, e{i}, f{i}, g{i})\n\t\tandMoreOfTheSame(a{i}, b{i}, c{i}, d{i}, e{i}, f{i}, g{i}, h{i}, i{i}, j{i}, k{i}, l{i}, m{i}, n{i}, o{i}, p{i}, q{i}, r{i}, s{i})\n\t}}" for i in range(17))
+    body = "\n".join(f"\tif theValueOfThing{i} > theOtherValueOfThing{i} {{\n\t\tdoSomethingLong(a{i}, b{i}, c{i}, d{i}, e{i})\n\t\tdoSomethingElse(a{i}, b{i}, c{i}, d{i}, e{i}, f{i}, g{i})\n\t\tandMoreOfTheSame(a{i}, b{i}, c{i}, d{i}, e{i}, f{i}, g{i}, h{i}, i{i}, j{i}, k{i}, l{i}, m{i}, n{i}, o{i}, p{i}, q{i}, r{i}, s{i})\n\t}}" for i in range(17))
     got = gocode.chunks(f"package a\n\nfunc Big() {{\n{body}\n}}\n", chunking.estimate)
     assert [d.level for d in got].count(3) == 17 and all(50 <= d.tokens <= 800 for d in got if d.level == 3)
 
