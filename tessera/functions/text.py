@@ -43,6 +43,11 @@ def merkle(hashes: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(hashes), ":"), 256)
 
 
+def lock_id(*parts: Column) -> Column:
+    """D-11: the lock of a source and ref: the first 8 bytes of their SHA-256, big-endian and signed."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 16), 16, -10).cast("bigint")
+
+
 def dirname(path: Column) -> Column:
     """'' for the root."""
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")

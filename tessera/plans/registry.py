@@ -626,6 +626,17 @@ def source_name(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.source_name(F.col("url")).alias("source_name"))
 
 
+@query("SELECT id, CASE WHEN h > 9223372036854775807 THEN h - 18446744073709551616 ELSE h END::BIGINT AS lock FROM (SELECT id, ('0x' || substr(sha256(source_id || ':' || ref_name), 1, 16))::UBIGINT::HUGEINT AS h FROM git_refs)")
+def lock_ids(v: Views) -> DataFrame:
+    return v.git_refs.select("id", text.lock_id(F.col("source_id"), F.col("ref_name")).alias("lock"))
+
+
+@query("SELECT id, term FROM (SELECT id, unnest(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z]+'), lambda x: x <> ''))) AS term FROM chunks WHERE chunk_type = 'system') UNION SELECT id, 'from' FROM chunks WHERE chunk_type = 'system' AND list_contains(string_split_regex(lower(content), '[^a-z]+'), 'the')")
+def query_expansion(v: Views) -> DataFrame:
+    asked = v.chunks.filter("chunk_type = 'system'").select(F.col("id").alias("query_id"), F.regexp_replace(F.lower("content"), "[^a-z]+", " ").alias("query"))
+    return ranking.expand_terms(asked, v.spark.createDataFrame([("the", "from")], "term string, synonym string")).withColumnRenamed("query_id", "id")
+
+
 _TYPES = [("a.go", "text/x-go", "Go"), ("b/c.PY", "text/x-python", "Python"), ("Dockerfile", "text/x-dockerfile", "Dockerfile"), ("x.unknown", "text/plain", None), ("m.d/noend", "text/plain", None), ("r.md", "text/markdown", "Markdown")]
 
 
