@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vector
-from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, ranking, search, summaries
+from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, indexing, ranking, search, summaries
 from tessera.sources import content_type, ignore, repository
 from tessera.streaming import edits
 
@@ -385,3 +385,19 @@ def test_incremental_index(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     edits.index_changes(stream, lambda df: seen.extend((r["path"], r["v"]) for r in df.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(seen) == [("a", 2), ("b", 3)]
+
+
+def test_index(spark, tmp_path):
+    long = ("word " * 30 + "\n") * 20
+    docs = table(spark, [("a.go", SOURCE), ("bad.go", "func ("), ("docs/b.md", f"# T\n{long}"), ("x.png", "no"), ("e.txt", "")], "path string, content string").withColumn("content", F.col("content").cast("binary"))
+    root = str(tmp_path / "index")
+    got = indexing.index(docs, root, "p", "s", "v1")
+    assert (got.files, got.failed, got.skipped) == (4, 1, False) and got.chunks >= 3
+    chunks = spark.read.parquet(f"{root}/chunks")
+    assert chunks.filter("chunk_key like 'p/s/docs/b.md#L1-L%@v1'").count() == 1
+    assert spark.read.parquet(f"{root}/embeddings").count() == got.chunks == chunks.select("id").filter("error is null").distinct().count()
+    assert indexing.index(docs, root, "p", "s", "v1").skipped
+    assert sum(r["failed"] for r in indexing.stats(chunks).collect()) == 1
+    with pytest.raises(coverage.FailureRateError):
+        indexing.index(docs, root, "p", "s", "v2", most_failed=0.1)
+    assert not indexing.indexed(spark, root, "s@v2")
