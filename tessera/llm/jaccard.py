@@ -186,7 +186,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
     a, b = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     links = materialise(both.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v"))
-    discard(sets)
+    discard(sets, pairs)
     return links
 
 
@@ -230,6 +230,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if second.count():
         more = _linked(docs, second, nodes, k, num, den, frequencies)
         labels = materialise(components(links.unionAll(more)))
+        discard(more)
+    discard(meetings, labelled, under, first, second, links)
 
     named = nodes.join(labels, "node", "left").select("cid", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
