@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmap import bitmap, lookup
-from tessera.llm.store import materialise
+from tessera.llm.store import discard, materialise
 from tessera.llm.textblocks import blocks, powers, prefix_hashes, span_hashes
 
 SPAN, GRAM = 100, 24
@@ -224,7 +224,7 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, low: np.ndarray, high:
 
 
 def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, DataFrame]:
-    """Two tables (id, h, start, end) of what is to be removed."""
+    """Anchors judged, of which those not wanted are repeats as a whole; and spans (id, h, start, end) of the wanted ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -257,7 +257,6 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("pos", "id"), F.lit(n_buckets))).otherwise(F.col("bucket")).cast("int")
     found = materialise(dealt.withColumn("bucket", spread).groupBy("bucket").applyInArrow(judge, _FOUND))
 
-    whole = found.filter("not wanted").select("id", "h", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + SPAN).alias("end"))
     asked = found.filter("wanted").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "low", "high", "a")).alias("asked"))
     seen = bitmap(found.filter("wanted"), _key())
     texts = _texts(docs, seen, plain)
@@ -293,7 +292,7 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
     sent = texts.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(contexts, "a bigint, id bigint, h bigint, pos int, low int, high int, bytes binary")
     sent = sent.withColumn("bucket", F.pmod(F.shiftright("a", 8), F.lit(n_buckets)))
     partial = materialise(sent.groupBy("bucket").applyInArrow(sort, "id bigint, h bigint, start int, end int"))
-    return whole, partial
+    return found, partial
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -354,9 +353,10 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
     docs = full.select("doc_id", "text")
     n = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.sum(F.octet_length("text"))).first()
     plain = n[0] == n[1]
-    whole, partial = _spans(docs, max(8, (n[2] or 0) // BUCKET_BYTES), plain)
-    spans = whole.unionAll(partial)
-    by_doc = materialise(spans.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    found, partial = _spans(docs, max(8, (n[2] or 0) // BUCKET_BYTES), plain)
+    whole = found.filter("not wanted").select("id", "h", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + SPAN).alias("end"))
+    by_doc = materialise(whole.unionAll(partial).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    discard(found, partial)
     seen = bitmap(by_doc, _key())
     extra = full.schema["others"].dataType.simpleString()
     schema = f"doc_id bigint, kept binary, n_bytes bigint, spans array<struct<start:int,end:int>>, others {extra}"
