@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bitmap import bitmap, lookup
 from tessera.llm.store import discard, materialise
-from tessera.llm.textblocks import blocks, powers, prefix_hashes, span_hashes
+from tessera.llm.textblocks import blocks, powers, prefix_hashes, release, span_hashes
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1  # anchors' places in a window
@@ -250,6 +250,7 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
             out, wanted = rows, np.zeros(len(rows), bool)
         else:
             out, wanted = judged(rows)
+        release()
         return pa.Table.from_batches([_found(out, wanted)])
 
     dealt = docs.mapInArrow(find, _DEALT)

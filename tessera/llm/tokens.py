@@ -20,7 +20,7 @@ from tessera.llm.textblocks import SPACE, mix, prefix_hashes, runs, span_hashes
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Pieces that a worker process remembers: about 35 bytes each.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 _LETTER, _SIGN, _DIGIT, _ODD = 1, 2, 3, 4
 _KIND = np.full(256, _ODD, np.uint8)
 _KIND[33:127] = _SIGN
