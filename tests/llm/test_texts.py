@@ -103,7 +103,7 @@ def test_packing_is_tight_and_first_fit_exact():
     fill = np.bincount(window, lengths, opened)
     assert fill.max() <= 4096 and opened <= 1.02 * lengths.sum() / 4096 + 1 or opened <= np.count_nonzero(lengths > 2048) + 50
     # brute force: the tightest open window each time
-    room, want = [], []
+    room = []
     for n in sorted(lengths.tolist(), reverse=True):
         fits = [r for r in room if r >= n]
         if fits:
@@ -112,7 +112,6 @@ def test_packing_is_tight_and_first_fit_exact():
         else:
             room.append(4096 - n)
     assert sorted(4096 - fill) == sorted(room)
-    del want
 
 
 def test_packing_in_groups(odd_docs, odd_rows, monkeypatch):
