@@ -3,13 +3,14 @@
 Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case.  Four fixed masks of five words
 ignore the positions between them; whatever three words of a stretch of twelve are substituted, one mask at
 one place sees none of them, so every stretch of twelve words with at most three substitutions gives an equal
-seed.  Seeds of training texts are joined with those of the test items, and around each hit the aligned words
+seed.  Items of 8 or 9 words, which may differ in two, get four more masks for the pairs of words that those
+leave no seed beside.  Seeds of training texts are joined with those of the test items, and around each hit the aligned words
 are compared.  A document is contaminated by an item where some ``stretch`` consecutive aligned words have at
 most ``substitutions`` differences; an item of 8 to 11 words must match as a whole, with a quarter of its words
 different at most.
 
 The test items are the side that is held in memory.  They are dealt into blocks of ``BLOCK_WORDS`` words (some
-32 MB with their seeds), and every block makes one pass over the documents: any number of items works.
+32 MB with their seeds, twice that if all items are of 8 or 9 words), and every block makes one pass over the documents: any number of items works.
 
 Defined results: null and empty texts are never contaminated; items that are null, or under 8 words, take no
 part; repeated rows are judged each; other columns are kept (``decontaminate``) or left out (``contaminated``).
@@ -28,6 +29,8 @@ from tessera.llm.textblocks import LOWER, blocks, mix, powers, prefix_hashes, ru
 
 #: Positions of a seed's words. Any three substitutions among twelve words leave one of these whole somewhere.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
+#: With these too, any two substitutions in 8 or 9 words do; they are used where a block has items so short.
+SHORT_MASKS, SHORT_WORDS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 5, 6), (0, 2, 4, 5, 6)), 9
 STRETCH, SUBSTITUTIONS, LEAST_WORDS = 12, 3, 8
 BLOCK_WORDS = 500_000
 _WORD = np.zeros(256, bool)
@@ -62,10 +65,12 @@ class Items:
         self.first = np.concatenate([[0], np.cumsum(length)])
         owner = np.repeat(np.arange(len(ids)), length)
         used = length >= LEAST_WORDS
+        short = used & (length <= SHORT_WORDS)
+        self.masks = MASKS + SHORT_MASKS if short.any() else MASKS
         self.seeds, self.at = [], []
-        for k, mask in enumerate(MASKS):
-            s = seeds(self.words, mask, k)
-            at = np.flatnonzero((owner[: len(s)] == owner[mask[-1] :][: len(s)]) & used[owner[: len(s)]]) if len(s) else np.zeros(0, np.int64)
+        for k, mask in enumerate(self.masks):
+            s, wanted = seeds(self.words, mask, k), used if k < len(MASKS) else short
+            at = np.flatnonzero((owner[: len(s)] == owner[mask[-1] :][: len(s)]) & wanted[owner[: len(s)]]) if len(s) else np.zeros(0, np.int64)
             order = np.argsort(s[at], kind="stable")
             self.seeds.append(s[at][order])
             self.at.append(at[order])
@@ -77,7 +82,7 @@ class Items:
     def found(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item number, its first aligned word in the text, words compared, equal ones) of each overlap, the best a pair."""
         pairs: list[np.ndarray] = []
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(self.masks):
             s = seeds(hashes, mask, k)
             hit = np.flatnonzero(self.table[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
             low, high = np.searchsorted(self.seeds[k], s[hit]), np.searchsorted(self.seeds[k], s[hit], "right")
