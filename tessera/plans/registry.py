@@ -481,8 +481,9 @@ def path_to_root(v: Views) -> DataFrame:
 
 @query("""WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
 def cycle_nodes(v: Views) -> DataFrame:
-    edges = v.spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)], "parent int, child int")
-    return graph.cycle_nodes(edges)
+    tables = {"hierarchy": v.hierarchy, "chain": v.chain, "dependencies": v.dependencies.select(F.col("from_id").alias("parent"), F.col("to_id").alias("child"))}
+    nodes = [graph.cycle_nodes(e).select(F.lit(name).alias("edges"), F.col("node").cast("string").alias("node")) for name, e in tables.items()]
+    return nodes[0].unionAll(nodes[1]).unionAll(nodes[2])
 
 
 @query("""SELECT coalesce(o.n, i.n) AS node, coalesce(o.d, 0) AS out_degree, coalesce(i.d, 0) AS in_degree FROM (SELECT from_id AS n, count(*) AS d FROM dependencies GROUP BY 1) o FULL JOIN (SELECT to_id AS n, count(*) AS d FROM dependencies GROUP BY 1) i ON i.n = o.n""")
