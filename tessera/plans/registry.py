@@ -504,8 +504,7 @@ def _page_sql(rounds: int) -> str:
 
 @query(_page_sql(5))
 def pagerank(v: Views) -> DataFrame:
-    edges = v.dependencies.filter("from_id < 2000").select((F.col("from_id") % 500).alias("from_id"), (F.col("to_id") % 500).alias("to_id"))
-    return graph.pagerank(edges).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(v.dependencies.select("from_id", "to_id"))
 
 
 @query("""WITH d AS (SELECT to_id AS id, count(*) AS refs, count(DISTINCT from_id) AS callers FROM dependencies GROUP BY 1)
