@@ -662,7 +662,7 @@ def chunk_plain(v: Views) -> DataFrame:
 
 @query("SELECT id, 'File: ' || path || chr(10) || 'Package: ' || language || chr(10) || chr(10) || substr(content, 1, 20) AS context FROM files WHERE id % 10 = 0")
 def embedding_context(v: Views) -> DataFrame:
-    return v.files.filter("id % 10 = 0").select("id", ask.embedding_context(F.substring("content", 1, 20), F.col("path"), F.col("language"), parent=F.lit(None).cast("string")).alias("context"))
+    return v.files.select("id", ask.embedding_context(F.col("content"), F.col("path"), F.col("language"), parent=F.lit(None).cast("string")).alias("context"))
 
 
 @query()

@@ -35,3 +35,8 @@ def test_pagerank_of_all_edges(spark):
     rows = run(spark, "pagerank")
     assert len(rows) == len(nodes) > 500
     assert {r["node"]: r["rank"] for r in rows} == pytest.approx(rank, rel=1e-9)
+
+
+def test_embedding_context_of_every_text(spark):
+    want = {d["doc_id"]: f"File: {d['source']}/{d['lang']}/{d['doc_id']}.txt\nPackage: {d['lang']}\n\n{d['text']}" for d in read("documents")}
+    assert {r["id"]: r["context"] for r in run(spark, "embedding_context")} == want
