@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from tessera.functions import vector
 DEFAULT_LIMIT, DEFAULT_SUMMARIES = 10, 5
 #: A side that grows with the corpus is broadcast only when it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: So many queries, about, meet all rows at a time.
+QUERY_BLOCK = 1_000
 
 
 def limit_or(limit: int | None, default: int = DEFAULT_LIMIT) -> int:
@@ -149,15 +152,26 @@ def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("id", "file_id", "ordinal", "prev_id", "next_id")
 
 
+def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries (query_id, ...) dealt by their ids into blocks that are broadcast one by one."""
+    n = queries.count() // QUERY_BLOCK + 1
+    for i in range(n):
+        yield F.broadcast(queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+
+
 def batch_top_k(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k for a stated set of queries (query_id, query_vector), which is small: every query meets every row.
+    """Exact top-k for a set of queries (query_id, query_vector): every query meets every row, a block of queries at a time.
 
     WindowGroupLimit keeps k rows a query in each task before the shuffle.
     """
-    pairs = embeddings.join(small(queries)).withColumn("score", vector.score(F.col("vector"), F.col("query_vector")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    ranked = pairs.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = embeddings.join(block).withColumn("score", vector.score(F.col("vector"), F.col("query_vector")))
+        ranked = pairs.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order))
+        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+    return reduce(DataFrame.unionAll, map(best, query_blocks(queries)))
 
 
 def max_sim(query: DataFrame, documents: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tessera.operators import search
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +42,25 @@ def test_pagerank_of_all_edges(spark):
 def test_embedding_context_of_every_text(spark):
     want = {d["doc_id"]: f"File: {d['source']}/{d['lang']}/{d['doc_id']}.txt\nPackage: {d['lang']}\n\n{d['text']}" for d in read("documents")}
     assert {r["id"]: r["context"] for r in run(spark, "embedding_context")} == want
+
+
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_searches_of_every_hundredth_row(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    rows = {r["vec_id"]: (r["label"], np.array(r["embedding"], float)) for r in read("embeddings")}
+    queries = [i for i in rows if i % 100 == 0]
+    assert len(queries) > 2 and max(queries) > 25
+    best, quality = set(), {}
+    for q in queries:
+        score = {i: float(x @ rows[q][1] / np.linalg.norm(x) / np.linalg.norm(rows[q][1])) for i, (_, x) in rows.items()}
+        best |= {(q, k + 1, i) for k, i in enumerate(sorted(rows, key=lambda i: (-round(score[i], 6), i))[:5])}
+        hits = [rows[i][0] == rows[q][0] for i in sorted(rows, key=lambda i: (-round(score[i], 9), i)) if i != q][:50]
+        wanted = sum(label == rows[q][0] for label, _ in rows.values()) - 1
+        at = [k + 1 for k, hit in enumerate(hits) if hit]
+        ideal = sum(1 / math.log2(k + 2) for k in range(min(wanted, 10)))
+        quality[q] = (sum(hits[:5]) / 5, sum(hits[:20]) / wanted, sum(1 / math.log2(k + 1) for k in at if k <= 10) / ideal, sum(at) / len(at) if at else None)
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in run(spark, "batch_topk")} == best
+    got = {r["query_id"]: (r["precision_5"], r["recall_20"], r["ndcg_10"], r["acr"]) for r in run(spark, "retrieval_metrics")}
+    assert set(got) == set(quality)
+    for q in quality:
+        assert got[q] == pytest.approx(quality[q], abs=1e-6)
