@@ -384,9 +384,8 @@ UNION ALL SELECT * FROM n WHERE symbol IS NULL""")
 def dep_insert_ignore(v: Views) -> DataFrame:
     key = ["from_id", "to_id", "dep_type", "symbol"]
     d = v.dependencies.select(*key)
-    old = d.filter("from_id < 100")
-    old = old.filter("symbol is not null").distinct().unionAll(old.filter("symbol is null"))
-    return catalog.insert_or_ignore(old, d.filter("from_id between 90 and 120"), key)
+    old = d.filter("symbol is not null").distinct().unionAll(d.filter("symbol is null"))
+    return catalog.insert_or_ignore(old, d, key)
 
 
 @query("SELECT id, CASE WHEN id = 'src1/de' THEN true ELSE indexed END AS indexed, CASE WHEN id = 'src1/de' THEN 12345 ELSE indexed_at END AS indexed_at FROM snapshots")
@@ -519,7 +518,7 @@ def importance_score(v: Views) -> DataFrame:
 SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'call' AS dep_type, b.name AS symbol FROM c a JOIN c b ON list_contains(a.calls, b.name) AND a.id <> b.id""")
 def derive_edges(v: Views) -> DataFrame:
     calls = F.array(F.when(F.col("ordinal") % 2 == 0, "assistant").otherwise("user"))
-    return graph.derive_edges(v.chunks.filter("file_id < 20").select("id", F.col("chunk_type").alias("name"), calls.alias("calls")))
+    return graph.derive_edges(v.chunks.select("id", F.col("chunk_type").alias("name"), calls.alias("calls")))
 
 
 # Directories and summaries
@@ -563,7 +562,7 @@ def changed_summaries(v: Views) -> DataFrame:
 
 @query("SELECT file_id, string_agg(content, chr(10) ORDER BY ordinal) AS body FROM chunks WHERE file_id < 40 GROUP BY 1")
 def prompt_body(v: Views) -> DataFrame:
-    return summaries.prompt_body(v.chunks.filter("file_id < 40"), 10_000_000)
+    return summaries.prompt_body(v.chunks, 2**31 - 1)
 
 
 @query("SELECT path, count(*) AS edits, max(ts) AS last_edit FROM commits WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
@@ -692,8 +691,8 @@ def keyword_bm25(v: Views) -> DataFrame:
 k AS (SELECT doc_id AS id, (n_chars - min(n_chars) OVER ()) / (max(n_chars) OVER () - min(n_chars) OVER ())::DOUBLE AS k FROM documents WHERE doc_id BETWEEN 100 AND 300)
 SELECT coalesce(a.id, k.id) AS id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS hybrid FROM a FULL JOIN k ON a.id = k.id""")
 def fusion_minmax(v: Views) -> DataFrame:
-    hits = search.scored(v.embeddings.filter("chunk_id < 200"), v.query_vector()).select(F.col("chunk_id").alias("id"), "score")
-    return ranking.fuse(hits, v.files.filter("id between 100 and 300").select("id", F.col("size").cast("double").alias("keyword")))
+    hits = search.scored(v.embeddings, v.query_vector()).select(F.col("chunk_id").alias("id"), "score")
+    return ranking.fuse(hits, v.files.select("id", F.col("size").cast("double").alias("keyword")))
 
 
 @query("""SELECT s.chunk_id AS id, round((0.5 * s.score + 0.2 * (d.n_chars % 100) / 100.0 + 0.15 * (d.doc_id % 10) / 10.0 + 0.1 * (d.doc_id % 7) / 7.0) * CASE WHEN d.doc_id % 4 = 0 THEN 0.7 ELSE 1 END
@@ -778,7 +777,7 @@ def family_expansion(v: Views) -> DataFrame:
 @query("SELECT doc_id AS id, max(s)::DOUBLE AS score FROM (SELECT doc_id, doc_id % 7 AS s FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id, doc_id % 5 FROM documents WHERE doc_id BETWEEN 30 AND 80) GROUP BY 1")
 def query_rewrite_merge(v: Views) -> DataFrame:
     d = v.table("documents").select(F.col("doc_id").alias("id"))
-    return ranking.merge_rewrites(d.filter("id < 50").withColumn("score", (F.col("id") % 7).cast("double")), d.filter("id between 30 and 80").withColumn("score", (F.col("id") % 5).cast("double")))
+    return ranking.merge_rewrites(d.withColumn("score", (F.col("id") % 7).cast("double")), d.withColumn("score", (F.col("id") % 5).cast("double")))
 
 
 @query("""WITH a AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 200), b AS (SELECT a.*, d.n_chars FROM a JOIN documents d ON d.doc_id = a.chunk_id ORDER BY score + n_chars / 1e6 DESC, chunk_id LIMIT 20)

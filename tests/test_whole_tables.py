@@ -64,3 +64,32 @@ def test_searches_of_every_hundredth_row(spark, monkeypatch, block):
     assert set(got) == set(quality)
     for q in quality:
         assert got[q] == pytest.approx(quality[q], abs=1e-6)
+
+
+def test_messages_past_any_range(spark, tmp_path):
+    rows = [(conv, turn, ("user", "assistant", "system")[(conv + turn) % 3], f"t{conv}-{turn}") for conv in (3, 19, 20, 39, 40, 41, 5_000) for turn in range(4)]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))), tmp_path / "conversations.parquet")
+    assert {r["file_id"]: r["body"] for r in run(spark, "prompt_body", tmp_path)} == {c: "\n".join(f"t{c}-{t}" for t in range(4)) for c, *_ in rows}
+    calls = [(c * 1000 + t, role, "assistant" if t % 2 == 0 else "user") for c, t, role, _ in rows]
+    want = {(a, b, "call", name) for a, _, called in calls for b, name, _ in calls if name == called and a != b}
+    got = [(r["from_id"], r["to_id"], r["dep_type"], r["symbol"]) for r in run(spark, "derive_edges", tmp_path)]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_fusion_over_all_rows(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in read("embeddings")}
+    cosine = {i: round(float(x @ rows[0] / np.linalg.norm(x) / np.linalg.norm(rows[0])), 6) for i, x in rows.items()}
+    size = {d["doc_id"]: d["n_chars"] for d in read("documents")}
+    scaled = [{i: (x - min(m.values())) / (max(m.values()) - min(m.values())) for i, x in m.items()} for m in (cosine, size)]
+    want = {i: 0.7 * scaled[0].get(i, 0) + 0.3 * scaled[1].get(i, 0) for i in cosine.keys() | size.keys()}
+    assert {r["id"]: r["hybrid"] for r in run(spark, "fusion_minmax")} == pytest.approx(want, abs=2e-6)
+
+
+def test_rewrites_over_all_rows(spark):
+    assert {r["id"]: r["score"] for r in run(spark, "query_rewrite_merge")} == {d["doc_id"]: max(d["doc_id"] % 7, d["doc_id"] % 5) for d in read("documents")}
+
+
+def test_insert_of_all_rows(spark):
+    rows = [(r["l_orderkey"], r["l_partkey"], r["l_returnflag"], r["l_linestatus"] if r["l_linenumber"] != 1 else None) for r in read("lineitem")]
+    whole, loose = {r for r in rows if r[3] is not None}, Counter(r for r in rows if r[3] is None)
+    assert Counter(map(tuple, run(spark, "dep_insert_ignore"))) == Counter(whole) + loose + loose
