@@ -791,7 +791,7 @@ def cascade_stages(v: Views) -> DataFrame:
 
 @query("SELECT string_agg(part, chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM (SELECT s.chunk_id, s.score, '### ' || row_number() OVER (ORDER BY s.score DESC, s.chunk_id) || '. ' || f.path || ' (score ' || printf('%.3f', s.score) || ')' || chr(10) || substr(f.content, 1, 60) AS part FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 5) s JOIN files f ON f.id = s.chunk_id)")
 def prompt_context(v: Views) -> DataFrame:
-    hits = search.similar_chunks(v.embeddings, v.query_vector(), 5).select("chunk_id", "score").join(v.files.select(F.col("id").alias("chunk_id"), "path", F.substring("content", 1, 60).alias("content")), "chunk_id")
+    hits = search.similar_chunks(v.embeddings, v.query_vector(), 5).select("chunk_id", "score").join(v.files.select(F.col("id").alias("chunk_id"), "path", "content"), "chunk_id")
     return ask.context(hits)
 
 

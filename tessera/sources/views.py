@@ -98,7 +98,7 @@ class Views:
         f, i = self.files, F.col("id")
         kind = F.when(i % 3 == 0, "file").when(i % 3 == 1, "directory").otherwise("architecture")
         arch = F.when(i % 3 == 2, F.element_at(F.array(*[F.lit(x) for x in ("overview", "tech_stack", "data_flow", "components")]), (i % 4 + 1).cast("int")))
-        return f.select("id", "snapshot_id", kind.alias("summary_type"), F.when(i % 3 == 2, "").otherwise(F.col("path")).alias("target_path"), F.when(i % 3 == 1, (i % 6).cast("int")).alias("depth"), arch.alias("arch_type"), F.substring("content", 1, 40).alias("content"), F.col("content_hash"), "created_at")
+        return f.select("id", "snapshot_id", kind.alias("summary_type"), F.when(i % 3 == 2, "").otherwise(F.col("path")).alias("target_path"), F.when(i % 3 == 1, (i % 6).cast("int")).alias("depth"), arch.alias("arch_type"), "content", F.col("content_hash"), "created_at")
 
     @property
     def commits(self) -> DataFrame:

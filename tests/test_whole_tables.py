@@ -93,3 +93,23 @@ def test_insert_of_all_rows(spark):
     rows = [(r["l_orderkey"], r["l_partkey"], r["l_returnflag"], r["l_linestatus"] if r["l_linenumber"] != 1 else None) for r in read("lineitem")]
     whole, loose = {r for r in rows if r[3] is not None}, Counter(r for r in rows if r[3] is None)
     assert Counter(map(tuple, run(spark, "dep_insert_ignore"))) == Counter(whole) + loose + loose
+
+
+def test_prompt_holds_whole_hits(spark):
+    rows, text = {r["vec_id"]: np.array(r["embedding"], float) for r in read("embeddings")}, {d["doc_id"]: d for d in read("documents")}
+    score = {i: round(float(x @ rows[0] / np.linalg.norm(x) / np.linalg.norm(rows[0])), 6) for i, x in rows.items()}
+    hits = [i for i in sorted(rows, key=lambda i: (-score[i], i))[:5] if i in text]
+    parts = [f"### {k + 1}. {text[i]['source']}/{text[i]['lang']}/{i}.txt (score {score[i]:.3f})\n{text[i]['text']}" for k, i in enumerate(hits)]
+    assert any(len(text[i]["text"]) > 60 for i in hits)
+    assert [r["context"] for r in run(spark, "prompt_context")] == ["\n\n".join(parts)]
+
+
+def test_architecture_summary_is_whole(spark):
+    want = {d["doc_id"]: d["text"] for d in read("documents") if d["source"] == "src2" and d["lang"] == "en" and d["doc_id"] % 12 == 2}
+    assert {r["id"]: r["content"] for r in run(spark, "architecture_summary")} == want
+
+
+def test_summaries_are_whole(spark):
+    from tessera.sources.views import Views
+
+    assert {r["id"]: r["content"] for r in Views(spark, SF).summaries.collect()} == {d["doc_id"]: d["text"] for d in read("documents")}
