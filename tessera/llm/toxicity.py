@@ -43,8 +43,54 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled"),
     ("immigrant", "refugee", "foreigner"),
     ("immigrants", "refugees", "foreigners"),
+    # German
+    ("christ", "moslem", "jude"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    *(tuple(stem + end for stem in ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch")) for end in ("", "e", "em", "en", "er", "es")),
+    *(tuple(stem + end for stem in ("schwarz", "weiß", "asiatisch", "arabisch", "afrikanisch", "europäisch", "amerikanisch")) for end in ("e", "em", "en", "er", "es")),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell", "transsexuell"),
+    ("mann", "frau"),
+    ("männer", "frauen"),
+    ("männlich", "weiblich"),
+    ("gehörlos", "sehbehindert", "behindert"),
+    ("einwanderer", "flüchtling", "ausländer"),
+    # French
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("chrétienne", "musulmane", "juive", "hindoue"),
+    ("chrétiennes", "juives", "hindoues"),
+    ("noir", "blanc", "asiatique", "arabe", "africain", "européen", "américain"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens", "américains"),
+    ("noire", "blanche", "africaine", "européenne", "américaine"),
+    ("noires", "blanches", "africaines", "européennes", "américaines"),
+    ("homosexuel", "lesbienne", "bisexuel", "hétérosexuel", "transgenre"),
+    ("homme", "femme"),
+    ("hommes", "femmes"),
+    ("masculin", "féminin"),
+    ("jeune", "vieux", "âgé"),
+    ("sourd", "aveugle", "handicapé"),
+    ("immigré", "réfugié", "étranger"),
+    ("immigrés", "réfugiés", "étrangers"),
+    # Spanish
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("cristiana", "musulmana", "judía"),
+    ("cristianas", "musulmanas", "judías"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo", "americano"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos", "americanos"),
+    ("negra", "blanca", "asiática", "africana", "europea", "americana"),
+    ("negras", "blancas", "asiáticas", "africanas", "europeas", "americanas"),
+    ("homosexual", "lesbiana", "heterosexual", "transgénero"),
+    ("hombre", "mujer"),
+    ("hombres", "mujeres"),
+    ("masculino", "femenino"),
+    ("joven", "viejo", "anciano"),
+    ("sordo", "ciego", "discapacitado"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
-SWAP = {kind[i].encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERMS for i in range(len(kind))}
+# Texts are lower-cased in A-Z alone, so other letters are listed as a capital and in capitals too.
+SWAP = {form(kind[i]).encode().lower(): kind[(i + 1) % len(kind)].encode() for form in (str.upper, str.capitalize, str) for kind in IDENTITY_TERMS for i in range(len(kind))}
 MAX_ROWS, MAX_TERMS, LEAST_TEXTS, LEAST_Z = 20_000, 4_096, 4, 5.0
 STEPS, CG_STEPS, RIDGE, SWAP_WEIGHT = 30, 60, 1e-4, 1.0
 BEGINNINGS = (4, 5, 6, 7, 8)
