@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 24
+_BYTES = 4096  # of what bitmap_construct_agg gives
 
 
 def bitmap(keys: DataFrame, key: Column) -> bytes:
     """2**BITS bits; bit (key mod 2**BITS) is set for every bigint key.  Two MB for any number of keys."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            seen[np.asarray(batch.column(0)).view(np.uint64) & np.uint64((1 << BITS) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["part", "seen"])
-
-    def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << BITS - 3, np.uint8)
-        for x in frame["seen"]:
-            out |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"part": [0], "seen": [out.tobytes()]})
-
-    parts = keys.select(key.alias("k")).filter("k is not null").distinct().mapInArrow(mark, "part int, seen binary")
-    rows = parts.groupBy((F.spark_partition_id() % 32).alias("part")).applyInPandas(unite, "part int, seen binary").groupBy("part").applyInPandas(unite, "part int, seen binary").collect()
-    return rows[0]["seen"] if rows else bytes(1 << BITS - 3)
-
-
-def lookup(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+    bits = keys.select((F.pmod(key, F.lit(1 << BITS)) + 1).alias("bit")).filter("bit is not null")
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = bytearray(1 << BITS - 3)
+    for row in parts.collect():  # 512 rows at most
+        low = (row["part"] - 1) * _BYTES
+        out[low : low + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
+def holds(packed: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of these 64-bit keys are set."""
+    bit = keys.view(np.uint64) & np.uint64((1 << BITS) - 1)
+    return (np.frombuffer(packed, np.uint8)[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1

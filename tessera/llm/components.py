@@ -54,7 +54,7 @@ def star_components(links: DataFrame) -> DataFrame:
     Every step writes the links that are left to the shared folder; nothing but their number and a checksum
     comes to the driver.  The number of steps grows with the logarithm of the longest chain.
     """
-    now = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), compact=True)
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -62,7 +62,7 @@ def star_components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        after = materialise(small.filter("u <> v").distinct())
+        after = materialise(small.filter("u <> v").distinct(), compact=True)
         discard(now)
         now, got = after, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == mark or not got[0]:

@@ -25,22 +25,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmap import bitmap, holds
 from tessera.llm.components import components
 from tessera.llm.store import discard, materialise
 from tessera.llm.textblocks import blocks, shingle_hashes, word_hashes
 
 SKETCH_BITS = 20
-_PART = 1 << 14
+_PART = 1 << 10
 
 
 def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of 2**SKETCH_BITS hash buckets, twice the logarithm of its n-grams over all texts (one byte each)."""
+    """For each of 2**SKETCH_BITS hash buckets, twice the logarithm of its n-grams over all texts (one byte each).
+
+    A task's counts leave it in parts of 4 KB; parts are summed as they stream in, so a task holds one sketch at most.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
@@ -49,27 +51,31 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
                 hashes, _, _, first = word_hashes(data, offsets)
                 held.append((shingle_hashes(hashes, first, k)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 size += len(held[-1])
-                if size > 4_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                if size > 1_000_000:
+                    np.add.at(total, np.concatenate(held), 1)
                     held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-        task = TaskContext.get().partitionId() % 64
-        parts = [(p, total[p * _PART : (p + 1) * _PART].astype(np.uint64).tobytes()) for p in range(len(total) // _PART)]
-        yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array([p for p, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["task", "part", "counts"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_PART, np.uint64)
-        for c in frame["counts"]:
-            total += np.frombuffer(c, np.uint64)
-        return pd.DataFrame({"task": [0], "part": [frame["part"].iloc[0]], "counts": [total.tobytes()]})
-
-    schema = "task int, part int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("task", "part").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
-    out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in summed.collect():  # a table of fixed size
-        out[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["counts"], np.uint64)
-    return (2 * np.log2(out + 1.0)).astype(np.uint8)
+        for grams in held:
+            np.add.at(total, grams, 1)
+        total = total.reshape(-1, _PART)
+        some = np.flatnonzero(total.any(1))
+        for low in range(0, len(some), 64):
+            parts = some[low : low + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([total[p].tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total.setdefault(part, np.zeros(_PART, np.uint64))[:] += np.frombuffer(counts.as_buffer(), np.uint32)
+        for part, counts in total.items():
+            classes = (2 * np.log2(counts + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["part", "classes"])
+
+    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, classes binary")
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in parts.collect():  # a table of fixed size
+        out[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["classes"], np.uint8)
+    return out
 
 
 def _set_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -115,29 +121,15 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, classes: np.ndarray)
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
     """(node, grams) of the wanted classes (node, cid).  A bitmap of fixed size spares texts that can't be wanted."""
-    bits = 24
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
-        for batch in batches:
-            seen[[int.from_bytes(c[:3], "little") for c in batch.column(0).to_pylist()]] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["one", "seen"])
-
-    def join(a: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << bits - 3, np.uint8)
-        for x in a["seen"]:
-            out |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"one": [0], "seen": [out.tobytes()]})
-
-    packed = wanted.select("cid").repartition(8, "cid").mapInArrow(mark, "one int, seen binary").groupBy("one").applyInPandas(join, "one int, seen binary").first()
-    table = np.unpackbits(np.frombuffer(packed["seen"], np.uint8)) if packed else np.zeros(1 << bits, np.uint8)
-    squeezed = np.packbits(table)
+    seen = bitmap(wanted, F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(squeezed)
+        sent: set[bytes] = set()  # copies of a text within a task leave it once
         for batch in batches:
             for _, _, sets in _sets(batch.column(0), k, classes):
-                found = [(c, own) for own in sets if want[int.from_bytes((c := _class_id(own))[:3], "little")]]
+                ids = [_class_id(own) for own in sets]
+                may = holds(seen, np.array([int.from_bytes(c[:7], "big") for c in ids], np.uint64))
+                found = [(ids[i], sets[i]) for i in np.flatnonzero(may).tolist() if not (ids[i] in sent or sent.add(ids[i]))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), _lists([own for _, own in found])], names=["cid", "grams"])
 
@@ -180,12 +172,12 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough."""
-    pairs = materialise(_possible(pairs, nodes, num, den))
+    pairs = materialise(_possible(pairs, nodes, num, den), compact=True)
     wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "cid"), "node")
-    sets = materialise(_wanted_sets(docs, wanted, k, classes))
+    sets = materialise(_wanted_sets(docs, wanted, k, classes), compact=True)
     a, b = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
-    links = materialise(both.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v"))
+    links = materialise(both.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v"), compact=True)
     discard(sets, pairs)
     return links
 
@@ -195,26 +187,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     frequencies = frequency_classes(docs, k)
     rows = materialise(signatures(docs, k, num, den, frequencies))
     firsts = [F.first(c).alias(c) for c in ("n", "gid", "prefix")]
-    nodes = materialise(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), *firsts).withColumn("node", F.monotonically_increasing_id()))
+    nodes = materialise(rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), *firsts).withColumn("node", F.monotonically_increasing_id()), compact=True)
     # Nearly every group is one class, so the classes under another's name are the short list.
     several = nodes.groupBy("gid").agg(F.min("node").alias("g"), F.count("*").alias("size")).filter("size > 1")
-    under = materialise(nodes.select("node", "gid").join(several, "gid").filter("node <> g").select("node", "g"))
+    under = materialise(nodes.select("node", "gid").join(several, "gid").filter("node <> g").select("node", "g"), compact=True)
     tokens = nodes.join(under, "node", "left_anti").select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("pos", "key"))
     tokens = tokens.select("key", "g", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("n")).alias("at"))
     leaders = tokens.groupBy("key").agg(F.min(F.struct("at", "g")).alias("lead"), F.count("*").alias("met"))
     leaders = leaders.filter("met > 1").select("key", F.col("lead.at").alias("lead_at"), F.col("lead.g").alias("lead_g"))
-    meetings = materialise(tokens.join(leaders, "key"))
+    meetings = materialise(tokens.join(leaders, "key"), compact=True)
 
     led = meetings.filter(F.col("g") != F.col("lead_g")).filter(_near(F.col("at"), F.col("lead_at"), num, den))
     led = led.select(F.col("lead_g").alias("u"), F.col("g").alias("v")).distinct()
-    first = materialise(_members(_members(led, under, "u"), under, "v").unionAll(under.select(F.col("g").alias("u"), F.col("node").alias("v"))))
+    first = materialise(_members(_members(led, under, "u"), under, "v").unionAll(under.select(F.col("g").alias("u"), F.col("node").alias("v"))), compact=True)
     links = _linked(docs, first, nodes, k, num, den, frequencies)
-    labels = materialise(components(links))
+    labels = materialise(components(links), compact=True)
 
     # Where different labels still meet.  Groups of several classes meet with themselves on their first n-gram.
     inside = nodes.join(under.select(F.col("g").alias("node")).distinct(), "node", "left_semi").select(F.get("prefix", F.lit(0)).alias("key"), F.col("node").alias("g"), F.col("n").alias("at"))
     labelled = _members(meetings.select("key", "g", "at").unionAll(inside).withColumnRenamed("g", "node"), under, "node")
-    labelled = materialise(labelled.join(labels, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("label")))
+    labelled = materialise(labelled.join(labels, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("label")), compact=True)
     spans = labelled.groupBy("key", "label").agg(F.min(_pos(F.col("at"))).alias("pos"), F.min(_size(F.col("at"))).alias("low"), F.max(_size(F.col("at"))).alias("high"))
     mixed = spans.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
     spans = spans.join(mixed, "key")
@@ -226,10 +218,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     second = apart.join(left, ["key", "labela"]).join(right, ["key", "labelb"]).filter(_near(F.col("ata"), F.col("atb"), num, den))
     second = second.select(F.least("nodea", "nodeb").alias("u"), F.greatest("nodea", "nodeb").alias("v")).distinct()
     done = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = materialise(second.join(done, ["u", "v"], "left_anti"))
+    second = materialise(second.join(done, ["u", "v"], "left_anti"), compact=True)
     if second.count():
         more = _linked(docs, second, nodes, k, num, den, frequencies)
-        labels = materialise(components(links.unionAll(more)))
+        discard(labels)
+        labels = materialise(components(links.unionAll(more)), compact=True)
         discard(more)
     discard(meetings, labelled, under, first, second, links)
 
@@ -237,7 +230,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "component").select("cid", "component_id")
     out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
-    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = materialise(out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    discard(rows, nodes, labels)
+    return out
 
 
 def _members(rows: DataFrame, under: DataFrame, column: str) -> DataFrame:
@@ -251,7 +246,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     Texts without words, and components without any id, stay as they are.
     """
-    found = materialise(jaccard_components(docs, k, num, den))
+    found = jaccard_components(docs, k, num, den)
     worded = F.col("n_shingles") > 0
     stays = found.filter(~worded | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.max(worded).alias("worded"))
     # Of several texts with the smallest id, the one with the least hash.

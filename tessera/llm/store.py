@@ -32,19 +32,37 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialise(df: DataFrame, **options) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, compact: bool = False, **options) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    ``compact``: by two tasks a core at most, one shuffle partition after the other, so that tables of keys and
+    links don't come as thousands of small files.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if compact:
+        df = df.coalesce(2 * max(spark.sparkContext.defaultParallelism, 1))
     df.write.options(**options).parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver delete the folder when it ends: what a returned DataFrame reads can't go before."""
+    p, fs = _filesystem(spark, path)
+    fs.deleteOnExit(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialise`` wrote for these tables, once nothing reads them any more."""
     for t in tables:
-        jvm = t.sparkSession._jvm
         for f in t.inputFiles()[:1]:
-            p = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            p, fs = _filesystem(t.sparkSession, f.rpartition("/")[0])
             if p.getName().startswith("tessera-"):
-                p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+                fs.delete(p, True)
+                fs.cancelDeleteOnExit(p)

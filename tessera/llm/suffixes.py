@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmap import bitmap, lookup
+from tessera.llm.bitmap import bitmap, holds
 from tessera.llm.store import discard, materialise
 from tessera.llm.textblocks import blocks, powers, prefix_hashes, release, span_hashes
 
@@ -309,9 +309,8 @@ def _texts(docs: DataFrame, seen: bytes, plain: bool) -> DataFrame:
     """(id, h, text binary) of each document that the bitmap may hold, once; equal rows are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = lookup(seen)
         for batch in batches:
-            keep = np.flatnonzero(want[np.asarray(batch.column(2)).view(np.uint64) & np.uint64(len(want) - 1)])
+            keep = np.flatnonzero(holds(seen, np.asarray(batch.column(2))))
             for low in range(0, len(keep), 256):
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(keep[low : low + 256])) for c in (batch.column(0), batch.column(1), batch.column(3))], names=["id", "h", "text"])
 
@@ -365,9 +364,8 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = lookup(seen)
         for batch in batches:
-            keep = np.flatnonzero(~want[np.asarray(batch.column(1)).view(np.uint64) & np.uint64(len(want) - 1)])
+            keep = np.flatnonzero(~holds(seen, np.asarray(batch.column(1))))
             for low in range(0, len(keep), 256):
                 text = batch.column(2).take(pa.array(keep[low : low + 256]))
                 empty = pa.array([[]] * len(text), pair)
@@ -394,9 +392,8 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
     rest = narrow.mapInArrow(untouched, schema)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = lookup(seen)
         for batch in batches:
-            keep = np.flatnonzero(want[np.asarray(batch.column(3)).view(np.uint64) & np.uint64(len(want) - 1)])
+            keep = np.flatnonzero(holds(seen, np.asarray(batch.column(3))))
             for low in range(0, len(keep), 256):
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep[low : low + 256])) for i in (0, 1, 2, 4, 5)], names=["doc_id", "id", "h", "text", "others"])
 

@@ -120,11 +120,28 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(now & (~before | cut)), np.flatnonzero(before & (~now | cut))
 
 
+def apart_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """``span_hashes`` of table[data] for spans that stand one after the other, a stretch of ``limit`` bytes at a time.
+
+    A very long text thus takes the memory of its spans, not of prefix sums over all its bytes.
+    """
+    raw = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(data), limit):
+        piece = table[data[a : a + limit]]
+        prefix, b = prefix_hashes(piece), a + len(piece)
+        some = slice(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b)))
+        s, e = np.maximum(starts[some] - a, 0), np.minimum(ends[some] - a, len(piece))
+        part = (prefix[e] - prefix[s]) * powers(INVERSE, len(prefix))[s]
+        if len(part) and starts[some][0] < a:  # goes on from the stretch before
+            part[:1] *= np.uint64(pow(_MULT, a - int(starts[some][0]), 1 << 64))
+        raw[some] += part
+    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_SEED))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word - lower-cased bytes between white space - and each text's first word's number."""
     starts, ends = runs(~SPACE[data], offsets)
-    hashes = span_hashes(prefix_hashes(LOWER[data]), starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return apart_hashes(data, starts, ends, LOWER), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
