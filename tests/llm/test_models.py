@@ -54,7 +54,37 @@ def test_bounds_leave_candidates_out():
         list(topk.search_block(ids, x, topk.distances(x, pivots), ids[:1], x[:1], topk.distances(x[:1], pivots), np.array([np.iinfo(np.int64).min]), 5))
     finally:
         topk.products = original
-    assert sum(calls) <= len(x)
+    assert sum(calls) <= 300 < len(x)
+
+
+@pytest.mark.parametrize("norm", [5e6, 1e7, 1e12])
+def test_bounds_hold_beside_an_outlier(norm):
+    rng = np.random.default_rng(int(norm) % 97)
+    centres = rng.normal(size=(20, 64))
+    x = np.repeat(centres, 100, axis=0) + 0.1 * rng.normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    far = rng.normal(size=64)
+    x = np.concatenate([x, [np.floor(norm * far / np.linalg.norm(far)).astype(np.int64)]])
+    ids, q = np.arange(len(x)), slice(0, 1200)
+    pivots = topk.far_apart([*x[::7], x[-1]], 24)
+    got = {i: (a.tolist(), s.tolist()) for i, a, s in topk.search_block(ids, x, topk.distances(x, pivots), ids[q], x[q], topk.distances(x[q], pivots), np.full(1200, np.iinfo(np.int64).min), 5)}
+    scores = x[q].astype(object) @ x.T.astype(object)
+    for i in range(1200):
+        best = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:5]
+        assert got[i] == ([j for _, j in best], [-s for s, _ in best])
+
+
+def test_widths_meet(spark):
+    rows = [(i, [float(i % 7 - 3)] * (i % 5)) for i in range(60)] + [(100, [1.0] * 9_000), (150, [2.0] * 20_000)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, lambda i: i % 50 == 0, 5)
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    vectors = spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64-bit"):
+        topk.top_k(vectors, F.col("vec_id") == 0).collect()
 
 
 def test_shards(spark, odd_docs, odd_rows, no_docs):
