@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def column(name: str) -> Column:
+    """A column by its plain name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def materialise(df: DataFrame, compact: bool = False, **options) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
 

@@ -5,7 +5,9 @@ equals); equal windows have equal anchors at equal offsets, wherever they stand.
 anchors are sorted, about one in forty bytes:
 
 1. Each task finds its texts' anchors, with a hash of the *context*, the bytes of all windows an anchor owns.
-   Anchors are dealt out by hash.  Where a context was seen earlier, all its windows are repeats.  Where an
+   Of equal contexts in a task only the earliest goes on; the others' bytes are compared with its bytes there and then.
+   Anchors are dealt out by hash.  Where a context was seen earlier, all its windows are repeats, once their bytes
+   have been compared with the earlier ones' (the earlier text sends them).  Where an
    anchor has several contexts, the first text of each sends the context's bytes.
 2. The suffixes that start at such anchors are sorted by mergesort, an anchor at a time.  Two suffixes are
    compared by their longest common extension, which binary search finds on prefix polynomial hashes; sorted
@@ -13,9 +15,12 @@ anchors are sorted, about one in forty bytes:
    whose bytes before the anchor agree as well, are equal windows; all but the earliest are repeats.
 3. Repeats' spans meet the texts, which lose the covered bytes.
 
+No byte is removed on the equality of hashes alone; two different strings with one hash raise ``ArithmeticError``.
+
 Earlier means a smaller doc_id, or an earlier start in the same document.  Defined results: a null text is an
 empty one; rows of a null id come last, in an order by text; rows equal in id and text are one document and
-get one result each; an empty table gives no rows; other columns are kept by ``remove_repeats``, left out by
+get one result each; an empty table gives no rows; a very long text is worked on in overlapping stretches of
+``STRETCH`` bytes, with the same result; other columns, whatever their names, are kept by ``remove_repeats``, left out by
 ``repeats``.
 """
 
@@ -29,18 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmap import bitmap, holds
-from tessera.llm.store import discard, materialise
-from tessera.llm.textblocks import blocks, powers, prefix_hashes, release, span_hashes
+from tessera.llm.store import column, discard, materialise
+from tessera.llm.textblocks import BLOCK_BYTES, apart_hashes, blocks, powers, prefix_hashes, release, span_hashes
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1  # anchors' places in a window
-BUCKET_BYTES, FLUSH = 16 << 20, 400_000
+BUCKET_BYTES, FLUSH, FLUSH_BYTES, STRETCH = 16 << 20, 400_000, 16 << 20, BLOCK_BYTES
 ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("pos", "<i4"), ("low", "u1"), ("high", "u1")])
 LAST = np.iinfo(np.int64).max
+_PLAIN = np.arange(256, dtype=np.uint8)
 
 
 def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]).view(np.int64)
+    return apart_hashes(data, offsets[:-1], offsets[1:], _PLAIN).view(np.int64)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, bytes, offsets) of a block, or of parts of its one long text that overlap by a window less a byte."""
+    if len(data) <= STRETCH + SPAN or len(offsets) > 2:
+        yield 0, data, offsets
+        return
+    for a in range(0, len(data) - SPAN + 1, STRETCH):
+        part = data[a : a + STRETCH + SPAN - 1]
+        yield a, part, np.array([0, len(part)])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,18 +86,58 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text[p], p, p - last, p - first, grams[p], context
 
 
-def _dealt(held: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """The anchors by bucket; of equal contexts in this task only the earliest, the others as spans (bucket -1)."""
+def _once(held: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted anchors isn't the row before again: rows equal in id and text are one document."""
+    once = np.ones(len(held), bool)
+    once[1:] = held[1:] != held[:-1]
+    return once
+
+
+def _runs(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a sorted anchor's context is new, the number of the first anchor with its context)."""
+    new = np.ones(len(held), bool)
+    new[1:] = (held["a"][1:] != held["a"][:-1]) | (held["c"][1:] != held["c"][:-1]) | (held["low"][1:] != held["low"][:-1])
+    return new, np.maximum.accumulate(np.where(new, np.arange(len(held)), 0))
+
+
+def merged_spans(keys: Sequence[np.ndarray], shift: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the first span, start, end) of spans of equal keys and shift that touch, as one."""
+    order = np.lexsort((start, shift, *keys))
+    if not len(order):
+        return order, start, end
+    new = np.ones(len(order), bool)
+    new[1:] = start[order][1:] > end[order][:-1]
+    for k in (shift, *keys):
+        new[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(new)
+    return order[first], start[order][first], np.maximum.reduceat(end[order], first)
+
+
+def _dealt(held: np.ndarray, where: np.ndarray, text: np.ndarray, data: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The anchors by bucket; of equal contexts in this task only the earliest, the others as compared spans (bucket -1).
+
+    ``where``: the anchors' places in ``data``; ``text``: their texts' numbers.
+    """
     order = np.lexsort((held["pos"], held["h"], held["id"], held["low"], held["c"], held["a"]))
-    held = held[order]
-    later = np.zeros(len(held), bool)
-    later[1:] = (held["a"][1:] == held["a"][:-1]) & (held["c"][1:] == held["c"][:-1]) & (held["low"][1:] == held["low"][:-1])
-    kept = held[~later]
+    order = order[_once(held[order])]
+    held, where, text = held[order], where[order], text[order]
+    new, first = _runs(held)
+    later = np.flatnonzero(~new)
+    high, low = held["high"][later].astype(np.int64), held["low"][later].astype(np.int64)
+    shift = where[later] - where[first[later]]
+    one, begin, finish = merged_spans((text[later],), shift, where[later] - high, where[later] - low + SPAN)
+    for a, b, d in zip(begin.tolist(), finish.tolist(), shift[one].tolist()):
+        if not np.array_equal(data[a:b], data[a - d : b - d]):
+            raise ArithmeticError(_COLLISION)
+    spans = held[later[one]].copy()
+    spans["pos"] = spans["pos"] - (where[later[one]] - begin)
+    spans["a"] = spans["pos"] + (finish - begin)
+    kept = held[new]
     bucket = ((kept["a"] >> np.uint64(8)) % np.uint64(n_buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     kept, bucket = kept[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    rows = [(-1, held[later])] * bool(later.any()) + [(b, kept[cuts[b] : cuts[b + 1]]) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+    rows = [(-1, spans)] * bool(len(spans)) + [(b, kept[cuts[b] : cuts[b + 1]]) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
     for b, part in rows:
         for low in range(0, len(part), 16_384):
             piece = part[low : low + 16_384]
@@ -90,6 +146,7 @@ def _dealt(held: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *columns], names=["bucket", *ANCHOR.names])
 
 
+_COLLISION = "two different strings have one hash; use another multiplier"
 _DEALT = "bucket int, a binary, c binary, id binary, h binary, pos binary, low binary, high binary"
 
 
@@ -101,26 +158,28 @@ def _unpacked(table: pa.Table) -> np.ndarray:
     return out
 
 
-_FOUND = "id bigint, h bigint, pos int, low int, high int, a bigint, wanted boolean"
+#: What an anchor comes to: its context's bytes are wanted; a repeat of the source's, to be compared; a span (pos to a) that was.
+_WANTED, _REPEAT, _COMPARED = 0, 1, 2
+_FOUND = "kind int, id bigint, h bigint, pos int, low int, high int, a bigint, sid bigint, sh bigint, spos int"
 
 
-def _found(rows: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
-    columns = [rows["id"], rows["h"], rows["pos"], rows["low"].astype(np.int32), rows["high"].astype(np.int32), rows["a"].view(np.int64), wanted]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["id", "h", "pos", "low", "high", "a", "wanted"])
+def _found(kind: np.ndarray, rows: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
+    columns = [kind.astype(np.int32), rows["id"], rows["h"], rows["pos"], rows["low"].astype(np.int32), rows["high"].astype(np.int32), rows["a"].view(np.int64), source["id"], source["h"], source["pos"]]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[f.split()[0] for f in _FOUND.split(", ")])
 
 
-def judged(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors of interest, whether their context's bytes are wanted); those not wanted are repeats as a whole."""
+def judged(held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what they come to, anchors of interest, the earliest anchor with the same context)."""
     held = held[np.lexsort((held["pos"], held["h"], held["id"], held["low"], held["c"], held["a"]))]
-    new_a = np.ones(len(held) + 1, bool)
-    new_a[1:-1] = held["a"][1:] != held["a"][:-1]
-    new_c = new_a[:-1].copy()
-    new_c[1:] |= (held["c"][1:] != held["c"][:-1]) | (held["low"][1:] != held["low"][:-1])
-    group = np.cumsum(new_a[:-1]) - 1
-    several = np.bincount(group[new_c], minlength=group[-1] + 1 if len(group) else 0) > 1
-    wanted = new_c & several[group] if len(group) else new_c
-    use = wanted | ~new_c
-    return held[use], wanted[use]
+    held = held[_once(held)]
+    new, first = _runs(held)
+    new_a = np.ones(len(held), bool)
+    new_a[1:] = held["a"][1:] != held["a"][:-1]
+    group = np.cumsum(new_a) - 1
+    several = np.bincount(group[new], minlength=group[-1] + 1 if len(group) else 0) > 1
+    wanted = new & several[group] if len(group) else new
+    use = wanted | ~new
+    return np.where(wanted, _WANTED, _REPEAT)[use], held[use], held[first[use]]
 
 
 def common_extension(prefix: np.ndarray, u: np.ndarray, v: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -202,7 +261,7 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, low: np.ndarray, high:
             x = data[np.minimum(at[order[rows - 1]][:, None] + cell, len(data) - 1)]
             y = data[np.minimum(at[order[rows]][:, None] + cell, len(data) - 1)]
             if ((x != y) & (cell < shared[rows][:, None])).any():
-                raise ArithmeticError("two different strings have one hash; use another multiplier")
+                raise ArithmeticError(_COLLISION)
     low, high, rank, group, at = low[order], high[order], rank[order], group[order], at[order]
     new = np.ones(n, bool)
     new[1:] = group[1:] != group[:-1]
@@ -218,48 +277,54 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, low: np.ndarray, high:
         head = some[by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]][~first]
         span = np.arange(o)
         if o and len(again) and (data[(at[again] - o)[:, None] + span] != data[(at[head] - o)[:, None] + span]).any():
-            raise ArithmeticError("two different strings have one hash; use another multiplier")
+            raise ArithmeticError(_COLLISION)
         out[order[again], o] = True
     return out
 
 
 def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, DataFrame]:
-    """Anchors judged, of which those not wanted are repeats as a whole; and spans (id, h, start, end) of the wanted ones."""
+    """Anchors judged, and spans (id, h, start, end) of the wanted ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
+        base = texts = anchors_held = 0
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(LAST))
             for low, high, data, offsets in blocks(batch.column(1)):
-                text, p, least, most, gram, context = anchors(data, offsets)
-                rows = np.zeros(len(text), ANCHOR)
-                rows["a"], rows["c"], rows["id"], rows["pos"] = gram, context, ids[low:high][text], p - offsets[text]
-                rows["low"], rows["high"] = least, most
-                if not plain:
-                    rows["h"] = text_hashes(data, offsets)[text]
-                held.append(rows)
-                if sum(map(len, held)) > FLUSH:
-                    yield from _dealt(np.concatenate(held), n_buckets)
+                own = np.zeros(high - low, np.int64) if plain else text_hashes(data, offsets)
+                for a, part, cuts in stretches(data, offsets):
+                    text, p, least, most, gram, context = anchors(part, cuts)
+                    rows = np.zeros(len(text), ANCHOR)
+                    rows["a"], rows["c"], rows["id"], rows["pos"] = gram, context, ids[low:high][text], p + a - offsets[text]
+                    rows["low"], rows["high"], rows["h"] = least, most, own[text]
+                    held.append((rows, p + a + base, text + texts))
+                    anchors_held += len(rows)
+                held.append((rows[:0], p[:0], text[:0], data))
+                base, texts = base + len(data), texts + high - low
+                if anchors_held > FLUSH or base > FLUSH_BYTES:
+                    yield from deal(held)
                     held.clear()
+                    base = texts = anchors_held = 0
         if held:
-            yield from _dealt(np.concatenate(held), n_buckets)
+            yield from deal(held)
+
+    def deal(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows, where, text = (np.concatenate(x) for x in zip(*(h[:3] for h in held)))
+        return _dealt(rows, where, text, np.concatenate([h[3] for h in held if len(h) > 3]), n_buckets)
 
     def judge(table: pa.Table) -> pa.Table:
         rows = _unpacked(table)
-        if table.column("bucket")[0].as_py() < 0:
-            out, wanted = rows, np.zeros(len(rows), bool)
-        else:
-            out, wanted = judged(rows)
+        out = (np.full(len(rows), _COMPARED), rows, rows) if table.column("bucket")[0].as_py() < 0 else judged(rows)
         release()
-        return pa.Table.from_batches([_found(out, wanted)])
+        return pa.Table.from_batches([_found(*out)])
 
     dealt = docs.mapInArrow(find, _DEALT)
-    # Repeats inside a task need no partner: spread them over many groups.
+    # Spans that were compared in their task need no partner: spread them over many groups.
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("pos", "id"), F.lit(n_buckets))).otherwise(F.col("bucket")).cast("int")
     found = materialise(dealt.withColumn("bucket", spread).groupBy("bucket").applyInArrow(judge, _FOUND))
 
-    asked = found.filter("wanted").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "low", "high", "a")).alias("asked"))
-    seen = bitmap(found.filter("wanted"), _key())
+    asked = found.filter(F.col("kind") == _WANTED).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "low", "high", "a")).alias("asked"))
+    seen = bitmap(found.filter(F.col("kind") == _WANTED), _key())
     texts = _texts(docs, seen, plain)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +361,34 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
     return found, partial
 
 
+def _pieces(docs: DataFrame, found: DataFrame, plain: bool) -> DataFrame:
+    """(id, h, start, end, piece): the repeats' spans with the bytes of their sources, to be compared.
+
+    Spans of one source that touch are one, so a copied text is one row, and no byte of a source is sent more
+    often than it is repeated.
+    """
+    start = (F.col("pos") - F.col("high")).alias("start")
+    rows = found.filter(F.col("kind") == _REPEAT).select("id", "h", start, (F.col("pos") - F.col("low") + SPAN).alias("end"), "sid", "sh", (F.col("pos") - F.col("spos")).alias("shift"))
+    names = ("start", "end", "sid", "sh", "shift")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(2), batch.num_rows
+            owner = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
+            start, end, sid, sh, shift = (np.asarray(c) for c in lists.flatten().flatten())
+            one, begin, finish = merged_spans((sh, sid, owner), shift, start, end)
+            some = pa.array(owner[one])
+            columns = [batch.column(0).take(some), batch.column(1).take(some), *(pa.array(np.ascontiguousarray(c)) for c in (begin, finish, sid[one], sh[one], shift[one]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", *names])
+
+    lists = rows.groupBy("id", "h").agg(F.collect_list(F.struct(*names)).alias("spans"))
+    spans = materialise(lists.mapInArrow(merge, "id bigint, h bigint, start int, end int, sid bigint, sh bigint, shift int"))
+    source = F.xxhash64(F.col("sid"), F.col("sh"))
+    texts = _texts(docs, bitmap(spans, source), plain).select(F.col("id").alias("sid"), F.col("h").alias("sh"), "text")
+    piece = F.substring("text", F.col("start") - F.col("shift") + 1, F.col("end") - F.col("start"))
+    return spans.join(texts, ["sid", "sh"]).select("id", "h", "start", "end", piece.alias("piece"))
+
+
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "id", "h", "pos", "low", "high", "bytes"])
@@ -344,18 +437,19 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (the maximal removed runs' start and end), others (struct of the columns in ``keep``).
+    """doc_id, kept (binary: the bytes that stay), n_bytes, spans (the maximal removed runs' start and end), others (struct; c0, c1, ... are the columns in ``keep``).
 
     ``whole_characters`` leaves a removed run's ends where they don't cut a UTF-8 character.
     """
-    others = F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in keep))
+    others = F.struct(F.lit(0).alias("c"), *(column(c).alias(f"c{i}") for i, c in enumerate(keep)))
     full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", others.alias("others"))
     docs = full.select("doc_id", "text")
     n = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.sum(F.octet_length("text"))).first()
     plain = n[0] == n[1]
     found, partial = _spans(docs, max(8, (n[2] or 0) // BUCKET_BYTES), plain)
-    whole = found.filter("not wanted").select("id", "h", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + SPAN).alias("end"))
-    by_doc = materialise(whole.unionAll(partial).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    compared = found.filter(F.col("kind") == _COMPARED).select("id", "h", F.col("pos").alias("start"), F.col("a").cast("int").alias("end")).unionAll(partial)
+    spans = compared.withColumn("piece", F.lit(None).cast("binary")).unionAll(_pieces(docs, found, plain))
+    by_doc = materialise(spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "piece")).alias("spans")))
     discard(found, partial)
     seen = bitmap(by_doc, _key())
     extra = full.schema["others"].dataType.simpleString()
@@ -379,6 +473,8 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
                 kept, size, runs = [], [], []
                 for text, spans_ in zip(batch.column(1).slice(low, 256).to_pylist(), batch.column(2).slice(low, 256).to_pylist()):
                     merged = _merged([(x["start"], x["end"]) for x in spans_ or []])
+                    if any(x["piece"] is not None and text[x["start"] : x["end"]] != x["piece"] for x in spans_ or []):
+                        raise ArithmeticError(_COLLISION)
                     if whole_characters:
                         merged = [m for m in (_inward(text, *m) for m in merged) if m[0] < m[1]]
                     edges = [0, *(e for m in merged for e in m), len(text)]
@@ -406,7 +502,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all of them, without the repeated stretches of their texts; ``n_chars`` follows where there is one."""
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     text, others = F.col("kept").cast("string"), F.col("others")
-    columns = {c: others[c] for c in keep} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
+    columns = {c: others[f"c{i}"] for i, c in enumerate(keep)} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in keep:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return repeats(docs, keep, whole_characters=True).select(*(columns[c].alias(c) for c in docs.columns))
