@@ -30,7 +30,7 @@ VIEWS = {
  size AS file_size, domain, l.doc_id IS NOT NULL AS indexed FROM files f LEFT JOIN labels l ON l.doc_id = f.id""",
     "summaries": """SELECT id, snapshot_id, CASE id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'directory' ELSE 'architecture' END AS summary_type,
  CASE WHEN id % 3 = 2 THEN '' ELSE path END AS target_path, CASE WHEN id % 3 = 1 THEN (id % 6)::INT END AS depth,
- CASE WHEN id % 3 = 2 THEN ['overview', 'tech_stack', 'data_flow', 'components'][id % 4 + 1] END AS arch_type, substr(content, 1, 40) AS content, content_hash, created_at FROM files""",
+ CASE WHEN id % 3 = 2 THEN ['overview', 'tech_stack', 'data_flow', 'components'][id % 4 + 1] END AS arch_type, content, content_hash, created_at FROM files""",
     "commits": "SELECT 'u' || user_id || '.go' AS path, sha1(event_id::VARCHAR) AS hash, event_type AS author, ts, event_id FROM events",
     "latest": """SELECT id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY indexed_at DESC NULLS LAST, created_at DESC NULLS LAST, id) AS rn
  FROM snapshots WHERE indexed) WHERE rn = 1""",

@@ -67,7 +67,7 @@ def search_similar_global(v: Views) -> DataFrame:
 
 @query("""SELECT query_id, rank, chunk_id, score FROM (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.vector, b.vector), 6) AS score,
  row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 6) DESC, b.chunk_id)::INT AS rank
- FROM vectors a, vectors b WHERE a.chunk_id < 20) WHERE rank <= 5""")
+ FROM vectors a, vectors b WHERE a.chunk_id % 100 = 0) WHERE rank <= 5""")
 def batch_topk(v: Views) -> DataFrame:
     queries = v.embeddings.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
     out = search.batch_top_k(v.embeddings, queries, 5)
@@ -377,8 +377,8 @@ def upsert_source(v: Views) -> DataFrame:
     return catalog.upsert(old, new, ["id"], keep=["created_at"])
 
 
-@query("""WITH t AS (SELECT DISTINCT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id < 100 AND symbol IS NOT NULL UNION ALL SELECT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id < 100 AND symbol IS NULL),
-n AS (SELECT from_id, to_id, dep_type, symbol FROM dependencies WHERE from_id BETWEEN 90 AND 120)
+@query("""WITH t AS (SELECT DISTINCT from_id, to_id, dep_type, symbol FROM dependencies WHERE symbol IS NOT NULL UNION ALL SELECT from_id, to_id, dep_type, symbol FROM dependencies WHERE symbol IS NULL),
+n AS (SELECT from_id, to_id, dep_type, symbol FROM dependencies)
 SELECT * FROM t UNION ALL SELECT DISTINCT * FROM n WHERE symbol IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.from_id = n.from_id AND t.to_id = n.to_id AND t.dep_type = n.dep_type AND t.symbol = n.symbol)
 UNION ALL SELECT * FROM n WHERE symbol IS NULL""")
 def dep_insert_ignore(v: Views) -> DataFrame:
@@ -479,7 +479,7 @@ def path_to_root(v: Views) -> DataFrame:
     return graph.paths(v.chain).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("""WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
+@query()
 def cycle_nodes(v: Views) -> DataFrame:
     tables = {"hierarchy": v.hierarchy, "chain": v.chain, "dependencies": v.dependencies.select(F.col("from_id").alias("parent"), F.col("to_id").alias("child"))}
     nodes = [graph.cycle_nodes(e).select(F.lit(name).alias("edges"), F.col("node").cast("string").alias("node")) for name, e in tables.items()]
@@ -495,7 +495,7 @@ def _page_sql(rounds: int) -> str:
     step = """SELECT n.node, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(sum(r.rank * e.w / o.total), 0) + (SELECT coalesce(sum(rank), 0) FROM {r} WHERE node NOT IN (SELECT a FROM o)) / (SELECT count(*) FROM nodes)) AS rank
  FROM nodes n LEFT JOIN e ON e.b = n.node LEFT JOIN o ON o.a = e.a LEFT JOIN {r} r ON r.node = e.a GROUP BY n.node"""
     parts = [
-        "e AS (SELECT from_id % 500 AS a, to_id % 500 AS b, count(*)::DOUBLE AS w FROM dependencies WHERE from_id < 2000 GROUP BY ALL)",
+        "e AS (SELECT from_id AS a, to_id AS b, count(*)::DOUBLE AS w FROM dependencies GROUP BY ALL)",
         "nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e)", "o AS (SELECT a, sum(w) AS total FROM e GROUP BY a)", "r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)",
     ]
     parts += [f"r{k + 1} AS ({step.format(r=f'r{k}')})" for k in range(rounds)]
@@ -514,7 +514,7 @@ def importance_score(v: Views) -> DataFrame:
     return graph.importance(parts, {"refs": 0.6, "callers": 0.4})
 
 
-@query("""WITH c AS (SELECT chunk_type AS name, id, [CASE WHEN ordinal % 2 = 0 THEN 'assistant' ELSE 'user' END] AS calls FROM chunks WHERE file_id < 20)
+@query("""WITH c AS (SELECT chunk_type AS name, id, [CASE WHEN ordinal % 2 = 0 THEN 'assistant' ELSE 'user' END] AS calls FROM chunks)
 SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'call' AS dep_type, b.name AS symbol FROM c a JOIN c b ON list_contains(a.calls, b.name) AND a.id <> b.id""")
 def derive_edges(v: Views) -> DataFrame:
     calls = F.array(F.when(F.col("ordinal") % 2 == 0, "assistant").otherwise("user"))
@@ -560,7 +560,7 @@ def changed_summaries(v: Views) -> DataFrame:
     return summaries.changed(now, old)
 
 
-@query("SELECT file_id, string_agg(content, chr(10) ORDER BY ordinal) AS body FROM chunks WHERE file_id < 40 GROUP BY 1")
+@query("SELECT file_id, string_agg(content, chr(10) ORDER BY ordinal) AS body FROM chunks GROUP BY 1")
 def prompt_body(v: Views) -> DataFrame:
     return summaries.prompt_body(v.chunks, 2**31 - 1)
 
@@ -660,7 +660,7 @@ def chunk_plain(v: Views) -> DataFrame:
     return chunking.chunk_files(v.files).drop("content")
 
 
-@query("SELECT id, 'File: ' || path || chr(10) || 'Package: ' || language || chr(10) || chr(10) || substr(content, 1, 20) AS context FROM files WHERE id % 10 = 0")
+@query("SELECT id, 'File: ' || path || chr(10) || 'Package: ' || language || chr(10) || chr(10) || content AS context FROM files")
 def embedding_context(v: Views) -> DataFrame:
     return v.files.select("id", ask.embedding_context(F.col("content"), F.col("path"), F.col("language"), parent=F.lit(None).cast("string")).alias("context"))
 
@@ -687,8 +687,8 @@ def keyword_bm25(v: Views) -> DataFrame:
     return ranking.bm25(v.files.select("id", F.col("content").alias("text")), ["thing", "que", "from"])
 
 
-@query("""WITH a AS (SELECT chunk_id AS id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS s FROM scored WHERE chunk_id < 200),
-k AS (SELECT doc_id AS id, (n_chars - min(n_chars) OVER ()) / (max(n_chars) OVER () - min(n_chars) OVER ())::DOUBLE AS k FROM documents WHERE doc_id BETWEEN 100 AND 300)
+@query("""WITH a AS (SELECT chunk_id AS id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS s FROM scored),
+k AS (SELECT doc_id AS id, (n_chars - min(n_chars) OVER ()) / (max(n_chars) OVER () - min(n_chars) OVER ())::DOUBLE AS k FROM documents)
 SELECT coalesce(a.id, k.id) AS id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(k, 0), 6) AS hybrid FROM a FULL JOIN k ON a.id = k.id""")
 def fusion_minmax(v: Views) -> DataFrame:
     hits = search.scored(v.embeddings, v.query_vector()).select(F.col("chunk_id").alias("id"), "score")
@@ -720,8 +720,8 @@ def intent_classify(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(q,) for q in _QUESTIONS], "query string").select("query", text.classify_intent(F.col("query")).alias("intent"))
 
 
-@query("""WITH r AS (SELECT a.chunk_id AS query_id, b.chunk_id AS id, a.model = b.model AS hit, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.chunk_id) AS rank FROM vectors a, vectors b WHERE a.chunk_id < 25 AND b.chunk_id <> a.chunk_id),
-w AS (SELECT a.chunk_id AS query_id, count(*) AS wanted FROM vectors a JOIN vectors b ON a.model = b.model AND a.chunk_id <> b.chunk_id WHERE a.chunk_id < 25 GROUP BY 1)
+@query("""WITH r AS (SELECT a.chunk_id AS query_id, b.chunk_id AS id, a.model = b.model AS hit, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.chunk_id) AS rank FROM vectors a, vectors b WHERE a.chunk_id % 100 = 0 AND b.chunk_id <> a.chunk_id),
+w AS (SELECT a.chunk_id AS query_id, count(*) AS wanted FROM vectors a JOIN vectors b ON a.model = b.model AND a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0 GROUP BY 1)
 SELECT r.query_id, round(count(*) FILTER (hit AND rank <= 5) / 5.0, 6)::DOUBLE AS precision_5, round(count(*) FILTER (hit AND rank <= 20) / any_value(wanted)::DOUBLE, 6) AS recall_20,
  round(coalesce(sum(1 / log2(rank + 1.0)) FILTER (hit AND rank <= 10), 0) / any_value(list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1.0)))), 6) AS ndcg_10, round(avg(rank) FILTER (hit), 6) AS acr
 FROM r JOIN w ON w.query_id = r.query_id WHERE rank <= 50 GROUP BY r.query_id""")
@@ -774,7 +774,7 @@ def family_expansion(v: Views) -> DataFrame:
     return ranking.expand_family(v.spark.createDataFrame([("n3",)], "id string"), v.hierarchy)
 
 
-@query("SELECT doc_id AS id, max(s)::DOUBLE AS score FROM (SELECT doc_id, doc_id % 7 AS s FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id, doc_id % 5 FROM documents WHERE doc_id BETWEEN 30 AND 80) GROUP BY 1")
+@query("SELECT doc_id AS id, max(s)::DOUBLE AS score FROM (SELECT doc_id, doc_id % 7 AS s FROM documents UNION ALL SELECT doc_id, doc_id % 5 FROM documents) GROUP BY 1")
 def query_rewrite_merge(v: Views) -> DataFrame:
     d = v.table("documents").select(F.col("doc_id").alias("id"))
     return ranking.merge_rewrites(d.withColumn("score", (F.col("id") % 7).cast("double")), d.withColumn("score", (F.col("id") % 5).cast("double")))
@@ -789,7 +789,7 @@ def cascade_stages(v: Views) -> DataFrame:
     return ranking.cascade(rows, F.col("score"), fine, fine + F.col("id") % 10 / 100).select("id")
 
 
-@query("SELECT string_agg(part, chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM (SELECT s.chunk_id, s.score, '### ' || row_number() OVER (ORDER BY s.score DESC, s.chunk_id) || '. ' || f.path || ' (score ' || printf('%.3f', s.score) || ')' || chr(10) || substr(f.content, 1, 60) AS part FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 5) s JOIN files f ON f.id = s.chunk_id)")
+@query("SELECT string_agg(part, chr(10) || chr(10) ORDER BY score DESC, chunk_id) AS context FROM (SELECT s.chunk_id, s.score, '### ' || row_number() OVER (ORDER BY s.score DESC, s.chunk_id) || '. ' || f.path || ' (score ' || printf('%.3f', s.score) || ')' || chr(10) || f.content AS part FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 5) s JOIN files f ON f.id = s.chunk_id)")
 def prompt_context(v: Views) -> DataFrame:
     hits = search.similar_chunks(v.embeddings, v.query_vector(), 5).select("chunk_id", "score").join(v.files.select(F.col("id").alias("chunk_id"), "path", "content"), "chunk_id")
     return ask.context(hits)
