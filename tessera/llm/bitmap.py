@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,16 @@ def holds(packed: bytes, keys: np.ndarray) -> np.ndarray:
     """Whether the bits of these 64-bit keys are set."""
     bit = keys.view(np.uint64) & np.uint64((1 << BITS) - 1)
     return (np.frombuffer(packed, np.uint8)[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def rows_with(rows: DataFrame, key: Column, packed: bytes, have: bool = True) -> DataFrame:
+    """The rows whose key's bit is set - or isn't -, in one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(holds(packed, np.asarray(batch.column(batch.num_columns - 1))) == have)
+            for low in range(0, len(some), 256):
+                at = pa.array(some[low : low + 256])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(batch.num_columns - 1)], names=batch.schema.names[:-1])
+
+    return rows.select("*", key.alias("-key-")).mapInArrow(run, rows.schema)

@@ -41,13 +41,13 @@ def column(name: str) -> Column:
 def materialise(df: DataFrame, compact: bool = False, **options) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
 
-    ``compact``: by two tasks a core at most, one shuffle partition after the other, so that tables of keys and
-    links don't come as thousands of small files.
+    ``compact``: by two tasks a core, or one for eight shuffle partitions, so that tables of keys and links don't
+    come as thousands of small files; a task takes one shuffle partition after the other.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     if compact:
-        df = df.coalesce(2 * max(spark.sparkContext.defaultParallelism, 1))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.options(**options).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
