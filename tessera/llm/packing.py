@@ -1,12 +1,14 @@
 """Packing: best-fit decreasing into windows of a fixed number of tokens.
 
-Each partition is packed as it is read, in groups of bounded size, so nothing is shuffled and a lost task
-packs the same group again.  In a group, documents longer than a window are first cut into full windows; what
-is left is taken longest first, and a segment tree over the remaining capacities finds the tightest open
-window that holds it.  Thousands of documents a group leave about half a window a group empty.
+Documents longer than a window are first cut into full windows.  What is left of them, and the shorter ones, is packed
+where it is read, in groups of bounded size, so that hardly anything is shuffled and a lost task packs the same group
+again: longest first, and a segment tree over the remaining capacities finds the tightest open window that
+holds a piece.  Windows that a group leaves unfilled are opened again, emptiest first: their pieces go on to the task's next group, and those of
+its last group to a second pass, in which the pieces of all tasks meet.  So the padding doesn't grow with the number of partitions.
 
 Defined results: a null text is an empty one and holds the end id alone; null and repeated ids are kept as
-rows of their own; an empty table gives no rows; other columns are left out.
+rows of their own; an empty table gives no rows; a very long text is encoded by stretches and held as ids, four bytes
+each; other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.llm.store import materialise
 from tessera.llm.textblocks import blocks
 from tessera.llm.tokens import encoder
 
 #: A group is packed when it holds so many tokens or documents (64 MB of ids).
 GROUP_TOKENS, GROUP_DOCUMENTS = 16 << 20, 1 << 17
+#: A window emptier than this is unfilled; so many tokens of unfilled windows are opened again by a group.
+FILLED, REOPENED = 0.99, 1 << 18
+#: Tokens of a group of the second pass (2 MB of ids).
+SECOND_TOKENS = 1 << 19
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -86,52 +94,100 @@ def cut(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc, start, np.minimum(tokens[doc] - start, capacity)
 
 
+class Pieces:
+    """Pieces held for packing: their documents' ids and sizes, where they start, and their token ids end to end."""
+
+    def __init__(self, capacity: int, sequence: int):
+        self.capacity, self.sequence = capacity, sequence
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple] = []
+        self.tokens = self.count = 0
+
+    def add(self, key: pa.Array, start: np.ndarray, length: np.ndarray, tokens: np.ndarray, ids: np.ndarray) -> None:
+        if len(start):
+            self.parts.append((key, start, length, tokens, ids))
+            self.tokens, self.count = self.tokens + len(ids), self.count + len(start)
+
+    def packed(self, again: bool) -> Iterator[pa.RecordBatch]:
+        """The group's windows; with ``again`` the pieces of unfilled ones stay held instead."""
+        if not self.parts:
+            return
+        keys, *rest = zip(*self.parts)
+        key, (start, length, tokens, ids) = pa.concat_arrays(keys), (np.concatenate(x) for x in rest)
+        at = np.cumsum(length) - length
+        self.clear()
+        window, offset, opened = best_fit_decreasing(length, self.capacity)
+        fill = np.bincount(window, length, opened).astype(np.int64)
+        emptiest = np.argsort(fill, kind="stable")
+        loose = np.zeros(opened, bool)
+        loose[emptiest[(fill[emptiest] < FILLED * self.capacity) & (np.cumsum(fill[emptiest]) <= REOPENED)]] = True
+        back = loose[window]
+        yield from self._rows(key, start, length, tokens, ids, at, np.flatnonzero(~back if again else np.ones(len(start), bool)), self.sequence + window, offset, back & (not again))
+        self.sequence += opened
+        if again:
+            some = np.flatnonzero(back)
+            self.add(key.take(pa.array(some)), start[some], length[some], tokens[some], ids[spread(at[some], length[some])])
+
+    def whole(self, key: pa.Array, start: np.ndarray, length: np.ndarray, tokens: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pieces that fill a window each."""
+        n = len(start)
+        yield from self._rows(key, start, length, tokens, ids, at, np.arange(n), self.sequence + np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool))
+        self.sequence += n
+
+    @staticmethod
+    def _rows(key, start, length, tokens, ids, at, some, sequence, offset, loose) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(some), 1024):
+            s = some[low : low + 1024]
+            bounds = np.concatenate([[0], np.cumsum(length[s] * 4)])
+            raw = pa.py_buffer(ids[spread(at[s], length[s])].tobytes())
+            binary = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), raw])
+            yield pa.RecordBatch.from_arrays(
+                [key.take(pa.array(s)), pa.array(start[s]), pa.array(length[s]), binary, pa.array(tokens[s]), pa.array(sequence[s]), pa.array(offset[s]), pa.array(loose[s])],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loose"],
+            )
+
+
+def spread(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers at[i] ... at[i] + length[i] - 1, i after i."""
+    return np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """One row a piece of a document: its ids (little-endian unsigned 32-bit) and its place in a sequence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 33
-        keys: list[pa.Array] = []
-        texts: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            tokens, key = np.concatenate(counts), pa.concat_arrays(keys)
-            ids, begin = np.concatenate(texts), np.concatenate([[0], np.cumsum(tokens)])
-            doc, start, length = cut(tokens, capacity)
-            window, offset, opened = best_fit_decreasing(length, capacity)
-            at = (begin[doc] + start) * 4
-            for low in range(0, len(doc), 4096):
-                s = slice(low, low + 4096)
-                size = length[s] * 4
-                bounds = np.concatenate([[0], np.cumsum(size)])
-                # pieces stand in document order, so theirs is one stretch of the group's ids
-                raw = pa.py_buffer(ids[at[s][0] // 4 : at[s][0] // 4 + bounds[-1] // 4].tobytes())
-                binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), raw])
-                yield pa.RecordBatch.from_arrays(
-                    [key.take(pa.array(doc[s])), pa.array(start[s]), pa.array(length[s]), binary, pa.array(tokens[doc[s]]), pa.array(sequence + window[s]), pa.array(offset[s])],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
-            sequence += opened
-            for held in (keys, texts, counts):
-                held.clear()
-
-        tokens = documents = 0
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, held = encoder(tokenizer), Pieces(capacity, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for low, high, data, offsets in blocks(batch.column(1)):
                 ids, at = enc.encode(data, offsets)
                 n = high - low
                 full = np.full(len(ids) + n, end_id, np.uint32)
                 full[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
-                keys.append(batch.column(0).slice(low, n))
-                texts.append(full)
-                counts.append(np.diff(at) + 1)
-                tokens, documents = tokens + len(full), documents + n
-                if tokens >= GROUP_TOKENS or documents >= GROUP_DOCUMENTS:
-                    yield from flush()
-                    tokens = documents = 0
-        if counts:
-            yield from flush()
-
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+                tokens, key = np.diff(at) + 1, batch.column(0).slice(low, n)
+                doc, start, length = cut(tokens, capacity)
+                begin, filled = (at[:-1] + np.arange(n))[doc] + start, length == capacity
+                one = np.flatnonzero(filled)
+                yield from held.whole(key.take(pa.array(doc[one])), start[one], length[one], tokens[doc[one]], full, begin[one])
+                one = np.flatnonzero(~filled)
+                held.add(key.take(pa.array(doc[one])), start[one], length[one], tokens[doc[one]], full[spread(begin[one], length[one])])
+                if held.tokens >= GROUP_TOKENS or held.count >= GROUP_DOCUMENTS:
+                    yield from held.packed(again=True)
+        yield from held.packed(again=False)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Pieces(capacity, (1 << 62) + (TaskContext.get().partitionId() << 33))
+        for batch in batches:
+            length = np.asarray(batch.column(2))
+            ids = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32)
+            held.add(batch.column(0), np.asarray(batch.column(1)), length, np.asarray(batch.column(4)), ids)
+            if held.tokens >= GROUP_TOKENS:
+                yield from held.packed(again=True)
+        yield from held.packed(again=False)
+
+    placed = materialise(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(first, SCHEMA + ", loose boolean"))
+    loose = placed.filter("loose").drop("loose")
+    tokens = loose.agg(F.sum("length")).first()[0] or 0
+    again = loose.repartition(-(-tokens // SECOND_TOKENS) or 1).mapInArrow(second, SCHEMA + ", loose boolean")
+    return placed.filter("not loose").unionAll(again).drop("loose")

@@ -15,7 +15,7 @@ from array import array
 
 import numpy as np
 
-from tessera.llm.textblocks import SPACE, mix, prefix_hashes, runs, span_hashes
+from tessera.llm.textblocks import BLOCK_BYTES, SPACE, mix, prefix_hashes, runs, span_hashes
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -72,7 +72,27 @@ class Encoder:
         self.used += len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids (uint32) of the texts data[offsets[i]:offsets[i+1]], end to end, and their offsets."""
+        """Token ids (uint32) of the texts data[offsets[i]:offsets[i+1]], end to end, and their offsets.
+
+        A block's one long text is cut at white space, where the tokenizer cuts it, too.
+        """
+        n, parts, a = len(data), [], 0
+        if n <= 2 * BLOCK_BYTES or len(offsets) > 2:
+            return self._block(data, offsets)
+        while a < n:
+            b = min(a + BLOCK_BYTES, n)
+            spaces = np.flatnonzero(SPACE[data[a:b]])
+            if b < n and len(spaces):
+                b = a + int(spaces[-1]) + 1
+            while b < n and not SPACE[data[b - 1]]:  # a stretch without white space stays whole
+                more = np.flatnonzero(SPACE[data[b : b + BLOCK_BYTES]])
+                b = b + int(more[0]) + 1 if len(more) else min(b + BLOCK_BYTES, n)
+            parts.append(self._block(data[a:b], np.array([0, b - a]))[0])
+            a = b
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

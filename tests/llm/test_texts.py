@@ -120,6 +120,22 @@ def test_packing_in_groups(odd_docs, odd_rows, monkeypatch):
     assert got.select("doc_id", "start").count() == packing.pack(odd_docs, PATH, 2, 64).count()
 
 
+@pytest.mark.parametrize("partitions", [1, 32, 211])
+def test_padding_does_not_grow_with_partitions(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    got = packing.pack(docs, PATH, 2, 1024).groupBy("sequence_id").agg(F.sum("length").alias("fill")).collect()
+    assert max(r["fill"] for r in got) <= 1024
+    assert sum(r["fill"] for r in got) >= 0.99 * 1024 * len(got)
+
+
+def test_a_very_long_text(spark, encoder):
+    text = "Wort it's 12 Größe, " * 100_000 + "x" * 700_000 + " ende"
+    docs = spark.createDataFrame([(1, text), (2, "kurz")], "doc_id bigint, text string")
+    ids = [*direct(encoder, text), 2]
+    got = {r["start"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(docs, PATH, 2, 4096).filter("doc_id = 1").collect()}
+    assert [x for s in sorted(got) for x in got[s]] == ids
+
+
 def test_token_files(spark, odd_docs, odd_rows, encoder):
     path = shared_dir(spark)
     tokenfile.write_token_files(odd_docs, path, PATH, 1, metadata=["lang", "source"])
