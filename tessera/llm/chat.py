@@ -8,15 +8,18 @@ A message whose text is a JSON object may carry tool calls or a tool's result:
 
 Any other text is content as it stands.  Calls and results are hash-joined on (conversation, id).  Messages get
 a topological order: a message's place is (``order_turn``, ``order_level``, ``turn``), and a result comes after
-its call, a call after the results it uses, whatever their turns say.  Arguments are checked against schemas;
+the message with its call, a message after the results that its calls use, whatever their turns say.  Where the turns of a
+conversation say the same, they are the order, and no round is needed; only the other conversations' messages are
+settled in rounds, as many as their longest chain.  Arguments are checked against schemas;
 each message becomes one line of canonical JSON (keys in order at every depth, no white space).
 
 ``link`` is null for plain messages; ``linked`` where call and result meet; else the first that holds of
-``cyclic`` (a call that uses, over others, its own result), ``duplicate`` (a call whose id an earlier one has),
-``no_result``, ``orphan`` (a result without a call).
+``cyclic`` (a message that waits, over others, for its own result, or for such a message's), ``duplicate`` (a call whose id
+an earlier one has), ``no_result``, ``orphan`` (a result without a call).
 
 Defined results: a null text gives ``"content":null``; a null role ``"role":null``; null conversations or ids
-link with nothing; repeated rows give a line each; an empty table gives no rows; other columns are left out.
+link with nothing; messages of equal conversation and turn are one in the order; repeated rows give a line each; a very
+long text is a value like others, and no conversation has to fit a task; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialise
+from tessera.llm.store import delete_on_exit, discard, materialise, shared_dir
 
 #: Tool -> argument -> (JSON type, whether it must be there).
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -120,62 +123,90 @@ def _line(rows: DataFrame) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", _json("content", F.when(structured, inner).otherwise(text)), _json("role", role), result, calls), F.lit("}"))
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level, at): calls after all results they use; level is null on a cycle.
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A hash join; ``b`` has one row a key, so that no key is hot on the side that is held."""
+    return a.join(b.hint("shuffle_hash"), on, how)
 
-    calls: conv_id, id, turn, uses - one row an id.  A round settles every call whose needs are settled, so the
-    rounds are as many as the longest chain; without any use there is none.
+
+def _after(turn: Column, at: Column, level: Column) -> Column:
+    """The place of a message of this turn that must come after (at, level)."""
+    behind = at >= turn
+    return F.struct(F.when(behind, at).otherwise(turn).alias("at"), F.when(behind, level + 1).otherwise(0).alias("level"))
+
+
+def _places(messages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, place): each message with calls after all results it uses; place is null on and behind a cycle.
+
+    messages: conv_id, turn.  edges: conv_id, turn, need (the turn of a call whose result is used), answered (the result's turn, or null).
     """
-    edges = calls.select("conv_id", "id", F.explode("uses").alias("need")).join(calls.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_semi")
-    edges = materialise(edges.distinct())
-    waiting = edges.select("conv_id", "id").distinct()
-    settled = calls.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("at"))
+    # Where every result stands before the message that uses it, turns are the order.
+    against = edges.filter(F.greatest("need", "answered") >= F.col("turn")).select("conv_id").distinct()
+    here = F.struct(F.col("turn").alias("at"), F.lit(0).alias("level")).alias("place")
+    edges = materialise(_joined(edges, against, ["conv_id"], "left_semi"), compact=True)
     if edges.isEmpty():
-        return settled
-    settled = materialise(settled)
+        discard(edges)
+        return messages.select("conv_id", "turn", here)
+    waits = edges.groupBy("conv_id", "turn").agg(F.count("*").alias("open"))
+    some = _joined(messages, against, ["conv_id"], "left_semi")
+    state = materialise(_joined(some, waits, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("open", F.lit(0)).alias("open"), here), compact=True)
+    path = shared_dir(messages.sparkSession)
     while True:
-        needs = edges.join(settled.select("conv_id", F.col("id").alias("need"), "level", "at"), ["conv_id", "need"], "left")
-        ready = needs.join(settled.select("conv_id", "id"), ["conv_id", "id"], "left_anti").groupBy("conv_id", "id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("at").alias("at"))
-        new = ready.filter("open = 0").join(calls.select("conv_id", "id", "turn"), ["conv_id", "id"]).select("conv_id", "id", (F.col("level") + 2).alias("level"), F.greatest("at", "turn").alias("at"))
-        new = materialise(new)
-        if new.isEmpty():
+        state.filter("open = 0").select("conv_id", "turn", "place").write.mode("append").parquet(path)
+        met = _joined(edges, state.filter("open = 0").select("conv_id", F.col("turn").alias("need"), "place"), ["conv_id", "need"])
+        answer = _after(F.coalesce("answered", "need"), F.col("place.at"), F.col("place.level"))
+        behind = met.select("conv_id", "turn", answer.alias("answer")).groupBy("conv_id", "turn").agg(F.count("*").alias("met"), F.max("answer").alias("answer"))
+        waiting = _joined(state.filter("open > 0"), behind, ["conv_id", "turn"], "left")
+        later = F.when(F.col("answer").isNull(), F.col("place")).otherwise(F.greatest("place", F.struct(F.col("answer.at").alias("at"), (F.col("answer.level") + 1).alias("level"))))
+        after = materialise(waiting.select("conv_id", "turn", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), later.alias("place")), compact=True)
+        discard(state)
+        state = after
+        if state.filter("open = 0").isEmpty():
             break
-        settled = materialise(settled.unionAll(new))
-    rest = calls.join(settled.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
-    return settled.unionAll(rest.select("conv_id", "id", F.lit(None).cast("int").alias("level"), F.col("turn").alias("at")))
+    delete_on_exit(messages.sparkSession, path)
+    settled = messages.sparkSession.read.schema(state.drop("open").schema).parquet(path)
+    rest = state.select("conv_id", "turn", F.lit(None).cast(state.schema["place"].dataType).alias("place"))
+    discard(edges)
+    return _joined(messages, against, ["conv_id"], "left_anti").select("conv_id", "turn", here).unionAll(settled).unionAll(rest)
 
 
 def format_chat(conversations: DataFrame, schemas: Schemas) -> DataFrame:
     """conv_id, turn, role, order_turn, order_level, link, tool_errors, message: one row a message."""
     rows = _parsed(conversations).withColumn("errors", F.flatten(F.transform("calls", lambda c: _call_errors(c, _schema_map(schemas)))))
     rows = rows.withColumn("line", _line(rows))
-    each = rows.filter("size(calls) > 0").select("conv_id", "turn", F.explode("calls").alias("call")).filter("call.id is not null and conv_id is not null")
+    each = rows.filter("size(calls) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("calls").alias("call"))
     # One row an id, however many calls repeat it: the earliest, so that no join multiplies rows.
-    calls = each.groupBy("conv_id", F.col("call.id").alias("id")).agg(F.min("turn").alias("turn"), F.min_by("call.uses", "turn").alias("uses"))
+    named = each.filter("call.id is not null").groupBy("conv_id", F.col("call.id").alias("id"))
+    calls = named.agg(F.min("turn").alias("need"))
     results = rows.filter("result_of is not null and conv_id is not null").groupBy("conv_id", F.col("result_of").alias("id")).agg(F.min("turn").alias("answered"))
-    linked = materialise(calls.join(results, ["conv_id", "id"], "left"))
-    places = materialise(linked.join(_levels(linked.select("conv_id", "id", "turn", "uses")), ["conv_id", "id"]))
-
-    # A message with calls stands where the last of them does.
-    owner = each.groupBy("conv_id", "turn", F.col("call.id").alias("id")).agg(F.count("*").alias("here")).join(places.select("conv_id", "id", F.col("turn").alias("first_turn"), "answered", "level", "at"), ["conv_id", "id"])
+    calls = materialise(_joined(calls, results, ["conv_id", "id"], "left"))
+    messages = materialise(each.select("conv_id", "turn").distinct())
+    uses = each.select("conv_id", "turn", F.explode("call.uses").alias("id")).distinct()
+    edges = materialise(_joined(uses, calls, ["conv_id", "id"]).select("conv_id", "turn", "need", "answered").distinct())
+    places = materialise(_places(messages, edges))
+
+    owner = each.filter("call.id is not null").groupBy("conv_id", "turn", F.col("call.id").alias("id")).agg(F.count("*").alias("here"))
+    owner = _joined(owner, calls, ["conv_id", "id"])
     verdict = (
-        F.when(F.count_if(F.col("level").isNull()) > 0, "cyclic")
-        .when(F.count_if((F.col("first_turn") < F.col("turn")) | (F.col("here") > 1)) > 0, "duplicate")
+        F.when(F.count_if((F.col("need") < F.col("turn")) | (F.col("here") > 1)) > 0, "duplicate")
         .when(F.count_if(F.col("answered").isNull()) > 0, "no_result")
         .otherwise("linked")
     )
-    callers = owner.groupBy("conv_id", "turn").agg(verdict.alias("call_link"), F.max("at").alias("call_at"), F.coalesce(F.max("level"), F.lit(0)).alias("call_level"))
-    answers = places.select("conv_id", F.col("id").alias("result_of"), F.col("at").alias("result_at"), F.coalesce("level", F.lit(0)).alias("result_level"), F.col("level").isNull().alias("looped"))
-    structured = rows.filter("size(calls) > 0 or result_of is not null").join(callers, ["conv_id", "turn"], "left").join(answers, ["conv_id", "result_of"], "left")
-    is_result = F.col("result_of").isNotNull()
-    structured = structured.select(
-        "conv_id", "turn", "role",
-        F.when(is_result, F.greatest("turn", F.coalesce("result_at", "turn"))).otherwise(F.greatest("turn", F.coalesce("call_at", "turn"))).alias("order_turn"),
-        F.when(is_result, F.when(F.col("result_at") >= F.col("turn"), F.col("result_level") + 1).otherwise(0)).otherwise(F.coalesce("call_level", F.lit(0))).cast("int").alias("order_level"),
-        F.when(is_result, F.when(F.col("result_at").isNull(), "orphan").when(F.col("looped"), "cyclic").otherwise("linked")).otherwise(F.coalesce("call_link", F.lit("no_result"))).alias("link"),
-        F.array_join("errors", "; ").alias("tool_errors"), F.col("line").alias("message"),
-    )
+    verdicts = owner.groupBy("conv_id", "turn").agg(verdict.alias("verdict"))
+    looped = F.col("place").isNull()
+    callers = _joined(places, verdicts, ["conv_id", "turn"], "left").select("conv_id", "turn", F.lit(True).alias("calls_known"), "place", F.when(looped, "cyclic").otherwise(F.coalesce("verdict", F.lit("no_result"))).alias("call_link"))
+    answers = _joined(calls.select("conv_id", F.col("id").alias("result_of"), F.col("need").alias("turn")), places, ["conv_id", "turn"])
+    answers = answers.select("conv_id", "result_of", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"))
+    structured = rows.filter("size(calls) > 0 or result_of is not null")
+    structured = _joined(_joined(structured, callers, ["conv_id", "turn"], "left"), answers, ["conv_id", "result_of"], "left")
+    is_result, here = F.col("result_of").isNotNull(), F.struct(F.col("turn").alias("at"), F.lit(0).alias("level"))
+    answer = F.when(F.col("call_turn").isNull(), here).otherwise(_after(F.col("turn"), F.coalesce("call_place.at", "call_turn"), F.coalesce("call_place.level", F.lit(0))))
+    place = F.when(is_result, answer).otherwise(F.coalesce("place", here))
+    link = F.when(is_result, F.when(F.col("call_turn").isNull(), "orphan").when(F.col("call_place").isNull(), "cyclic").otherwise("linked")).otherwise(F.coalesce("call_link", F.lit("no_result")))
+    structured = structured.withColumn("where", place).select(
+        "conv_id", "turn", "role", F.col("where.at").alias("order_turn"), F.col("where.level").cast("int").alias("order_level"), link.alias("link"), F.array_join("errors", "; ").alias("tool_errors"), F.col("line").alias("message")
+    )
     plain = rows.filter("not coalesce(size(calls) > 0, false) and result_of is null").select(
         "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_level"), F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("tool_errors"), F.col("line").alias("message")
     )
+    discard(messages, edges)
     return plain.unionAll(structured)

@@ -152,7 +152,7 @@ def test_chat(spark):
         assert r["link"] == LINKS.get(key), key
         assert (r["tool_errors"] or None) == ERRORS.get(key), key
         message = json.loads(r["message"])
-        assert r["message"] == json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False) or "tool_calls" in message or "tool_call_id" in message
+        assert r["message"] == json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         text = next(t for c, n, _, t in CHAT if (c, n) == key)
         if r["link"] is None:
             assert message == {"content": text, "role": r["role"]}
@@ -163,6 +163,78 @@ def test_chat(spark):
     assert chat.format_chat(table.limit(0), queries.TOOLS).count() == 0
 
 
+def brute_chat(rows):
+    """(link, place) of every call and result by plain Python: places by repeated passes over each conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        said = [(n, json.loads(t)) for c, n, _, t in rows if c == conv and t.startswith("{")]
+        calls, answered, uses = {}, {}, {}
+        for n, m in sorted(said, key=lambda x: x[0]):
+            for c in m.get("tool_calls", []):
+                calls.setdefault(c["id"], n)
+                uses.setdefault(n, set()).update(v[1:] for v in c["arguments"].values() if str(v).startswith("$"))
+            if "tool_call_id" in m:
+                answered.setdefault(m["tool_call_id"], n)
+        place = {}
+        while True:
+            new = {}
+            for n, ids in uses.items():
+                needs = [(calls[i], answered.get(i, calls[i])) for i in ids if i in calls]
+                if n not in place and all(c in place for c, _ in needs):
+                    after = [(place[c][0], place[c][1] + 2) if place[c][0] >= a else (a, 1) for c, a in needs]
+                    new[n] = max([(n, 0), *after])
+            if not new:
+                break
+            place.update(new)
+        natural = all(max(calls[i], answered.get(i, calls[i])) < n for n, ids in uses.items() for i in ids if i in calls)
+        for n, m in said:
+            if "tool_calls" in m:
+                ids = [c["id"] for c in m["tool_calls"]]
+                link = "cyclic" if n not in place else "duplicate" if len(set(ids)) < len(ids) or any(calls[i] < n for i in ids) else "no_result" if any(i not in answered for i in ids) else "linked"
+                out[conv, n] = (link, place.get(n, (n, 0)))
+            else:
+                call = calls.get(m["tool_call_id"])
+                at, level = place.get(call, (call, 0)) if call is not None else (-1, 0)
+                link = "orphan" if call is None else "linked" if call in place else "cyclic"
+                out[conv, n] = (link, (at, level + 1) if at >= n else (n, 0))
+        assert not natural or all(p == (n, 0) for n, p in place.items())
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for conv in range(120):
+        names = [f"c{k}" for k in range(rnd.randrange(1, 9))]
+        said = []
+        for k, name in enumerate(names):
+            use = [f"${x}" for x in rnd.sample(names if conv % 3 == 0 else names[:k], min(k, rnd.randrange(3)) if conv % 3 else rnd.randrange(min(3, len(names) + 1)))]
+            call = {"id": rnd.choice(names) if conv % 5 == 4 else name, "name": "search", "arguments": {"query": "q", **{f"u{j}": u for j, u in enumerate(use)}}}
+            said.append(("assistant", {"content": None, "tool_calls": [call]}))
+            if rnd.random() < 0.3 and len(said) > 1 and "tool_calls" in said[-2][1]:
+                said[-2][1]["tool_calls"] += said.pop()[1]["tool_calls"]
+            if rnd.random() < 0.8:
+                said.append(("tool", {"tool_call_id": rnd.choice([name, "nobody"]) if conv % 7 == 6 else name, "content": {"z": [1, None], "ä": "x"}}))
+        if conv % 2:
+            rnd.shuffle(said)
+        rows += [(conv, n, role, J(m)) for n, (role, m) in enumerate(said)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(table, queries.TOOLS).collect()}
+    want = brute_chat(rows)
+    assert len(got) == len(rows) == len(want)
+    assert {k: (r["link"], (r["order_turn"], r["order_level"])) for k, r in got.items()} == want
+    assert {link for link, _ in want.values()} == {"linked", "cyclic", "duplicate", "no_result", "orphan"}
+    texts = {(c, n): json.loads(t) | {"role": role} for c, n, role, t in rows}
+    for k, r in got.items():
+        assert r["message"] == json.dumps(texts[k], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_chat_long_chain_needs_no_rounds(spark):
+    rows = [(1, n, "assistant", J({"content": "x", "tool_calls": [{"id": f"c{n}", "name": "search", "arguments": {"query": f"$c{n - 2}"}}]})) if n % 2 == 0 else (1, n, "tool", J({"tool_call_id": f"c{n - 1}", "content": n})) for n in range(600)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert all((r["order_turn"], r["order_level"], r["link"]) == (r["turn"], 0, "linked") for r in chat.format_chat(table, queries.TOOLS).collect())
+
+
 def test_chat_keys_stand_in_order(spark):
     table = spark.createDataFrame([CHAT[1], CHAT[2]], "conv_id bigint, turn bigint, role string, text string")
     for r in chat.format_chat(table, queries.TOOLS).collect():
