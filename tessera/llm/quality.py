@@ -7,8 +7,9 @@ same way.  A score is the logistic function of the sum of the table entries at t
 
 At most ``labelled.MAX_ROWS`` labelled rows fit the model, on the driver; scoring is one pass over the texts.
 
-Defined results: null, empty and white texts have all-zero features and get the score of those; repeated rows
-get equal scores; without labelled rows, or with one label only, the smoothed rate of label 1 is everyone's
+Defined results: null, empty and white texts have all-zero features and get the score of those; very long texts
+are measured whole (a task holds some 20 bytes for each of their bytes); repeated rows
+get equal scores; an id that several rows of documents have takes no part in the fit; other columns are left out; without labelled rows, or with one label only, the smoothed rate of label 1 is everyone's
 score; an empty table gives no rows.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import MAX_ROWS, labelled_sample
-from tessera.llm.textblocks import LOWER, SPACE, blocks, prefix_hashes, runs, shingle_hashes, span_hashes
+from tessera.llm.textblocks import LOWER, SPACE, apart_hashes, blocks, runs, shingle_hashes
 
 FEATURES = (
     "log_words", "mean_word_bytes", "long_words", "upper", "digits", "marks", "signs", "bars", "exclamations", "non_ascii",
@@ -66,13 +67,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long = np.concatenate([[0], np.cumsum(ends - starts > 14)])
     out["long_words"] = np.diff(long[first]) / some
     for name, kind in _KINDS.items():
-        total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int32)])
-        out[name] = np.diff(total[offsets]) / letters
-    prefix = prefix_hashes(LOWER[data])
-    words = span_hashes(prefix, starts, ends)
+        at = np.flatnonzero(kind[data])
+        out[name] = np.diff(np.searchsorted(at, offsets)) / letters
+    words = apart_hashes(data, starts, ends, LOWER)
     line_starts, line_ends = runs(data != 10, offsets)
     line_first = np.searchsorted(line_starts, offsets)
-    line_hash = span_hashes(prefix, line_starts, line_ends)
+    line_hash = apart_hashes(data, line_starts, line_ends, LOWER)
     lines = np.diff(line_first).astype(float)
     out["lines"], out["line_words"] = lines / some, count / np.maximum(lines, 1)
     trigrams, tri_at = shingle_hashes(words, first, 3)

@@ -10,8 +10,9 @@ log-odds counts against the model.  So a neutral mention of a group doesn't rais
 
 At most ``MAX_ROWS`` labelled rows and ``MAX_TERMS`` terms fit the model; scoring is one pass over the texts.
 
-Defined results: null, empty and white texts hold no term and get the score of those; repeated rows get equal
-scores; without labelled rows, or with one label only, the smoothed rate of label 1 is everyone's score; an
+Defined results: null, empty and white texts hold no term and get the score of those; very long texts are scored
+whole, some words at a time; repeated rows get equal
+scores; an id that several rows of documents have takes no part in the fit; other columns are kept (``remove_toxic``), or left out (``score``); without labelled rows, or with one label only, the smoothed rate of label 1 is everyone's score; an
 empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import _WORD
 from tessera.llm.labelled import labelled_sample
-from tessera.llm.textblocks import LOWER, blocks, prefix_hashes, runs, span_hashes
+from tessera.llm.textblocks import BLOCK_BYTES, LOWER, apart_hashes, blocks, runs
 
 #: Terms of each kind are swapped for the next one of it.
 IDENTITY_TERMS = (
@@ -95,24 +96,59 @@ MAX_ROWS, MAX_TERMS, LEAST_TEXTS, LEAST_Z = 20_000, 4_096, 4, 5.0
 STEPS, CG_STEPS, RIDGE, SWAP_WEIGHT = 30, 60, 1e-4, 1.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = 3
+#: Words that are worked on at once.
+SLICE = 200_000
 
 
-def swap_identities(text: bytes) -> bytes:
-    """The lower-cased text with each identity term replaced by the next one of its kind."""
-    return re.sub(rb"[0-9a-z\x80-\xff]+", lambda m: SWAP.get(m[0], m[0]), text.lower())
+def swap_identities(text: bytes, limit: int = BLOCK_BYTES) -> bytes:
+    """The lower-cased text with each identity term replaced by the next one of its kind, a stretch at a time."""
+    text, out, a = text.lower(), [], 0
+    while a < len(text):
+        b = min(a + limit, len(text))
+        while b < len(text) and _WORD[text[b - 1]] and _WORD[text[b]]:
+            b += 1
+        out.append(re.sub(rb"[0-9a-z\x80-\xff]+", lambda m: SWAP.get(m[0], m[0]), text[a:b]))
+        a = b
+    return b"".join(out)
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text) of each term in a block, and the texts' numbers of words."""
+def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of a block's terms, by text and term, and the texts' numbers of words.
+
+    A term is its hash, or its number in the vocabulary, if there is one, and others are left out.  Words are
+    worked on ``SLICE`` at a time, so that a very long text takes the memory of its different terms.
+    """
     starts, ends = runs(_WORD[data], offsets)
-    count = np.diff(np.searchsorted(starts, offsets))
-    text, prefix = np.repeat(np.arange(len(offsets) - 1), count), prefix_hashes(LOWER[data])
-    hashes, owners = [span_hashes(prefix, starts, ends)], [text]
-    for n in BEGINNINGS:
-        long = ends - starts > n
-        hashes.append(span_hashes(prefix, starts[long], starts[long] + n) + np.uint64(n))
-        owners.append(text[long])
-    return np.concatenate(hashes), np.concatenate(owners), count
+    words = np.diff(np.searchsorted(starts, offsets))
+    owner, parts = np.repeat(np.arange(len(offsets) - 1), words), []
+    for a in range(0, len(starts), SLICE):
+        begin, end, text = starts[a : a + SLICE], ends[a : a + SLICE], owner[a : a + SLICE]
+        piece = data[begin[0] : end[-1]]
+        begin, end = begin - begin[0], end - begin[0]
+        hashes, owners = [apart_hashes(piece, begin, end, LOWER)], [text]
+        for n in BEGINNINGS:
+            long = end - begin > n
+            hashes.append(apart_hashes(piece, begin[long], begin[long] + n, LOWER) + np.uint64(n))
+            owners.append(text[long])
+        term, text = np.concatenate(hashes), np.concatenate(owners)
+        if vocabulary is not None:
+            at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
+            hit = np.flatnonzero(vocabulary[at] == term) if len(vocabulary) else np.zeros(0, np.int64)
+            term, text = at[hit].astype(np.uint64), text[hit]
+        parts.append(_summed(text, term, np.ones(len(text), np.int64)))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, words
+    if len(parts) > 1:
+        parts = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
+    return *parts[0], words
+
+
+def _summed(text: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((term, text))
+    text, term = text[order], term[order]
+    edge = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])])) if len(order) else order
+    return text[edge], term[edge], np.add.reduceat(times[order], edge) if len(edge) else times[:0]
 
 
 def levels(times: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -129,13 +165,8 @@ class ToxicityModel:
 
     def entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, number of term and level) of all levels reached."""
-        hashes, text, words = terms(data, offsets)
-        if not len(self.vocabulary) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        hit = np.flatnonzero(self.vocabulary[at] == hashes)
-        both, times = np.unique(text[hit] * len(self.vocabulary) + at[hit], return_counts=True)
-        text, term = both // len(self.vocabulary), both % len(self.vocabulary)
+        text, term, times, words = term_counts(data, offsets, self.vocabulary)
+        term = term.astype(np.int64)
         reached = levels(times, words[text])
         which = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
         return np.repeat(text, reached), np.repeat(term, reached) * LEVELS + which
@@ -206,13 +237,7 @@ def choose_vocabulary(sample: DataFrame) -> np.ndarray:
         for batch in batches:
             label = np.asarray(batch.column(1))
             for low, _, data, offsets in blocks(batch.column(0)):
-                hashes, text, words = terms(data, offsets)
-                if not len(hashes):
-                    continue
-                order = np.lexsort((hashes, text))
-                hashes, text = hashes[order], text[order]
-                edge = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]), [True]]))
-                hashes, text, times = hashes[edge[:-1]], text[edge[:-1]], np.diff(edge)
+                text, hashes, times, words = term_counts(data, offsets)
                 reached = levels(times, words[text])
                 toxic = label[low + text].astype(np.float64)
                 for level in range(1, LEVELS + 1):
