@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import map_rows
+
 BITS = 24
 _BYTES = 4096  # of what bitmap_construct_agg gives
 
@@ -32,12 +34,12 @@ def holds(packed: bytes, keys: np.ndarray) -> np.ndarray:
 
 def rows_with(rows: DataFrame, key: Column, packed: bytes, have: bool = True) -> DataFrame:
     """The rows whose key's bit is set - or isn't -, in one pass without a shuffle."""
+    name = "key" + "_" * max(map(len, rows.columns))  # no other column's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = np.flatnonzero(holds(packed, np.asarray(batch.column(batch.num_columns - 1))) == have)
             for low in range(0, len(some), 256):
-                at = pa.array(some[low : low + 256])
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(batch.num_columns - 1)], names=batch.schema.names[:-1])
+                yield batch.take(pa.array(some[low : low + 256]))
 
-    return rows.select("*", key.alias("-key-")).mapInArrow(run, rows.schema)
+    return map_rows(rows.select("*", key.alias(name)), run).drop(name)

@@ -16,7 +16,8 @@ Step 3 leaves no candidate out, and pairs of one label need no comparison: the c
 links, without pairs growing with the square of a group of near copies.
 
 Defined results: a null, empty or white text has an empty set and is linked with nothing; repeated rows and
-ties are in one class; null ids never name a component unless it has no other; an empty table gives no rows.
+ties are in one class; null ids never name a component unless it has no other; a very long text is one set like others (a task holds
+some 20 bytes for each of its bytes); an empty table gives no rows; other columns are kept (``keep_one``) or left out.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontam, jaccard, packing, quality, sharding, suffixes, tokenfile, topk, toxicity
 from tessera.llm.labelled import remainder
-from tessera.llm.store import shared_dir, small_batches
+from tessera.llm.store import delete_on_exit, shared_dir, small_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -125,6 +125,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=1)
+    delete_on_exit(spark, path)
     read = tokenfile.read_token_files(spark, path)
     return tokenfile.token_checksums(read.select("doc_id", "start", "n_tokens", "tokens"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,12 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_rows(df: DataFrame, run: Callable) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, whatever their names; ``run`` finds them by their numbers."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def materialise(df: DataFrame, compact: bool = False, **options) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
 

@@ -7,7 +7,9 @@ sizes, and the writer leaves page indexes, so a reader fetches only the columns,
 
 Defined results: a null text is an empty one and has the end id alone; null ids come first in the order, ties
 among equal ids go by the text's checksum; repeated rows are kept; an empty table gives files without rows;
-other columns of the input are left out unless named in ``metadata``.
+other columns of the input are left out unless named in ``metadata``, and written under their own names, but for those that
+the files' columns have already (in any case), which get ``_`` at their ends; a very long text is encoded by stretches, and its
+ids are one row.
 """
 
 from __future__ import annotations
@@ -21,21 +23,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.store import column
 from tessera.llm.textblocks import blocks
 from tessera.llm.tokens import encoder
 
+#: The files' own columns, and what a reader adds.
+OWN = {"doc_id", "text", "file_part", "first_token", "n_tokens", "tokens", "start", "part_start", "part_tokens", "ids_crc32"}
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns in ``keep``, file_part, first_token (of the part's ids before it), n_tokens, tokens."""
+    width = 1 + len(keep)
+    names = [*(f"c{i}" for i in range(width)), "file_part", "first_token", "n_tokens", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rest = batch.schema.get_field_index("text")
-            names = [n for n in batch.schema.names if n != "text"]
-            for low, high, data, offsets in blocks(batch.column(rest)):
+            for low, high, data, offsets in blocks(batch.column(width)):
                 ids, at = enc.encode(data, offsets)
                 n = high - low
                 full = np.full(len(ids) + n, end_id, np.int32)
@@ -44,25 +49,30 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, keep: Sequenc
                 start = before + bounds
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(x).slice(low, n) for x in names),
+                        *(batch.column(x).slice(low, n) for x in range(width)),
                         pa.array(np.full(n, part, np.int32)),
                         pa.array(start[:-1]),
                         pa.array(np.diff(bounds)),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(full)),
                     ],
-                    names=[*names, "file_part", "first_token", "n_tokens", "tokens"],
+                    names=names,
                 )
                 before = int(start[-1])
 
-    kept = docs.select("doc_id", *keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(run, f"{schema}, file_part int, first_token bigint, n_tokens bigint, tokens array<int>")
+    kept = docs.select("doc_id", *map(column, keep), "text")
+    plain = kept.toDF(*(f"c{i}" for i in range(width + 1)))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema.fields[:width]))
+    out = plain.mapInArrow(run, f"{schema}, file_part int, first_token bigint, n_tokens bigint, tokens array<int>")
+    return out.toDF(*kept.columns[:width], *names[width:])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, metadata: Sequence[str] = ()) -> None:
     """Write the documents' ids, in ascending doc_id, under ``path``; ``metadata`` names columns to write beside them."""
     keys = [F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")).asc_nulls_first()]
-    ordered = docs.select("doc_id", *metadata, "text").repartitionByRange(*keys, F.monotonically_increasing_id())
+    names = {c: c + "_" * (c.lower() in OWN) for c in metadata}
+    docs = docs.select("doc_id", *(column(c).alias(n) for c, n in names.items()), "text")
+    metadata = list(names.values())
+    ordered = docs.repartitionByRange(*keys, F.monotonically_increasing_id())
     (
         encode_documents(ordered.sortWithinPartitions(*keys), tokenizer, end_id, metadata)
         .write.option("compression", "zstd")

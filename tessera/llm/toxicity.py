@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import _WORD
 from tessera.llm.labelled import labelled_sample
+from tessera.llm.store import map_rows
 from tessera.llm.textblocks import BLOCK_BYTES, LOWER, apart_hashes, blocks, runs
 
 #: Terms of each kind are swapped for the next one of it.
@@ -314,9 +315,11 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
 def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The documents that score less than ``threshold``, in one pass and without a shuffle."""
 
+    text = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+            for low, high, data, offsets in blocks(batch.column(text)):
                 yield batch.slice(low, high - low).filter(pa.array(model.score(data, offsets) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -154,6 +154,25 @@ def test_token_files(spark, odd_docs, odd_rows, encoder):
     assert any("DICTIONARY" in e for e in column.encodings) and column.has_offset_index
 
 
+def test_metadata_with_clashing_names(spark):
+    path = shared_dir(spark)
+    docs = spark.createDataFrame([(1, "a b", "x", 5, "q"), (2, None, None, 6, None)], "doc_id bigint, text string, tokens string, Start int, `a.b` string")
+    tokenfile.write_token_files(docs, path, PATH, 1, metadata=["tokens", "Start", "a.b"])
+    read = tokenfile.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["start"], len(r["tokens"]), r["tokens_"], r["Start_"], r["a.b"]) for r in read] == [(1, 0, 3, "x", 5, "q"), (2, 3, 1, None, 6, None)]
+
+
+def test_numbers_are_delta_encoded_and_pages_indexed(spark, odd_docs):
+    path = shared_dir(spark)
+    tokenfile.write_token_files(odd_docs, path, PATH, 1)
+    for f in spark.read.parquet(path).inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:")).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+            assert "DELTA_BINARY_PACKED" in columns["first_token"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+            assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index and columns["first_token"].statistics.has_min_max
+
+
 def test_empty_tables(spark, no_docs):
     assert packing.pack(no_docs, PATH, 2).count() == 0
     path = shared_dir(spark)
