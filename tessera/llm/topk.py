@@ -20,7 +20,7 @@ beyond 64 bits raise an error, since they have no integer to stand for them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -86,11 +86,15 @@ def rounding(width: int) -> float:
     return (width + 16) * 2.0**-52
 
 
+def _most(x: np.ndarray, q: np.ndarray) -> int:
+    return int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(x.shape[1], 1)
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact inner products: in doubles where no sum can round, else in 64-bit integers, else in Python's."""
     w = min(x.shape[1], q.shape[1])
     x, q = x[:, :w], q[:, :w]
-    most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(w, 1)
+    most = _most(x, q)
     if most < 1 << 53:
         return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
     if most < 1 << 63:
@@ -101,36 +105,47 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def scorer(x: np.ndarray, q: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """``products`` of some rows with one query; what all rows need is done once."""
+    w = min(x.shape[1], q.shape[1])
+    if _most(x[:, :w], q[:, :w]) < 1 << 53:
+        whole, asked = x[:, :w].astype(np.float64), q[:, :w].astype(np.float64)
+        return lambda rows, i: (whole[rows] @ asked[i]).astype(np.int64)
+    return lambda rows, i: products(x[rows], q[i : i + 1])[:, 0]
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qid: np.ndarray, q: np.ndarray, dq: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's number, vec_ids, scores) of the best k rows of the block that can still be among the query's best k."""
     xn, qn = (x.astype(np.float64) ** 2).sum(1), (q.astype(np.float64) ** 2).sum(1)
     off, pivots = rounding(max(x.shape[1], q.shape[1])), dx.T.copy()
+    scored = scorer(x, q)
     for a in range(0, len(q), AT_ONCE):
         some = slice(a, a + AT_ONCE)
-        low = np.zeros((len(q[some]), len(x)))
+        low, gap = np.zeros((len(q[some]), len(x))), np.empty((len(q[some]), len(x)))
         for p, d in enumerate(pivots):
-            mine = dq[some, p, None]
-            gap = np.abs(mine - d)
-            gap -= off * (mine + d)
-            np.maximum(low, gap, out=low)
+            np.subtract(dq[some, p, None], d, out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
+        low -= off * (dq[some].max(1, initial=0) + dx.max(initial=0))[:, None]  # more than any two distances can be off
+        np.maximum(low, 0, out=low)
         total = qn[some, None] + xn
         bounds = (total - low * low) / 2 + 8 * off * total + 1
         bounds[qid[some, None] == ids] = -np.inf
         for i, bound in enumerate(bounds, a):
             floor = least[i]
-            rest = np.flatnonzero(bound >= floor)
+            rest = np.flatnonzero((bound >= floor) & (bound > -np.inf))
             rest = rest[np.argsort(-bound[rest], kind="stable")]
-            best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for c in range(0, len(rest), BATCH):
-                if bound[rest[c]] < floor or bound[rest[c]] == -np.inf:
-                    break
-                near = rest[c : c + BATCH]
-                near = near[bound[near] > -np.inf]
-                best_ids, best = np.concatenate([best_ids, ids[near]]), np.concatenate([best, products(x[near], q[i : i + 1])[:, 0]])
-                order = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[order], best[order]
-                if len(best) == k:
-                    floor = max(floor, best[-1])
+            best_ids, best, c, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, BATCH
+            while c < len(rest) and bound[rest[c]] >= floor:
+                near = rest[c : c + size]
+                got = scored(near, i)
+                some_ = np.flatnonzero(got >= floor)
+                if len(some_):
+                    best_ids, best = np.concatenate([best_ids, ids[near[some_]]]), np.concatenate([best, got[some_]])
+                    order = np.lexsort((best_ids, -best))[:k]
+                    best_ids, best = best_ids[order], best[order]
+                    if len(best) == k:
+                        floor = max(floor, best[-1])
+                c, size = c + size, 2 * size
             if len(best):
                 yield i, best_ids, best
 

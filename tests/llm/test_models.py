@@ -48,12 +48,12 @@ def test_bounds_leave_candidates_out():
     ids = np.arange(len(x))
     pivots = topk.far_apart(x, 24)
     calls = []
-    original = topk.products
-    topk.products = lambda a, b: calls.append(len(a)) or original(a, b)
+    original = topk.scorer
+    topk.scorer = lambda a, b: lambda rows, i, f=original(a, b): calls.append(len(rows)) or f(rows, i)
     try:
         list(topk.search_block(ids, x, topk.distances(x, pivots), ids[:1], x[:1], topk.distances(x[:1], pivots), np.array([np.iinfo(np.int64).min]), 5))
     finally:
-        topk.products = original
+        topk.scorer = original
     assert sum(calls) <= 300 < len(x)
 
 
