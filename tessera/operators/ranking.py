@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import INTENT_WEIGHTS
+from tessera.operators.lineage import cut
 
 #: Weights of the final score.
 FINAL_WEIGHTS = {"hybrid": 0.5, "keyword": 0.2, "importance": 0.15, "freshness": 0.1, "path": 0.05}
@@ -22,27 +24,28 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _count(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == term))
+def _count(found: Column, term: str) -> Column:
+    return F.size(F.filter(found, lambda x: x == term))
 
 
 def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R-02: id and keyword score of the documents (id, text) that hold a query term.
 
-    Term counts are taken where the text is; only the query's terms leave the scan.
+    Each text is cut into terms once; only its length and the counts of the query's terms leave the scan, and the
+    statistics and the scores are taken from these.
     """
     wanted = sorted({t.lower() for t in query})
-    rows = docs.select("id", terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), *(_count("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
-    score = F.lit(0.0)
+    counts = lambda t: F.struct(F.size(t).alias("len"), *(_count(t, w).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    # a lambda's argument is evaluated once, a projected column once for each use
+    rows = cut(docs.select("id", F.transform(F.array(terms(F.col("text"))), counts)[0].alias("c")).select("id", "c.*"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()
+    score, any_ = F.lit(0.0), F.lit(False)
     for i in range(len(wanted)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    any_ = F.lit(False)
-    for i in range(len(wanted)):
-        any_ = any_ | (F.col(f"tf{i}") > 0)
-    return rows.filter(any_).join(F.broadcast(stats)).select("id", F.round(score, 6).alias("keyword"))
+        n, df, tf = stats["n"], stats[f"df{i}"], F.col(f"tf{i}")
+        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
+        any_ = any_ | (tf > 0)
+    return rows.filter(any_).select("id", F.round(score, 6).alias("keyword"))
 
 
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,7 +100,7 @@ def merge_rewrites(*hits: DataFrame) -> DataFrame:
 def expand_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """R-08: query_id and its terms with their synonyms (term, synonym)."""
     rows = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    more = rows.join(F.broadcast(synonyms), "term").select("query_id", F.col("synonym").alias("term"))
+    more = rows.join(synonyms, "term").select("query_id", F.col("synonym").alias("term"))
     return rows.unionAll(more).distinct()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ def limit_or(limit: int | None, default: int = DEFAULT_LIMIT) -> int:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it is small; a larger one is left to the shuffle joins."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """The table, computed once and broadcast, if it has ``BROADCAST_ROWS`` rows at most; a larger one is left to the shuffle joins."""
+    held = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)) if held.num_rows <= BROADCAST_ROWS else df
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -67,14 +70,23 @@ def chunks_of(embeddings: DataFrame, files: DataFrame) -> DataFrame:
     return embeddings.join(files, embeddings["chunk_id"] == files["id"]).drop(files["id"])
 
 
-def search_by_product(embeddings: DataFrame, files: DataFrame, snapshots: DataFrame, sources: DataFrame, product_id: int, query: Sequence[float], k: int | None = None, path_prefix: str | None = None, content_type: str | None = None) -> DataFrame:
-    """B-03: chunks in the latest indexed snapshots of a product's sources."""
+def latest_of_product(snapshots: DataFrame, sources: DataFrame, product_id: int) -> DataFrame:
+    """snapshot_id: the latest indexed snapshots of a product's sources."""
     mine = sources.filter(F.col("product_id") == product_id).select(F.col("id").alias("source_id"))
-    latest = latest_snapshots(snapshots.join(mine, "source_id", "left_semi")).select(F.col("id").alias("snapshot_id"))
-    rows = chunks_of(embeddings, filtered(files, path_prefix, content_type).join(small(latest), "snapshot_id"))
+    return small(latest_snapshots(snapshots.join(mine, "source_id", "left_semi")).select(F.col("id").alias("snapshot_id")))
+
+
+def search_within(embeddings: DataFrame, files: DataFrame, latest: DataFrame, query: Sequence[float], k: int | None = None, path_prefix: str | None = None, content_type: str | None = None) -> DataFrame:
+    """B-03: chunks in the snapshots of ``latest``."""
+    rows = chunks_of(embeddings, filtered(files, path_prefix, content_type).join(latest, "snapshot_id"))
     return top(scored(rows, query), "chunk_id", limit_or(k)).select("chunk_id", "path", "score")
 
 
+def search_by_product(embeddings: DataFrame, files: DataFrame, snapshots: DataFrame, sources: DataFrame, product_id: int, query: Sequence[float], k: int | None = None, path_prefix: str | None = None, content_type: str | None = None) -> DataFrame:
+    """B-03: chunks in the latest indexed snapshots of a product's sources."""
+    return search_within(embeddings, files, latest_of_product(snapshots, sources, product_id), query, k, path_prefix, content_type)
+
+
 def search_by_source(embeddings: DataFrame, files: DataFrame, snapshots: DataFrame, source_id: str, query: Sequence[float], k: int | None = None, path_prefix: str | None = None, content_type: str | None = None) -> DataFrame:
     """B-04: chunks in a source's latest indexed snapshot (one row, so it is broadcast)."""
     latest = latest_snapshot(snapshots, source_id).select(F.col("id").alias("snapshot_id"))
@@ -97,7 +109,7 @@ def search_summaries(summaries: DataFrame, embeddings: DataFrame, query: Sequenc
     if path_prefix:
         summaries = summaries.filter(F.col("target_path").startswith(path_prefix))
     if within is not None:
-        summaries = summaries.join(small(within), "snapshot_id", "left_semi")
+        summaries = summaries.join(within, "snapshot_id", "left_semi")
     rows = summaries.join(embeddings, summaries["id"] == embeddings["chunk_id"])
     return top(scored(rows, query), "id", limit_or(k, DEFAULT_SUMMARIES)).select("id", "snapshot_id", "summary_type", "target_path", "arch_type", "score")
 
@@ -152,26 +164,75 @@ def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("id", "file_id", "ordinal", "prev_id", "next_id")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """The queries (query_id, ...) dealt by their ids into blocks that are broadcast one by one."""
+def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries (query_id, query_vector, ...) dealt by their ids into blocks of some ``QUERY_BLOCK`` rows."""
     n = queries.count() // QUERY_BLOCK + 1
     for i in range(n):
-        yield F.broadcast(queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+        yield (queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toArrow()
 
 
-def batch_top_k(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k for a set of queries (query_id, query_vector): every query meets every row, a block of queries at a time.
+def _unit(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows of length one; those that are null, zero, or of another width or with nulls, become NaN."""
+    out = np.full((len(column), width), np.nan)
+    lists = column.cast(pa.list_(pa.float64()))
+    own = np.flatnonzero(np.asarray(lists.value_lengths().fill_null(-1)) == width)
+    flat = lists.take(pa.array(own)).flatten()
+    if width and len(own):
+        out[own] = flat.to_numpy(zero_copy_only=False).reshape(len(own), width)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out /= np.sqrt((out * out).sum(1))[:, None]
+    return out
 
-    WindowGroupLimit keeps k rows a query in each task before the shuffle.
-    """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
 
-    def best(block: DataFrame) -> DataFrame:
-        pairs = embeddings.join(block).withColumn("score", vector.score(F.col("vector"), F.col("query_vector")))
-        ranked = pairs.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order))
-        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+def batch_top_k(embeddings: DataFrame, queries: DataFrame, k: int, digits: int = 6, itself: bool = True) -> DataFrame:
+    """query_id, rank, chunk_id, score: exact top-k for a set of queries (query_id, query_vector), a block of queries at a time.
 
-    return reduce(DataFrame.unionAll, map(best, query_blocks(queries)))
+    Every query meets every row: a task multiplies its rows, an Arrow batch at a time, with the block's queries and keeps k rows a query,
+    so what is shuffled is k rows a query and task.  ``itself``: whether a query's own row counts.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def best(block: pa.Table) -> DataFrame:
+        vectors = block.column("query_vector").combine_chunks()
+        sizes = np.unique(np.asarray(vectors.value_lengths().fill_null(0)))
+        sides = [(w, _unit(vectors, w)) for w in sizes.tolist() if w]
+        ids = block.column("query_id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for batch in batches:
+                for low in range(0, batch.num_rows, 4096):
+                    part = batch.slice(low, 4096)
+                    chunk = np.asarray(part.column(0))
+                    for width, q in sides:
+                        scores = np.round(q @ _unit(part.column(1), width).T, digits)
+                        if not itself:
+                            scores[np.asarray(ids)[:, None] == chunk] = np.nan
+                        some = np.flatnonzero(np.isfinite(scores).any(1))
+                        for i in some.tolist():
+                            rows = np.flatnonzero(np.isfinite(scores[i]))
+                            rows = rows[np.lexsort((chunk[rows], -scores[i, rows]))[:k]]
+                            held.append((np.full(len(rows), i), chunk[rows], scores[i, rows]))
+                if len(held) > 64 * len(ids) + 64:
+                    held = [_kept(held, k)]
+            if held:
+                at, chunk, score = _kept(held, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(chunk), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+        return embeddings.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "vector").filter("chunk_id is not null").mapInArrow(run, f"query_id {kind}, chunk_id bigint, score double")
+
+    found = reduce(DataFrame.unionAll, map(best, query_blocks(queries)))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _kept(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, chunk, score = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((chunk, -score, at))
+    at, chunk, score = at[order], chunk[order], score[order]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1]]), np.arange(len(at)), 0)) if len(at) else at
+    keep = np.arange(len(at)) - first < k
+    return at[keep], chunk[keep], score[keep]
 
 
 def max_sim(query: DataFrame, documents: DataFrame) -> DataFrame:

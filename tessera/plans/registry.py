@@ -70,8 +70,7 @@ def search_similar_global(v: Views) -> DataFrame:
  FROM vectors a, vectors b WHERE a.chunk_id % 100 = 0) WHERE rank <= 5""")
 def batch_topk(v: Views) -> DataFrame:
     queries = v.embeddings.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    out = search.batch_top_k(v.embeddings, queries, 5)
-    return out.withColumn("score", F.round("score", 6))
+    return search.batch_top_k(v.embeddings, queries, 5)
 
 
 _SUMMARY = """SELECT s.id, s.snapshot_id, s.summary_type, s.target_path, s.arch_type, c.score FROM summaries s JOIN scored c ON c.chunk_id = s.id"""
@@ -98,16 +97,14 @@ def summary_search_by_product(v: Views) -> DataFrame:
 
 
 def _latest_of(v: Views, product: int) -> DataFrame:
-    mine = v.sources.filter(F.col("product_id") == product).select(F.col("id").alias("source_id"))
-    return search.latest_snapshots(v.snapshots.join(mine, "source_id", "left_semi")).select(F.col("id").alias("snapshot_id"))
+    return search.latest_of_product(v.snapshots, v.sources, product)
 
 
 @query(f"""SELECT 'chunk' AS kind, chunk_id AS id, score FROM (SELECT s.chunk_id, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
 WHERE o.product_id = 1 ORDER BY s.score DESC, s.chunk_id LIMIT 10) UNION ALL SELECT 'summary', id, score FROM ({_SUMMARY} JOIN latest l ON l.id = s.snapshot_id JOIN sources o ON o.id = l.source_id WHERE o.product_id = 1 ORDER BY c.score DESC, s.id LIMIT 5)""")
 def hybrid_union(v: Views) -> DataFrame:
-    q = v.query_vector()
-    chunks = search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 1, q)
-    return search.hybrid(chunks, search.search_summaries(v.summaries, v.embeddings, q, within=_latest_of(v, 1)))
+    q, latest = v.query_vector(), _latest_of(v, 1)
+    return search.hybrid(search.search_within(v.embeddings, v.files, latest, q), search.search_summaries(v.summaries, v.embeddings, q, within=latest))
 
 
 @query("""SELECT c.id, c.file_id, c.ordinal, p.id AS prev_id, n.id AS next_id FROM chunks c LEFT JOIN chunks p ON p.file_id = c.file_id AND p.ordinal = c.ordinal - 1
@@ -727,13 +724,7 @@ SELECT r.query_id, round(count(*) FILTER (hit AND rank <= 5) / 5.0, 6)::DOUBLE A
 FROM r JOIN w ON w.query_id = r.query_id WHERE rank <= 50 GROUP BY r.query_id""")
 def retrieval_metrics(v: Views) -> DataFrame:
     q = v.embeddings.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("model").alias("wanted"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-
-    def first_50(block: DataFrame) -> DataFrame:
-        pairs = v.embeddings.join(block, F.col("chunk_id") != F.col("query_id"))
-        return pairs.withColumn("score", vector.score(F.col("vector"), F.col("query_vector"), 9)).withColumn("rank", F.row_number().over(order)).filter("rank <= 50").select("query_id", "rank", F.col("chunk_id").alias("id"))
-
-    ranked = reduce(DataFrame.unionAll, map(first_50, search.query_blocks(q.drop("wanted"))))
+    ranked = search.batch_top_k(v.embeddings, q.drop("wanted"), 50, digits=9, itself=False).select("query_id", "rank", F.col("chunk_id").alias("id"))
     relevant = v.embeddings.join(search.small(q.drop("query_vector")), (F.col("model") == F.col("wanted")) & (F.col("chunk_id") != F.col("query_id"))).select("query_id", F.col("chunk_id").alias("id"))
     return ranking.retrieval_metrics(ranked, relevant)
 
