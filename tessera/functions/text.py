@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Line endings that ask for what follows.
 INCOMPLETE_ENDINGS = (":", "、", ",")
+#: Words after which something is announced.
+ANNOUNCING = ("以下の", "次の", "以下に", "次に", "following", "next", "below")
 #: Relative parts of a path that decide its domain; the first domain that matches wins.
 DOMAIN_PATTERNS = (
     ("tests", r"(_test\.[^/]*$)|(^|/)(test|tests|__tests__|spec)/"),
@@ -83,12 +87,22 @@ def classify_intent(query: Column) -> Column:
 
 
 def incomplete_ending(text: Column) -> Column:
-    """Whether the last line leaves something open (C-03)."""
-    last = F.rtrim(text)
-    out = F.lit(False)
-    for ending in INCOMPLETE_ENDINGS:
-        out = out | last.endswith(ending)
-    return out
+    """Whether the last line that isn't blank leaves something open (C-03): by its end, or by an announcing word before a mark."""
+    last = F.regexp_extract(text, r"([^\n]*\S)\s*\z", 1)
+    words = "|".join(ANNOUNCING)
+    return last.rlike(rf"(?:{'|'.join((*INCOMPLETE_ENDINGS, *ANNOUNCING))})\z") | last.rlike(rf"(?:{words})[:、]")
+
+
+def trimmed(text: Column, most: int) -> Column:
+    """The longest prefix of at most ``most`` estimated tokens (C-08)."""
+    return F.substring(text, 1, 4 * most)
+
+
+def unit_lines(text: Column, patterns: Sequence[str]) -> Column:
+    """The numbers, from 1, of the lines that begin a unit of source code (C-04)."""
+    lines = F.split(text, "\n")
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike("|".join(f"(?:{p})" for p in patterns)), i + 1))
+    return F.filter(marked, lambda x: x.isNotNull())
 
 
 def source_name(url: Column) -> Column:

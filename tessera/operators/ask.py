@@ -109,10 +109,41 @@ def ask(question: str, chunks: DataFrame, summaries: DataFrame, model: Callable[
 
 #: A wiki's sections and files.
 SECTIONS = (("overview", "README.md"), ("tech_stack", "tech-stack.md"), ("data_flow", "data-flow.md"), ("components", "components.md"))
+#: What is searched for a section's page.
+QUESTIONS = {
+    "overview": "プロダクトの目的、解決する課題、提供する価値",
+    "tech_stack": "使用技術、ツール、プラットフォーム、依存関係",
+    "data_flow": "情報の流れ、処理の流れ、ワークフロー",
+    "components": "主要な構成要素、機能モジュール、それらの関係性",
+}
+
+
+def wiki_prompt(section: str, structure: str | None, code: str | None) -> str:
+    return "\n\n".join((f"Write the page '{section}' of a project's wiki in Markdown: {QUESTIONS[section]}.", f"## Structure\n{structure or '(nothing found)'}", f"## Code\n{code or '(nothing found)'}"))
+
+
+def section_contexts(find: Callable[[Sequence[float]], tuple[DataFrame, DataFrame]], embedder: Embedder) -> DataFrame:
+    """B-14: section, structure, code: the prompt text of the summaries and chunks that a hybrid search finds for each section.
+
+    find: (chunks, summaries), each chunk_id, path, content, score, for a query's vector.  One plan for the four sections.
+    """
+    out = None
+    for section, _ in SECTIONS:
+        chunks, summaries = find(embedder.embed([QUESTIONS[section]])[0])
+        code, structure = context(chunks).withColumnRenamed("context", "code"), context(summaries).withColumnRenamed("context", "structure")
+        row = structure.join(code).select(F.lit(section).alias("section"), "structure", "code")  # a row each
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def generate_wiki(contexts: DataFrame, model: Callable[[str], str], out: str) -> dict[str, str]:
+    """B-14, S-17: the four pages from ``section_contexts``, each by one call of the model with retries."""
+    found = {r["section"]: r for r in contexts.collect()}  # four rows
+    return wiki(lambda section: with_retry(lambda: model(wiki_prompt(section, found[section]["structure"], found[section]["code"]))), out)
 
 
 def wiki(pages: Callable[[str], str], out: str) -> dict[str, str]:
-    """B-14, S-17: write the four pages; a section that fails becomes a page that says so."""
+    """S-17: write the four pages; a section that fails becomes a page that says so."""
     os.makedirs(out, exist_ok=True)
     written = {}
     for section, name in SECTIONS:

@@ -1,13 +1,15 @@
-"""Directory trees, roll-ups and change-driven summaries (A-05, D-05 to D-09, H-07, H-08, S-08, S-09)."""
+"""Directory trees, roll-ups and change-driven summaries (A-05, A-16, D-05 to D-10, H-07, H-08, S-08, S-09)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.coverage import check_failure_rate
 from tessera.operators.lineage import cut
 
 ARCHITECTURE_TYPES = ("overview", "tech_stack", "data_flow", "components")
@@ -75,14 +77,102 @@ def summarise(now: DataFrame, summaries: DataFrame, write: Callable[[Column], Co
     return summaries.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+#: What a summary is of, and what it was written from.
+KEY = ("summary_type", "target_path", "arch_type")
+SUMMARY = ("snapshot_id", *KEY, "depth", "source_hash", "content", "content_hash")
+
+
+def bounded_body(rows: DataFrame, group: Sequence[str], most: int = PROMPT_BYTES) -> DataFrame:
+    """group and body: the lines (path, line) in the order of their paths, as many as ``most`` bytes hold, the first one cut to it.
+
+    A running sum picks the lines before they are collected, so a group of any size leaves a bounded row.
+    """
+    order = Window.partitionBy(*group).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("_sum", F.sum(F.octet_length("line") + 1).over(order)).withColumn("_n", F.count("*").over(order)).filter((F.col("_sum") <= most + 1) | (F.col("_n") == 1))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
+    body = F.substring(F.array_join(lines, "\n").cast("binary"), 1, most).cast("string")
+    return held.groupBy(*group).agg(body.alias("body"))
+
+
+def renewed(now: DataFrame, old: DataFrame, write: Callable[[Column], Column], most_failed: float = 0.3) -> DataFrame:
+    """D-05, D-08, A-16: summaries of ``now`` (KEY, snapshot_id, depth, source_hash, body): old contents where the source is the same, else written.
+
+    A summary that the model fails to write (NULL) is left out; more than ``most_failed`` of those written raise.
+    """
+    held = old.filter("content is not null").dropDuplicates([*KEY, "source_hash"]).select(*(F.col(c).alias(f"_old_{c}") for c in (*KEY, "source_hash", "content")))
+    condition = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in (*KEY, "source_hash")])
+    mine = ("snapshot_id", *KEY, "depth", "source_hash")
+    kept = now.join(held, condition).select(*mine, F.col("_old_content").alias("content"))
+    new = cut(now.join(held, condition, "left_anti").select(*mine, write(F.col("body")).alias("content")))
+    check_failure_rate(new.select(F.col("content").isNull().alias("failed")), most=most_failed)
+    rows = kept.unionAll(new.filter("content is not null"))
+    return cut(rows.withColumn("content_hash", F.sha2("content", 256)).select(*SUMMARY))
+
+
+def of_files(files: DataFrame) -> DataFrame:
+    """What file summaries are written from: files (snapshot_id, path, content_hash, content)."""
+    body = F.substring(F.col("content").cast("binary"), 1, PROMPT_BYTES).cast("string")
+    return files.select("snapshot_id", F.lit("file").alias("summary_type"), F.col("path").alias("target_path"), F.lit(None).cast("string").alias("arch_type"), F.lit(None).cast("int").alias("depth"), F.col("content_hash").alias("source_hash"), body.alias("body"))
+
+
+def of_directories(children: DataFrame, depth: int) -> DataFrame:
+    """D-06, D-07: what the summaries of one depth are written from: the summaries of their files and subdirectories."""
+    group = ("snapshot_id", "target_path")
+    rows = children.select("snapshot_id", text.dirname(F.col("target_path")).alias("target_path"), F.col("target_path").alias("path"), "source_hash", F.concat("target_path", F.lit(": "), "content").alias("line"))
+    hashes = rows.groupBy(*group).agg(text.merkle(F.collect_list("source_hash")).alias("source_hash"))
+    bodies = bounded_body(rows, group)
+    return hashes.join(bodies, list(group)).select("snapshot_id", F.lit("directory").alias("summary_type"), "target_path", F.lit(None).cast("string").alias("arch_type"), F.lit(depth).alias("depth"), "source_hash", "body")
+
+
+def of_architecture(directories_: DataFrame) -> DataFrame:
+    """D-08: what the four architecture summaries of each snapshot are written from: its directories' summaries."""
+    rows = directories_.select("snapshot_id", F.col("target_path").alias("path"), "source_hash", F.concat("target_path", F.lit(": "), "content").alias("line"))
+    hashes = rows.groupBy("snapshot_id").agg(text.merkle(F.collect_list("source_hash")).alias("source_hash"))
+    per = hashes.join(bounded_body(rows, ("snapshot_id",)), "snapshot_id")
+    kinds = F.explode(F.array(*[F.lit(k) for k in ARCHITECTURE_TYPES])).alias("arch_type")
+    per = per.select("snapshot_id", "source_hash", "body", kinds)
+    return per.select("snapshot_id", F.lit("architecture").alias("summary_type"), F.lit("").alias("target_path"), "arch_type", F.lit(None).cast("int").alias("depth"), "source_hash", F.concat("arch_type", F.lit("\n"), "body").alias("body"))
+
+
 def architecture(directories_: DataFrame, write: Callable[[Column], Column]) -> DataFrame:
-    """D-08: the four architecture summaries of each snapshot (snapshot_id, content, hash, files); counts are summed, not lost."""
+    """The four architecture texts of each snapshot from its directories' numbers (snapshot_id, hash, files); counts are summed, not lost."""
     per = directories_.groupBy("snapshot_id").agg(text.merkle(F.collect_list("hash")).alias("source_hash"), F.sum("files").alias("files"), F.count("*").alias("directories"))
     kinds = F.explode(F.array(*[F.lit(k) for k in ARCHITECTURE_TYPES])).alias("arch_type")
     rows = per.select("snapshot_id", "source_hash", "files", "directories", kinds)
     return rows.withColumn("content", write(F.format_string("%s: %d files in %d directories", "arch_type", "files", "directories")))
 
 
+def summarise_all(files: DataFrame, old: DataFrame, write: Callable[[Column], Column], most_failed: float = 0.3) -> DataFrame:
+    """D-09: the summaries (SUMMARY) of files, then of directories from the deepest up, then of the architecture.
+
+    Each step reads what the one before wrote; nothing whose source_hash has a summary in ``old`` is written again, and each
+    depth of directories has a failure gate of its own.
+    """
+    done = renewed(of_files(files), old, write, most_failed)
+    below, directories_ = done, None
+    depth = done.agg(F.max(text.depth(text.dirname(F.col("target_path"))))).first()[0]
+    for d in range(depth if depth is not None else -1, -1, -1):
+        here = below.filter((F.col("target_path") != "") & (text.depth(text.dirname(F.col("target_path"))) == d))
+        level = renewed(of_directories(here, d), old, write, most_failed)
+        below = below.unionAll(level)
+        directories_ = level if directories_ is None else directories_.unionAll(level)
+    if directories_ is None:
+        return done
+    return done.unionAll(directories_).unionAll(renewed(of_architecture(directories_), old, write, most_failed))
+
+
+def summary_id() -> Column:
+    return F.xxhash64("snapshot_id", *(F.coalesce(F.col(k), F.lit("")) for k in KEY))
+
+
+def upsert_vectors(summaries: DataFrame, old: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """D-10: summary_id, content_hash, vector of each summary; only contents that changed are embedded again."""
+    now = summaries.select(summary_id().alias("summary_id"), "content_hash", "content")
+    kept = now.join(old.select("summary_id", "content_hash", "vector"), ["summary_id", "content_hash"]).select("summary_id", "content_hash", "vector")
+    new = embed(now.join(old.select("summary_id", "content_hash"), ["summary_id", "content_hash"], "left_anti"))
+    return kept.unionAll(new.select("summary_id", "content_hash", "vector"))
+
+
 def edit_frequency(commits: DataFrame, since: str) -> DataFrame:
     """S-09: edits of each path since a time, and the last one."""
     return commits.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).groupBy("path").agg(F.count("*").alias("edits"), F.max("ts").alias("last_edit"))

@@ -146,10 +146,29 @@ def test_declarations():
     got = [(d.kind, d.name, d.parent, d.start, d.end) for d in gocode.declarations(SOURCE)]
     assert got == [("package", "calc", None, 2, 2), ("struct", "Calc", None, 11, 13), ("interface", "A", None, 16, 18), ("type", "B", None, 19, 19), ("method", "Add", "Calc", 23, 34), ("const", "X", None, 36, 36)]
     add = next(d for d in gocode.declarations(SOURCE) if d.name == "Add")
-    assert add.doc == "Add adds." and add.calls == ["check", "fmt.Println", "helper"] and "Num" in add.types and add.signature.endswith("Add(n Num) (int, error)")
+    assert add.doc == "Add adds." and add.calls == ["check", "fmt.Println", "helper"] and "Num" in add.types and add.signature == "Add (n Num) int, error"
     assert [b[0] for b in gocode.logic_blocks(add)] == ["initialization", "error_handling", "loop", "assignment"]
 
 
+@pytest.mark.parametrize(
+    "head, want",
+    [
+        ("func f()", "f ()"),
+        ("func (c *Calc) Do(a, b int, m map[string][]*pkg.T) error", "Do (a int, b int, m map[string][]*pkg.T) error"),
+        ("func g(int, ...string) (n int, err error)", "g (int, unknown) n int, err error"),
+        ("func h[T any](f func(a int) T, c chan int) interface{}", "h (f unknown, c unknown) interface{}"),
+        ("func k(a [4]byte, x interface{ M() }) []struct{ A int }", "k (a []byte, x interface{}) []unknown"),
+    ],
+)
+def test_signatures(head, want):
+    assert gocode.signature(head) == want
+
+
+@pytest.mark.parametrize("path, standard", [("net/http", True), ("network.example/x", False), ("golang.org/x/net", True), ("golang.org/y", False), ("github.com/a/b", False), ("mypkg/sub", True), ("go/ast", True), ("goji.io/x", False), ("encoding/json.v2", True)])
+def test_standard_paths(path, standard):
+    assert gocode.is_standard(path) == standard
+
+
 def test_imports():
     assert gocode.imports(SOURCE) == {"standard": ["fmt", "golang.org/x/net"], "external": ["github.com/x/y"]}
 
@@ -401,3 +420,93 @@ def test_index(spark, tmp_path):
     with pytest.raises(coverage.FailureRateError):
         indexing.index(docs, root, "p", "s", "v2", most_failed=0.1)
     assert not indexing.indexed(spark, root, "s@v2")
+
+
+def summary_files(spark):
+    rows = [("s", "a/b/x.go", "h1", "one"), ("s", "a/b/y.go", "h2", "two"), ("s", "a/z.go", "h3", "three"), ("s", "top.go", "h4", "four")]
+    return spark.createDataFrame(rows, "snapshot_id string, path string, content_hash string, content string")
+
+
+NO_SUMMARIES = "summary_type string, target_path string, arch_type string, source_hash string, content string"
+
+
+def test_summaries_of_files_directories_and_architecture(spark):
+    files, calls = summary_files(spark), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(body):
+        calls.add(1)
+        return f"<{body}>"
+
+    none = spark.createDataFrame([], NO_SUMMARIES)
+    first = summaries.summarise_all(files, none, model)
+    got = {(r["summary_type"], r["target_path"], r["arch_type"]): r for r in first.collect()}
+    assert len(got) == 4 + 3 + 4 and calls.value == 11
+    assert got["directory", "a/b", None]["content"] == "<a/b/x.go: <one>\na/b/y.go: <two>>" and got["directory", "a/b", None]["depth"] == 2
+    assert got["directory", "a", None]["content"] == f"<a/b: {got['directory', 'a/b', None]['content']}\na/z.go: <three>>"
+    assert got["architecture", "", "data_flow"]["content"].startswith("<data_flow\n: <")
+    # the same again: nothing is written; one file changed: it, what is above it, and the architecture are
+    again = summaries.summarise_all(files, first, model)
+    assert {(r["target_path"], r["content_hash"]) for r in again.collect()} == {(r["target_path"], r["content_hash"]) for r in got.values()} and calls.value == 11
+    changed = files.withColumn("content_hash", F.when(F.col("path") == "a/z.go", "h9").otherwise(F.col("content_hash"))).withColumn("content", F.when(F.col("path") == "a/z.go", "nine").otherwise(F.col("content")))
+    third = {(r["summary_type"], r["target_path"]): r["content"] for r in summaries.summarise_all(changed, first, model).collect()}
+    assert calls.value == 11 + 1 + 2 + 4 and "nine" in third["directory", ""] and third["directory", "a/b"] == got["directory", "a/b", None]["content"]
+
+
+def test_summary_gate_of_each_step(spark):
+    none, files = spark.createDataFrame([], NO_SUMMARIES), summary_files(spark)
+    one = summaries.summarise_all(files, none, lambda body: F.when(body != "one", body)).collect()  # one of four files fails: left out
+    assert "a/b/x.go" not in {r["target_path"] for r in one} and len(one) == 3 + 3 + 4
+    with pytest.raises(coverage.FailureRateError):
+        summaries.summarise_all(files, none, lambda body: F.when(~body.isin("one", "two"), body))
+    with pytest.raises(coverage.FailureRateError):  # the deepest directories, all of which fail
+        summaries.summarise_all(files, none, lambda body: F.when(~body.startswith("a/b/"), body))
+
+
+def test_hot_directories_have_bounded_bodies(spark):
+    rows = spark.range(3_000).select(F.lit("s").alias("g"), F.format_string("%05d", "id").alias("path"), F.repeat(F.lit("x"), 40).alias("line"))
+    (r,) = summaries.bounded_body(rows, ["g"], 8_000).collect()
+    assert r["body"] == "\n".join(["x" * 40] * 195) and len(r["body"]) <= 8_000
+    (r,) = summaries.bounded_body(spark.createDataFrame([("s", "p", "é" * 100)], "g string, path string, line string"), ["g"], 50).collect()
+    assert r["body"] == "é" * 25
+
+
+def test_summary_vectors_follow_contents(spark):
+    none = spark.createDataFrame([], NO_SUMMARIES)
+    first = summaries.summarise_all(summary_files(spark), none, lambda body: body)
+    empty = spark.createDataFrame([], "summary_id bigint, content_hash string, vector array<float>")
+    embed = lambda rows: ask.embed(rows, ask.HashingEmbedder(8))
+    vectors = summaries.upsert_vectors(first, empty, embed)
+    assert vectors.count() == vectors.select("summary_id").distinct().count() == 11
+    seen = []
+    summaries.upsert_vectors(first, vectors, lambda rows: seen.append(rows.count()) or embed(rows)).collect()
+    assert seen == [0]
+
+
+def test_wiki_from_section_contexts(spark, tmp_path):
+    hits = lambda name: spark.createDataFrame([(1, f"{name}.go", f"{name} text", 0.5), (2, "b.go", "other", 0.75)], "chunk_id bigint, path string, content string, score double")
+    asked = []
+    contexts = ask.section_contexts(lambda q: asked.append(q) or (hits("code"), hits("summary")), ask.HashingEmbedder(4))
+    assert len(asked) == 4 and contexts.count() == 4
+    written = ask.generate_wiki(contexts, lambda prompt: prompt if "data_flow" not in prompt else 1 / 0, str(tmp_path / "wiki"))
+    page = open(written["overview"]).read()
+    assert "### 1. b.go (score 0.750)\nother" in page and "summary text" in page.split("## Code")[0] and "could not be generated" in open(written["data_flow"]).read()
+
+
+@pytest.mark.parametrize("text, want", [("so:\n\n", True), ("a,", True), ("see the following", True), ("next: x", True), ("次の、もの", True), ("done.", False), ("below is x", False), ("", False), (None, None), ("x:\nend", False)])
+def test_incomplete_endings(spark, text, want):
+    from tessera.functions.text import incomplete_ending
+
+    row = spark.createDataFrame([(text,)], "t string").select(incomplete_ending(F.col("t")).alias("x")).first()
+    assert row["x"] == want
+
+
+def test_go_tables(spark):
+    files = spark.createDataFrame([(1, "Go", SOURCE), (2, "Go", "func ("), (3, "Go", None), (4, "Python", "import x\ndef f(): pass")], "id bigint, language string, content string")
+    rows = gocode.describe(files).collect()
+    assert [(r["kind"], r["name"]) for r in rows if r["id"] == 1] == [(d.kind, d.name) for d in gocode.declarations(SOURCE)]
+    assert [r["error"] is not None for r in rows if r["id"] == 2] == [True] and not [r for r in rows if r["id"] == 3]
+    assert [r["kind"] for r in gocode.logic(files).filter("id = 1").collect()] == ["initialization", "error_handling", "loop", "assignment"]
+    assert {(r["path"], r["is_standard"]) for r in gocode.imported(files).filter("id = 1").collect()} == {("fmt", True), ("golang.org/x/net", True), ("github.com/x/y", False)}
+    texts = {r["id"]: r["summary"] for r in gocode.summarised(files, len, 2_000).collect()}
+    assert texts[1].startswith("Language: Go") and "f" in texts[4] and len(texts) == 4
