@@ -88,7 +88,7 @@ def classify_intent(query: Column) -> Column:
 
 def incomplete_ending(text: Column) -> Column:
     """Whether the last line that isn't blank leaves something open (C-03): by its end, or by an announcing word before a mark."""
-    last = F.regexp_extract(text, r"([^\n]*\S)\s*\z", 1)
+    last = F.substring_index(F.rtrim(text, F.lit(" \t\n\x0b\f\r")), "\n", -1)
     words = "|".join(ANNOUNCING)
     return last.rlike(rf"(?:{'|'.join((*INCOMPLETE_ENDINGS, *ANNOUNCING))})\z") | last.rlike(rf"(?:{words})[:、]")
 

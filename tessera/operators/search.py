@@ -30,6 +30,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)) if held.num_rows <= BROADCAST_ROWS else df
 
 
+def by_key(table: DataFrame, key: str, value: object) -> DataFrame:
+    """F-10, F-12, F-17, S-07: the row of a key; the condition reaches the scan."""
+    return table.filter(F.col(key) == F.lit(value))
+
+
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     """A-06: the indexed snapshot of each source that was indexed last (NULLS LAST), then created last, then the smaller id."""
     order = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("indexed_at"), F.desc_nulls_last("created_at"), F.asc("id"))

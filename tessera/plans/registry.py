@@ -6,16 +6,16 @@ written over the same roles in SQL.  Queries without SQL are checked by tests.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text, vector
-from tessera.operators import ask, catalog, chunking, coverage, graph, ranking, search, summaries
+from tessera.functions import text
+from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, indexing, ranking, search, summaries
 from tessera.plans.oracle_views import with_views
-from tessera.sources import content_type, ignore
+from tessera.sources import content_type, ignore, repository
 from tessera.sources.views import Views
 from tessera.streaming import edits
 
@@ -584,18 +584,32 @@ def line_metrics(v: Views) -> DataFrame:
 _CODE = ["package a\n\n// one\nfunc f() {\n\tif a && b {\n\t}\n}\n", "/* x */ y\n/* open\nstill\nclose */\nz := 1\n\n", "", "// all\n// comments"]
 
 
-@query("SELECT * FROM (VALUES (0, 5, 0.166667, 3), (1, 1, 0.8, 1), (2, 0, 0.0, 1), (3, 0, 1.0, 1)) t(id, loc, comment_ratio, complexity)")
+def _case(v: Views, values: list) -> DataFrame:
+    """id of every document, and the value that stands at id modulo the number of values."""
+    return v.table("documents").select(F.col("doc_id").alias("id"), F.get(F.array(*[F.lit(x) for x in values]), (F.col("doc_id") % len(values)).cast("int")).alias("value"))
+
+
+def _case_sql(columns: list[str], rows: list[tuple]) -> str:
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x).lower()
+    values = ", ".join(f"({i}, {', '.join(map(text, r))})" for i, r in enumerate(rows))
+    return f"SELECT d.doc_id AS id, {', '.join(columns)} FROM documents d JOIN (VALUES {values}) t(k, {', '.join(columns)}) ON t.k = d.doc_id % {len(rows)}"
+
+
+@query(_case_sql(["loc", "comment_ratio", "complexity"], [(5, 0.166667, 3), (1, 0.8, 1), (0, 0.0, 1), (0, 1.0, 1)]))
 def comment_ratio(v: Views) -> DataFrame:
-    rows = v.spark.createDataFrame(list(enumerate(_CODE)), "id int, content string").withColumn("m", text.code_lines(F.col("content")))
-    return rows.select("id", F.col("m.loc"), F.round(text.comment_ratio(F.col("m")), 6).alias("comment_ratio"), text.branch_count(F.col("content")).alias("complexity"))
+    rows = _case(v, _CODE).withColumn("m", text.code_lines(F.col("value")))
+    return rows.select("id", F.col("m.loc"), F.round(text.comment_ratio(F.col("m")), 6).alias("comment_ratio"), text.branch_count(F.col("value")).alias("complexity"))
 
 
 _MARKDOWN = [(1, "intro\n# A\ntext\n```\n# no\n```\n## B\n| x |\n# still table |\nend\n# C"), (2, "no heading"), (3, "# only\n\n#x\n"), (4, "```\n# never closed")]
 
 
-@query("SELECT * FROM (VALUES (1, 0, 1, 1), (1, 1, 2, 6), (1, 2, 7, 10), (1, 3, 11, 11), (2, 0, 1, 1), (3, 0, 1, 2), (3, 1, 3, 4), (4, 0, 1, 2)) t(id, section, start_line, end_line)")
+_SECTIONS = [[(0, 1, 1), (1, 2, 6), (2, 7, 10), (3, 11, 11)], [(0, 1, 1)], [(0, 1, 2), (1, 3, 4)], [(0, 1, 2)]]
+
+
+@query("SELECT d.doc_id AS id, section, start_line, end_line FROM documents d JOIN (VALUES " + ", ".join(f"({k}, {a}, {b}, {c})" for k, x in enumerate(_SECTIONS) for a, b, c in x) + ") t(k, section, start_line, end_line) ON t.k = d.doc_id % 4")
 def md_sections(v: Views) -> DataFrame:
-    return chunking.sections(v.spark.createDataFrame(_MARKDOWN, "id int, text string"))
+    return chunking.sections(_case(v, [t for _, t in _MARKDOWN]).withColumnRenamed("value", "text"))
 
 
 @query("SELECT id, 'p/' || split_part(path, '/', 1) || '/' || path || '#L1-L' || len(string_split(content, chr(10))) || ':0@' || language AS chunk_key FROM files")
@@ -608,9 +622,9 @@ _PATHS = ["a/x_test.go", "tests/b.py", "scripts/run.py", "x/deploy.sh", "docs/a.
 _DOMAINS = ["tests", "tests", "ops", "ops", "architecture", "architecture", "infra", "infra", "infra", "code", "tests", "infra"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{d}')" for p, d in zip(_PATHS, _DOMAINS)) + ") t(path, domain)")
+@query(_case_sql(["path", "domain"], list(zip(_PATHS, _DOMAINS))))
 def domain_classify(v: Views) -> DataFrame:
-    return v.spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", text.classify_domain(F.col("path")).alias("domain"))
+    return _case(v, _PATHS).select("id", F.col("value").alias("path"), text.classify_domain(F.col("value")).alias("domain"))
 
 
 @query("SELECT id, token_count FROM chunks WHERE token_count >= 100")
@@ -637,19 +651,22 @@ def query_expansion(v: Views) -> DataFrame:
 _TYPES = [("a.go", "text/x-go", "Go"), ("b/c.PY", "text/x-python", "Python"), ("Dockerfile", "text/x-dockerfile", "Dockerfile"), ("x.unknown", "text/plain", None), ("m.d/noend", "text/plain", None), ("r.md", "text/markdown", "Markdown")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}', {repr(x) if x else 'NULL'})" for p, m, x in _TYPES) + ") t(path, content_type, language)")
+@query(_case_sql(["path", "content_type", "language"], _TYPES))
 def content_types(v: Views) -> DataFrame:
-    rows = v.spark.createDataFrame([(p,) for p, _, _ in _TYPES], "path string")
-    return rows.select("path", content_type.content_type(F.col("path")).alias("content_type"), content_type.language(F.col("path")).alias("language"))
+    return _case(v, [p for p, _, _ in _TYPES]).select("id", F.col("value").alias("path"), content_type.content_type(F.col("value")).alias("content_type"), content_type.language(F.col("value")).alias("language"))
+
+
+@query("""SELECT page_id, CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'text/html' ELSE 'text/plain' END AS content_type FROM pages""")
+def sniffed_types(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", content_type.content_type(F.concat(F.lit("page/"), F.col("page_id").cast("string")), F.col("html")).alias("content_type"))
 
 
 _IGNORE = [("a/node_modules/x.js", True), ("src/main.go", False), ("keep.log", True), ("docs/a.md", False), ("private/x.txt", True), ("private/keep.txt", False), ("a/b/build", True), ("builder/x", False), ("x.pyc", True)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(x).lower()})" for p, x in _IGNORE) + ") t(path, ignored)")
+@query(_case_sql(["path", "ignored"], _IGNORE))
 def ignore_filter(v: Views) -> DataFrame:
-    rows = v.spark.createDataFrame([(p,) for p, _ in _IGNORE], "path string")
-    return rows.select("path", ignore.ignored(F.col("path"), ["# mine", "private/*", "!private/keep.txt"]).alias("ignored"))
+    return _case(v, [p for p, _ in _IGNORE]).select("id", F.col("value").alias("path"), ignore.ignored(F.col("value"), ["# mine", "private/*", "!private/keep.txt"]).alias("ignored"))
 
 
 @query()
@@ -712,9 +729,9 @@ _QUESTIONS = ["How do I deploy the service?", "Which endpoint takes the request"
 _INTENTS = ["operations", "api_spec", "design", "code_reading", "default"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{i}')" for q, i in zip(_QUESTIONS, _INTENTS)) + ") t(query, intent)")
+@query(_case_sql(["query", "intent"], list(zip(_QUESTIONS, _INTENTS))))
 def intent_classify(v: Views) -> DataFrame:
-    return v.spark.createDataFrame([(q,) for q in _QUESTIONS], "query string").select("query", text.classify_intent(F.col("query")).alias("intent"))
+    return _case(v, _QUESTIONS).select("id", F.col("value").alias("query"), text.classify_intent(F.col("value")).alias("intent"))
 
 
 @query("""WITH r AS (SELECT a.chunk_id AS query_id, b.chunk_id AS id, a.model = b.model AS hit, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 9) DESC, b.chunk_id) AS rank FROM vectors a, vectors b WHERE a.chunk_id % 100 = 0 AND b.chunk_id <> a.chunk_id),
@@ -729,10 +746,13 @@ def retrieval_metrics(v: Views) -> DataFrame:
     return ranking.retrieval_metrics(ranked, relevant)
 
 
-@query("SELECT * FROM (VALUES ('b', 0.8, 0.7, 0.125)) t(metric, old, new, \"drop\")")
+@query("""WITH o AS (SELECT event_type AS metric, avg(value) AS old FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT event_type AS metric, avg(value) * CASE WHEN event_type = 'click' THEN 0.5 ELSE 1 END AS new FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+SELECT metric, round(old, 6) AS old, round(new, 6) AS new, round((old - new) / old, 6) AS "drop" FROM o JOIN n USING (metric) WHERE (old - new) / old > 0.05""")
 def regression_gate(v: Views) -> DataFrame:
-    old = v.spark.createDataFrame([("a", 0.7), ("b", 0.8), ("c", 0.0)], "metric string, value double")
-    return ranking.regressions(old, v.spark.createDataFrame([("a", 0.665), ("b", 0.7), ("c", 0.1)], "metric string, value double"))
+    e, half = v.table("events").withColumnRenamed("event_type", "metric"), F.lit("2024-01-15").cast("timestamp_ntz")
+    old = e.filter(F.col("ts") < half).groupBy("metric").agg(F.avg("value").alias("value"))
+    new = e.filter(F.col("ts") >= half).groupBy("metric").agg(F.avg("value").alias("value")).withColumn("value", F.col("value") * F.when(F.col("metric") == "click", 0.5).otherwise(1.0))
+    return ranking.regressions(old, new).select("metric", F.round("old", 6).alias("old"), F.round("new", 6).alias("new"), "drop")
 
 
 _NOTES = "SELECT event_id AS note_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, ts, value > 50 AS resolved FROM events"
@@ -755,7 +775,8 @@ def _notes(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_id").alias("note_id"), severity.alias("severity"), "ts", (F.col("value") > 50).alias("resolved"))
 
 
-@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high FROM events GROUP BY 1")
+@query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high,
+ round(quantile_cont(round(value, 3), 0.1), 4) AS p10, round(quantile_cont(round(value, 3), 0.5), 4) AS p50, round(quantile_cont(round(value, 3), 0.9), 4) AS p90 FROM events GROUP BY 1""")
 def similarity_drift_weekly(v: Views) -> DataFrame:
     return ranking.drift_weekly(v.table("events").select("ts", F.col("value").alias("score")))
 
@@ -792,3 +813,169 @@ def prompt_context(v: Views) -> DataFrame:
 @query("""SELECT w AS window_start, 'u' || user_id || '.go' AS path, count(*) AS edits FROM (SELECT user_id, unnest([date_trunc('day', ts) - INTERVAL (i) DAY FOR i IN [0, 1, 2, 3, 4, 5, 6]]) AS w FROM events) GROUP BY ALL""")
 def edit_windows(v: Views) -> DataFrame:
     return edits.edit_windows(v.commits)
+
+
+# Lookups, changes and gates by key
+
+
+@query("SELECT id, file_id, ordinal, token_count FROM chunks WHERE id = 4001")
+def chunk_by_id(v: Views) -> DataFrame:
+    return search.by_key(v.chunks, "id", 4001).select("id", "file_id", "ordinal", "token_count")
+
+
+@query("SELECT chunk_id, model, list_sum(list_transform(vector, lambda x: round(x, 4)))::DOUBLE AS total FROM vectors WHERE chunk_id = 7")
+def embedding_by_chunk(v: Views) -> DataFrame:
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 4))
+    return search.by_key(v.embeddings, "chunk_id", 7).select("chunk_id", "model", total.alias("total"))
+
+
+@query("SELECT s.id, s.summary_type, e.model FROM summaries s JOIN vectors e ON e.chunk_id = s.id WHERE s.id = 12")
+def summary_embedding(v: Views) -> DataFrame:
+    return search.by_key(v.embeddings, "chunk_id", 12).join(v.summaries.select(F.col("id").alias("chunk_id"), "summary_type"), "chunk_id").select(F.col("chunk_id").alias("id"), "summary_type", "model")
+
+
+@query("SELECT hash, path, author FROM commits WHERE hash = sha1('17')")
+def commit_by_hash(v: Views) -> DataFrame:
+    return search.by_key(v.commits, "hash", hashlib.sha1(b"17").hexdigest()).select("hash", "path", "author")
+
+
+@query("SELECT id, name FROM products UNION ALL SELECT 99, 'ATLANTIS'")
+def get_or_create_product(v: Views) -> DataFrame:
+    wanted = v.spark.createDataFrame([(98, "ASIA"), (99, "ATLANTIS")], "id int, name string")
+    return catalog.insert_or_ignore(v.products.select("id", "name"), wanted, ["name"])
+
+
+@query("SELECT parent, child, ordinal FROM hierarchy UNION ALL SELECT 'r0', 'r1', 7 UNION ALL SELECT 'n1', 'n2', 0")
+def link_edges(v: Views) -> DataFrame:
+    return graph.link(v.hierarchy, v.spark.createDataFrame([("r0", "r1", 7), ("n1", "n2", 0)], "parent string, child string, ordinal bigint"))
+
+
+@query("SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 10")
+def search_default_limit(v: Views) -> DataFrame:
+    return search.similar_chunks(v.embeddings, v.query_vector(), 0).select("chunk_id", "score")
+
+
+@query("""SELECT c.id, p.model, round(c.token_count / 1000.0 * p.i + c.ordinal / 1000.0 * p.o, 9)::DOUBLE AS cost FROM chunks c LEFT JOIN (VALUES ('user', 0.5, 1.5), ('assistant', 2.0, 8.0)) p(model, i, o) ON p.model = c.chunk_type""")
+def llm_cost(v: Views) -> DataFrame:
+    usage = v.chunks.select("id", F.col("chunk_type").alias("model"), F.col("token_count").alias("input_tokens"), F.col("ordinal").alias("output_tokens"))
+    prices = v.spark.createDataFrame([("user", 0.5, 1.5), ("assistant", 2.0, 8.0)], "model string, input_price double, output_price double")
+    return repository.cost(usage, prices).select("id", F.when(F.col("input_price").isNotNull(), F.col("model")).alias("model"), F.round("cost", 9).alias("cost"))
+
+
+@query("SELECT chunk_type, count(DISTINCT file_id) AS files, 0::BIGINT AS failed, count(*) AS chunks FROM chunks GROUP BY 1")
+def chunk_stats(v: Views) -> DataFrame:
+    return indexing.stats(v.chunks.withColumn("error", F.lit(None).cast("string")))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS id, regexp_extract(text, '([^\n]*\S)\s*$', 1) AS last FROM documents)
+SELECT id, regexp_matches(last, '(:|、|,|以下の|次の|以下に|次に|following|next|below)$') OR regexp_matches(last, '(以下の|次の|以下に|次に|following|next|below)(:|、)') AS incomplete FROM l""")
+def incomplete_endings(v: Views) -> DataFrame:
+    return v.files.select("id", text.incomplete_ending(F.col("content")).alias("incomplete"))
+
+
+@query("SELECT id, substr(content, 1, 400) AS content FROM files")
+def trimmed_files(v: Views) -> DataFrame:
+    return v.files.select("id", text.trimmed(F.col("content"), 100).alias("content"))
+
+
+# Go source: a file for every part, written from its columns
+
+
+def _go(v: Views) -> DataFrame:
+    t, n = v.table("part"), F.col("p_partkey").cast("string")
+    lines = (
+        F.lit("// Package parts holds prices.\npackage parts\n\nimport (\n\t\"fmt\"\n\tnet \"net/http\"\n"), F.concat(F.lit('\t"example.org/brand'), n, F.lit('/lib"\n)\n\n')),
+        F.concat(F.lit("// Price"), n, F.lit(" is { a price.\nfunc (p *Part) Price"), n, F.lit("(a, n int, by map[string]*lib.Rate) (int, error) {\n\ts := \"}\"\n\tif n > ")),
+        F.concat(F.col("p_size").cast("string"), F.lit(" && a < 100 {\n\t\treturn fmt.Sum(n), nil\n\t}\n\n\t// all of them\n\tfor i := 0; i < n; i++ {\n\t\tnet.Get(i)\n\t}\n\treturn n, nil\n}\n\n")),
+        F.concat(F.lit("type Part"), n, F.lit(" struct {\n\tName string\n\tSize int\n}\n")),
+    )
+    return t.select(F.col("p_partkey").alias("id"), F.lit("Go").alias("language"), F.lit("text/x-go").alias("content_type"), F.concat(*lines).alias("content"))
+
+
+@query("""SELECT p_partkey AS id, kind, CASE WHEN kind = 'package' THEN 'parts' WHEN kind = 'method' THEN 'Price' || p_partkey ELSE 'Part' || p_partkey END AS name, parent,
+ CASE WHEN kind = 'method' THEN 'Price' || p_partkey || ' (a int, n int, by map[string]*lib.Rate) int, error' END AS signature, start_line, end_line, calls, complexity, lines_of_code
+FROM part, (VALUES ('package', NULL, 2, 2, '', 1, 1), ('method', 'Part', 11, 22, 'fmt.Sum,net.Get', 4, 10), ('struct', NULL, 24, 27, '', 1, 4)) t(kind, parent, start_line, end_line, calls, complexity, lines_of_code)""")
+def go_declarations(v: Views) -> DataFrame:
+    return gocode.describe(_go(v)).drop("types", "error")
+
+
+@query("SELECT p_partkey AS id, path, is_standard FROM part, (VALUES ('fmt', true), ('net/http', true)) t(path, is_standard) UNION ALL SELECT p_partkey, 'example.org/brand' || p_partkey || '/lib', false FROM part")
+def go_imports(v: Views) -> DataFrame:
+    return gocode.imported(_go(v)).drop("error")
+
+
+@query("SELECT p_partkey AS id, 'Price' || p_partkey AS name, kind, start_line, end_line FROM part, (VALUES ('initialization', 12, 12), ('conditional', 13, 15), ('loop', 18, 20), ('return', 21, 21)) t(kind, start_line, end_line)")
+def go_logic(v: Views) -> DataFrame:
+    return gocode.logic(_go(v)).drop("error")
+
+
+@query("""SELECT p_partkey AS id, 'Language: Go' || chr(10) || chr(10) || 'Components:' || chr(10) || '- Method: Price' || p_partkey || chr(10) || '- Struct: Part' || p_partkey || chr(10) || chr(10) || 'Dependencies:' || chr(10)
+ || '- example.org/brand' || p_partkey || '/lib' || chr(10) || '- fmt' || chr(10) || '- net/http' || chr(10) || chr(10) || 'Description: Package parts holds prices.' AS summary FROM part""")
+def go_file_summary(v: Views) -> DataFrame:
+    return gocode.summarised(_go(v), chunking.estimate)
+
+
+@query("""SELECT p_partkey AS file_id, chunk_type, CASE WHEN chunk_type = 'package' THEN 'parts' WHEN chunk_type = 'method' THEN 'Price' || p_partkey ELSE 'Part' || p_partkey END AS chunk_name, start_line, end_line
+FROM part, (VALUES ('method', 11, 22), ('struct', 24, 27)) t(chunk_type, start_line, end_line)""")
+def go_chunks(v: Views) -> DataFrame:
+    return chunking.chunk_files(_go(v)).select("file_id", "chunk_type", "chunk_name", "start_line", "end_line")
+
+
+@query(r"""SELECT p_partkey AS id, '4,11,24' AS lines FROM part""")
+def unit_lines(v: Views) -> DataFrame:
+    return _go(v).select("id", F.array_join(F.transform(text.unit_lines(F.col("content"), chunking.BOUNDARIES), lambda x: x.cast("string")), ",").alias("lines"))
+
+
+# Summaries from files to architecture, and the wiki
+
+
+def _stub(body: Column) -> Column:
+    """A model for the queries below: what it writes tells its whole prompt."""
+    return F.concat(F.lit("S:"), F.substring(F.sha2(body, 256), 1, 12))
+
+
+_LEVEL = """{name}_lines AS (SELECT snapshot_id, regexp_replace(target_path, '/?[^/]*$', '') AS dir, target_path, source_hash, target_path || ': ' || content AS line FROM {of}),
+{name}_held AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY snapshot_id, dir ORDER BY target_path) AS so_far FROM {name}_lines),
+{name} AS (SELECT snapshot_id, dir AS target_path, sha256(string_agg(source_hash, ':' ORDER BY source_hash)) AS source_hash, 'S:' || substr(sha256(string_agg(line, chr(10) ORDER BY target_path) FILTER (so_far <= 8001)), 1, 12) AS content FROM {name}_held GROUP BY snapshot_id, dir)"""
+
+
+@query(f"""WITH f AS (SELECT snapshot_id, path AS target_path, content_hash AS source_hash, CASE WHEN id % 4 = 1 AND id % 8 <> 1 THEN 'OLD' ELSE 'S:' || substr(sha256(array_slice(encode(content), 1, 8000)), 1, 12) END AS content FROM files),
+{_LEVEL.format(name="d2", of="f")},
+{_LEVEL.format(name="d1", of="d2")},
+{_LEVEL.format(name="d0", of="d1")},
+d AS (SELECT *, 2 AS depth FROM d2 UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 0 FROM d0),
+a AS (SELECT snapshot_id, sha256(string_agg(source_hash, ':' ORDER BY source_hash)) AS source_hash, string_agg(target_path || ': ' || content, chr(10) ORDER BY target_path) AS body FROM d GROUP BY snapshot_id)
+SELECT snapshot_id, 'file' AS summary_type, target_path, NULL::VARCHAR AS arch_type, NULL::INT AS depth, source_hash, content FROM f
+UNION ALL SELECT snapshot_id, 'directory', target_path, NULL, depth, source_hash, content FROM d
+UNION ALL SELECT snapshot_id, 'architecture', '', t, NULL, source_hash, 'S:' || substr(sha256(t || chr(10) || body), 1, 12) FROM a, (VALUES ('overview'), ('tech_stack'), ('data_flow'), ('components')) k(t)""")
+def summary_pipeline(v: Views) -> DataFrame:
+    source = F.when(F.col("id") % 8 == 1, "stale").otherwise(F.col("content_hash"))
+    old = v.files.filter("id % 4 = 1").select(F.lit("file").alias("summary_type"), F.col("path").alias("target_path"), F.lit(None).cast("string").alias("arch_type"), source.alias("source_hash"), F.lit("OLD").alias("content"))
+    return summaries.summarise_all(v.files, old, _stub).drop("content_hash")
+
+
+def _wiki_sql() -> str:
+    part = "'### ' || row_number() OVER (ORDER BY score DESC, id) || '. ' || path || ' (score ' || printf('%.3f', score) || ')' || chr(10) || content"
+    rows = []
+    for section, _ in ask.SECTIONS:
+        vector_ = f"{ask.HashingEmbedder().embed([ask.QUESTIONS[section]])[0]}::DOUBLE[]"
+        score = f"round(list_cosine_similarity(e.vector, {vector_}), 6)"
+        inside = "JOIN latest l ON l.id = {0}.snapshot_id JOIN sources o ON o.id = l.source_id WHERE o.product_id = 1 AND {1} IS NOT NULL"
+        code = f"SELECT f.id, f.path, f.content, {score} AS score FROM vectors e JOIN files f ON f.id = e.chunk_id {inside.format('f', score)} ORDER BY score DESC, f.id LIMIT 10"
+        structure = f"SELECT s.id, s.target_path AS path, s.content, {score} AS score FROM vectors e JOIN summaries s ON s.id = e.chunk_id {inside.format('s', score)} ORDER BY score DESC, s.id LIMIT 5"
+        text_ = lambda hits: f"(SELECT string_agg(part, chr(10) || chr(10) ORDER BY score DESC, id) FROM (SELECT id, score, {part} AS part FROM ({hits})))"
+        rows.append(f"SELECT '{section}' AS section, {text_(structure)} AS structure, {text_(code)} AS code")
+    return "SELECT * FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@query(_wiki_sql())
+def wiki_sections(v: Views) -> DataFrame:
+    latest, files = _latest_of(v, 1), v.files.select(F.col("id").alias("chunk_id"), "content")
+    texts = v.summaries.select("id", "content")
+
+    def find(q: list[float]) -> tuple[DataFrame, DataFrame]:
+        chunks = search.search_within(v.embeddings, v.files, latest, q).join(files, "chunk_id")
+        found = search.search_summaries(v.summaries, v.embeddings, q, within=latest).join(texts, "id")
+        return chunks, found.select(F.col("id").alias("chunk_id"), F.col("target_path").alias("path"), "content", "score")
+
+    return ask.section_contexts(find, ask.HashingEmbedder())
