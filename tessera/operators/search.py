@@ -169,11 +169,11 @@ def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("id", "file_id", "ordinal", "prev_id", "next_id")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries (query_id, query_vector, ...) dealt by their ids into blocks of some ``QUERY_BLOCK`` rows."""
+def query_blocks(queries: DataFrame, key: str = "query_id") -> Iterator[pa.Table]:
+    """The queries dealt by their key into blocks of some ``QUERY_BLOCK`` rows, which go to the tasks one by one."""
     n = queries.count() // QUERY_BLOCK + 1
     for i in range(n):
-        yield (queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toArrow()
+        yield (queries if n == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow()
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
@@ -241,9 +241,36 @@ def _kept(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def max_sim(query: DataFrame, documents: DataFrame) -> DataFrame:
-    """R-16: for each document the sum, over the query's vectors, of the best dot product with one of its vectors."""
-    best = documents.join(small(query)).groupBy("doc", "token").agg(F.max(vector.dot(F.col("vector"), F.col("query_vector"))).alias("best"))
-    return best.groupBy("doc").agg(F.round(F.sum("best"), 6).alias("max_sim"))
+    """R-16: for each document (doc, token, vector) the sum, over its tokens, of the best dot product with one of the query's vectors.
+
+    A task multiplies an Arrow batch of vectors with a block of the query's; what is shuffled is a number a token.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+
+    def best(block: pa.Table) -> DataFrame:
+        asked = _matrices(block.column("query_vector").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.full(batch.num_rows, np.nan)
+                for own, x in _matrices(batch.column(2)):
+                    for _, q in asked:
+                        if q.shape[1] == x.shape[1]:
+                            out[own] = (x @ q.T).max(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, from_pandas=True)], names=["doc", "token", "best"])
+
+        return documents.select("doc", "token", "vector").mapInArrow(run, f"doc {kinds['doc']}, token {kinds['token']}, best double")
+
+    found = reduce(DataFrame.unionAll, map(best, query_blocks(query, "query_vector")))
+    return found.groupBy("doc", "token").agg(F.max("best").alias("best")).groupBy("doc").agg(F.round(F.sum("best"), 6).alias("max_sim"))
+
+
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the vectors of one width, the vectors as rows); null and empty ones are left out."""
+    lists = column.cast(pa.list_(pa.float64()))
+    width = np.asarray(lists.value_lengths().fill_null(0))
+    groups = [(np.flatnonzero(width == w), w) for w in np.unique(width[width > 0]).tolist()]
+    return [(own, lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), w)) for own, w in groups]
 
 
 def provenance(hits: DataFrame, files: DataFrame, snapshots: DataFrame) -> DataFrame:
