@@ -1,7 +1,7 @@
 """Git repositories as a data source, and their history (S-01 to S-11, S-19, S-20, U-06).
 
 ``spark.read.format("repository")`` lists a revision once on the driver and reads its blobs by slices of the
-list; the repository must lie where every executor can read it.  History comes from ``git log``.
+list; ``repository_history`` does the same with commits.  The repository must lie where every executor can read it.
 """
 
 from __future__ import annotations
@@ -69,12 +69,59 @@ class RepositoryReader(DataSourceReader):
         return [Slice(entries[i : i + self.slice]) for i in range(0, len(entries), self.slice)] or [Slice([])]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        for path, blob, size in partition.entries:
-            try:
-                content = git(self.repo, "cat-file", "blob", blob, text=False)
-            except RuntimeError:  # a file that can't be read is skipped
-                continue
-            yield path, size, content, hashlib.sha256(content).hexdigest(), self.version
+        """The slice's blobs through one process, one after the other."""
+        command = ["git", "-C", self.repo, "cat-file", "--batch"]
+        with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+            for path, blob, size in partition.entries:
+                run.stdin.write(blob.encode() + b"\n")
+                run.stdin.flush()
+                head = run.stdout.readline().split()
+                if len(head) < 3:  # "<id> missing": a file that can't be read is skipped
+                    continue
+                content = run.stdout.read(int(head[2]))
+                run.stdout.read(1)
+                yield path, size, content, hashlib.sha256(content).hexdigest(), self.version
+            run.stdin.close()
+
+
+@dataclass
+class Commits(InputPartition):
+    first: int
+    hashes: list[str]
+
+
+class HistoryReader(DataSourceReader):
+    """The driver lists the commits' hashes; what each changed is read by slices of the list."""
+
+    def __init__(self, options: dict):
+        self.repo, self.slice = options["path"], int(options.get("slice", SLICE))
+        self.version = resolve(self.repo, options.get("ref", "HEAD"))
+
+    def partitions(self) -> list[InputPartition]:
+        hashes = git(self.repo, "rev-list", "--first-parent", "--reverse", self.version).split()
+        return [Commits(i, hashes[i : i + self.slice]) for i in range(0, len(hashes), self.slice)] or [Commits(0, [])]
+
+    def read(self, partition: Commits) -> Iterator[tuple]:
+        if not partition.hashes:
+            return
+        log = git(self.repo, "log", "--no-walk=unsorted", "--first-parent", "-m", "--name-only", "-M", "--root", "--format=%x01%H%x02%an%x02%cI", *partition.hashes)
+        place = {h: partition.first + i for i, h in enumerate(partition.hashes)}
+        for commit in log.split("\x01")[1:]:
+            head, *paths = commit.strip().split("\n")
+            hash_, author, ts = head.split("\x02")
+            yield from ((p, hash_, author, ts, place[hash_]) for p in paths if p)
+
+
+class HistorySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "repository_history"
+
+    def schema(self) -> str:
+        return "path string, hash string, author string, ts string, event_id bigint"
+
+    def reader(self, schema) -> HistoryReader:
+        return HistoryReader(self.options)
 
 
 class RepositorySource(DataSource):
@@ -100,13 +147,8 @@ def history(spark: SparkSession, repo: str, ref: str = "HEAD") -> DataFrame:
 
     A rename counts under the new name; the first commit changes every file.
     """
-    log = git(repo, "log", "--first-parent", "-m", "--name-only", "-M", "--root", "--format=%x01%H%x02%an%x02%cI", resolve(repo, ref))
-    rows = []
-    for n, commit in enumerate(reversed(log.split("\x01")[1:])):
-        head, *paths = commit.strip().split("\n")
-        hash_, author, ts = head.split("\x02")
-        rows += [(p, hash_, author, ts, n) for p in paths if p]
-    out = spark.createDataFrame(rows, "path string, hash string, author string, ts string, event_id bigint")
+    spark.dataSource.register(HistorySource)
+    out = spark.read.format("repository_history").option("path", repo).option("ref", ref).load()
     return out.withColumn("ts", F.to_utc_timestamp(F.to_timestamp("ts"), F.current_timezone()).cast("timestamp_ntz"))
 
 

@@ -510,3 +510,32 @@ def test_go_tables(spark):
     assert {(r["path"], r["is_standard"]) for r in gocode.imported(files).filter("id = 1").collect()} == {("fmt", True), ("golang.org/x/net", True), ("github.com/x/y", False)}
     texts = {r["id"]: r["summary"] for r in gocode.summarised(files, len, 2_000).collect()}
     assert texts[1].startswith("Language: Go") and "f" in texts[4] and len(texts) == 4
+
+
+def test_repository_by_slices(spark, tmp_path):
+    repo = str(tmp_path / "many")
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    subprocess.run(["git", "init", "-q", repo], check=True)
+    for k in range(5):
+        with open(f"{repo}/f{k}.txt", "wb") as f:
+            f.write(b"\x00" * k + b"line\n" * k)
+        with open(f"{repo}/same.txt", "w") as f:
+            f.write(str(k))
+        run("add", "-A")
+        run("commit", "-qm", f"c{k}")
+    spark.dataSource.register(repository.RepositorySource)
+    spark.dataSource.register(repository.HistorySource)
+    for size in ("2", "100"):
+        files = spark.read.format("repository").option("path", repo).option("slice", size).load().collect()
+        assert {r["path"]: bytes(r["content"]) for r in files} == {f"f{k}.txt": b"\x00" * k + b"line\n" * k for k in range(5)} | {"same.txt": b"4"}
+        log = spark.read.format("repository_history").option("path", repo).option("slice", size).load().collect()
+        assert sorted((r["event_id"], r["path"]) for r in log) == sorted((k, p) for k in range(5) for p in (f"f{k}.txt", "same.txt"))
+    head = repository.resolve(repo)
+    assert {r["path"] for r in search.by_key(repository.history(spark, repo), "hash", head).collect()} == {"f4.txt", "same.txt"}
+
+
+def test_source_settings_and_costs(spark):
+    assert repository.Settings.from_env({"TESSERA_CHUNK_WORKERS": "9", "OTHER": "1"}) == repository.Settings(chunk_workers=9)
+    usage = spark.createDataFrame([("a", 2_000, 500), ("b", 1, 1)], "model string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("a", 0.5, 2.0)], "model string, input_price double, output_price double")
+    assert {r["model"]: r["cost"] for r in repository.cost(usage, prices).collect()} == {"a": 2.0, "b": None}
