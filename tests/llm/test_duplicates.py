@@ -190,3 +190,48 @@ def test_items_may_be_as_many_as_documents(odd_docs, odd_rows, spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd_docs, items).collect()}
     assert {(i, i) for i, t in odd_rows if i is not None and t and re.search(r"\w", t) and len(t) < 5000} <= got
     assert decontam.decontaminate(odd_docs, items.limit(0)).count() == len(odd_rows)
+
+
+def test_equal_hashes_of_different_bytes_raise_in_a_task():
+    data = np.frombuffer(b"a" * 100 + b"b" * 100, np.uint8)
+    held = np.zeros(2, suffixes.ANCHOR)
+    held["a"], held["c"], held["id"] = 7, 9, [1, 2]  # a forged collision: one gram, one context, different bytes
+    with pytest.raises(ArithmeticError, match="one hash"):
+        list(suffixes._dealt(held, np.array([0, 100]), np.array([0, 1]), data, 8))
+    same = np.frombuffer(b"a" * 200, np.uint8)
+    rows = [b.to_pydict() for b in suffixes._dealt(held, np.array([0, 100]), np.array([0, 1]), same, 8)]
+    assert [r["bucket"] for r in rows][0] == [-1] and np.frombuffer(rows[0]["a"][0], "<u8").tolist() == [100]
+
+
+def test_equal_hashes_of_different_bytes_raise_between_tasks(spark, monkeypatch):
+    for text, right in (("b" * 100, False), ("a" * 100, True)):
+        docs = spark.createDataFrame([(1, "a" * 100), (2, text)], "doc_id bigint, text string")
+        found = spark.createDataFrame([(suffixes._REPEAT, 2, 0, 0, 0, 0, 7, 1, 0, 0)], suffixes._FOUND)  # as if (2, 0) had the hash of (1, 0)
+        none = spark.createDataFrame([], "id bigint, h bigint, start int, end int")
+        monkeypatch.setattr(suffixes, "_spans", lambda *_, found=found, none=none: (found, none))
+        if right:
+            assert {r["doc_id"]: r["n_removed"] for r in suffixes.digest(suffixes.repeats(docs)).collect()} == {1: 0, 2: 100}
+        else:
+            with pytest.raises(Exception, match="one hash"):
+                suffixes.repeats(docs).collect()
+
+
+def test_long_texts_by_stretches(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(3_000))
+    rows = [(0, base), (1, base[500:2_000] + base[100:900]), (2, "x" * 400 + base[1_000:1_500]), (3, "y" * 99), (4, base[-700:] + base[:700])]
+    whole = sorted(map(tuple, suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()))
+    want = brute_repeats(rows)
+    assert {r[0]: r[1:] for r in whole} == {i: want[i, t] for i, t in rows}
+    data = np.frombuffer(base.encode(), np.uint8)
+    monkeypatch.setattr(suffixes, "STRETCH", 150)
+    owned = [s for a, part, cuts in suffixes.stretches(data, np.array([0, len(data)])) for t, p, lo, hi, _, _ in [suffixes.anchors(part, cuts)] for x, b, e in zip(p, lo, hi) for s in range(a + x - e, a + x - b + 1)]
+    assert sorted(owned) == list(range(len(data) - 99))
+
+
+def test_a_very_long_text_repeats(spark):
+    rnd = random.Random(5)
+    part = "".join(rnd.choice("abcdefghij \n") for _ in range(700_000))
+    rows = [(1, part + "-" * 50 + part), (2, part[:1_000])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got == {1: (1_400_050, 700_000, 1), 2: (1_000, 1_000, 1)}
