@@ -6,14 +6,17 @@ anchors are sorted, about one in forty bytes:
 
 1. Each task finds its texts' anchors, with a hash of the *context*, the bytes of all windows an anchor owns.
    Of equal contexts in a task only the earliest goes on; the others' bytes are compared with its bytes there and then.
-   Anchors are dealt out by hash.  Where a context was seen earlier, all its windows are repeats, once their bytes
+   Anchors are dealt out by hash into buckets.  Where a context was seen earlier, all its windows are repeats, once their bytes
    have been compared with the earlier ones' (the earlier text sends them).  Where an
    anchor has several contexts, the first text of each sends the context's bytes.
 2. The suffixes that start at such anchors are sorted by mergesort, an anchor at a time.  Two suffixes are
    compared by their longest common extension, which binary search finds on prefix polynomial hashes; sorted
    neighbours are verified against their bytes.  For every offset, runs of suffixes that agree far enough, and
    whose bytes before the anchor agree as well, are equal windows; all but the earliest are repeats.
-3. Repeats' spans meet the texts, which lose the covered bytes.
+3. A bucket beyond ``MOST`` anchors, as a gram makes that stands in very many different contexts, is not held by one task: its
+   windows are hashed one by one, the earliest window of each hash is found by a combined minimum, and all others are repeats of it, once
+   their bytes have been compared.
+4. Repeats' spans meet the texts, which lose the covered bytes.
 
 No byte is removed on the equality of hashes alone; two different strings with one hash raise ``ArithmeticError``.
 
@@ -40,6 +43,8 @@ from tessera.llm.textblocks import BLOCK_BYTES, apart_hashes, blocks, powers, pr
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1  # anchors' places in a window
 BUCKET_BYTES, FLUSH, FLUSH_BYTES, STRETCH = 16 << 20, 400_000, 16 << 20, BLOCK_BYTES
+#: Anchors that one task judges and sorts: three times what a bucket has on average.
+MOST = 1_200_000
 ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("pos", "<i4"), ("low", "u1"), ("high", "u1")])
 LAST = np.iinfo(np.int64).max
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -143,14 +148,14 @@ def _dealt(held: np.ndarray, where: np.ndarray, text: np.ndarray, data: np.ndarr
             piece = part[low : low + 16_384]
             # field after field, so that the shuffle's compression finds runs
             columns = [pa.array([piece[name].tobytes()], pa.binary()) for name in ANCHOR.names]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *columns], names=["bucket", *ANCHOR.names])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(piece)], pa.int64()), *columns], names=["bucket", "n", *ANCHOR.names])
 
 
 _COLLISION = "two different strings have one hash; use another multiplier"
-_DEALT = "bucket int, a binary, c binary, id binary, h binary, pos binary, low binary, high binary"
+_DEALT = "bucket int, n bigint, a binary, c binary, id binary, h binary, pos binary, low binary, high binary"
 
 
-def _unpacked(table: pa.Table) -> np.ndarray:
+def _unpacked(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     size = sum(len(x) for x in table.column("low").to_pylist())
     out = np.zeros(size, ANCHOR)
     for name in ANCHOR.names:
@@ -318,10 +323,17 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
         release()
         return pa.Table.from_batches([_found(*out)])
 
-    dealt = docs.mapInArrow(find, _DEALT)
+    dealt = materialise(docs.mapInArrow(find, _DEALT))
+    # Buckets beyond MOST are no more than anchors / MOST.
+    large = [r["bucket"] for r in dealt.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > MOST).collect()]
     # Spans that were compared in their task need no partner: spread them over many groups.
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("pos", "id"), F.lit(n_buckets))).otherwise(F.col("bucket")).cast("int")
-    found = materialise(dealt.withColumn("bucket", spread).groupBy("bucket").applyInArrow(judge, _FOUND))
+    held = dealt.filter(~F.col("bucket").isin(large)) if large else dealt
+    found = held.withColumn("bucket", spread).groupBy("bucket").applyInArrow(judge, _FOUND)
+    if large:
+        found = found.unionAll(_windows(docs, dealt.filter(F.col("bucket").isin(large)), plain))
+    found = materialise(found)
+    discard(dealt)
 
     asked = found.filter(F.col("kind") == _WANTED).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "low", "high", "a")).alias("asked"))
     seen = bitmap(found.filter(F.col("kind") == _WANTED), _key())
@@ -361,6 +373,42 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
     return found, partial
 
 
+def _windows(docs: DataFrame, dealt: DataFrame, plain: bool) -> DataFrame:
+    """_FOUND rows of the repeats among the windows of these anchors, one window at a time: no group of anchors is held."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = _unpacked(batch.slice(i, 1))
+                columns = [rows["id"], rows["h"], rows["pos"] - rows["high"].astype(np.int32), rows["pos"] - rows["low"].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["id", "h", "first", "last"])
+
+    spans = dealt.mapInArrow(unpack, "id bigint, h bigint, first int, last int")
+    # A document's windows are consecutive where its anchors are: its spans come together once, as the text does.
+    asked = materialise(spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("asked")))
+    texts = _texts(docs, bitmap(asked, _key()), plain)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, h, text, spans_ in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in spans_:
+                    data = np.frombuffer(text[x["first"] : x["last"] + SPAN], np.uint8)
+                    at = np.arange(x["last"] - x["first"] + 1)
+                    window = span_hashes(prefix_hashes(data), at, at + SPAN).view(np.int64)
+                    columns = [np.full(len(at), id_), np.full(len(at), h), (at + x["first"]).astype(np.int32), window]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "h", "pos", "window"])
+
+    each = materialise(texts.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(hashed, "id bigint, h bigint, pos int, window bigint"))
+    discard(asked)
+    place = F.struct("id", "h", "pos")
+    first = each.groupBy("window").agg(F.min(place).alias("source"), F.count("*").alias("n")).filter("n > 1").select("window", "source")
+    again = each.join(first, "window").filter(place != F.col("source"))
+    zero = F.lit(0)
+    return again.select(
+        F.lit(_REPEAT).alias("kind"), "id", "h", "pos", zero.alias("low"), zero.alias("high"), F.col("window").alias("a"), F.col("source.id").alias("sid"), F.col("source.h").alias("sh"), F.col("source.pos").alias("spos")
+    )
+
+
 def _pieces(docs: DataFrame, found: DataFrame, plain: bool) -> DataFrame:
     """(id, h, start, end, piece): the repeats' spans with the bytes of their sources, to be compared.
 

@@ -96,8 +96,12 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeats_of_distinct_ids(spark, odd_rows):
-    rows = [(n, t) for n, (_, t) in enumerate(odd_rows)]
+@pytest.mark.parametrize("most", [suffixes.MOST, 3, 0])
+def test_repeats_of_distinct_ids(spark, odd_rows, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST", most)
+    line = "A line of forty bytes that all repeat, \n"
+    rnd = random.Random(6)
+    rows = [(n, t) for n, (_, t) in enumerate(odd_rows)] + [(1_000 + n, "".join(rnd.choice("xyz ") for _ in range(90)) + line + str(rnd.random()) * 5) for n in range(30)]
     got = suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))).collect()
     want = brute_repeats(rows)
     assert len(got) == len(rows)
