@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.decontam import _WORD
 from tessera.llm.labelled import labelled_sample
 from tessera.llm.store import map_rows
-from tessera.llm.textblocks import BLOCK_BYTES, LOWER, apart_hashes, blocks, runs
+from tessera.llm.textblocks import BLOCK_BYTES, LOWER, apart_hashes, blocks, prefix_hashes, runs, span_hashes
 
 #: Terms of each kind are swapped for the next one of it.
 IDENTITY_TERMS = (
@@ -126,17 +126,24 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray |
         begin, end, text = starts[a : a + SLICE], ends[a : a + SLICE], owner[a : a + SLICE]
         piece = data[begin[0] : end[-1]]
         begin, end = begin - begin[0], end - begin[0]
-        hashes, owners = [apart_hashes(piece, begin, end, LOWER)], [text]
+        if len(piece) <= 8 * BLOCK_BYTES:
+            prefix = prefix_hashes(LOWER[piece])
+            hashed = lambda a, b, prefix=prefix: span_hashes(prefix, a, b)
+        else:  # words of megabytes
+            hashed = lambda a, b, piece=piece: apart_hashes(piece, a, b, LOWER)
+        hashes, owners = [hashed(begin, end)], [text]
         for n in BEGINNINGS:
             long = end - begin > n
-            hashes.append(apart_hashes(piece, begin[long], begin[long] + n, LOWER) + np.uint64(n))
+            hashes.append(hashed(begin[long], begin[long] + n) + np.uint64(n))
             owners.append(text[long])
         term, text = np.concatenate(hashes), np.concatenate(owners)
-        if vocabulary is not None:
-            at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-            hit = np.flatnonzero(vocabulary[at] == term) if len(vocabulary) else np.zeros(0, np.int64)
-            term, text = at[hit].astype(np.uint64), text[hit]
-        parts.append(_summed(text, term, np.ones(len(text), np.int64)))
+        if vocabulary is None:
+            parts.append(_summed(text, term, np.ones(len(text), np.int64)))
+        elif len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+            hit = np.flatnonzero(vocabulary[at] == term)
+            both, times = np.unique(text[hit] * len(vocabulary) + at[hit], return_counts=True)
+            parts.append((both // len(vocabulary), (both % len(vocabulary)).astype(np.uint64), times))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none, words
