@@ -56,13 +56,13 @@ def stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_type").agg(F.count_distinct("file_id").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull()).alias("chunks"))
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def indexed(spark: SparkSession, root: str, snapshot_id: str) -> bool:
-    return _there(spark, f"{root}/snapshots") and not spark.read.parquet(f"{root}/snapshots").filter(F.col("id") == snapshot_id).isEmpty()
+    return there(spark, f"{root}/snapshots") and not spark.read.parquet(f"{root}/snapshots").filter(F.col("id") == snapshot_id).isEmpty()
 
 
 def opening(body: Column) -> Column:
@@ -73,22 +73,23 @@ def opening(body: Column) -> Column:
 def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
     """The summaries of the source's indexed versions."""
     none = spark.createDataFrame([], "summary_type string, target_path string, arch_type string, source_hash string, content string")
-    if not _there(spark, f"{root}/snapshots") or not _there(spark, f"{root}/summaries"):
+    if not there(spark, f"{root}/snapshots") or not there(spark, f"{root}/summaries"):
         return none
     mine = spark.read.parquet(f"{root}/snapshots").filter(F.col("source_id") == source).select(F.col("id").alias("snapshot_id"))
     return spark.read.parquet(f"{root}/summaries").join(F.broadcast(mine), "snapshot_id", "left_semi").select(*none.columns)  # a row a version
 
 
-def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening) -> Result:
+def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None) -> Result:
     """D-01, D-09: write files, chunks, embeddings, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
 
     What an earlier version of the source has a summary of is not summarised again.  Files that can't be parsed are left
     out one by one (D-02), and raise beyond ``most_failed`` of all; more than ``most_unwritten`` of a step's summaries that the model fails to write raise (A-16).
 
-    A version that has its row is left alone (D-03); leftovers of a run that broke off are overwritten.
+    A version that has its row is left alone (D-03) unless ``force`` writes its tables anew; leftovers of a run that broke off are overwritten.
     """
     spark, snapshot_id = docs.sparkSession, f"{source}@{version}"
-    if indexed(spark, root, snapshot_id):
+    source_id, known = source_id or source, indexed(spark, root, snapshot_id)
+    if known and not force:
         return Result(skipped=True)
     at = f"snapshot_id={snapshot_id}"
     prepare_files(docs, snapshot_id, patterns).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
@@ -101,13 +102,14 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     embedder = embedder or ask.HashingEmbedder()
     ask.embed(context, embedder).select("chunk_id", "vector").write.mode("overwrite").parquet(f"{root}/embeddings/{at}")
     parsed = files.join(chunks.filter("error is not null").select(F.col("file_id").alias("id")), "id", "left_anti").withColumn("snapshot_id", F.lit(snapshot_id))
-    before = _before(spark, root, source)
+    before = _before(spark, root, source_id)
     all_ = summaries.summarise_all(parsed, before, write, most_unwritten)
     all_.drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/summaries/{at}")
     kept = spark.read.parquet(f"{root}/summaries/{at}").withColumn("snapshot_id", F.lit(snapshot_id))
     none = spark.createDataFrame([], "summary_id bigint, content_hash string, vector array<float>")
     vectors = summaries.upsert_vectors(kept, none, lambda rows: ask.embed(rows, embedder))
     vectors.write.mode("overwrite").parquet(f"{root}/summary_embeddings/{at}")
-    row = spark.createDataFrame([(snapshot_id, source, version, True)], "id string, source_id string, version_identifier string, indexed boolean")
-    row.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    if not known:
+        row = spark.createDataFrame([(snapshot_id, source_id, version, True)], "id string, source_id string, version_identifier string, indexed boolean")
+        row.withColumn("indexed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
     return Result(files.count(), failed, good.count())
