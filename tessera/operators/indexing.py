@@ -33,7 +33,7 @@ def prepare_files(docs: DataFrame, snapshot_id: str, patterns: tuple[str, ...] =
     body = F.col("content").cast("string")
     return rows.select(
         F.xxhash64(F.lit(snapshot_id), "path").alias("id"), F.lit(snapshot_id).alias("snapshot_id"), "path", F.octet_length("content").cast("bigint").alias("size"),
-        content_type.content_type(F.col("path"), F.col("content")).alias("content_type"), content_type.language(F.col("path")).alias("language"),
+        content_type.content_type(F.col("path"), F.col("content")).alias("content_type"), content_type.language(F.col("path"), F.col("content")).alias("language"),
         text.classify_domain(F.col("path")).alias("domain"), F.sha2("content", 256).alias("content_hash"), body.alias("content"),
     )
 

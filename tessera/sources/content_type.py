@@ -31,19 +31,46 @@ def _lookup(path: Column, which: int) -> Column:
     return F.coalesce(F.try_element_at(names, name), F.try_element_at(endings, ending))
 
 
-def language(path: Column) -> Column:
-    return _lookup(path, 0)
+#: The interpreters of scripts, as their first line names them, and their languages.
+INTERPRETERS = (("python", "Python"), ("bash", "Shell"), ("dash", "Shell"), ("zsh", "Shell"), ("sh", "Shell"), ("node", "JavaScript"), ("ruby", "Ruby"), ("php", "PHP"))
+#: First bytes in hex, and content types.
+SIGNATURES = (
+    ("25504446", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("504B0304", "application/zip"),
+    ("1F8B08", "application/x-gzip"), ("7F454C46", "application/octet-stream"), ("FEFF", "text/plain"), ("FFFE", "text/plain"), ("EFBBBF", "text/plain"),
+)
+_HEAD = 512
+_CPP = r"(?m)^\s*(?:template\s*<|namespace\s+\w|using\s+(?:namespace|std)|class\s+\w+[^;]*\{|#include\s*<(?:iostream|string|vector|map|memory)>)"
+
+
+def _script(content: Column) -> Column:
+    """The language of a script that names its interpreter."""
+    line = F.regexp_extract(F.substring(content.cast("binary"), 1, _HEAD).cast("string"), r"^#!\s*(\S+(?:[ \t]+(?:-\S+[ \t]+)*[\w.]+)?)", 1)
+    names = F.split(F.regexp_replace(line, r"\S*/", ""), r"[ \t]+")
+    name = F.regexp_replace(F.when(names[0] == "env", F.element_at(names, -1)).otherwise(names[0]), r"[\d.]+$", "")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in INTERPRETERS for x in pair]), name)
+
+
+def language(path: Column, content: Column | None = None) -> Column:
+    """By name; with the content also by a script's first line, and C++ in a header that only it can hold."""
+    named = _lookup(path, 0)
+    if content is None:
+        return named
+    header = path.rlike(r"(?i)\.h$") & content.cast("string").rlike(_CPP)
+    return F.when(header, "C++").otherwise(F.coalesce(named, _script(content)))
 
 
 def content_type(path: Column, content: Column | None = None) -> Column:
-    """By name; else, with the bytes, binary where there is a NUL and markup where it begins so; else plain text."""
-    known = _lookup(path, 1)
+    """By name, or the language that the content tells; else by the first bytes: signatures, markup, a NUL; else plain text."""
     if content is None:
-        return F.coalesce(known, F.lit("text/plain"))
-    head = F.substring(content.cast("binary"), 1, 512)
-    text = F.lower(F.ltrim(head.cast("string")))
-    sniffed = F.when(F.hex(head).rlike("^(..)*00"), "application/octet-stream").when(text.startswith("<!doctype html") | text.startswith("<html"), "text/html").when(text.startswith("<?xml"), "text/xml").otherwise("text/plain")
-    return F.coalesce(known, sniffed)
+        return F.coalesce(_lookup(path, 1), F.lit("text/plain"))
+    mime = F.create_map(*[F.lit(x) for name, kind, _ in LANGUAGES for x in (name, kind)])
+    head = F.substring(content.cast("binary"), 1, _HEAD)
+    markup, first = F.lower(F.ltrim(head.cast("string"), F.lit(" \t\n\x0c\r"))), F.hex(head)
+    sniffed = F.when(markup.startswith("<!doctype html") | markup.startswith("<html"), "text/html").when(markup.startswith("<?xml"), "text/xml")
+    for signature, kind in SIGNATURES:
+        sniffed = sniffed.when(first.startswith(signature), kind)
+    sniffed = sniffed.when(first.rlike("^(..)*00"), "application/octet-stream").otherwise("text/plain")
+    return F.coalesce(F.try_element_at(mime, language(path, content)), _lookup(path, 1), sniffed)
 
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -539,3 +539,26 @@ def test_source_settings_and_costs(spark):
     usage = spark.createDataFrame([("a", 2_000, 500), ("b", 1, 1)], "model string, input_tokens long, output_tokens long")
     prices = spark.createDataFrame([("a", 0.5, 2.0)], "model string, input_price double, output_price double")
     assert {r["model"]: r["cost"] for r in repository.cost(usage, prices).collect()} == {"a": 2.0, "b": None}
+
+
+@pytest.mark.parametrize(
+    "path, content, kind, language",
+    [
+        ("run", b"#!/usr/bin/env python3\nprint()", "text/x-python", "Python"),
+        ("run", b"#!/bin/bash -e\n", "text/x-shellscript", "Shell"),
+        ("run", b"#!/usr/bin/env -S node\n", "text/javascript", "JavaScript"),
+        ("a.h", b"int f(void);\n", "text/x-c", "C"),
+        ("a.h", b"#pragma once\nnamespace a {\n}\n", "text/x-c++", "C++"),
+        ("x", b"%PDF-1.4", "application/pdf", None),
+        ("x", b"\x89PNG\r\n\x1a\n", "image/png", None),
+        ("x", b"\n <!DOCTYPE html><p>", "text/html", None),
+        ("x", b"a\x00b", "application/octet-stream", None),
+        ("x", b"", "text/plain", None),
+        ("x.go", b"\x00", "text/x-go", "Go"),
+        ("x", None, "text/plain", None),
+    ],
+)
+def test_types_by_content(spark, path, content, kind, language):
+    row = spark.createDataFrame([(path, bytearray(content) if content is not None else None)], "p string, c binary")
+    got = row.select(content_type.content_type(F.col("p"), F.col("c")).alias("k"), content_type.language(F.col("p"), F.col("c")).alias("l")).first()
+    assert (got["k"], got["l"]) == (kind, language)
