@@ -27,13 +27,18 @@ class Result:
     skipped: bool = False
 
 
-def prepare_files(docs: DataFrame, snapshot_id: str, patterns: tuple[str, ...] = ()) -> DataFrame:
+def by_name_and_content(path: Column, content: Column) -> tuple[Column, Column]:
+    """U-02: content type and language; another detector may stand in its place."""
+    return content_type.content_type(path, content), content_type.language(path, content)
+
+
+def prepare_files(docs: DataFrame, snapshot_id: str, patterns: tuple[str, ...] = (), detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content) -> DataFrame:
     """Files (id, snapshot_id, path, size, content_type, language, domain, content_hash, content) of documents (path, content bytes)."""
     rows = docs.filter(~ignore.ignored(F.col("path"), patterns))
-    body = F.col("content").cast("string")
+    body, (kind, language) = F.col("content").cast("string"), detect(F.col("path"), F.col("content"))
     return rows.select(
         F.xxhash64(F.lit(snapshot_id), "path").alias("id"), F.lit(snapshot_id).alias("snapshot_id"), "path", F.octet_length("content").cast("bigint").alias("size"),
-        content_type.content_type(F.col("path"), F.col("content")).alias("content_type"), content_type.language(F.col("path"), F.col("content")).alias("language"),
+        kind.alias("content_type"), language.alias("language"),
         text.classify_domain(F.col("path")).alias("domain"), F.sha2("content", 256).alias("content_hash"), body.alias("content"),
     )
 
@@ -52,8 +57,12 @@ def prepare_chunks(files: DataFrame, product: str, source: str, version: str, li
 
 
 def stats(chunks: DataFrame) -> DataFrame:
-    """C-23: files, files that could not be parsed, chunks, by kind of chunk."""
-    return chunks.groupBy("chunk_type").agg(F.count_distinct("file_id").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull()).alias("chunks"))
+    """C-23: files, files that could not be parsed, chunks and their complexity, by kind of chunk."""
+    complexity = F.col("cyclomatic_complexity")
+    return chunks.groupBy("chunk_type").agg(
+        F.count_distinct("file_id").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull()).alias("chunks"),
+        F.round(F.avg(complexity), 4).alias("mean_complexity"), F.max(complexity).alias("max_complexity"),
+    )
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -79,12 +88,13 @@ def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
     return spark.read.parquet(f"{root}/summaries").join(F.broadcast(mine), "snapshot_id", "left_semi").select(*none.columns)  # a row a version
 
 
-def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None) -> Result:
+def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None) -> Result:
     """D-01, D-09: write files, chunks, embeddings, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
 
     What an earlier version of the source has a summary of is not summarised again.  Files that can't be parsed are left
     out one by one (D-02), and raise beyond ``most_failed`` of all; more than ``most_unwritten`` of a step's summaries that the model fails to write raise (A-16).
 
+    ``measure`` gets what ``stats`` tells of the chunks (U-08).
     A version that has its row is left alone (D-03) unless ``force`` writes its tables anew; leftovers of a run that broke off are overwritten.
     """
     spark, snapshot_id = docs.sparkSession, f"{source}@{version}"
@@ -92,7 +102,7 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     if known and not force:
         return Result(skipped=True)
     at = f"snapshot_id={snapshot_id}"
-    prepare_files(docs, snapshot_id, patterns).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
+    prepare_files(docs, snapshot_id, patterns, detect).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
     files = spark.read.parquet(f"{root}/files/{at}")
     prepare_chunks(files, product, source, version, limits).write.mode("overwrite").parquet(f"{root}/chunks/{at}")
     chunks = spark.read.parquet(f"{root}/chunks/{at}")
@@ -109,6 +119,8 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     none = spark.createDataFrame([], "summary_id bigint, content_hash string, vector array<float>")
     vectors = summaries.upsert_vectors(kept, none, lambda rows: ask.embed(rows, embedder))
     vectors.write.mode("overwrite").parquet(f"{root}/summary_embeddings/{at}")
+    if measure:
+        measure(stats(chunks))
     if not known:
         row = spark.createDataFrame([(snapshot_id, source_id, version, True)], "id string, source_id string, version_identifier string, indexed boolean")
         row.withColumn("indexed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")

@@ -862,7 +862,7 @@ def llm_cost(v: Views) -> DataFrame:
     return repository.cost(usage, prices).select("id", F.when(F.col("input_price").isNotNull(), F.col("model")).alias("model"), F.round("cost", 9).alias("cost"))
 
 
-@query("SELECT chunk_type, count(DISTINCT file_id) AS files, 0::BIGINT AS failed, count(*) AS chunks FROM chunks GROUP BY 1")
+@query("SELECT chunk_type, count(DISTINCT file_id) AS files, 0::BIGINT AS failed, count(*) AS chunks, round(avg(cyclomatic_complexity), 4) AS mean_complexity, max(cyclomatic_complexity) AS max_complexity FROM chunks GROUP BY 1")
 def chunk_stats(v: Views) -> DataFrame:
     return indexing.stats(v.chunks.withColumn("error", F.lit(None).cast("string")))
 

@@ -562,3 +562,11 @@ def test_types_by_content(spark, path, content, kind, language):
     row = spark.createDataFrame([(path, bytearray(content) if content is not None else None)], "p string, c binary")
     got = row.select(content_type.content_type(F.col("p"), F.col("c")).alias("k"), content_type.language(F.col("p"), F.col("c")).alias("l")).first()
     assert (got["k"], got["l"]) == (kind, language)
+
+
+def test_index_with_a_detector_and_a_collector(spark, tmp_path):
+    docs = spark.createDataFrame([("a.txt", bytearray(b"func f() {\n" + b"\tif a && b {\n\t}\n" * 60 + b"}\n"))], "path string, content binary")
+    seen = []
+    got = indexing.index(docs, str(tmp_path), "p", "s", "v", detect=lambda path, content: (F.lit("text/x-python"), F.lit("Python")), measure=lambda rows: seen.extend(rows.collect()))
+    assert got.chunks == 1 and spark.read.parquet(f"{tmp_path}/files").first()["language"] == "Python"
+    assert len(seen) == 1 and seen[0]["files"] == 1 and seen[0]["max_complexity"] == 1 + 120
