@@ -34,6 +34,10 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Of intermediate tables: what a task holds of them when it writes, and at most when it reads.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def column(name: str) -> Column:
     """A column by its plain name, whatever signs it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -55,7 +59,7 @@ def materialise(df: DataFrame, compact: bool = False, **options) -> DataFrame:
     path = shared_dir(spark)
     if compact:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": ROW_GROUP_BYTES, **options}).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

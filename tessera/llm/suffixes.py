@@ -42,9 +42,9 @@ from tessera.llm.textblocks import BLOCK_BYTES, apart_hashes, blocks, powers, pr
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM + 1  # anchors' places in a window
-BUCKET_BYTES, FLUSH, FLUSH_BYTES, STRETCH = 16 << 20, 400_000, 16 << 20, BLOCK_BYTES
+BUCKET_BYTES, FLUSH, FLUSH_BYTES, STRETCH = 8 << 20, 200_000, 8 << 20, BLOCK_BYTES
 #: Anchors that one task judges and sorts: three times what a bucket has on average.
-MOST = 1_200_000
+MOST = 600_000
 ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("pos", "<i4"), ("low", "u1"), ("high", "u1")])
 LAST = np.iinfo(np.int64).max
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -323,7 +323,8 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
         release()
         return pa.Table.from_batches([_found(*out)])
 
-    dealt = materialise(docs.mapInArrow(find, _DEALT))
+    # A row holds thousands of anchors: small row groups, as a reader takes up to 4,096 rows of one at once.
+    dealt = materialise(docs.mapInArrow(find, _DEALT), **{"parquet.block.size": 8 << 20})
     # Buckets beyond MOST are no more than anchors / MOST.
     large = [r["bucket"] for r in dealt.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > MOST).collect()]
     # Spans that were compared in their task need no partner: spread them over many groups.
