@@ -220,6 +220,7 @@ def test_chat_against_brute_force(spark):
         rows += [(conv, n, role, J(m)) for n, (role, m) in enumerate(said)]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
     got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(table, queries.TOOLS).collect()}
+    assert "ShuffledHashJoin" in chat.format_chat(table, queries.TOOLS)._jdf.queryExecution().executedPlan().toString()
     want = brute_chat(rows)
     assert len(got) == len(rows) == len(want)
     assert {k: (r["link"], (r["order_turn"], r["order_level"])) for k, r in got.items()} == want
