@@ -5,7 +5,7 @@ equals); equal windows have equal anchors at equal offsets, wherever they stand.
 anchors are sorted, about one in forty bytes:
 
 1. Each task finds its texts' anchors, with a hash of the *context*, the bytes of all windows an anchor owns.
-   Of equal contexts in a task only the earliest goes on; the others' bytes are compared with its bytes there and then.
+   Of equal contexts in a task only the earliest goes on; every other's bytes are compared with those of the one before there and then.
    Anchors are dealt out by hash into buckets.  Where a context was seen earlier, all its windows are repeats, once their bytes
    have been compared with the earlier ones' (the earlier text sends them).  Where an
    anchor has several contexts, the first text of each sends the context's bytes.
@@ -126,10 +126,10 @@ def _dealt(held: np.ndarray, where: np.ndarray, text: np.ndarray, data: np.ndarr
     order = np.lexsort((held["pos"], held["h"], held["id"], held["low"], held["c"], held["a"]))
     order = order[_once(held[order])]
     held, where, text = held[order], where[order], text[order]
-    new, first = _runs(held)
+    new, _ = _runs(held)
     later = np.flatnonzero(~new)
     high, low = held["high"][later].astype(np.int64), held["low"][later].astype(np.int64)
-    shift = where[later] - where[first[later]]
+    shift = where[later] - where[later - 1]  # from the one before, so that a periodic stretch is one span
     one, begin, finish = merged_spans((text[later],), shift, where[later] - high, where[later] - low + SPAN)
     for a, b, d in zip(begin.tolist(), finish.tolist(), shift[one].tolist()):
         if not np.array_equal(data[a:b], data[a - d : b - d]):

@@ -239,3 +239,9 @@ def test_a_very_long_text_repeats(spark):
     rows = [(1, part + "-" * 50 + part), (2, part[:1_000])]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
     assert got == {1: (1_400_050, 700_000, 1), 2: (1_000, 1_000, 1)}
+
+
+def test_a_very_long_periodic_text(spark):
+    rows = [(1, "=" * 3_000_000), (2, "ab " * 700_000), (3, "=" * 150)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got == {1: (3_000_000, 2_999_999, 1), 2: (2_100_000, 2_099_997, 1), 3: (150, 150, 1)}
