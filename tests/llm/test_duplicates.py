@@ -245,3 +245,17 @@ def test_a_very_long_periodic_text(spark):
     rows = [(1, "=" * 3_000_000), (2, "ab " * 700_000), (3, "=" * 150)]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
     assert got == {1: (3_000_000, 2_999_999, 1), 2: (2_100_000, 2_099_997, 1), 3: (150, 150, 1)}
+
+
+@pytest.mark.parametrize("most", [suffixes.MOST, 0])
+def test_rows_equal_in_id_and_text_are_one_document(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST", most)
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdef ") for _ in range(400))
+    rows = [(1, text), (1, text), (1, text), (2, text[:250] + "!"), (2, text[:250] + "!"), (3, None), (3, None), (4, "-" * 120), (4, "-" * 120)]
+    want = brute_repeats(rows)
+    for parts in (1, 5):
+        got = suffixes.digest(suffixes.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts))).collect()
+        assert len(got) == len(rows)
+        texts = dict(rows)
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], texts[r["doc_id"]]] for r in got)
