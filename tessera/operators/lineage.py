@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder in the cluster's shared one, which goes when the driver ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _temporary(spark)
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _temporary(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder; a local master without one gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if context.master.startswith("local-cluster") or not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="tessera-")
+        base = context.getConf().get("spark.checkpoint.dir") or _temporary(df.sparkSession)
         context.setCheckpointDir(base)
     return df.checkpoint()

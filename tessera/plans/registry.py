@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, indexing, ranking, search, summaries
+from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, indexing, lineage, ranking, search, summaries
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_type, ignore, repository
 from tessera.sources.views import Views
@@ -815,6 +816,11 @@ def edit_windows(v: Views) -> DataFrame:
     return edits.edit_windows(v.commits)
 
 
+@query("""SELECT w AS window_start, 'u' || user_id || '.go' AS path, count(*) AS edits FROM (SELECT user_id, unnest([date_trunc('day', ts) - INTERVAL (i) DAY FOR i IN [0, 1, 2, 3, 4, 5, 6]]) AS w FROM events) GROUP BY ALL""")
+def edit_windows_stream(v: Views) -> DataFrame:
+    return edits.written_windows(v.commit_stream, lineage.shared_folder(v.spark))
+
+
 # Lookups, changes and gates by key
 
 
@@ -979,3 +985,23 @@ def wiki_sections(v: Views) -> DataFrame:
         return chunks, found.select(F.col("id").alias("chunk_id"), F.col("target_path").alias("path"), "content", "score")
 
     return ask.section_contexts(find, ask.HashingEmbedder())
+
+
+# A whole index run
+
+
+@query("""WITH f AS (SELECT 'src/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '/a.md' ELSE '/b/c.txt' END AS path FROM documents WHERE doc_id % 17 <> 0),
+d AS (SELECT DISTINCT unnest(['', 'src', regexp_replace(path, '/[^/]*$', ''), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM f)
+SELECT 'files' AS t, count(*) AS n FROM f UNION ALL SELECT 'markdown files', count(*) FILTER (path LIKE '%.md') FROM f UNION ALL SELECT 'snapshots', 1 UNION ALL SELECT 'file summaries', count(*) FROM f
+UNION ALL SELECT 'directory summaries', count(*) FROM d UNION ALL SELECT 'architecture summaries', 4 UNION ALL SELECT 'summary vectors', (SELECT count(*) FROM f) + (SELECT count(*) FROM d) + 4 UNION ALL SELECT 'skipped', 1""")
+def index_version(v: Views) -> DataFrame:
+    i, folder = F.col("doc_id"), lineage.shared_folder(v.spark)
+    ending = F.when(i % 17 == 0, "/node_modules/x.js").when(i % 3 == 0, "/a.md").otherwise("/b/c.txt")
+    docs = v.table("documents").select(F.concat(F.lit("src/"), i.cast("string"), ending).alias("path"), F.col("text").cast("binary").alias("content"))
+    indexing.index(docs, folder, "p", "s", "v1", write=_stub)
+    again = indexing.index(docs, folder, "p", "s", "v1", write=_stub)
+    read = lambda name: v.spark.read.parquet(f"{folder}/{name}")
+    kinds = {f"{k} summaries": read("summaries").filter(F.col("summary_type") == k) for k in ("file", "directory", "architecture")}
+    tables = {"files": read("files"), "markdown files": read("files").filter("content_type = 'text/markdown'"), "snapshots": read("snapshots"), **kinds, "summary vectors": read("summary_embeddings")}
+    counts = [t.agg(F.lit(name).alias("t"), F.count("*").alias("n")).select("t", "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionAll, [*counts, v.spark.createDataFrame([("skipped", int(again.skipped))], "t string, n bigint")])

@@ -103,7 +103,15 @@ class Views:
     @property
     def commits(self) -> DataFrame:
         """path, hash, author, ts: one row a change of a file."""
-        e = self.table("events")
+        return self._commits(self.table("events"))
+
+    @property
+    def commit_stream(self) -> DataFrame:
+        """The same as a stream of the table's files."""
+        return self._commits(self.spark.readStream.schema(self.table("events").schema).parquet(f"{self.sf_dir}/events.parquet*"))
+
+    @staticmethod
+    def _commits(e: DataFrame) -> DataFrame:
         return e.select(F.concat(F.lit("u"), F.col("user_id"), F.lit(".go")).alias("path"), F.sha1(F.col("event_id").cast("string")).alias("hash"), F.col("event_type").alias("author"), "ts", "event_id")
 
     def query_vector(self, vec_id: int = 0) -> list[float]:

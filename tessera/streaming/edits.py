@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 def edit_windows(changes: DataFrame, length: str = "7 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
     """T-03: edits of each path in sliding windows; works on a stream and on a table alike."""
-    if changes.isStreaming:
-        changes = changes.withWatermark("ts", late)
-    return changes.groupBy(F.window("ts", length, step).alias("w"), "path").agg(F.count("*").alias("edits")).select(F.col("w.start").alias("window_start"), "path", "edits")
+    kind = changes.schema["ts"].dataType
+    if changes.isStreaming:  # watermarks need instants; there and back in the session's time zone
+        changes = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counts = changes.groupBy(F.window("ts", length, step).alias("w"), "path").agg(F.count("*").alias("edits"))
+    return counts.select(F.col("w.start").cast(kind).alias("window_start"), "path", "edits")
 
 
 def index_changes(changes: DataFrame, index: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
@@ -23,3 +25,14 @@ def index_changes(changes: DataFrame, index: Callable[[DataFrame], None], checkp
         index(rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "ts").alias("r")).select("path", "r.*"))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written_windows(changes: DataFrame, folder: str) -> DataFrame:
+    """T-03: the windows of a stream of changes that is there now, as the table that its last batch leaves in ``folder``."""
+
+    def write(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/windows")
+
+    run = edit_windows(changes).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return changes.sparkSession.read.parquet(f"{folder}/windows")
