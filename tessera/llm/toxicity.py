@@ -8,7 +8,7 @@ logistic regression on these levels is fitted together with a penalty on score c
 text that names a group, identity terms are swapped for others of their kind, and the squared change of the
 log-odds counts against the model.  So a neutral mention of a group doesn't raise a score.
 
-At most ``MAX_ROWS`` labelled rows and ``MAX_TERMS`` terms fit the model; scoring is one pass over the texts.
+At most ``max_rows`` labelled rows and ``max_terms`` terms, both parameters of ``train``, fit the model; scoring is one pass over the texts.
 
 Defined results: null, empty and white texts hold no term and get the score of those; very long texts are scored
 whole, some words at a time; repeated rows get equal
@@ -238,8 +238,8 @@ def fit(v: int, y: np.ndarray, rows: np.ndarray, entries: np.ndarray, moved: np.
     return w[:v], float(w[v])
 
 
-def choose_vocabulary(sample: DataFrame) -> np.ndarray:
-    """Hashes of the terms one level of which splits toxic from other texts by LEAST_Z standard errors, the surest MAX_TERMS."""
+def choose_vocabulary(sample: DataFrame, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """Hashes of the terms one level of which splits toxic from other texts by LEAST_Z standard errors, the surest ``max_terms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,13 +265,13 @@ def choose_vocabulary(sample: DataFrame) -> np.ndarray:
     counts = sample.mapInArrow(run, "term bigint, level int, texts bigint, toxic bigint").groupBy("term", "level").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("texts") * F.col("share")) / F.sqrt(F.greatest(F.col("texts") * F.col("share") * (1 - F.col("share")), F.lit(1e-9)))
     sure = counts.filter(F.col("texts") >= LEAST_TEXTS).join(F.broadcast(share)).select("term", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z)
-    rows = sure.groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    rows = sure.groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(max_terms).collect()
     return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
     sample = labelled_sample(docs, labels, "toxic", mod, held_out, max_rows)
-    vocabulary = choose_vocabulary(sample)
+    vocabulary = choose_vocabulary(sample, max_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(vocabulary, np.zeros(0), 0.0)
