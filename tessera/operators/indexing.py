@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, chunking, coverage, summaries
+from tessera.operators import ask, chunking, coverage, search, summaries
 from tessera.sources import content_type, ignore
 
 
@@ -85,7 +85,7 @@ def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
     if not there(spark, f"{root}/snapshots") or not there(spark, f"{root}/summaries"):
         return none
     mine = spark.read.parquet(f"{root}/snapshots").filter(F.col("source_id") == source).select(F.col("id").alias("snapshot_id"))
-    return spark.read.parquet(f"{root}/summaries").join(F.broadcast(mine), "snapshot_id", "left_semi").select(*none.columns)  # a row a version
+    return spark.read.parquet(f"{root}/summaries").join(search.small(mine), "snapshot_id", "left_semi").select(*none.columns)
 
 
 def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None) -> Result:

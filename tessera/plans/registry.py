@@ -213,8 +213,8 @@ def files_by_domain(v: Views) -> DataFrame:
 
 @query("SELECT b.id, b.path FROM files a JOIN files b ON a.content_hash = b.content_hash WHERE a.id = 3 ORDER BY b.created_at DESC")
 def files_by_hash(v: Views) -> DataFrame:
-    mine = v.files.filter("id = 3").select("content_hash")
-    return v.files.join(F.broadcast(mine), "content_hash").orderBy(F.desc("created_at")).select("id", "path")
+    mine = search.small(v.files.filter("id = 3").select("content_hash"))
+    return v.files.join(mine, "content_hash").orderBy(F.desc("created_at")).select("id", "path")
 
 
 @query("SELECT id, chunk_type, token_count FROM chunks WHERE file_id = 7 ORDER BY ordinal")

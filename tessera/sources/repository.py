@@ -173,5 +173,5 @@ class Settings:
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """S-20: cost of usage (model, input_tokens, output_tokens) by prices per 1,000 tokens (model, input_price, output_price)."""
-    rows = usage.join(F.broadcast(prices), "model", "left")
+    rows = usage.join(prices, "model", "left")
     return rows.withColumn("cost", F.col("input_tokens") / 1000 * F.col("input_price") + F.col("output_tokens") / 1000 * F.col("output_price"))
