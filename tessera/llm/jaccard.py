@@ -231,7 +231,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "component").select("cid", "component_id")
     out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
-    out = materialise(out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    out = materialise(out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), compact=True)
     discard(rows, nodes, labels)
     return out
 

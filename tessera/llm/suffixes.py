@@ -333,7 +333,7 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
     found = held.withColumn("bucket", spread).groupBy("bucket").applyInArrow(judge, _FOUND)
     if large:
         found = found.unionAll(_windows(docs, dealt.filter(F.col("bucket").isin(large)), plain))
-    found = materialise(found)
+    found = materialise(found, compact=True)
     discard(dealt)
 
     asked = found.filter(F.col("kind") == _WANTED).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "low", "high", "a")).alias("asked"))
@@ -370,7 +370,7 @@ def _spans(docs: DataFrame, n_buckets: int, plain: bool) -> tuple[DataFrame, Dat
 
     sent = texts.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(contexts, "a bigint, id bigint, h bigint, pos int, low int, high int, bytes binary")
     sent = sent.withColumn("bucket", F.pmod(F.shiftright("a", 8), F.lit(n_buckets)))
-    partial = materialise(sent.groupBy("bucket").applyInArrow(sort, "id bigint, h bigint, start int, end int"))
+    partial = materialise(sent.groupBy("bucket").applyInArrow(sort, "id bigint, h bigint, start int, end int"), compact=True)
     return found, partial
 
 
@@ -431,7 +431,7 @@ def _pieces(docs: DataFrame, found: DataFrame, plain: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", *names])
 
     lists = rows.groupBy("id", "h").agg(F.collect_list(F.struct(*names)).alias("spans"))
-    spans = materialise(lists.mapInArrow(merge, "id bigint, h bigint, start int, end int, sid bigint, sh bigint, shift int"))
+    spans = materialise(lists.mapInArrow(merge, "id bigint, h bigint, start int, end int, sid bigint, sh bigint, shift int"), compact=True)
     source = F.xxhash64(F.col("sid"), F.col("sh"))
     texts = _texts(docs, bitmap(spans, source), plain).select(F.col("id").alias("sid"), F.col("h").alias("sh"), "text")
     piece = F.substring("text", F.col("start") - F.col("shift") + 1, F.col("end") - F.col("start"))
@@ -498,7 +498,7 @@ def repeats(docs: DataFrame, keep: Sequence[str] = (), whole_characters: bool =
     found, partial = _spans(docs, max(8, (n[2] or 0) // BUCKET_BYTES), plain)
     compared = found.filter(F.col("kind") == _COMPARED).select("id", "h", F.col("pos").alias("start"), F.col("a").cast("int").alias("end")).unionAll(partial)
     spans = compared.withColumn("piece", F.lit(None).cast("binary")).unionAll(_pieces(docs, found, plain))
-    by_doc = materialise(spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "piece")).alias("spans")))
+    by_doc = materialise(spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "piece")).alias("spans")), compact=True)
     discard(found, partial)
     seen = bitmap(by_doc, _key())
     extra = full.schema["others"].dataType.simpleString()
