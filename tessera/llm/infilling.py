@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.store import materialise
 from tessera.llm.textblocks import blocks, release
 
 #: Bytes of a stretch: a giant text has more.
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -158,23 +158,18 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, changed: int = 90, spm: int =
     stretches = giants.select("key", "text").mapInArrow(cut_up, CUT_UP).repartition("key", "number")
     stretches = materialise(stretches.dropDuplicates(["key", "number"]))
     maps = stretches.mapInArrow(scan, MAPS)
-    # A row holds 2 GB at most, so a document has 2,048 maps at most.
-    listed = maps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", "size", "chars", "exits", "tokens"))).alias("maps"))
-    begin = F.expr("named_struct('state', 0, 'n', 0L, 'size', 0L, 'chars', 0L, 'entered', cast(array() as array<struct<number:int,entry:int,n:bigint,size:bigint,chars:bigint,tokens:bigint>>))")
-
-    def compose(acc: Column, one: Column) -> Column:
-        tokens = one["tokens"][acc["state"]]
-        entered = F.struct(one["number"].alias("number"), acc["state"].alias("entry"), acc["n"].alias("n"), acc["size"].alias("size"), acc["chars"].alias("chars"), tokens.alias("tokens"))
-        sums = (acc[c] + x for c, x in (("n", tokens), ("size", one["size"]), ("chars", one["chars"])))
-        return F.struct(one["exits"][acc["state"]].alias("state"), *(s.alias(c) for s, c in zip(sums, ("n", "size", "chars"))), F.concat(acc["entered"], F.array(entered)).alias("entered"))
-
-    composed = materialise(listed.select("key", F.aggregate("maps", begin, compose).alias("all")).select("key", "all.*").drop("state"))
+    # Every stretch has bytes, so its map gives one state for either entry: composed with all before it, it is entered as the one before is left.
+    order = Window.partitionBy("key").orderBy("number")
+    entry = F.coalesce(F.lag(F.col("exits")[0]).over(order), F.lit(0))
+    entered = maps.select("key", "number", "size", "chars", entry.alias("entry"), F.col("tokens")[entry].alias("tokens"))
+    before = lambda c: (F.sum(c).over(order) - F.col(c)).alias(f"before_{c}")
+    entered = materialise(entered.select("*", *map(before, ("tokens", "size", "chars"))))
+    composed = entered.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "size", "chars"))).withColumnRenamed("tokens", "n")
     ids = giants.select("key", "doc_id").dropDuplicates(["key"])
     cuts = composed.select("key", "n").join(ids, "key").select("key", "doc_id", "n").mapInArrow(drawn, "key string, first bigint, second bigint")
     asked = cuts.select("key", F.posexplode(F.array("first", "second")).alias("second", "cut"))
-    entered = composed.select("key", F.explode("entered").alias("e")).select("key", "e.*")
-    held = asked.join(entered, "key").filter((F.col("n") <= F.col("cut")) & (F.col("cut") < F.col("n") + F.col("tokens")))
-    held = held.join(stretches, ["key", "number"]).select("key", "second", (F.col("cut") - F.col("n")).alias("token"), "entry", "size", "chars", "data")
+    held = asked.join(entered, "key").withColumn("token", F.col("cut") - F.col("before_tokens")).filter("token >= 0 and token < tokens")
+    held = held.join(stretches, ["key", "number"]).select("key", "second", "token", "entry", "before_size", "before_chars", "data")
     found = held.mapInArrow(select, SELECTED)
     where = found.groupBy("key").pivot("second", [0, 1]).agg(F.first("bytes").alias("bytes"), F.first("chars").alias("chars"))
     # A cut behind the last token is in no stretch.
