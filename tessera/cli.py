@@ -2,6 +2,7 @@
 
     python -m tessera --root DIR product list | product show NAME | source list [--product NAME] | source show ID
     python -m tessera --root DIR index git --url URL --product NAME [--ref REF] [--force-init] [--generate-wiki]
+    python -m tessera --root DIR find --product NAME [--limit N] WORD...
     python -m tessera --root DIR ask --product NAME [--show-sources] QUESTION
     python -m tessera --root DIR wiki generate --product NAME [--out DIR]
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, indexing, search
+from tessera.operators import ask, catalog, cells, indexing, inverted, search
 from tessera.sources import repository
 
 SOURCES = "id string, product string, url string, default_ref string"
@@ -58,7 +59,7 @@ class Store:
     def find(self, product: str) -> Callable[[Sequence[float]], tuple[DataFrame, DataFrame]]:
         """For a query's vector the chunks and summaries (chunk_id, path, content, score) of a hybrid search."""
         latest, chunks = self.latest(product), self.spark.read.parquet(f"{self.root}/chunks").filter("error is null")
-        vectors = self.spark.read.parquet(f"{self.root}/embeddings").drop("snapshot_id")
+        index = cells.CellIndex(self.spark, f"{self.root}/cells")
         summaries = self.spark.read.parquet(f"{self.root}/summaries")
         about = self.spark.read.parquet(f"{self.root}/summary_embeddings").select(F.col("summary_id").alias("chunk_id"), "vector")
         from tessera.operators.summaries import summary_id
@@ -66,14 +67,24 @@ class Store:
         summaries = summaries.withColumn("id", summary_id())
 
         def run(vector: Sequence[float]) -> tuple[DataFrame, DataFrame]:
-            code = search.search_within(vectors, chunks.select("id", "snapshot_id", "path"), latest, vector)
-            code = code.join(chunks.select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"]), "chunk_id")
+            # Versions are partitions of vectors, chunks and summaries: of all three only the latest are read.
+            code = index.search(vector, versions=latest).hits.select("snapshot_id", "chunk_id", "path", "score")
+            held = chunks.join(latest, "snapshot_id").select("snapshot_id", F.col("id").alias("chunk_id"), "content")
+            code = held.join(F.broadcast(code), ["snapshot_id", "chunk_id"]).select("chunk_id", "path", "content", "score")  # a top-k
             found = search.search_summaries(summaries, about, vector, within=latest).join(summaries.select("id", "content"), "id")
             return code, found.select(F.col("id").alias("chunk_id"), F.col("target_path").alias("path"), "content", "score")
 
         return run
 
 
+    def words(self, product: str, query: Sequence[str], limit: int) -> DataFrame:
+        """path, start_line, end_line, keyword: the product's chunks that tell most of the words (R-02)."""
+        versions = [r["snapshot_id"] for r in self.latest(product).collect()]  # a row a source
+        best = inverted.Index(self.spark, f"{self.root}/keywords", versions).best(query, limit)
+        chunks = self.spark.read.parquet(f"{self.root}/chunks").filter(F.col("snapshot_id").isin(versions))
+        return chunks.join(F.broadcast(best), "id").select("path", "start_line", "end_line", "keyword").orderBy(F.desc("keyword"), "path", "start_line")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tessera")
     top.add_argument("--root", default=os.environ.get("TESSERA_ROOT", "tessera-data"))
@@ -90,6 +101,10 @@ def parser() -> argparse.ArgumentParser:
     git.add_argument("--ref")
     git.add_argument("--force-init", action="store_true")
     git.add_argument("--generate-wiki", action="store_true")
+    find = commands.add_parser("find")
+    find.add_argument("--product", required=True)
+    find.add_argument("--limit", type=int, default=search.DEFAULT_LIMIT)
+    find.add_argument("words", nargs="+")
     question = commands.add_parser("ask")
     question.add_argument("--product", required=True)
     question.add_argument("--show-sources", action="store_true")
@@ -112,6 +127,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, e
         if not args.generate_wiki:
             return 0
         args.out = None
+    if args.command == "find":
+        tell(store.words(args.product, args.words, args.limit).collect())
+        return 0
     if args.command == "ask":
         search.check_search(args.question, product_id=args.product)
         code, structure = store.find(args.product)(embedder.embed([args.question])[0])

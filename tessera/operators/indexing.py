@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, chunking, coverage, search, summaries
+from tessera.operators import ask, cells, chunking, coverage, inverted, search, summaries
 from tessera.sources import content_type, ignore
 
 
@@ -89,7 +89,7 @@ def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 
 def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None) -> Result:
-    """D-01, D-09: write files, chunks, embeddings, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
+    """D-01, D-09: write files, chunks, keywords, embeddings and their cells, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
 
     What an earlier version of the source has a summary of is not summarised again.  Files that can't be parsed are left
     out one by one (D-02), and raise beyond ``most_failed`` of all; more than ``most_unwritten`` of a step's summaries that the model fails to write raise (A-16).
@@ -108,9 +108,12 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     chunks = spark.read.parquet(f"{root}/chunks/{at}")
     n, failed = coverage.check_failure_rate(chunks.groupBy("file_id").agg(F.max(F.col("error").isNotNull()).alias("failed")), most=most_failed)
     good = chunks.filter("error is null")
-    context = good.select(F.col("id").alias("chunk_id"), ask.embedding_context(F.col("content"), F.col("path"), name=F.col("chunk_name"), parent=F.col("parent_name")).alias("content"))
+    inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id)
+    paths = files.select(F.col("id").alias("file_id"), "path")
+    context = good.drop("path").join(paths, "file_id").select(F.col("id").alias("chunk_id"), "path", ask.embedding_context(F.col("content"), F.col("path"), name=F.col("chunk_name"), parent=F.col("parent_name")).alias("content"))
     embedder = embedder or ask.HashingEmbedder()
-    ask.embed(context, embedder).select("chunk_id", "vector").write.mode("overwrite").parquet(f"{root}/embeddings/{at}")
+    ask.embed(context, embedder).select("chunk_id", "path", "vector").write.mode("overwrite").parquet(f"{root}/embeddings/{at}")
+    cells.add(spark.read.parquet(f"{root}/embeddings/{at}").withColumn("snapshot_id", F.lit(snapshot_id)), f"{root}/cells")
     parsed = files.join(chunks.filter("error is not null").select(F.col("file_id").alias("id")), "id", "left_anti").withColumn("snapshot_id", F.lit(snapshot_id))
     before = _before(spark, root, source_id)
     all_ = summaries.summarise_all(parsed, before, write, most_unwritten)

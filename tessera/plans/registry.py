@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, chunking, coverage, gocode, graph, indexing, lineage, ranking, search, summaries
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, ranking, search, summaries
+from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_type, ignore, repository
 from tessera.sources.views import Views
@@ -39,31 +40,64 @@ def query(sql: str | None = None):
 # Vector and hybrid search
 
 
+def _add_cells(v: Views, root: str) -> None:
+    files = v.files.select(F.col("id").alias("chunk_id"), "snapshot_id", "path", "content_type")
+    rows = v.embeddings.join(files, "chunk_id", "left")  # a vector without a file is of no version
+    cells.add(rows.select("snapshot_id", "chunk_id", "path", "content_type", "model", "vector"), root)
+
+
+def _cells(v: Views) -> cells.CellIndex:
+    return kept(v.table("embeddings"), "cells", lambda root: _add_cells(v, root), lambda root: cells.CellIndex(v.spark, root))
+
+
+def _where(path_prefix: str | None = None, content_type: str | None = None) -> Column | None:
+    conditions = ([F.col("path").startswith(path_prefix)] if path_prefix else []) + ([F.col("content_type") == content_type] if content_type else [])
+    return reduce(Column.__and__, conditions) if conditions else None
+
+
+def _within(v: Views, product: int) -> DataFrame:
+    """The latest versions of a product's sources, broadcast if they are few; the vectors' versions are pruned by it at run time."""
+    mine = v.sources.filter(F.col("product_id") == product).select(F.col("id").alias("source_id"))
+    latest = search.latest_snapshots(v.snapshots.join(mine, "source_id", "left_semi")).select(F.col("id").alias("snapshot_id"))
+    return search.small(latest)
+
+
 @query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
 WHERE o.product_id = 1 ORDER BY s.score DESC, s.chunk_id LIMIT 10""")
 def search_by_product(v: Views) -> DataFrame:
-    return search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 1, v.query_vector())
+    return _cells(v).top(v.query_vector(), versions=_within(v, 1)).select("chunk_id", "path", "score")
 
 
 @query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id JOIN sources o ON o.id = l.source_id
 WHERE o.product_id = 2 AND starts_with(f.path, 'src1') AND f.content_type = 'text/plain' ORDER BY s.score DESC, s.chunk_id LIMIT 5""")
 def search_by_product_filtered(v: Views) -> DataFrame:
-    return search.search_by_product(v.embeddings, v.files, v.snapshots, v.sources, 2, v.query_vector(), 5, "src1", "text/plain")
+    return _cells(v).top(v.query_vector(), 5, _within(v, 2), _where("src1", "text/plain")).select("chunk_id", "path", "score")
 
 
 @query("""SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id JOIN latest l ON l.id = f.snapshot_id WHERE l.source_id = 'src3' ORDER BY s.score DESC, s.chunk_id LIMIT 10""")
 def search_by_source(v: Views) -> DataFrame:
-    return search.search_by_source(v.embeddings, v.files, v.snapshots, "src3", v.query_vector())
+    latest = search.latest_snapshot(v.snapshots, "src3").select(F.col("id").alias("snapshot_id"))
+    return _cells(v).top(v.query_vector(), versions=F.broadcast(latest)).select("chunk_id", "path", "score")  # one row
 
 
 @query("SELECT s.chunk_id, f.path, s.score FROM scored s JOIN files f ON f.id = s.chunk_id WHERE f.snapshot_id = 'src2/en' ORDER BY s.score DESC, s.chunk_id LIMIT 10")
 def search_by_snapshot(v: Views) -> DataFrame:
-    return search.search_by_snapshot(v.embeddings, v.files, "src2/en", v.query_vector())
+    return _cells(v).top(v.query_vector(), versions=["src2/en"]).select("chunk_id", "path", "score")
+
+
+@query("SELECT f.snapshot_id, count(*) AS n, round(avg(list_sum(list_transform(e.vector, lambda x: round(x, 4)))), 4)::DOUBLE AS mean FROM vectors e LEFT JOIN files f ON f.id = e.chunk_id GROUP BY 1")
+def cell_index_contents(v: Views) -> DataFrame:
+    """The cell index, built anew: every vector under its version, whole."""
+    root = lineage.shared_folder(v.spark)
+    _add_cells(v, root)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 4))
+    version = F.when(F.col("snapshot_id") != "__HIVE_DEFAULT_PARTITION__", F.col("snapshot_id")).alias("snapshot_id")
+    return cells.CellIndex(v.spark, root).vectors.groupBy(version).agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mean"))
 
 
 @query("SELECT chunk_id, model, score FROM scored ORDER BY score DESC, chunk_id LIMIT 10")
 def search_similar_global(v: Views) -> DataFrame:
-    return search.similar_chunks(v.embeddings, v.query_vector()).select("chunk_id", "model", "score")
+    return _cells(v).top(v.query_vector()).select("chunk_id", "model", "score")
 
 
 @query("""SELECT query_id, rank, chunk_id, score FROM (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.vector, b.vector), 6) AS score,
@@ -699,7 +733,28 @@ SELECT id, round({score}, 6) AS keyword FROM b, s WHERE {" OR ".join(f"tf{i} > 0
 
 @query(_bm25_sql(["from", "que", "thing"]))
 def keyword_bm25(v: Views) -> DataFrame:
-    return ranking.bm25(v.files.select("id", F.col("content").alias("text")), ["thing", "que", "from"])
+    return _keywords(v).scores(["thing", "que", "from"])
+
+
+@query("SELECT * FROM (" + _bm25_sql(["from", "que", "thing"]) + ") ORDER BY keyword DESC, id LIMIT 20")
+def keyword_top(v: Views) -> DataFrame:
+    return _keywords(v).best(["thing", "que", "from"], ranking.FINE)
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences, sum(doc_id)::BIGINT AS ids FROM t GROUP BY term""")
+def keyword_index_contents(v: Views) -> DataFrame:
+    """The inverted index, built anew in two segments: every term with its documents and occurrences."""
+    root, docs = lineage.shared_folder(v.spark), v.files.select("id", F.col("content").alias("text"))
+    for rest, segment in enumerate(("even", "odd")):
+        inverted.add(docs.filter(F.abs(F.col("id") % 2) == rest), root, segment)
+    rows = inverted.Index(v.spark, root).postings().select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("p"))
+    return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.col("p.tfs").cast("bigint")).alias("occurrences"), F.sum(F.col("p.ids") * F.col("p.tfs")).alias("ids"))
+
+
+def _keywords(v: Views) -> inverted.Index:
+    build = lambda root: inverted.add(v.files.select("id", F.col("content").alias("text")), root, "all")
+    return kept(v.table("documents"), "keywords", build, lambda root: inverted.Index(v.spark, root))
 
 
 @query("""WITH a AS (SELECT chunk_id AS id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS s FROM scored),

@@ -38,16 +38,31 @@ def resolve(repo: str, ref: str = "HEAD") -> str:
 
 
 def fetch(url: str, directory: str, ref: str | None = None) -> str:
-    """S-03: clone, or fetch and check out the remote's state; returns the folder."""
+    """S-03: clone, or fetch and check out the remote's state by force; returns the folder.
+
+    The clone is managed: its branch follows the remote one, moved tags move, and what the remote has dropped goes.
+    """
     if os.path.isdir(os.path.join(directory, ".git")):
-        git(directory, "fetch", "--tags", "origin")
-        if ref:
-            git(directory, "checkout", "--force", "--detach", f"origin/{ref}")
+        git(directory, "fetch", "--tags", "--force", "--prune", "--prune-tags", "origin")
+        git(directory, "remote", "set-head", "origin", "--auto")
     else:
-        subprocess.run(["git", "clone", *(["--branch", ref] if ref else []), url, directory], check=True, capture_output=True, timeout=3600)
+        subprocess.run(["git", "clone", url, directory], check=True, capture_output=True, timeout=3600)
+    if ref:
+        _check_out(directory, ref)
     return directory
 
 
+def _check_out(directory: str, ref: str) -> None:
+    known = lambda name: subprocess.run(["git", "-C", directory, "show-ref", "--verify", "--quiet", name]).returncode == 0
+    if known(f"refs/remotes/origin/{ref}"):
+        git(directory, "checkout", "--force", "-B", ref, f"refs/remotes/origin/{ref}")
+        return
+    git(directory, "checkout", "--force", "--detach")
+    if known(f"refs/heads/{ref}"):
+        git(directory, "branch", "-D", ref)
+    git(directory, "checkout", "--force", "--detach", f"refs/tags/{ref}" if known(f"refs/tags/{ref}") else f"{ref}^{{commit}}")
+
+
 @dataclass
 class Slice(InputPartition):
     entries: list[tuple[str, str, int]]
