@@ -135,8 +135,8 @@ def roots(forms: DataFrame, steps: int) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, min_length: int = 6, min_count: int = 5, ratio: int = 5, noise: int | None = None) -> DataFrame:
     """word, n, form, form_n, root and n_near of every word of ``min_length`` letters or more that occurs ``min_count`` times."""
-    words = materialise(counted(docs, noise).filter((F.length("word") >= min_length) & (F.col("n") >= min_count)), compact=True)
-    pairs = materialise(near_pairs(words), compact=True)
+    words = materialise(counted(docs, noise).filter((F.length("word") >= min_length) & (F.col("n") >= min_count)))
+    pairs = materialise(near_pairs(words))
     both = pairs.unionAll(pairs.select("other", "other_n", "word", "n"))
     best = both.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best"))
     best = best.select("word", "n", "n_near", F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct("best.form", (-F.col("best.less")).alias("n"))).alias("best"))
