@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +36,51 @@ def recursive_counts(files: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.sum("n").alias("files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
 
 
+def folded(rows: DataFrame, group: Sequence[str], member: str, name: str) -> DataFrame:
+    """D-06, D-07: for each group the SHA-256 of its members' hashes, sorted and joined by colons; members that are NULL don't count.
+
+    Rows arrive sorted within their group and are fed to a running digest, which goes on from one Arrow batch to the next: a group
+    of any size takes a task one batch of memory, and nothing is collected.
+    """
+    plain = rows.select(*group, F.col(member).cast("string").alias("_member"))
+    dealt = plain.repartition(*group).sortWithinPartitions(*group, "_member")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[:-1]) + f", `{name}` string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, empty = None, hashlib.sha256(), True
+        done: list[tuple] = []
+
+        def batch_of(part: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in done], part.column(i).type) for i in range(len(group))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([h for _, h in done], pa.string())], names=[*group, name])
+
+        batch = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(group)))))
+            members = batch.column(len(group)).to_pylist()
+            for now, part in groupby(zip(keys, members), itemgetter(0)):
+                if now != key:
+                    if key is not None:
+                        done.append((key, digest.hexdigest()))
+                    key, digest, empty = now, hashlib.sha256(), True
+                some = [m for _, m in part if m is not None]
+                if some:
+                    digest.update((":" * (not empty) + ":".join(some)).encode())
+                    empty = False
+            if len(done) >= 10_000:
+                yield batch_of(batch)
+                done.clear()
+        if key is not None:
+            done.append((key, digest.hexdigest()))
+            yield batch_of(batch)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def directory_hashes(files: DataFrame) -> DataFrame:
     """D-06, D-07: a hash for every directory from its files' and its subdirectories' hashes, deepest first.
 
-    One aggregation a depth; a parent's hash changes if and only if something under it did.
+    One fold a depth; a parent's hash changes if and only if something under it did.
     """
     own = files.select(text.dirname(F.col("path")).alias("path"), F.col("content_hash").alias("hash"))
     depth = text.depth(F.col("path"))
@@ -46,14 +91,14 @@ def directory_hashes(files: DataFrame) -> DataFrame:
         parts = own.filter(depth == d)
         if level is not None:
             parts = parts.unionAll(level.select(text.dirname(F.col("path")).alias("path"), "hash"))
-        level = cut(parts.groupBy("path").agg(text.merkle(F.collect_list("hash")).alias("hash")))
+        level = cut(folded(parts, ["path"], "hash", "hash"))
         done = level if done is None else done.unionAll(level)
     return done if done is not None else own.limit(0)
 
 
 def group_hashes(rows: DataFrame, group: str, hash_: str) -> DataFrame:
     """D-07 for one level."""
-    return rows.groupBy(group).agg(text.merkle(F.collect_list(hash_)).alias("source_hash"))
+    return folded(rows, [group], hash_, "source_hash")
 
 
 def changed(now: DataFrame, summaries: DataFrame, key: str = "path") -> DataFrame:
@@ -119,7 +164,7 @@ def of_directories(children: DataFrame, depth: int) -> DataFrame:
     """D-06, D-07: what the summaries of one depth are written from: the summaries of their files and subdirectories."""
     group = ("snapshot_id", "target_path")
     rows = children.select("snapshot_id", text.dirname(F.col("target_path")).alias("target_path"), F.col("target_path").alias("path"), "source_hash", F.concat("target_path", F.lit(": "), "content").alias("line"))
-    hashes = rows.groupBy(*group).agg(text.merkle(F.collect_list("source_hash")).alias("source_hash"))
+    hashes = folded(rows, group, "source_hash", "source_hash")
     bodies = bounded_body(rows, group)
     return hashes.join(bodies, list(group)).select("snapshot_id", F.lit("directory").alias("summary_type"), "target_path", F.lit(None).cast("string").alias("arch_type"), F.lit(depth).alias("depth"), "source_hash", "body")
 
@@ -127,7 +172,7 @@ def of_directories(children: DataFrame, depth: int) -> DataFrame:
 def of_architecture(directories_: DataFrame) -> DataFrame:
     """D-08: what the four architecture summaries of each snapshot are written from: its directories' summaries."""
     rows = directories_.select("snapshot_id", F.col("target_path").alias("path"), "source_hash", F.concat("target_path", F.lit(": "), "content").alias("line"))
-    hashes = rows.groupBy("snapshot_id").agg(text.merkle(F.collect_list("source_hash")).alias("source_hash"))
+    hashes = folded(rows, ["snapshot_id"], "source_hash", "source_hash")
     per = hashes.join(bounded_body(rows, ("snapshot_id",)), "snapshot_id")
     kinds = F.explode(F.array(*[F.lit(k) for k in ARCHITECTURE_TYPES])).alias("arch_type")
     per = per.select("snapshot_id", "source_hash", "body", kinds)
@@ -136,7 +181,8 @@ def of_architecture(directories_: DataFrame) -> DataFrame:
 
 def architecture(directories_: DataFrame, write: Callable[[Column], Column]) -> DataFrame:
     """The four architecture texts of each snapshot from its directories' numbers (snapshot_id, hash, files); counts are summed, not lost."""
-    per = directories_.groupBy("snapshot_id").agg(text.merkle(F.collect_list("hash")).alias("source_hash"), F.sum("files").alias("files"), F.count("*").alias("directories"))
+    counts = directories_.groupBy("snapshot_id").agg(F.sum("files").alias("files"), F.count("*").alias("directories"))
+    per = folded(directories_, ["snapshot_id"], "hash", "source_hash").join(counts, "snapshot_id")
     kinds = F.explode(F.array(*[F.lit(k) for k in ARCHITECTURE_TYPES])).alias("arch_type")
     rows = per.select("snapshot_id", "source_hash", "files", "directories", kinds)
     return rows.withColumn("content", write(F.format_string("%s: %d files in %d directories", "arch_type", "files", "directories")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, ranking, search, summaries
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, ranking, search, summaries, tour
 from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_type, ignore, repository
@@ -495,8 +495,16 @@ def count_children(v: Views) -> DataFrame:
 @query("""WITH RECURSIVE t(node, depth, sort) AS (SELECT 'r1', 1, [0::BIGINT] UNION ALL SELECT h.child, t.depth + 1, list_append(t.sort, h.ordinal) FROM t JOIN hierarchy h ON h.parent = t.node WHERE t.depth < 3)
 SELECT node, depth::INT AS depth, row_number() OVER (ORDER BY sort) AS place FROM t""")
 def subtree(v: Views) -> DataFrame:
-    rows = graph.subtree(v.hierarchy, "r1", 3)
-    return rows.select("node", "depth", F.row_number().over(Window.orderBy("sort")).cast("bigint").alias("place"))
+    return tour.below(tour.tour(v.hierarchy), "r1", 3).select("node", F.col("depth").cast("int").alias("depth"), "place")
+
+
+@query("""WITH RECURSIVE t(node, root, depth, sort) AS (SELECT DISTINCT parent, parent, 0, [0::BIGINT] FROM hierarchy WHERE parent NOT IN (SELECT child FROM hierarchy)
+ UNION ALL SELECT h.child, t.root, t.depth + 1, list_append(t.sort, h.ordinal) FROM t JOIN hierarchy h ON h.parent = t.node),
+n AS (SELECT node, root, depth, sort, row_number() OVER (PARTITION BY root ORDER BY sort) AS place FROM t)
+SELECT a.node, a.root, a.depth::BIGINT AS depth, a.place, (SELECT max(b.place) FROM n b WHERE b.root = a.root AND b.sort[1:len(a.sort)] = a.sort) AS last FROM n a WHERE a.depth < 2
+UNION ALL SELECT node, root, depth, place, place FROM n WHERE depth = 2""")
+def preorder_intervals(v: Views) -> DataFrame:
+    return tour.tour(v.hierarchy)
 
 
 @query("""WITH RECURSIVE t(node, up, depth) AS (SELECT child, parent, 1 FROM chain UNION ALL SELECT t.node, c.parent, t.depth + 1 FROM t JOIN chain c ON c.child = t.up)

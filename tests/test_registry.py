@@ -58,8 +58,10 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan(registry.QUERIES["search_by_product"](spark, SF))
     assert "WindowGroupLimit" in plan(registry.QUERIES["latest_snapshot_per_source"](spark, SF))
     assert "WindowGroupLimit" in plan(registry.QUERIES["batch_topk"](spark, SF))
-    for name in ("domain_coverage_stats", "keyword_bm25", "merkle_dir_hash", "md_sections", "line_metrics"):
+    for name in ("domain_coverage_stats", "keyword_bm25", "md_sections", "line_metrics"):
         assert "Python" not in plan(registry.QUERIES[name](spark, SF))
+    assert "bucket" in plan(registry.QUERIES["keyword_bm25"](spark, SF)).split("PartitionFilters: [")[1].split("]")[0]
+    assert "ollect" not in plan(registry.QUERIES["merkle_dir_hash"](spark, SF))
     assert "PushedFilters: [IsNotNull(conv_id)" in plan(registry.QUERIES["context_window"](spark, SF))
     assert "text:string" not in plan(registry.QUERIES["language_histogram"](spark, SF))
 
