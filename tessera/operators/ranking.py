@@ -120,6 +120,11 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     rel = relevant.select("query_id", "id").distinct()
     wanted = rel.groupBy("query_id").agg(F.count("*").alias("wanted"))
     rows = ranked.join(rel.withColumn("_hit", F.lit(1)), ["query_id", "id"], "left").withColumn("hit", F.coalesce("_hit", F.lit(0)))
+    return graded(rows, wanted)
+
+
+def graded(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """R-10 from ranked rows (query_id, rank, hit 0 or 1) and the numbers of relevant ones (query_id, wanted)."""
     gain = F.sum(F.when(F.col("rank") <= 10, F.col("hit") / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
     per = rows.groupBy("query_id").agg(
         (F.sum(F.when(F.col("rank") <= 5, F.col("hit")).otherwise(0)) / 5).alias("p5"), F.sum(F.when(F.col("rank") <= 20, F.col("hit")).otherwise(0)).alias("found"), gain.alias("dcg"), F.avg(F.when(F.col("hit") == 1, F.col("rank"))).alias("acr")

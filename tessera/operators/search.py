@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,8 @@ from tessera.functions import vector
 DEFAULT_LIMIT, DEFAULT_SUMMARIES = 10, 5
 #: A side that grows with the corpus is broadcast only when it has at most so many rows.
 BROADCAST_ROWS = 200_000
-#: So many queries, about, meet all rows at a time.
-QUERY_BLOCK = 1_000
+#: Numbers of a block of rows that a task holds, queries that meet it at a time, and scores that are held at a time.
+BLOCK_VALUES, QUERY_BLOCK, SCORES = 1 << 24, 1_000, 1 << 22
 
 
 def limit_or(limit: int | None, default: int = DEFAULT_LIMIT) -> int:
@@ -169,13 +168,6 @@ def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("id", "file_id", "ordinal", "prev_id", "next_id")
 
 
-def query_blocks(queries: DataFrame, key: str = "query_id") -> Iterator[pa.Table]:
-    """The queries dealt by their key into blocks of some ``QUERY_BLOCK`` rows, which go to the tasks one by one."""
-    n = queries.count() // QUERY_BLOCK + 1
-    for i in range(n):
-        yield (queries if n == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow()
-
-
 def _unit(column: pa.Array, width: int) -> np.ndarray:
     """The vectors as rows of length one; those that are null, zero, or of another width or with nulls, become NaN."""
     out = np.full((len(column), width), np.nan)
@@ -189,79 +181,125 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _meeting(rows: DataFrame, queries: DataFrame, begin: Callable, meet: Callable, end: Callable, schema: str) -> DataFrame:
+    """Every query meets every row, both being tables: rows are placed once, in blocks, and all queries are brought to each block.
+
+    rows and queries end with ``vector``.  A block's rows come before its queries in the stream of its task: ``begin`` makes the
+    block's state of its batches, ``meet`` gets the state and a batch of queries, ``end`` the state; they give batches of ``schema``.
+    A task holds one block of ``BLOCK_VALUES`` numbers and one batch of queries, whatever the number of either.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    n = -(-size["n"] * max(size["width"] or 1, 1) // BLOCK_VALUES)
+    n = max(n, min(rows.sparkSession.sparkContext.defaultParallelism, size["n"] // 1_000), 1)
+    left = rows.select((F.abs(F.xxhash64(*rows.columns[:-1])) % n).cast("int").alias("block"), F.lit(0).alias("side"), F.struct(*rows.columns[:-1]).alias("row"), F.lit(None).cast(queries.select(F.struct(*queries.columns[:-1])).schema[0].dataType).alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("side"), F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.struct(*queries.columns[:-1]).alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, state = None, [], None
+        for batch in batches:
+            blocks, sides = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(sides) != 0)) + 1).tolist(), len(blocks)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if blocks[low] != block:
+                    if block is not None:
+                        yield from end(begin(held) if state is None else state)
+                    block, held, state = blocks[low], [], None
+                if not sides[low]:
+                    held.append((part.column(2), part.column(4)))
+                    continue
+                state = begin(held) if state is None else state
+                held = []
+                for at in range(0, part.num_rows, QUERY_BLOCK):
+                    some = part.slice(at, QUERY_BLOCK)
+                    yield from meet(state, some.column(3), some.column(4))
+        if block is not None:
+            yield from end(begin(held) if state is None else state)
+
+    dealt = left.unionAll(right).repartition("block").sortWithinPartitions("block", "side")
+    return dealt.mapInArrow(run, schema)
+
+
+def _field(column: pa.StructArray, i: int) -> pa.Array:
+    """A field of a struct column, of its slice alone."""
+    return column.flatten()[i]
+
+
 def batch_top_k(embeddings: DataFrame, queries: DataFrame, k: int, digits: int = 6, itself: bool = True) -> DataFrame:
-    """query_id, rank, chunk_id, score: exact top-k for a set of queries (query_id, query_vector), a block of queries at a time.
+    """query_id, rank, chunk_id, score: exact top-k for a table of queries (query_id, query_vector).
 
-    Every query meets every row: a task multiplies its rows, an Arrow batch at a time, with the block's queries and keeps k rows a query,
-    so what is shuffled is k rows a query and task.  ``itself``: whether a query's own row counts.
+    A task multiplies a block of rows with a batch of queries and keeps k rows a query, so what is shuffled after it is k rows a
+    query and block.  ``itself``: whether a query's own row counts.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def best(block: pa.Table) -> DataFrame:
-        vectors = block.column("query_vector").combine_chunks()
-        sizes = np.unique(np.asarray(vectors.value_lengths().fill_null(0)))
-        sides = [(w, _unit(vectors, w)) for w in sizes.tolist() if w]
-        ids = block.column("query_id").combine_chunks()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-            for batch in batches:
-                for low in range(0, batch.num_rows, 4096):
-                    part = batch.slice(low, 4096)
-                    chunk = np.asarray(part.column(0))
-                    for width, q in sides:
-                        scores = np.round(q @ _unit(part.column(1), width).T, digits)
-                        if not itself:
-                            scores[np.asarray(ids)[:, None] == chunk] = np.nan
-                        some = np.flatnonzero(np.isfinite(scores).any(1))
-                        for i in some.tolist():
-                            rows = np.flatnonzero(np.isfinite(scores[i]))
-                            rows = rows[np.lexsort((chunk[rows], -scores[i, rows]))[:k]]
-                            held.append((np.full(len(rows), i), chunk[rows], scores[i, rows]))
-                if len(held) > 64 * len(ids) + 64:
-                    held = [_kept(held, k)]
-            if held:
-                at, chunk, score = _kept(held, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(chunk), pa.array(score)], names=["query_id", "chunk_id", "score"])
-
-        return embeddings.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "vector").filter("chunk_id is not null").mapInArrow(run, f"query_id {kind}, chunk_id bigint, score double")
-
-    found = reduce(DataFrame.unionAll, map(best, query_blocks(queries)))
+    def begin(held: list[tuple]) -> list[tuple]:
+        if not held:
+            return []
+        ids, vectors = (pa.concat_arrays(list(x)) for x in zip(*((_field(row, 0), vector) for row, vector in held)))
+        widths = np.asarray(vectors.value_lengths().fill_null(0))
+        out = []
+        for w in np.unique(widths[widths > 0]).tolist():
+            own = np.flatnonzero(widths == w)
+            out.append((w, np.asarray(ids)[own], _unit(vectors.take(pa.array(own)), w)))
+        return out
+
+    def meet(state: list[tuple], query: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+        asked = _field(query, 0)
+        for w, chunk, rows in state:
+            step = max(1, SCORES // len(chunk))
+            for low in range(0, len(asked), step):
+                scores = np.round(_unit(vectors.slice(low, step), w) @ rows.T, digits)
+                ids = asked.slice(low, step)
+                if not itself:
+                    scores[np.asarray(ids)[:, None] == chunk] = np.nan
+                scores[~np.isfinite(scores)] = -np.inf
+                best = []
+                for i, own in enumerate(scores):
+                    least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+                    some = np.flatnonzero((own >= least) & (own > -np.inf))
+                    some = some[np.lexsort((chunk[some], -own[some]))[:k]]
+                    best.append((np.full(len(some), i), chunk[some], own[some]))
+                at, found, score = (np.concatenate(x) for x in zip(*best))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(found), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    rows = embeddings.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "vector").filter("chunk_id is not null")
+    found = _meeting(rows, queries.select("query_id", F.col("query_vector").alias("vector")), begin, meet, lambda _: (), f"query_id {kind}, chunk_id bigint, score double")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _kept(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, chunk, score = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((chunk, -score, at))
-    at, chunk, score = at[order], chunk[order], score[order]
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1]]), np.arange(len(at)), 0)) if len(at) else at
-    keep = np.arange(len(at)) - first < k
-    return at[keep], chunk[keep], score[keep]
-
-
 def max_sim(query: DataFrame, documents: DataFrame) -> DataFrame:
-    """R-16: for each document (doc, token, vector) the sum, over its tokens, of the best dot product with one of the query's vectors.
+    """R-16: for each document (doc, token, vector) the sum, over its tokens, of the best dot product with one of the query's vectors (query_vector).
 
-    A task multiplies an Arrow batch of vectors with a block of the query's; what is shuffled is a number a token.
+    A task multiplies a block of vectors with a batch of the query's; what is shuffled after it is a number a row.
     """
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
 
-    def best(block: pa.Table) -> DataFrame:
-        asked = _matrices(block.column("query_vector").combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = np.full(batch.num_rows, np.nan)
-                for own, x in _matrices(batch.column(2)):
-                    for _, q in asked:
-                        if q.shape[1] == x.shape[1]:
-                            out[own] = (x @ q.T).max(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, from_pandas=True)], names=["doc", "token", "best"])
-
-        return documents.select("doc", "token", "vector").mapInArrow(run, f"doc {kinds['doc']}, token {kinds['token']}, best double")
-
-    found = reduce(DataFrame.unionAll, map(best, query_blocks(query, "query_vector")))
+    def begin(held: list[tuple]) -> tuple:
+        if not held:
+            return pa.array([]), pa.array([]), np.zeros(0), []
+        docs, tokens, vectors = (pa.concat_arrays(list(x)) for x in zip(*((_field(row, 0), _field(row, 1), vector) for row, vector in held)))
+        return docs, tokens, np.full(len(docs), np.nan), _matrices(vectors)
+
+    def meet(state: tuple, _: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+        best, own = state[2], state[3]
+        for _, q in _matrices(vectors):
+            for some, x in own:
+                if q.shape[1] == x.shape[1]:
+                    step = max(1, SCORES // len(q))
+                    for low in range(0, len(x), step):
+                        at = some[low : low + step]
+                        best[at] = np.fmax(best[at], (x[low : low + step] @ q.T).max(1))
+        return iter(())
+
+    def end(state: tuple) -> Iterator[pa.RecordBatch]:
+        if len(state[2]):
+            yield pa.RecordBatch.from_arrays([state[0], state[1], pa.array(state[2], from_pandas=True)], names=["doc", "token", "best"])
+
+    found = _meeting(documents.select("doc", "token", "vector"), query.select(F.lit(0).alias("query_id"), F.col("query_vector").alias("vector")), begin, meet, end, f"doc {kinds['doc']}, token {kinds['token']}, best double")
     return found.groupBy("doc", "token").agg(F.max("best").alias("best")).groupBy("doc").agg(F.round(F.sum("best"), 6).alias("max_sim"))
 
 

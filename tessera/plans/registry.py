@@ -806,8 +806,12 @@ FROM r JOIN w ON w.query_id = r.query_id WHERE rank <= 50 GROUP BY r.query_id"""
 def retrieval_metrics(v: Views) -> DataFrame:
     q = v.embeddings.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("model").alias("wanted"))
     ranked = search.batch_top_k(v.embeddings, q.drop("wanted"), 50, digits=9, itself=False).select("query_id", "rank", F.col("chunk_id").alias("id"))
-    relevant = v.embeddings.join(search.small(q.drop("query_vector")), (F.col("model") == F.col("wanted")) & (F.col("chunk_id") != F.col("query_id"))).select("query_id", F.col("chunk_id").alias("id"))
-    return ranking.retrieval_metrics(ranked, relevant)
+    # The relevant rows of a query are those of its label but itself: counted by label, and looked up for the ranked rows alone.
+    model = v.embeddings.select(F.col("chunk_id").alias("id"), "model")
+    counts = model.groupBy(F.col("model").alias("wanted")).agg((F.count("*") - 1).alias("n"))
+    labelled = q.drop("query_vector").join(counts, "wanted").filter("n > 0")
+    rows = ranked.join(model, "id").join(labelled, "query_id").withColumn("hit", (F.col("model") == F.col("wanted")).cast("int"))
+    return ranking.graded(rows, labelled.select("query_id", F.col("n").alias("wanted")))
 
 
 @query("""WITH o AS (SELECT event_type AS metric, avg(value) AS old FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT event_type AS metric, avg(value) * CASE WHEN event_type = 'click' THEN 0.5 ELSE 1 END AS new FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)

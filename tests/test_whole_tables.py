@@ -44,9 +44,11 @@ def test_embedding_context_of_every_text(spark):
     assert {r["id"]: r["context"] for r in run(spark, "embedding_context")} == want
 
 
-@pytest.mark.parametrize("block", [1_000, 2])
-def test_searches_of_every_hundredth_row(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, values", [(1_000, 1 << 24), (2, 1_000)])
+def test_searches_of_every_hundredth_row(spark, monkeypatch, block, values):
     monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "BLOCK_VALUES", values)
+    monkeypatch.setattr(search, "SCORES", values)
     rows = {r["vec_id"]: (r["label"], np.array(r["embedding"], float)) for r in read("embeddings")}
     queries = [i for i in rows if i % 100 == 0]
     assert len(queries) > 2 and max(queries) > 25
@@ -113,3 +115,23 @@ def test_summaries_are_whole(spark):
     from tessera.sources.views import Views
 
     assert {r["id"]: r["content"] for r in Views(spark, SF).summaries.collect()} == {d["doc_id"]: d["text"] for d in read("documents")}
+
+
+def test_queries_stay_off_the_driver(spark):
+    """One scan of the vectors as rows and one as queries, whatever their number."""
+    plan = registry.QUERIES["batch_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("MapInArrow") == 1
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_searches_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VALUES", 8)
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [None, 1.0])]
+    e = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>").repartition(3)
+    q = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [1.0, 2.0, 3.0]), ("c", None), ("d", [0.0, 0.0]), (None, [0.0, 1.0])], "query_id string, query_vector array<double>")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in search.batch_top_k(e, q, 2).collect()}
+    assert got == {("a", 1): (1, 1.0), ("a", 2): (8, 1.0), ("b", 1): (7, 1.0), (None, 1): (2, 1.0), (None, 2): (3, 0.707107)}
+    assert search.batch_top_k(e.limit(0), q, 2).count() == 0 == search.batch_top_k(e, q.limit(0), 2).count()
+    docs = e.selectExpr("chunk_id % 2 as doc", "chunk_id as token", "vector")
+    sims = {r["doc"]: r["max_sim"] for r in search.max_sim(q.select("query_vector"), docs).collect()}
+    assert sims == {0: 2.0 + 0.0 + 6.0, 1: 3.0 + 3.0 + 14.0, None: 3.0}
