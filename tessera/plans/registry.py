@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, ranking, search, summaries, tour
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, linechunks, ranking, search, summaries, tour
 from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_type, ignore, repository
@@ -712,6 +712,41 @@ def ignore_filter(v: Views) -> DataFrame:
     return _case(v, [p for p, _ in _IGNORE]).select("id", F.col("value").alias("path"), ignore.ignored(F.col("value"), ["# mine", "private/*", "!private/keep.txt"]).alias("ignored"))
 
 
+# Lines, their characters with line ends before each, and their tokens one by one before each; then the cuts one after the other.
+_LINES_SQL = r"""l AS MATERIALIZED (SELECT id, string_split(content, chr(10)) AS l FROM files),
+b AS MATERIALIZED (SELECT id, l, len(l) AS n, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT) AS c,
+ list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: ceil(length(x) / 4))), 0)::BIGINT) AS t FROM l)"""
+_CHUNK_SQL = """SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INT - 1 AS ordinal, p::INT + 1 AS start_line, e::INT AS end_line, array_to_string(l[p + 1:e], chr(10)) AS content,
+ ceil(length(array_to_string(l[p + 1:e], chr(10))) / 4)::INT AS token_count FROM w WHERE ceil(length(array_to_string(l[p + 1:e], chr(10))) / 4) >= 5"""
+
+
+@query(rf"""WITH RECURSIVE {_LINES_SQL},
+w0(id, p, e, nxt) AS (SELECT id, 0::BIGINT, NULL::BIGINT, 0::BIGINT FROM b UNION ALL
+ SELECT id, nxt, e2, CASE WHEN e2 IS NULL THEN n ELSE CASE WHEN carried > nxt THEN carried ELSE e2 END END FROM (
+  SELECT *, list_max(list_filter(range(0, e2), lambda a: t[a + 1] <= t[e2 + 1] - 20)) AS carried FROM (
+   SELECT w0.id, w0.nxt, b.n, b.t, list_min(list_filter(range(greatest(w0.nxt, coalesce(w0.e, 0)) + 1, b.n + 1), lambda j: b.c[j + 1] >= b.c[w0.nxt + 1] + 4 * 120 - 2)) AS e2
+   FROM w0 JOIN b ON b.id = w0.id WHERE w0.nxt < b.n))),
+w AS (SELECT w0.id, w0.p, coalesce(w0.e, b.n) AS e, b.l FROM w0 JOIN b ON b.id = w0.id WHERE NOT (w0.e IS NULL AND w0.nxt = 0))
+{_CHUNK_SQL}""")
+def chunk_lines(v: Views) -> DataFrame:
+    """Every document by lines (C-05): 120 tokens aimed at, 20 carried over."""
+    return linechunks.chunks(v.files.select("id", "content"), "plain", chunking.Limits(least=5, target=120, overlap=20))
+
+
+@query(rf"""WITH RECURSIVE {_LINES_SQL},
+w0(id, p, e, nxt) AS (SELECT id, 0::BIGINT, NULL::BIGINT, 0::BIGINT FROM b UNION ALL
+ SELECT id, nxt, e2, coalesce(e2, n) FROM (
+  SELECT id, nxt, n, CASE WHEN u IS NOT NULL AND (j IS NULL OR u < j) THEN u ELSE list_max(list_filter(range(0, j), lambda a: t[a + 1] <= t[j + 1] - 20)) END AS e2 FROM (
+   SELECT w0.id, w0.nxt, b.n, b.t, list_min(list_filter(range(w0.nxt + 1, b.n), lambda i: NOT contains(b.l[i + 1], '|') AND starts_with(trim(b.l[i + 1], ' ' || chr(9) || chr(13)), '#'))) AS u,
+    list_min(list_filter(range(w0.nxt + 1, b.n + 1), lambda j: b.c[j + 1] >= b.c[w0.nxt + 1] + 4 * 150 + 2 AND b.t[j + 1] >= b.t[w0.nxt + 2] + 20 AND NOT contains(b.l[j], '|'))) AS j
+   FROM w0 JOIN b ON b.id = w0.id WHERE w0.nxt < b.n))),
+w AS (SELECT w0.id, w0.p, coalesce(w0.e, b.n) AS e, b.l FROM w0 JOIN b ON b.id = w0.id WHERE NOT (w0.e IS NULL AND w0.nxt = 0))
+{_CHUNK_SQL}""")
+def chunk_markdown(v: Views) -> DataFrame:
+    """Every document as Markdown (C-02): 150 tokens at most, 20 carried over.  A line with a bar is a table's; the documents hold no fences, which tests cover."""
+    return linechunks.chunks(v.files.select("id", "content"), "markdown", chunking.Limits(most=150, least=5, overlap=20))
+
+
 @query()
 def chunk_plain(v: Views) -> DataFrame:
     return chunking.chunk_files(v.files).drop("content")
