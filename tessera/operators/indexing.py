@@ -17,6 +17,10 @@ from tessera.operators import ask, cells, chunking, coverage, inverted, search,
 from tessera.sources import content_type, ignore
 
 
+#: Directories of a version's keywords: a version is a repository's, so its postings are small.
+KEYWORD_BUCKETS = 8
+
+
 @dataclass(frozen=True)
 class Result:
     """A-15: what an index run did; ``skipped`` when the version was indexed before."""
@@ -88,12 +92,13 @@ def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
     return spark.read.parquet(f"{root}/summaries").join(search.small(mine), "snapshot_id", "left_semi").select(*none.columns)
 
 
-def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None) -> Result:
+def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None) -> Result:
     """D-01, D-09: write files, chunks, keywords, embeddings and their cells, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
 
     What an earlier version of the source has a summary of is not summarised again.  Files that can't be parsed are left
     out one by one (D-02), and raise beyond ``most_failed`` of all; more than ``most_unwritten`` of a step's summaries that the model fails to write raise (A-16).
 
+    ``classify`` may fill in the files' languages from their contents (S-13, ``content_model.filled``).
     ``measure`` gets what ``stats`` tells of the chunks (U-08).
     A version that has its row is left alone (D-03) unless ``force`` writes its tables anew; leftovers of a run that broke off are overwritten.
     """
@@ -102,13 +107,14 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     if known and not force:
         return Result(skipped=True)
     at = f"snapshot_id={snapshot_id}"
-    prepare_files(docs, snapshot_id, patterns, detect).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
+    prepared = prepare_files(docs, snapshot_id, patterns, detect)
+    (classify(prepared) if classify else prepared).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
     files = spark.read.parquet(f"{root}/files/{at}")
     prepare_chunks(files, product, source, version, limits).write.mode("overwrite").parquet(f"{root}/chunks/{at}")
     chunks = spark.read.parquet(f"{root}/chunks/{at}")
     n, failed = coverage.check_failure_rate(chunks.groupBy("file_id").agg(F.max(F.col("error").isNotNull()).alias("failed")), most=most_failed)
     good = chunks.filter("error is null")
-    inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id)
+    inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id, KEYWORD_BUCKETS)
     paths = files.select(F.col("id").alias("file_id"), "path")
     context = good.drop("path").join(paths, "file_id").select(F.col("id").alias("chunk_id"), "path", ask.embedding_context(F.col("content"), F.col("path"), name=F.col("chunk_name"), parent=F.col("parent_name")).alias("content"))
     embedder = embedder or ask.HashingEmbedder()

@@ -142,21 +142,6 @@ def regressions(before: DataFrame, after: DataFrame, most: float = 0.05) -> Data
     return rows.withColumn("drop", F.round(drop, 6)).filter(F.col("drop") > most)
 
 
-def drift_weekly(rows: DataFrame) -> DataFrame:
-    """R-13: week, number, mean, range and distribution (10th, 50th and 90th percentile) of similarities (ts, score).
-
-    Equal scores, to three digits, are counted before the percentiles, so that a week takes no more memory than there are
-    different scores.
-    """
-    week, score = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.round("score", 3).alias("score")
-    counts = rows.groupBy(week, score).agg(F.count("*").alias("n"), F.sum(F.col("score").cast("double")).alias("total"), F.min("score").alias("low"), F.max("score").alias("high"))
-    tenth = lambda p: F.round(F.percentile("score", p, F.col("n")), 4)
-    return counts.groupBy("week").agg(
-        F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean"), F.round(F.min("low"), 4).alias("low"), F.round(F.max("high"), 4).alias("high"),
-        tenth(0.1).alias("p10"), tenth(0.5).alias("p50"), tenth(0.9).alias("p90"),
-    )
-
-
 def priority(severity: Column) -> Column:
     out = F.lit("P3")
     for s, p in PRIORITIES.items():

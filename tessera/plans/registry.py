@@ -10,14 +10,14 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, lineage, linechunks, ranking, search, summaries, tour
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, kpis, lineage, linechunks, ranking, search, summaries, tour
 from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
-from tessera.sources import content_type, ignore, repository
+from tessera.sources import content_model, content_type, ignore, repository
 from tessera.sources.views import Views
 from tessera.streaming import edits
 
@@ -85,14 +85,14 @@ def search_by_snapshot(v: Views) -> DataFrame:
     return _cells(v).top(v.query_vector(), versions=["src2/en"]).select("chunk_id", "path", "score")
 
 
-@query("SELECT f.snapshot_id, count(*) AS n, round(avg(list_sum(list_transform(e.vector, lambda x: round(x, 4)))), 4)::DOUBLE AS mean FROM vectors e LEFT JOIN files f ON f.id = e.chunk_id GROUP BY 1")
+@query("SELECT f.snapshot_id, count(*) AS n, sum(list_sum(list_transform(e.vector, lambda x: round(x * 10000)::BIGINT)))::BIGINT AS total FROM vectors e LEFT JOIN files f ON f.id = e.chunk_id GROUP BY 1")
 def cell_index_contents(v: Views) -> DataFrame:
     """The cell index, built anew: every vector under its version, whole."""
     root = lineage.shared_folder(v.spark)
     _add_cells(v, root)
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 4))
+    total = F.aggregate("vector", F.lit(0).cast("bigint"), lambda s, x: s + F.round(x.cast("double") * 10_000).cast("bigint"))
     version = F.when(F.col("snapshot_id") != "__HIVE_DEFAULT_PARTITION__", F.col("snapshot_id")).alias("snapshot_id")
-    return cells.CellIndex(v.spark, root).vectors.groupBy(version).agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mean"))
+    return cells.CellIndex(v.spark, root).vectors.groupBy(version).agg(F.count("*").alias("n"), F.sum(total).alias("total"))
 
 
 @query("SELECT chunk_id, model, score FROM scored ORDER BY score DESC, chunk_id LIMIT 10")
@@ -704,6 +704,23 @@ def sniffed_types(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", content_type.content_type(F.concat(F.lit("page/"), F.col("page_id").cast("string")), F.col("html")).alias("content_type"))
 
 
+@query(r"""WITH d AS (SELECT doc_id AS id, lang AS class, doc_id IN (SELECT doc_id FROM labels) AS known, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+t AS MATERIALIZED (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM d) GROUP BY ALL),
+c AS MATERIALIZED (SELECT class, word, sum(n) AS n FROM t JOIN d USING (id) WHERE known GROUP BY ALL),
+k AS (SELECT class, ln(count(*) / (SELECT count(*) FROM d WHERE known)) AS share FROM d WHERE known GROUP BY 1),
+s AS (SELECT class, ln(sum(n) + (SELECT count(DISTINCT word) FROM c)) AS size FROM c GROUP BY 1),
+seen AS (SELECT id, sum(n) AS seen FROM t WHERE word IN (SELECT word FROM c) GROUP BY 1),
+g AS (SELECT t.id, c.class, sum(t.n * ln(c.n + 1.0)) AS gain FROM t JOIN c USING (word) GROUP BY ALL)
+SELECT id, class AS language, held_out FROM (SELECT d.id, k.class, NOT d.known AS held_out, row_number() OVER (PARTITION BY d.id ORDER BY round(share - coalesce(seen, 0) * size + coalesce(gain, 0), 6) DESC, k.class) AS r
+ FROM d CROSS JOIN k JOIN s ON s.class = k.class LEFT JOIN seen ON seen.id = d.id LEFT JOIN g ON g.id = d.id AND g.class = k.class) WHERE r = 1""")
+def content_languages(v: Views) -> DataFrame:
+    """The language of every document from its words, as those that have labels teach it."""
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("class"), "text")
+    known = v.table("labels").select(F.col("doc_id").alias("id")).distinct()
+    told = content_model.classify(docs.select("id", "text"), content_model.train(docs.join(known, "id", "left_semi").select("class", "text")))
+    return told.join(known.withColumn("_known", F.lit(True)), "id", "left").select("id", F.col("class").alias("language"), F.col("_known").isNull().alias("held_out"))
+
+
 _IGNORE = [("a/node_modules/x.js", True), ("src/main.go", False), ("keep.log", True), ("docs/a.md", False), ("private/x.txt", True), ("private/keep.txt", False), ("a/b/build", True), ("builder/x", False), ("x.pyc", True)]
 
 
@@ -879,9 +896,40 @@ def _notes(v: Views) -> DataFrame:
 
 
 @query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high,
- round(quantile_cont(round(value, 3), 0.1), 4) AS p10, round(quantile_cont(round(value, 3), 0.5), 4) AS p50, round(quantile_cont(round(value, 3), 0.9), 4) AS p90 FROM events GROUP BY 1""")
+ true AS p10_within, true AS p50_within, true AS p90_within FROM events GROUP BY 1""")
 def similarity_drift_weekly(v: Views) -> DataFrame:
-    return ranking.drift_weekly(v.table("events").select("ts", F.col("value").alias("score")))
+    """Percentiles come from merged sketches of days; their ranks are counted in the whole table, and must be right to one percent."""
+    rows = v.table("events").select("ts", F.col("value").alias("score"))
+    weeks = kpis.drift(kpis.daily_scores(rows))
+    score = rows.select(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "score").join(F.broadcast(weeks), "week")  # a row a week
+    return score.groupBy("week", "n", "mean", "low", "high").agg(*(kpis.within_rank(F.col("score"), F.col(p), q).alias(f"{p}_within") for p, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))))
+
+
+def _searches(v: Views) -> DataFrame:
+    """The events as a log of searches."""
+    kind = F.col("event_type")
+    liked = F.when(kind == "purchase", True).when(kind == "error", False)
+    return v.table("events").select("ts", F.when(kind == "error", 0).otherwise(3).alias("hits"), (kind == "view").alias("cached"), liked.alias("liked"), (kind == "click").alias("requery"), (F.col("value") * 20).alias("latency_ms"))
+
+
+@query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS searches, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS success_rate, round(count(*) FILTER (event_type = 'view') / count(*), 6) AS cache_rate,
+ round(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type IN ('purchase', 'error')), 0), 6) AS like_rate, round(count(*) FILTER (event_type = 'click') / count(*), 6) AS requery_rate, true AS p95_within FROM events GROUP BY 1""")
+def search_kpis_weekly(v: Views) -> DataFrame:
+    log = _searches(v)
+    weeks = kpis.merged(kpis.daily(log)).withColumn("week", F.date_format("period", "yyyy-MM-dd")).drop("period")
+    ms = log.select(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "latency_ms").join(F.broadcast(weeks), "week")  # a row a week
+    return ms.groupBy(*(c for c in weeks.columns if c != "p95_ms")).agg(kpis.within_rank(F.col("latency_ms"), F.col("p95_ms"), 0.95).alias("p95_within"))
+
+
+@query("""WITH w AS (SELECT date_trunc('week', ts) AS period, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate, count(*) FILTER (event_type = 'view') / count(*) AS cache_rate,
+ count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type IN ('purchase', 'error')), 0) AS like_rate, count(*) FILTER (event_type = 'click') / count(*) AS requery_rate FROM events GROUP BY 1),
+r AS (SELECT period, 'success_rate' AS kpi, success_rate AS value, 0.9 AS target, round(success_rate, 6) < 0.9 AS bad FROM w UNION ALL SELECT period, 'cache_rate', cache_rate, 0.4, round(cache_rate, 6) < 0.4 FROM w
+ UNION ALL SELECT period, 'like_rate', like_rate, 0.8, round(like_rate, 6) < 0.8 FROM w UNION ALL SELECT period, 'requery_rate', requery_rate, 0.2, round(requery_rate, 6) > 0.2 FROM w),
+g AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY kpi ORDER BY period), false) AS grave FROM r)
+SELECT strftime(period, '%Y-%m-%d') AS week, kpi, round(value, 6) AS value, target::DOUBLE AS target, grave FROM g WHERE bad""")
+def search_kpi_alerts(v: Views) -> DataFrame:
+    rows = kpis.missed(kpis.merged(kpis.daily(_searches(v))), "P2").filter("kpi <> 'p95_ms'")
+    return rows.select(F.date_format("period", "yyyy-MM-dd").alias("week"), "kpi", "value", "target", "grave")
 
 
 @query("SELECT c.id, CASE WHEN x.kind = 'p' THEN 'parent' ELSE 'child' END AS kind, x.other FROM (SELECT 'n3' AS id) c JOIN (SELECT child AS id, 'p' AS kind, parent AS other FROM hierarchy UNION ALL SELECT parent, 'c', child FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ordinal, child) AS k FROM hierarchy) WHERE k <= 10) x ON x.id = c.id")
