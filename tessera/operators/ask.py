@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 100
@@ -85,8 +85,6 @@ def embedding_context(content: Column, path: Column | None = None, package: Colu
 def context(hits: DataFrame) -> DataFrame:
     """B-13: one row with the hits (chunk_id, path, content, score) as prompt text in their order; hits are a top-k."""
     part = F.format_string("### %d. %s (score %.3f)\n%s", F.col("_n"), "path", "score", "content")
-    from pyspark.sql import Window
-
     ranked = hits.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
     return ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("context"))
 
@@ -136,6 +134,19 @@ def section_contexts(find: Callable[[Sequence[float]], tuple[DataFrame, DataFram
     return out
 
 
+def section_pages(code: DataFrame, structure: DataFrame) -> DataFrame:
+    """B-14: section, structure, code, like ``section_contexts``, of the hits (section, chunk_id, path, content, score) of all sections at once."""
+    part = F.format_string("### %d. %s (score %.3f)\n%s", F.col("_n"), "path", "score", "content")
+
+    def text_of(hits: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("section").orderBy(F.desc("score"), "chunk_id")
+        parts = F.array_sort(F.collect_list(F.struct("_n", part.alias("part"))))  # a top-k
+        return hits.withColumn("_n", F.row_number().over(order)).groupBy("section").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias(name))
+
+    sections = code.sparkSession.createDataFrame([(s,) for s, _ in SECTIONS], "section string")
+    return sections.join(text_of(structure, "structure"), "section", "left").join(text_of(code, "code"), "section", "left")
+
+
 def generate_wiki(contexts: DataFrame, model: Callable[[str], str], out: str) -> dict[str, str]:
     """B-14, S-17: the four pages from ``section_contexts``, each by one call of the model with retries."""
     found = {r["section"]: r for r in contexts.collect()}  # four rows

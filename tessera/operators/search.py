@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,14 @@ def search_summaries(summaries: DataFrame, embeddings: DataFrame, query: Sequenc
     return top(scored(rows, query), "id", limit_or(k, DEFAULT_SUMMARIES)).select("id", "snapshot_id", "summary_type", "target_path", "arch_type", "score")
 
 
+def top_of_each(rows: DataFrame, queries: Mapping[str, Sequence[float]], k: int, key: str = "chunk_id") -> DataFrame:
+    """query, key, score: the ``k`` best rows of a few named queries, in one pass over the vectors; a task hands on k rows a query."""
+    scores = [F.struct(F.lit(name).alias("query"), vector.score(F.col("vector"), vector.literal(q)).alias("score")) for name, q in queries.items()]
+    each = rows.select(key, F.explode(F.array(*scores)).alias("_s")).select(key, "_s.*").filter("score is not null")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key))
+    return each.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).select("query", key, "score")
+
+
 def hybrid(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     """B-05, J-15: the two result lists in one frame, so that one action computes both."""
     a = chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "score")

@@ -1126,15 +1126,17 @@ def _wiki_sql() -> str:
 
 @query(_wiki_sql())
 def wiki_sections(v: Views) -> DataFrame:
-    latest, files = _latest_of(v, 1), v.files.select(F.col("id").alias("chunk_id"), "content")
-    texts = v.summaries.select("id", "content")
+    """The four sections' questions in one pass over the vectors of chunks and one over those of summaries; contents are fetched for the hits alone."""
+    latest, embedder = _latest_of(v, 1), ask.HashingEmbedder()
+    asked = {section: embedder.embed([ask.QUESTIONS[section]])[0] for section, _ in ask.SECTIONS}
 
-    def find(q: list[float]) -> tuple[DataFrame, DataFrame]:
-        chunks = search.search_within(v.embeddings, v.files, latest, q).join(files, "chunk_id")
-        found = search.search_summaries(v.summaries, v.embeddings, q, within=latest).join(texts, "id")
-        return chunks, found.select(F.col("id").alias("chunk_id"), F.col("target_path").alias("path"), "content", "score")
+    def hits(rows: DataFrame, path: str, k: int) -> DataFrame:
+        inside = rows.select(F.col("id").alias("chunk_id"), "snapshot_id").join(latest, "snapshot_id", "left_semi")
+        best = search.top_of_each(v.embeddings.join(inside.select("chunk_id"), "chunk_id", "left_semi"), asked, k)
+        texts = rows.select(F.col("id").alias("chunk_id"), F.col(path).alias("path"), "content")
+        return texts.join(F.broadcast(best), "chunk_id").select(F.col("query").alias("section"), "chunk_id", "path", "content", "score")  # k rows a section
 
-    return ask.section_contexts(find, ask.HashingEmbedder())
+    return ask.section_pages(hits(v.files, "path", search.DEFAULT_LIMIT), hits(v.summaries, "target_path", search.DEFAULT_SUMMARIES))
 
 
 # A whole index run
