@@ -90,9 +90,14 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
 def check_failure_rate(results: DataFrame, failed: str = "failed", most: float = 0.3) -> tuple[int, int]:
     """A-16: (rows, failures); raises when strictly more than ``most`` failed."""
     row = results.agg(F.count("*").alias("n"), F.count_if(failed).alias("bad")).first()
-    if row["n"] and row["bad"] / row["n"] > most:
-        raise FailureRateError(f"{row['bad']} of {row['n']} failed")
-    return row["n"], row["bad"]
+    return check_failures(row["n"], row["bad"], most)
+
+
+def check_failures(n: int, failed: int, most: float) -> tuple[int, int]:
+    """The same for numbers that are known already."""
+    if n and failed / n > most:
+        raise FailureRateError(f"{failed} of {n} failed")
+    return n, failed
 
 
 def alerts(coverage: DataFrame, important: DataFrame, adr_total: int = 10, adr_indexed: int = 5, test_rate: float = 20.0) -> DataFrame:

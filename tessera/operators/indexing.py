@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -108,11 +108,15 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
         return Result(skipped=True)
     at = f"snapshot_id={snapshot_id}"
     prepared = prepare_files(docs, snapshot_id, patterns, detect)
-    (classify(prepared) if classify else prepared).drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/files/{at}")
+    counted, chunked = Observation(), Observation()
+    (classify(prepared) if classify else prepared).drop("snapshot_id").observe(counted, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/files/{at}")
     files = spark.read.parquet(f"{root}/files/{at}")
-    prepare_chunks(files, product, source, version, limits).write.mode("overwrite").parquet(f"{root}/chunks/{at}")
+    # Numbers are taken by the jobs that write: a file's first chunk has the ordinal 0, one that can't be parsed a row with its error.
+    bad, first = F.col("error").isNotNull(), F.col("ordinal") == 0
+    numbers = (F.count_if(bad).alias("failed"), F.count_if(bad | first).alias("files"), F.count_if(~bad).alias("chunks"))
+    prepare_chunks(files, product, source, version, limits).observe(chunked, *numbers).write.mode("overwrite").parquet(f"{root}/chunks/{at}")
     chunks = spark.read.parquet(f"{root}/chunks/{at}")
-    n, failed = coverage.check_failure_rate(chunks.groupBy("file_id").agg(F.max(F.col("error").isNotNull()).alias("failed")), most=most_failed)
+    _, failed = coverage.check_failures(chunked.get["files"], chunked.get["failed"], most_failed)
     good = chunks.filter("error is null")
     inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id, KEYWORD_BUCKETS)
     paths = files.select(F.col("id").alias("file_id"), "path")
@@ -133,4 +137,4 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     if not known:
         row = spark.createDataFrame([(snapshot_id, source_id, version, True)], "id string, source_id string, version_identifier string, indexed boolean")
         row.withColumn("indexed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
-    return Result(files.count(), failed, good.count())
+    return Result(counted.get["n"], failed, chunked.get["chunks"])

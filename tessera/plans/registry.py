@@ -1145,7 +1145,9 @@ def wiki_sections(v: Views) -> DataFrame:
 @query("""WITH f AS (SELECT 'src/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '/a.md' ELSE '/b/c.txt' END AS path FROM documents WHERE doc_id % 17 <> 0),
 d AS (SELECT DISTINCT unnest(['', 'src', regexp_replace(path, '/[^/]*$', ''), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM f)
 SELECT 'files' AS t, count(*) AS n FROM f UNION ALL SELECT 'markdown files', count(*) FILTER (path LIKE '%.md') FROM f UNION ALL SELECT 'snapshots', 1 UNION ALL SELECT 'file summaries', count(*) FROM f
-UNION ALL SELECT 'directory summaries', count(*) FROM d UNION ALL SELECT 'architecture summaries', 4 UNION ALL SELECT 'summary vectors', (SELECT count(*) FROM f) + (SELECT count(*) FROM d) + 4 UNION ALL SELECT 'skipped', 1""")
+UNION ALL SELECT 'directory summaries', count(*) FROM d UNION ALL SELECT 'architecture summaries', 4 UNION ALL SELECT 'summary vectors', (SELECT count(*) FROM f) + (SELECT count(*) FROM d) + 4 UNION ALL SELECT 'skipped', 1
+UNION ALL SELECT 'bytes of files', (SELECT sum(strlen(text))::BIGINT FROM documents WHERE doc_id % 17 <> 0) UNION ALL SELECT 'beginnings of hashes', (SELECT sum(('0x' || substr(sha256(text), 1, 8))::UBIGINT)::BIGINT FROM documents WHERE doc_id % 17 <> 0)
+UNION ALL SELECT 'embeddings without chunk', 0 UNION ALL SELECT 'chunks without embedding, cell or keywords', 0""")
 def index_version(v: Views) -> DataFrame:
     i, folder = F.col("doc_id"), lineage.shared_folder(v.spark)
     ending = F.when(i % 17 == 0, "/node_modules/x.js").when(i % 3 == 0, "/a.md").otherwise("/b/c.txt")
@@ -1156,4 +1158,14 @@ def index_version(v: Views) -> DataFrame:
     kinds = {f"{k} summaries": read("summaries").filter(F.col("summary_type") == k) for k in ("file", "directory", "architecture")}
     tables = {"files": read("files"), "markdown files": read("files").filter("content_type = 'text/markdown'"), "snapshots": read("snapshots"), **kinds, "summary vectors": read("summary_embeddings")}
     counts = [t.agg(F.lit(name).alias("t"), F.count("*").alias("n")).select("t", "n") for name, t in tables.items()]
+    files, chunks = read("files"), read("chunks").filter("error is null").select(F.col("id").alias("chunk_id"))
+    embedded, placed = read("embeddings").select("chunk_id"), read("cells/vectors").select("chunk_id")
+    told = inverted.Index(v.spark, f"{folder}/keywords").postings().select(F.explode("ids").alias("chunk_id")).distinct()
+    number = lambda name, rows: rows.agg(F.lit(name).alias("t"), F.count("*").alias("n")).select("t", "n")
+    lost = chunks.join(embedded.intersect(placed).intersect(told), "chunk_id", "left_anti")
+    counts += [
+        files.agg(F.lit("bytes of files").alias("t"), F.sum("size").alias("n")).select("t", "n"),
+        files.agg(F.lit("beginnings of hashes").alias("t"), F.sum(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("bigint")).alias("n")).select("t", "n"),
+        number("embeddings without chunk", embedded.join(chunks, "chunk_id", "left_anti")), number("chunks without embedding, cell or keywords", lost),
+    ]
     return reduce(DataFrame.unionAll, [*counts, v.spark.createDataFrame([("skipped", int(again.skipped))], "t string, n bigint")])
