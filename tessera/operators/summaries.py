@@ -148,10 +148,11 @@ def renewed(now: DataFrame, old: DataFrame, write: Callable[[Column], Column], m
     condition = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in (*KEY, "source_hash")])
     mine = ("snapshot_id", *KEY, "depth", "source_hash")
     kept = now.join(held, condition).select(*mine, F.col("_old_content").alias("content"))
-    new = cut(now.join(held, condition, "left_anti").select(*mine, write(F.col("body")).alias("content")))
-    check_failure_rate(new.select(F.col("content").isNull().alias("failed")), most=most_failed)
-    rows = kept.unionAll(new.filter("content is not null"))
-    return cut(rows.withColumn("content_hash", F.sha2("content", 256)).select(*SUMMARY))
+    new = now.join(held, condition, "left_anti").select(*mine, write(F.col("body")).alias("content"))
+    rows = kept.withColumn("_new", F.lit(False)).unionAll(new.withColumn("_new", F.lit(True)))
+    rows = cut(rows.withColumn("content_hash", F.sha2("content", 256)))
+    check_failure_rate(rows.filter("_new").select(F.col("content").isNull().alias("failed")), most=most_failed)
+    return rows.filter("content is not null").select(*SUMMARY)
 
 
 def of_files(files: DataFrame) -> DataFrame:
@@ -195,12 +196,13 @@ def summarise_all(files: DataFrame, old: DataFrame, write: Callable[[Column], Co
     depth of directories has a failure gate of its own.
     """
     done = renewed(of_files(files), old, write, most_failed)
-    below, directories_ = done, None
+    level, directories_ = None, None
     depth = done.agg(F.max(text.depth(text.dirname(F.col("target_path"))))).first()[0]
     for d in range(depth if depth is not None else -1, -1, -1):
-        here = below.filter((F.col("target_path") != "") & (text.depth(text.dirname(F.col("target_path"))) == d))
+        here = done.filter(text.depth(text.dirname(F.col("target_path"))) == d)
+        if level is not None:  # the directories a level deeper
+            here = here.unionAll(level)
         level = renewed(of_directories(here, d), old, write, most_failed)
-        below = below.unionAll(level)
         directories_ = level if directories_ is None else directories_.unionAll(level)
     if directories_ is None:
         return done
