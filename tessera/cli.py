@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, indexing, inverted, search
+from tessera.operators import ask, catalog, cells, indexing, inverted, search, versions
 from tessera.sources import repository
 
 SOURCES = "id string, product string, url string, default_ref string"
@@ -39,17 +39,17 @@ class Store:
         return self.spark.read.parquet(path) if indexing.there(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def sources(self) -> DataFrame:
-        return self.table("sources", SOURCES)
+        rows = versions.read(self.spark, f"{self.root}/sources").rows
+        return self.spark.createDataFrame([], SOURCES) if rows is None else rows
 
     def snapshots(self) -> DataFrame:
         return self.table("snapshots", "id string, source_id string, version_identifier string, indexed boolean, indexed_at timestamp").withColumn("created_at", F.col("indexed_at"))
 
     def add_source(self, source: str, product: str, url: str, ref: str | None) -> None:
-        """M-04: a source is added once; it keeps its product."""
+        """M-04: a source is added once, whoever else adds one at the same time; it keeps its product."""
         new = self.spark.createDataFrame([(source, product, url, ref)], SOURCES)
-        fresh = catalog.insert_or_ignore(self.sources().limit(0), new.join(self.sources().select("id"), "id", "left_anti"), ["id"])
-        if not fresh.isEmpty():
-            fresh.coalesce(1).write.mode("append").parquet(f"{self.root}/sources")
+        if self.sources().filter(F.col("id") == source).isEmpty():
+            versions.change(self.spark, f"{self.root}/sources", lambda old: (new if old is None else catalog.insert_or_ignore(old, new, ["id"])).coalesce(1))
 
     def latest(self, product: str) -> DataFrame:
         """snapshot_id: the latest indexed version of each of the product's sources."""
@@ -165,8 +165,9 @@ def _index(args: argparse.Namespace, store: Store, embedder: ask.Embedder, say:
     spark = store.spark
     source = spark.range(1).select(text.source_name(F.lit(args.url))).first()[0]
     folder = os.path.join(args.root, "repositories", hashlib.sha256(args.url.encode()).hexdigest()[:16])
-    repository.fetch(args.url, folder, args.ref)
-    version = repository.resolve(folder, args.ref or "HEAD")
     store.add_source(source, args.product, args.url, args.ref)
-    done = indexing.index(repository.documents(spark, folder, version), args.root, args.product, source.replace("/", "_"), version, embedder, force=args.force_init, source_id=source)
+    with versions.lease(spark, args.root, source, ""):  # all refs of a source share its clone
+        repository.fetch(args.url, folder, args.ref)
+        version = repository.resolve(folder, args.ref or "HEAD")
+        done = indexing.index(repository.documents(spark, folder, version), args.root, args.product, source.replace("/", "_"), version, embedder, force=args.force_init, source_id=source)
     say(json.dumps({"source": source, "version": version, "files": done.files, "failed": done.failed, "chunks": done.chunks, "skipped": done.skipped}))
