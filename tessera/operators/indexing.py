@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, cells, chunking, coverage, inverted, search, summaries
+from tessera.operators import ask, cells, chunking, coverage, inverted, rollups, search, summaries
 from tessera.sources import content_type, ignore
 
 
@@ -92,8 +92,28 @@ def _before(spark: SparkSession, root: str, source: str) -> DataFrame:
     return spark.read.parquet(f"{root}/summaries").join(search.small(mine), "snapshot_id", "left_semi").select(*none.columns)
 
 
+def _listing(spark: SparkSession, root: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
+    """A version's files, each marked whether it could be parsed, and its chunks."""
+    chunks = spark.read.parquet(f"{root}/chunks/snapshot_id={snapshot_id}")
+    bad = chunks.filter("error is not null").select(F.col("file_id").alias("id"), F.lit(False).alias("_parsed")).distinct()
+    files = spark.read.parquet(f"{root}/files/snapshot_id={snapshot_id}").select("id", "path", "content_hash", "domain")
+    return files.join(bad, "id", "left").withColumn("indexed", F.coalesce("_parsed", F.lit(True))).drop("_parsed"), chunks.filter("error is null")
+
+
+def _cover(spark: SparkSession, root: str, source_id: str, snapshot_id: str) -> None:
+    """A-03, A-17: the version's coverage from that of the source's last indexed one."""
+    before = None
+    if there(spark, f"{root}/snapshots"):
+        mine = spark.read.parquet(f"{root}/snapshots").filter((F.col("source_id") == source_id) & (F.col("id") != snapshot_id))
+        before = mine.agg(F.max_by("id", F.struct("indexed_at", "id"))).first()[0]
+    if before is not None and there(spark, f"{root}/coverage/version={before}"):
+        rollups.refresh(f"{root}/coverage", snapshot_id, *_listing(spark, root, snapshot_id), before, *_listing(spark, root, before))
+    else:
+        rollups.refresh(f"{root}/coverage", snapshot_id, *_listing(spark, root, snapshot_id))
+
+
 def index(docs: DataFrame, root: str, product: str, source: str, version: str, embedder: ask.Embedder | None = None, patterns: tuple[str, ...] = (), limits: chunking.Limits = chunking.Limits(), most_failed: float = 1.0, most_unwritten: float = 0.3, write: Callable[[Column], Column] = opening, force: bool = False, source_id: str | None = None, detect: Callable[[Column, Column], tuple[Column, Column]] = by_name_and_content, measure: Callable[[DataFrame], None] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None) -> Result:
-    """D-01, D-09: write files, chunks, keywords, embeddings and their cells, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
+    """D-01, D-09: write files, chunks, coverage, keywords, embeddings and their cells, summaries and their embeddings of a version below ``root``, partitioned by snapshot, then its snapshot row.
 
     What an earlier version of the source has a summary of is not summarised again.  Files that can't be parsed are left
     out one by one (D-02), and raise beyond ``most_failed`` of all; more than ``most_unwritten`` of a step's summaries that the model fails to write raise (A-16).
@@ -117,6 +137,7 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     prepare_chunks(files, product, source, version, limits).observe(chunked, *numbers).write.mode("overwrite").parquet(f"{root}/chunks/{at}")
     chunks = spark.read.parquet(f"{root}/chunks/{at}")
     _, failed = coverage.check_failures(chunked.get["files"], chunked.get["failed"], most_failed)
+    _cover(spark, root, source_id, snapshot_id)
     good = chunks.filter("error is null")
     inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id, KEYWORD_BUCKETS)
     paths = files.select(F.col("id").alias("file_id"), "path")

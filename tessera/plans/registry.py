@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, kpis, lineage, linechunks, ranking, search, summaries, tour
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, kpis, lineage, linechunks, ranking, rollups, search, summaries, tour, versions
 from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_model, content_type, ignore, repository
@@ -318,6 +318,48 @@ def coverage_map(v: Views) -> DataFrame:
     return coverage.coverage_map(v.snapshot_files)
 
 
+#: Three versions of the files: which are there, which have other contents and chunks, and which are in another domain.
+_VERSIONS = (("v1", "id % 10 <> 3", "false", "false"), ("v2", "id % 10 <> 7", "id % 10 = 5", "false"), ("v3", "id % 10 <> 1", "id % 10 = 5", "id % 10 = 6"))
+_VERSION_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS version, id, CASE WHEN {moved} THEN 'moved' ELSE coalesce(domain, 'unknown') END AS domain, indexed, {edited} AS edited FROM snapshot_files WHERE {there}"
+    for n, there, edited, moved in _VERSIONS
+)
+
+
+def _mean(value: str) -> str:
+    """The mean to six digits, half up, in whole numbers: sums of doubles fall to either side where it ends in a five."""
+    total, n = f"sum(round(({value}) * 1e12)::HUGEINT)::HUGEINT", f"count({value})::HUGEINT"
+    return f"CASE WHEN count({value}) = 0 THEN 0.0 ELSE ((2 * {total} + {n} * 1000000) // (2 * {n} * 1000000))::DOUBLE / 1e6 END"
+
+
+def _coverage_states(v: Views) -> list[tuple[str, DataFrame]]:
+    """Each version's state from the one before, below a folder that goes when the driver ends."""
+    root, before, out = lineage.shared_folder(v.spark), (), []
+    hashes = v.files.select("id", "content_hash")
+    for name, there, edited, moved in _VERSIONS:
+        files = v.snapshot_files.filter(there).join(hashes, "id").select(
+            "id", F.col("file_path").alias("path"), F.when(F.expr(edited), F.concat("content_hash", F.lit("!"))).otherwise(F.col("content_hash")).alias("content_hash"),
+            F.when(F.expr(moved), "moved").otherwise(F.col("domain")).alias("domain"), "indexed",
+        )
+        ratio = F.when(F.expr(edited.replace("id", "file_id")), F.col("comment_ratio") + 1).otherwise(F.col("comment_ratio"))
+        chunks = v.chunks.select("file_id", ratio.alias("comment_ratio"), "cyclomatic_complexity")
+        out.append((name, rollups.refresh(root, name, files, chunks, *before)))
+        before = (name, files, chunks)
+    return out
+
+
+@query(f"""WITH f AS ({_VERSION_SQL}), c AS (SELECT file_id, count(*) AS n, avg(coalesce(comment_ratio, 0.0)) AS r, avg(coalesce(comment_ratio + 1, 0.0)) AS r1, avg(coalesce(cyclomatic_complexity, 0)) AS x FROM chunks GROUP BY 1)
+SELECT version, domain, count(*) AS total_files, count(*) FILTER (indexed) AS indexed_files, coalesce(sum(n), 0)::BIGINT AS indexed_chunks, round(count(*) FILTER (indexed) * 100.0 / count(*), 2)::DOUBLE AS coverage_rate,
+ {_mean("CASE WHEN edited THEN r1 ELSE r END")} AS avg_comment_ratio, {_mean("x")} AS avg_complexity FROM f LEFT JOIN c ON c.file_id = f.id GROUP BY 1, 2""")
+def coverage_by_version(v: Views) -> DataFrame:
+    return reduce(DataFrame.unionByName, (rollups.coverage(s).withColumn("version", F.lit(name)) for name, s in _coverage_states(v)))
+
+
+@query(f"WITH f AS ({_VERSION_SQL}) SELECT domain, grouping(domain)::INT AS is_total, count(*) AS files, count(*) FILTER (indexed) AS indexed_files FROM f WHERE version = 'v3' GROUP BY ROLLUP (domain)")
+def coverage_map_by_version(v: Views) -> DataFrame:
+    return rollups.coverage_map(_coverage_states(v)[-1][1])
+
+
 @query("""SELECT file_path FROM snapshot_files WHERE NOT indexed AND (file_path ILIKE '%README.md' OR file_path ILIKE '%/docs/adr/%' OR file_path ILIKE '%/docs/design/%' OR file_path ILIKE '%/docs/decisions/%'
  OR file_path IN ('package.json', 'go.mod', 'Dockerfile', 'docker-compose.yml')) ORDER BY file_path""")
 def unindexed_important_files(v: Views) -> DataFrame:
@@ -460,6 +502,15 @@ def insert_source(v: Views) -> DataFrame:
     return catalog.insert(v.sources.select("id", "name", "source_type"), new, ["name"])
 
 
+@query("SELECT id, name, product_id FROM sources UNION ALL SELECT id || '-copy', name || ' (copy)', product_id FROM sources WHERE product_id = 1")
+def committed_sources(v: Views) -> DataFrame:
+    """M-05 with the commit of what was checked: the copies are inserted on the version that their names were compared with."""
+    root, rows = lineage.shared_folder(v.spark), v.sources.select("id", "name", "product_id")
+    versions.commit(rows, root, 0)
+    copies = rows.filter("product_id = 1").select(F.concat("id", F.lit("-copy")).alias("id"), F.concat("name", F.lit(" (copy)")).alias("name"), "product_id")
+    return versions.read(v.spark, root, versions.change(v.spark, root, lambda old: catalog.insert(old, copies, ["name"]))).rows
+
+
 # Hierarchies and graphs
 
 
