@@ -19,7 +19,7 @@ from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_model, content_type, ignore, repository
 from tessera.sources.views import Views
-from tessera.streaming import edits
+from tessera.streaming import edits, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1022,6 +1022,12 @@ def edit_windows_stream(v: Views) -> DataFrame:
     return edits.written_windows(v.commit_stream, lineage.shared_folder(v.spark))
 
 
+@query("SELECT source_id, version, ts FROM (SELECT path AS source_id, hash AS version, ts, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC) AS k FROM commits) WHERE k = 1")
+def latest_versions_stream(v: Views) -> DataFrame:
+    versions = v.commit_stream.select(F.col("path").alias("source_id"), F.col("hash").alias("version"), "ts")
+    return latest.written_latest(versions, lineage.shared_folder(v.spark))
+
+
 # Lookups, changes and gates by key
 
 

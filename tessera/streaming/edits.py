@@ -27,12 +27,22 @@ def index_changes(changes: DataFrame, index: Callable[[DataFrame], None], checkp
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def written_windows(changes: DataFrame, folder: str) -> DataFrame:
-    """T-03: the windows of a stream of changes that is there now, as the table that its last batch leaves in ``folder``."""
+def written(rows: DataFrame, folder: str, state: str) -> StreamingQuery:
+    """What has come since the last run, a folder a batch: a batch that is replayed writes its folder again and changes nothing."""
 
-    def write(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/windows")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    run = edit_windows(changes).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def written_windows(changes: DataFrame, folder: str, late: str = "1 day") -> DataFrame:
+    """T-03: the windows of a stream of changes that is there now.
+
+    A batch writes the windows that it changed, and a window's last batch tells its edits.  The state holds the windows
+    whose end the newest change is not ``late`` past; older changes that come later are dropped.
+    """
+    run = written(edit_windows(changes, late=late), f"{folder}/windows", f"{folder}/state")
     run.awaitTermination()
-    return changes.sparkSession.read.parquet(f"{folder}/windows")
+    rows = changes.sparkSession.read.parquet(f"{folder}/windows")
+    return rows.groupBy("window_start", "path").agg(F.max_by("edits", "batch").alias("edits"))
