@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, kpis, lineage, linechunks, ranking, rollups, search, summaries, tour, versions
+from tessera.operators import ask, catalog, cells, chunking, coverage, gocode, graph, indexing, inverted, kpis, lineage, linechunks, ranking, rollups, scopes, search, summaries, tour, versions
 from tessera.plans.kept import kept
 from tessera.plans.oracle_views import with_views
 from tessera.sources import content_model, content_type, ignore, repository
@@ -612,6 +612,26 @@ def derive_edges(v: Views) -> DataFrame:
     return graph.derive_edges(v.chunks.select("id", F.col("chunk_type").alias("name"), calls.alias("calls")))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_size, lower(replace(p_brand, '#', '')) AS brand, 'lib/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '')) AS long FROM part),
+s AS (SELECT id, name, CASE WHEN p_size < 10 THEN brand ELSE long END AS package FROM p), k AS (SELECT package, name, min(id) AS to_id FROM s GROUP BY 1, 2),
+c AS (SELECT l_orderkey, 'example.org/x/' || long AS path, name FROM lineitem JOIN p ON p.id = l_partkey),
+r AS (SELECT path, arg_max(package, length(package)) AS package FROM (SELECT DISTINCT path FROM c) d JOIN (SELECT DISTINCT package FROM s) n ON ends_with('/' || d.path, '/' || n.package) GROUP BY path)
+SELECT DISTINCT -1 - l_orderkey AS from_id, to_id, 'call' AS dep_type, c.name AS symbol FROM c JOIN r ON r.path = c.path JOIN k ON k.package = r.package AND k.name = c.name
+UNION SELECT s.id, k.to_id, 'call', s.name FROM s JOIN k ON k.package = s.package AND k.name = s.name WHERE s.id <> k.to_id""")
+def derive_edges_scoped(v: Views) -> DataFrame:
+    """Parts are symbols of packages by kind and brand, the small ones of their brand alone; orders import and call what they hold."""
+    brand = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
+    long = F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/"), brand)
+    parts = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 10, brand).otherwise(long).alias("package"), long.alias("long"))
+    held = v.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("id")).join(parts, "id")
+    scope, alias, none = F.col("l_orderkey").cast("string").alias("scope"), F.concat(F.lit("p"), F.col("id")), F.lit(None).cast("string")
+    imports = held.select(scope, alias.alias("alias"), F.concat(F.lit("example.org/x/"), F.col("long")).alias("path"))
+    kind = F.lit("call").alias("dep_type")
+    bought = held.select((-1 - F.col("l_orderkey")).alias("from_id"), scope, none.alias("package"), alias.alias("qualifier"), F.col("name").alias("symbol"), kind)
+    inner = parts.select(F.col("id").alias("from_id"), none.alias("scope"), "package", none.alias("qualifier"), F.col("name").alias("symbol"), kind)
+    return scopes.edges(bought.unionAll(inner), imports, parts.select("id", "package", "name"))
+
+
 # Directories and summaries
 
 
