@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ask, catalog, cells, indexing, inverted, search, versions
+from tessera.operators import ask, catalog, cells, indexing, inverted, rollups, search, versions
 from tessera.sources import repository
 
 SOURCES = "id string, product string, url string, default_ref string"
@@ -77,6 +77,12 @@ class Store:
         return run
 
 
+    def coverage(self, product: str) -> DataFrame:
+        """A-03 of the product's latest versions, by domain, from their stored sums; versions of older runs have none."""
+        latest = [r["snapshot_id"] for r in self.latest(product).collect()]  # a row a source
+        held = [rollups.state(self.spark, f"{self.root}/coverage", x) for x in latest if indexing.there(self.spark, f"{self.root}/coverage/version={x}")]
+        return rollups.coverage(rollups.merged(*held)).orderBy("domain") if held else self.spark.createDataFrame([], "domain string")
+
     def words(self, product: str, query: Sequence[str], limit: int) -> DataFrame:
         """path, start_line, end_line, keyword: the product's chunks that tell most of the words (R-02)."""
         versions = [r["snapshot_id"] for r in self.latest(product).collect()]  # a row a source
@@ -105,6 +111,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--product", required=True)
     find.add_argument("--limit", type=int, default=search.DEFAULT_LIMIT)
     find.add_argument("words", nargs="+")
+    commands.add_parser("coverage").add_argument("--product", required=True)
     question = commands.add_parser("ask")
     question.add_argument("--product", required=True)
     question.add_argument("--show-sources", action="store_true")
@@ -130,6 +137,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, e
     if args.command == "find":
         tell(store.words(args.product, args.words, args.limit).collect())
         return 0
+    if args.command == "coverage":
+        tell(store.coverage(args.product).collect())
+        return 0
     if args.command == "ask":
         search.check_search(args.question, product_id=args.product)
         code, structure = store.find(args.product)(embedder.embed([args.question])[0])

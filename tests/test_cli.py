@@ -50,6 +50,11 @@ def test_from_index_to_answer(spark, repo, tmp_path):
     hits = [json.loads(x) for x in said]
     assert hits and {h["path"] for h in hits} <= {"pay/pay.go", "README.md"} and [h["keyword"] for h in hits] == sorted((h["keyword"] for h in hits), reverse=True)
     said.clear()
+    assert run("coverage", "--product", "bank") == 0
+    domains = [json.loads(x) for x in said]
+    assert sum(d["total_files"] for d in domains) == 3 and sum(d["indexed_files"] for d in domains) == 2
+    said.clear()
+    assert run("coverage", "--product", "nothing") == 0 and not said
     assert run("wiki", "generate", "--product", "bank", "--out", str(tmp_path / "w"), model=lambda prompt: "page") == 0
     assert open(tmp_path / "w" / "README.md").read() == "page"
 
