@@ -23,3 +23,8 @@ def test_pairs_of_one_name_are_not_shuffled(spark):
     assert len(found) == len(want) and set(found) == want
     above = plan(got).split("Join")[0]
     assert "Aggregate" not in above and "Exchange" not in above
+
+
+def test_pagerank_has_the_digits_of_its_sql(spark):
+    ranks = [r["rank"] for r in registry.QUERIES["pagerank"](spark, SF).collect()]
+    assert ranks == [round(r, 9) for r in ranks]
