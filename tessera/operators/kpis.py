@@ -70,6 +70,19 @@ def drift(days: DataFrame) -> DataFrame:
     return sums.select("week", "n", F.round(F.col("total") / F.col("n"), 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), *(c.alias(n) for n, c in at.items()))
 
 
+def distribution(rows: DataFrame) -> DataFrame:
+    """R-13 exactly: week, number, mean, range and 10th, 50th and 90th percentile of similarities (ts, score) to three digits.
+
+    Equal scores are counted before the percentiles, so that a week takes no more memory than there are different scores.
+    """
+    week, score = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.round("score", 3).alias("score")
+    counts = rows.groupBy(week, score).agg(F.count("*").alias("n"), F.sum(F.col("score").cast("double")).alias("total"), F.min("score").alias("low"), F.max("score").alias("high"))
+    at = F.percentile("score", F.array(*map(F.lit, (0.1, 0.5, 0.9))), F.col("n"))
+    weeks = counts.groupBy("week").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), at.alias("at"))
+    number = lambda c: F.round(c, 4)
+    return weeks.select("week", "n", number(F.col("total") / F.col("n")).alias("mean"), number("low").alias("low"), number("high").alias("high"), *(number(F.col("at")[i]).alias(p) for i, p in enumerate(("p10", "p50", "p90"))))
+
+
 def within_rank(value: Column, quantile: Column, rank: float, error: float = 0.01) -> Column:
     """An aggregate: whether a quantile's rank among the values is the asked one, up to the error."""
     below, up_to = F.avg((value < quantile).cast("double")), F.avg((value <= quantile).cast("double"))

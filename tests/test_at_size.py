@@ -28,3 +28,16 @@ def test_pairs_of_one_name_are_not_shuffled(spark):
 def test_pagerank_has_the_digits_of_its_sql(spark):
     ranks = [r["rank"] for r in registry.QUERIES["pagerank"](spark, SF).collect()]
     assert ranks == [round(r, 9) for r in ranks]
+
+
+def test_drift_has_percentiles(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(day + datetime.timedelta(days=i % 14), i / 10, i % 3) for i in range(1400) for _ in range(i % 3 + 1)]
+    got = {r["week"]: r for r in kpis.distribution(spark.createDataFrame(rows, "ts timestamp_ntz, score double, k int")).collect()}
+    for k, week in enumerate(("2024-01-01", "2024-01-08")):
+        mine = sorted(s for t, s, _ in rows if (t - day).days // 7 == k)
+        for name, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)):
+            at = q * (len(mine) - 1)
+            low = mine[int(at)]
+            assert got[week][name] == round(low + (mine[min(int(at) + 1, len(mine) - 1)] - low) * (at - int(at)), 4)
+    assert {"p10", "p50", "p90"} <= set(registry.QUERIES["similarity_drift_weekly"](spark, SF).columns)
