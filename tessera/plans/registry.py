@@ -1111,7 +1111,7 @@ def trimmed_files(v: Views) -> DataFrame:
 
 
 def _go(v: Views) -> DataFrame:
-    t, n = v.table("part"), F.col("p_partkey").cast("string")
+    t, n = lineage.spread(v.table("part").select("p_partkey", "p_size"), "p_partkey"), F.col("p_partkey").cast("string")
     lines = (
         F.lit("// Package parts holds prices.\npackage parts\n\nimport (\n\t\"fmt\"\n\tnet \"net/http\"\n"), F.concat(F.lit('\t"example.org/brand'), n, F.lit('/lib"\n)\n\n')),
         F.concat(F.lit("// Price"), n, F.lit(" is { a price.\nfunc (p *Part) Price"), n, F.lit("(a, n int, by map[string]*lib.Rate) (int, error) {\n\ts := \"}\"\n\tif n > ")),

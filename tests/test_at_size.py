@@ -41,3 +41,11 @@ def test_drift_has_percentiles(spark):
             low = mine[int(at)]
             assert got[week][name] == round(low + (mine[min(int(at) + 1, len(mine) - 1)] - low) * (at - int(at)), 4)
     assert {"p10", "p50", "p90"} <= set(registry.QUERIES["similarity_drift_weekly"](spark, SF).columns)
+
+
+def test_files_of_narrow_rows_are_dealt_to_all_cores(spark, tmp_path):
+    part = pq.read_table(f"{SF}/part.parquet")
+    pq.write_table(pa.concat_tables([part] * 2), tmp_path / "part.parquet")
+    for name in ("go_declarations", "go_imports", "go_logic", "go_file_summary", "go_chunks", "unit_lines"):
+        rows = registry.QUERIES[name](spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 4, name
