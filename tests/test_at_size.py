@@ -49,3 +49,17 @@ def test_files_of_narrow_rows_are_dealt_to_all_cores(spark, tmp_path):
     for name in ("go_declarations", "go_imports", "go_logic", "go_file_summary", "go_chunks", "unit_lines"):
         rows = registry.QUERIES[name](spark, str(tmp_path))
         assert rows.rdd.getNumPartitions() >= 4, name
+
+
+def test_cycles_of_a_range_are_one_node(spark, monkeypatch):
+    ring = lambda at, n: [(at + i, at + (i + 1) % n) for i in range(n)]
+    rows = [e for k in range(20) for e in ring(100 * k, 9)] + [(100 * k + 3, 100 * k + 104) for k in range(19)] + [(50, 60), (7, 50), (60, 104)]
+    want = {a for k in range(20) for a, _ in ring(100 * k, 9)}
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    monkeypatch.setattr(graph, "RANGE", 50)
+    # Without the ranges every ring takes rounds of its own, as the greatest node reaches the last one alone.
+    rounds = []
+    whole = graph._greatest_components
+    monkeypatch.setattr(graph, "_greatest_components", lambda edges: rounds.append(1) or whole(edges))
+    assert {r["node"] for r in graph.cycle_nodes(spark.createDataFrame(rows, "parent int, child int")).collect()} == want
+    assert len(rounds) <= 3
