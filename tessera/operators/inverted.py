@@ -18,15 +18,18 @@ and only slices whose bound reaches it are scored.  The result is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import terms
 
-#: Directories of a segment, documents of a slice, and slices that are shuffled together.
-BUCKETS, SLICE, RANGE = 64, 128, 1 << 10
+#: Directories of a segment, documents of a slice, slices that are shuffled together, and parts that a directory is dealt to: files don't grow with the tasks that read.
+BUCKETS, SLICE, RANGE, PARTS = 64, 128, 1 << 10, 16
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits, and bounds given the slack of one in the last.
 DIGITS = 6
@@ -35,16 +38,11 @@ DIGITS = 6
 def add(docs: DataFrame, root: str, segment: str, buckets: int = BUCKETS) -> None:
     """Write the segment of documents (id, text); one of the same name is replaced.  Null texts are empty."""
     spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
-    cut = F.transform(F.array(terms(F.coalesce("text", F.lit("")))), lambda t: F.struct(F.size(t).alias("len"), t.alias("terms")))[0]
     number = F.shiftright(F.monotonically_increasing_id(), SLICE.bit_length() - 1)
-    rows = docs.select("id", number.alias("slice"), cut.alias("c")).select("id", "slice", "c.len", F.explode("c.terms").alias("term"))
-    rows = rows.withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("range", F.floor(F.col("slice") / RANGE))
-    # Both groupings keep this partitioning: a term's block is made where its words arrive.
-    counted = rows.repartition("bucket", "range").groupBy("bucket", "range", "term", "slice", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    blocks = counted.groupBy("bucket", "range", "term", "slice").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))
-    blocks = blocks.select(
-        "bucket", "term", "slice", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens")
-    )
+    read = docs.select("id", number.alias("slice"), terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    # A slice lies in one task, so its blocks are made where its documents are read, and only they are shuffled.
+    made = read.mapInArrow(_blocks, f"term string, slice bigint, n int, max_tf int, min_len int, ids array<{kind}>, tfs array<int>, lens array<int>")
+    blocks = made.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(F.floor(F.col("slice") / RANGE)), F.lit(PARTS)))
     at = f"{root}/postings/segment={segment}"
     blocks.sortWithinPartitions("bucket", "term", "slice").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(at)
     total = spark.read.schema(_schema(kind)).parquet(at).agg(F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0)))
@@ -52,6 +50,44 @@ def add(docs: DataFrame, root: str, segment: str, buckets: int = BUCKETS) -> Non
     spark.createDataFrame(row, "documents bigint, terms bigint, buckets int, id_type string").coalesce(1).write.mode("overwrite").parquet(f"{root}/stats/segment={segment}")
 
 
+def counted(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of words the different words, and of each pair of a word and a list that holds it, sorted by word, both numbers and the count."""
+    coded, n = words.flatten().dictionary_encode(), max(len(words), 1)
+    lists = np.repeat(np.arange(len(words)), np.diff(np.asarray(words.offsets)))
+    pairs, count = np.unique(np.asarray(coded.indices).astype(np.int64) * n + lists, return_counts=True)
+    return coded.dictionary, pairs // n, pairs % n, count.astype(np.int32)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of documents (id, slice, terms), slice by slice; no more than a batch and a slice are held."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        slices = np.asarray(rows.column("slice").combine_chunks())
+        ends = [*(np.flatnonzero(np.diff(slices)) + 1).tolist()]
+        for low, high in zip([0, *ends], ends):
+            yield from _block(rows.slice(low, high - low))
+        held = rows.slice(ends[-1] if ends else 0)
+    if held is not None and held.num_rows:
+        yield from _block(held)
+
+
+def _block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row a term of the documents of one slice."""
+    rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()
+    words = pa.chunked_array(rows.column("terms").chunks).combine_chunks()
+    length = np.diff(np.asarray(words.offsets)).astype(np.int32)
+    known, word, doc, tf = counted(words)
+    if not len(word):
+        return
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    offsets = pa.array(np.append(first, len(word)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (rows.column("id").combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(length[doc]))]
+    k = len(first)
+    numbers = [pa.array(np.full(k, rows.column("slice")[0].as_py(), np.int64)), pa.array(np.diff(np.append(first, len(word))).astype(np.int32)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(length[doc], first))]
+    yield pa.RecordBatch.from_arrays([known, *numbers, *lists], names=["term", "slice", "n", "max_tf", "min_len", "ids", "tfs", "lens"])
+
+
 def _schema(kind: str) -> str:
     return f"term string, slice bigint, n int, max_tf int, min_len int, ids array<{kind}>, tfs array<int>, lens array<int>, segment string, bucket int"
 

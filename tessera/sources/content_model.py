@@ -1,15 +1,19 @@
 """A classifier of contents for files whose names tell nothing (S-13): multinomial naive Bayes by joins and sums.
 
 ``train`` counts words by class; ``classify`` joins a text's words with the counts and adds up logarithms.  A word that no class
-has seen is left out; a word that only other classes have counts as seen once by smoothing.  So only the classes that have a word
-contribute a row, and what is the same for all words of a class is added once a text.
+has seen is left out; a word that only other classes have counts as seen once by smoothing.  What is the same for all words of
+a class is added once a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.inverted import counted
 from tessera.operators.lineage import cut
 from tessera.operators.ranking import terms
 from tessera.operators.search import small
@@ -38,21 +42,31 @@ def train(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classify(rows: DataFrame, model: tuple[DataFrame, DataFrame], key: str = "id") -> DataFrame:
     """key and class of texts (key, text): the likeliest, of equal ones the first; a text without a known word is of the most frequent class."""
     words, classes = model
-    known = _words(rows, key).join(small(words), "word")
-    known = cut(known.select(key, "n", "classes"))
-    seen = known.groupBy(key).agg(F.sum("n").alias("seen"))
-    gained = known.select(key, "n", F.explode("classes").alias("c")).groupBy(key, F.col("c.class").alias("class")).agg(F.sum(F.col("n") * F.col("c.weight")).alias("gain"))
-    # Every text against every class: there are few of these, a row each.
-    against = rows.select(key).join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), F.explode(_listed(classes)).alias("c"))
-    against = against.select(key, F.col("c.class"), (F.col("c.share").cast("double") - F.col("seen") * F.col("c.size").cast("double")).alias("base"))
-    score = F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 6)
-    rated = against.join(gained, [key, "class"], "left").select(key, "class", score.alias("score"))
-    return rated.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), "class")).alias("best")).select(key, F.col("best.class").alias("class"))
-
-
-def _listed(classes: DataFrame) -> Column:
-    rows = classes.orderBy("class").collect()  # a row a class
-    return F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["share"]).alias("share"), F.lit(r["size"]).alias("size")) for r in rows])
+    listed = classes.orderBy("class").collect()  # a row a class
+    if not listed:
+        return rows.select(key, F.lit(None).cast("string").alias("class")).limit(0)
+    of = F.map_from_entries("classes")
+    weights = words.select("word", F.array(*[F.coalesce(F.try_element_at(of, F.lit(r["class"])), F.lit(0.0)) for r in listed]).alias("weights"))
+    known = _counted(rows, key).join(small(weights), "word")
+    # One row a text: a column for each class, as there are few of these.
+    sums = known.groupBy(key).agg(F.sum("n").alias("_seen"), *(F.sum(F.col("n") * F.col("weights")[i]).alias(f"_gain{i}") for i in range(len(listed))))
+    base = lambda r: F.lit(r["share"]) - F.coalesce("_seen", F.lit(0)) * F.lit(r["size"])
+    rated = [F.struct((-F.round(base(r) + F.coalesce(f"_gain{i}", F.lit(0.0)), 6)).alias("less"), F.lit(r["class"]).alias("class")) for i, r in enumerate(listed)]
+    return rows.select(key).distinct().join(sums, key, "left").select(key, F.array_min(F.array(*rated))["class"].alias("class"))
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """key, word, n: the words of each text, counted where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 128):
+                part = pa.table(batch.slice(low, 128).columns, names=["key", "words"])
+                known, word, text, n = counted(part.column("words").combine_chunks())
+                yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks().take(pa.array(text)), known.take(pa.array(word)), pa.array(n)], names=[key, "word", "n"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, terms(F.coalesce("text", F.lit(""))).alias("words")).mapInArrow(run, f"`{key}` {kind}, word string, n int")
 
 
 def filled(files: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:

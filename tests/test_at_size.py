@@ -1,12 +1,14 @@
 """What registered queries do must not depend on how large their tables are: digits, tasks, copies."""
 
 import datetime
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessera.operators import graph, kpis
+from tessera.operators import graph, inverted, kpis
 from tessera.plans import registry
+from tessera.sources import content_model
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +65,26 @@ def test_cycles_of_a_range_are_one_node(spark, monkeypatch):
     monkeypatch.setattr(graph, "_greatest_components", lambda edges: rounds.append(1) or whole(edges))
     assert {r["node"] for r in graph.cycle_nodes(spark.createDataFrame(rows, "parent int, child int")).collect()} == want
     assert len(rounds) <= 3
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    texts = [(i % 290, " ".join("abcde"[j % 5] for j in range(i % 7))) for i in range(300)] + [(500, None)]
+    got = Counter()
+    rows = content_model._counted(spark.createDataFrame(texts, "id int, text string").coalesce(1), "id")
+    for r in rows.collect():
+        got[r["id"], r["word"]] += r["n"]
+    assert got == Counter((i, w) for i, t in texts for w in (t or "").split())
+    assert "Exchange" not in plan(rows) and "Aggregate" not in plan(rows)
+
+
+def test_blocks_are_made_slice_by_slice_of_any_batches():
+    docs = [(9 - i, i // 3, ["a"] * i + ["b"]) for i in range(10)] + [(11, 4, [])]
+    for size in (1, 2, 4, 11):
+        parts = [docs[i : i + size] for i in range(0, len(docs), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), (pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["id", "slice", "terms"]) for p in parts]
+        got = {(r["term"], r["slice"]): r for b in inverted._blocks(batches) for r in b.to_pylist()}
+        for (term, at), r in got.items():
+            want = sorted((i, t.count(term), len(t)) for i, s, t in docs if s == at and term in t)
+            assert list(zip(r["ids"], r["tfs"], r["lens"])) == want
+            assert (r["n"], r["max_tf"], r["min_len"]) == (len(want), max(x[1] for x in want), min(x[2] for x in want))
+        assert set(got) == {(w, s) for _, s, t in docs for w in t}
