@@ -7,13 +7,17 @@ import math
 import os
 import time
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 100
+#: Words whose hashes a process holds at most.
+HASHES = 1 << 19
 #: Retries, first wait and longest wait in seconds, and the time limit over all attempts.
 RETRIES, WAIT, LONGEST_WAIT, TIMEOUT = 3, 2.0, 32.0, 60.0
 
@@ -24,6 +28,19 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+class _Hashes(dict):
+    """The first 8 bytes of words' SHA-256; each word is hashed once a process, and the table begins anew when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HASHES:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+        return h
+
+
+_HASHES = _Hashes()
+
+
 class HashingEmbedder:
     """The offline default: words hashed into signed buckets, scaled to length one."""
 
@@ -31,15 +48,13 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * self.dimension
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
-                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
-            norm = math.sqrt(sum(x * x for x in v))
-            out.append([x / norm for x in v] if norm else v)
-        return out
+        words, n = [(text or "").lower().split() for text in texts], self.dimension
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        at = np.repeat(np.arange(len(words)), sizes) * n + (h % np.uint64(n)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(words) * n).reshape(-1, n).astype(float)
+        norm = np.sqrt((v * v).sum(1))[:, None]  # whole numbers: exact in any order
+        return np.divide(v, norm, out=v, where=norm > 0).tolist()
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "content", batch: int = BATCH) -> DataFrame:

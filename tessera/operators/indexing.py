@@ -19,6 +19,8 @@ from tessera.sources import content_type, ignore
 
 #: Directories of a version's keywords: a version is a repository's, so its postings are small.
 KEYWORD_BUCKETS = 8
+#: Documents of a slice of its keywords: chunks are short.
+KEYWORD_SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ def prepare_files(docs: DataFrame, snapshot_id: str, patterns: tuple[str, ...] =
 
 def prepare_chunks(files: DataFrame, product: str, source: str, version: str, limits: chunking.Limits = chunking.Limits()) -> DataFrame:
     """Chunks of files with id, key, content hash, metrics and defaults (level 2, latest); parse errors stay as rows."""
-    rows = chunking.chunk_files(files, limits).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    rows = chunking.chunk_files(files, limits, carried=("path",))
     key = text.chunk_key(F.lit(product), F.lit(source), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("ordinal"), F.lit(version))
     rows = rows.withColumn("chunk_key", F.when(F.col("error").isNull(), key)).withColumn("_m", text.code_lines(F.col("content")))
     return rows.withColumns(
@@ -139,13 +141,13 @@ def index(docs: DataFrame, root: str, product: str, source: str, version: str, e
     _, failed = coverage.check_failures(chunked.get["files"], chunked.get["failed"], most_failed)
     _cover(spark, root, source_id, snapshot_id)
     good = chunks.filter("error is null")
-    inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id, KEYWORD_BUCKETS)
-    paths = files.select(F.col("id").alias("file_id"), "path")
-    context = good.drop("path").join(paths, "file_id").select(F.col("id").alias("chunk_id"), "path", ask.embedding_context(F.col("content"), F.col("path"), name=F.col("chunk_name"), parent=F.col("parent_name")).alias("content"))
+    inverted.add(good.select("id", F.col("content").alias("text")), f"{root}/keywords", snapshot_id, KEYWORD_BUCKETS, KEYWORD_SLICE)
+    context = good.select(F.col("id").alias("chunk_id"), "path", ask.embedding_context(F.col("content"), F.col("path"), name=F.col("chunk_name"), parent=F.col("parent_name")).alias("content"))
     embedder = embedder or ask.HashingEmbedder()
     ask.embed(context, embedder).select("chunk_id", "path", "vector").write.mode("overwrite").parquet(f"{root}/embeddings/{at}")
     cells.add(spark.read.parquet(f"{root}/embeddings/{at}").withColumn("snapshot_id", F.lit(snapshot_id)), f"{root}/cells")
-    parsed = files.join(chunks.filter("error is not null").select(F.col("file_id").alias("id")), "id", "left_anti").withColumn("snapshot_id", F.lit(snapshot_id))
+    bad_files = chunks.filter("error is not null").select(F.col("file_id").alias("id")).distinct()
+    parsed = files.join(search.small(bad_files), "id", "left_anti").withColumn("snapshot_id", F.lit(snapshot_id))
     before = _before(spark, root, source_id)
     all_ = summaries.summarise_all(parsed, before, write, most_unwritten)
     all_.drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/summaries/{at}")

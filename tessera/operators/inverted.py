@@ -35,10 +35,13 @@ K1, B = 1.2, 0.75
 DIGITS = 6
 
 
-def add(docs: DataFrame, root: str, segment: str, buckets: int = BUCKETS) -> None:
-    """Write the segment of documents (id, text); one of the same name is replaced.  Null texts are empty."""
+def add(docs: DataFrame, root: str, segment: str, buckets: int = BUCKETS, slice_: int = SLICE) -> None:
+    """Write the segment of documents (id, text); one of the same name is replaced.  Null texts are empty.
+
+    ``slice_``, a power of two, is how many documents a slice has: fewer and longer rows, against coarser bounds.
+    """
     spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
-    number = F.shiftright(F.monotonically_increasing_id(), SLICE.bit_length() - 1)
+    number = F.shiftright(F.monotonically_increasing_id(), slice_.bit_length() - 1)
     read = docs.select("id", number.alias("slice"), terms(F.coalesce("text", F.lit(""))).alias("terms"))
     # A slice lies in one task, so its blocks are made where its documents are read, and only they are shuffled.
     made = read.mapInArrow(_blocks, f"term string, slice bigint, n int, max_tf int, min_len int, ids array<{kind}>, tfs array<int>, lens array<int>")

@@ -18,6 +18,8 @@ from tessera.operators.lineage import cut
 
 ARCHITECTURE_TYPES = ("overview", "tech_stack", "data_flow", "components")
 PROMPT_BYTES = 8_000
+#: Parts of a group whose lines are cut to a prompt by tasks of their own.
+PARTS = 64
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -130,10 +132,17 @@ SUMMARY = ("snapshot_id", *KEY, "depth", "source_hash", "content", "content_hash
 def bounded_body(rows: DataFrame, group: Sequence[str], most: int = PROMPT_BYTES) -> DataFrame:
     """group and body: the lines (path, line) in the order of their paths, as many as ``most`` bytes hold, the first one cut to it.
 
-    A running sum picks the lines before they are collected, so a group of any size leaves a bounded row.
+    A running sum picks the lines before they are collected, so a group of any size leaves a bounded row.  What a part of the group
+    alone leaves no room for has none in the group, so ``PARTS`` parts are cut by tasks of their own first.
     """
-    order = Window.partitionBy(*group).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.withColumn("_sum", F.sum(F.octet_length("line") + 1).over(order)).withColumn("_n", F.count("*").over(order)).filter((F.col("_sum") <= most + 1) | (F.col("_n") == 1))
+
+    def held_by(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+        summed = rows.withColumn("_sum", F.sum(F.octet_length("line") + 1).over(order)).withColumn("_n", F.count("*").over(order))
+        return summed.filter((F.col("_sum") <= most + 1) | (F.col("_n") == 1)).drop("_sum", "_n")
+
+    parts = held_by(rows.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(PARTS))), *group, "_part").drop("_part")
+    held = held_by(parts, *group)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
     body = F.substring(F.array_join(lines, "\n").cast("binary"), 1, most).cast("string")
     return held.groupBy(*group).agg(body.alias("body"))

@@ -1,12 +1,14 @@
 """What registered queries do must not depend on how large their tables are: digits, tasks, copies."""
 
 import datetime
+import hashlib
+import math
 from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessera.operators import graph, inverted, kpis
+from tessera.operators import ask, graph, indexing, inverted, kpis, summaries
 from tessera.plans import registry
 from tessera.sources import content_model
 
@@ -88,3 +90,49 @@ def test_blocks_are_made_slice_by_slice_of_any_batches():
             assert list(zip(r["ids"], r["tfs"], r["lens"])) == want
             assert (r["n"], r["max_tf"], r["min_len"]) == (len(want), max(x[1] for x in want), min(x[2] for x in want))
         assert set(got) == {(w, s) for _, s, t in docs for w in t}
+
+
+def test_words_are_hashed_once_a_process(monkeypatch):
+    def plain(text, n):
+        v = [0.0] * n
+        for word in (text or "").lower().split():
+            h = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+            v[h % n] += 1.0 if h >> 63 else -1.0
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v] if norm else v
+
+    texts = [None, "", " ", *(" ".join(f"W{i * j % 97}é" for j in range(i)) for i in range(60))]
+    want = {n: [plain(t, n) for t in texts] for n in (1, 7, 64)}
+    monkeypatch.setattr(ask, "HASHES", 50)  # fewer than there are: begun anew
+    assert all(ask.HashingEmbedder(n).embed(texts) == want[n] for n in want) and ask.HashingEmbedder().embed([]) == []
+    monkeypatch.setattr(ask, "HASHES", 1 << 10)
+    ask.HashingEmbedder().embed(texts)
+    monkeypatch.setattr(ask.hashlib, "sha256", None)
+    assert ask.HashingEmbedder(64).embed(texts) == want[64]
+
+
+def test_an_index_run_shuffles_no_texts_for_paths(spark):
+    files = spark.createDataFrame([(1, "a/b.txt", "text/plain", "word " * 2_000), (2, "x.go", "text/x-go", "func {")], "id bigint, path string, content_type string, content string")
+    chunks = indexing.prepare_chunks(files, "p", "s", "v")
+    assert "Join" not in plan(chunks) and "Exchange" not in plan(chunks)
+    rows = chunks.select("file_id", "path", "chunk_key", "error").collect()
+    assert {(r["file_id"], r["path"]) for r in rows} == {(1, "a/b.txt"), (2, "x.go")}
+    assert all((r["chunk_key"] is None) == (r["file_id"] == 2) == (r["error"] is not None) for r in rows)
+
+
+def test_slices_of_a_segment(spark, tmp_path):
+    docs = spark.range(600).selectExpr("id", "concat('the w', id % 50) as text").coalesce(1)
+    for size, slices in ((128, 5), (512, 2)):
+        inverted.add(docs, str(tmp_path / str(size)), "a", 8, size)
+        found = inverted.Index(spark, str(tmp_path / str(size)))
+        assert found.blocks(["the"]).count() == slices and found.documents == 600
+        assert {r["id"] for r in found.best(["w7"], 3).collect()} == {7, 57, 107}
+
+
+def test_lines_of_a_directory_are_cut_by_many_tasks(spark):
+    rows = spark.range(4_000).selectExpr("'s' as g", "format_string('%05d', (id * 7) % 4000) as path", "repeat('x', 30 + cast(id % 9 as int)) as line")
+    want = "\n".join(r["line"] for r in rows.orderBy("path").collect()).encode()
+    got = summaries.bounded_body(rows, ["g"], 8_000)
+    assert "_part" in plan(got)
+    (body,) = [r["body"] for r in got.collect()]
+    assert want.startswith(body.encode()) and 7_900 < len(body) <= 8_000
