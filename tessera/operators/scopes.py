@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import spread as dealt
+
 #: Over how many tasks the calls of one symbol are spread; each symbol is copied as often.
 SPREAD = 16
 
@@ -27,7 +29,8 @@ def import_tables(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     Without an alias the path's last segment names the import.  Where a scope gives one name to several packages, the first in order is taken.
     """
     named = imports.select("scope", F.coalesce(F.nullif("alias", F.lit("")), F.element_at(F.split("path", "/"), -1)).alias("qualifier"), "path")
-    return named.join(packages_of(imports, symbols), "path").groupBy("scope", "qualifier").agg(F.min("package").alias("package"))
+    known = named.join(packages_of(imports, symbols), "path").select("scope", "qualifier", "package")
+    return dealt(known, "scope", "qualifier").groupBy("scope", "qualifier").agg(F.min("package").alias("package"))
 
 
 def resolved(calls: DataFrame, imports: DataFrame, symbols: DataFrame, spread: int = SPREAD) -> DataFrame:
@@ -38,19 +41,22 @@ def resolved(calls: DataFrame, imports: DataFrame, symbols: DataFrame, spread: i
     A call has one answer: of several symbols of one name in a package the smallest id, and ``candidates`` tells how many there are.
     So the result is linear in the calls.  Calls are made distinct before they meet symbols, and a symbol that a large
     share of them names is copied ``spread`` times and meets as many parts of them.
+
+    Names are long and packed well in a shuffle, so parts that are put together by their packed bytes are many times as large
+    in memory: rows are dealt to a number of tasks instead, and a task's memory is its share of the calls.
     """
     rows = calls.select("from_id", "scope", "package", F.nullif("qualifier", F.lit("")).alias("qualifier"), "symbol", "dep_type")
     own = rows.filter("qualifier is null").select("from_id", "dep_type", "package", "symbol")
     table = import_tables(imports, symbols)
-    other = rows.filter("qualifier is not null").drop("package").join(table, ["scope", "qualifier"], "left").select("from_id", "dep_type", "package", "symbol")
-    asked = own.unionAll(other).distinct().withColumn("_salt", F.pmod(F.xxhash64("from_id"), F.lit(spread)).cast("int"))
+    other = dealt(rows.filter("qualifier is not null").drop("package"), "scope", "qualifier").join(table, ["scope", "qualifier"], "left").select("from_id", "dep_type", "package", "symbol")
+    asked = dealt(own.unionAll(other), "from_id", "symbol").distinct().withColumn("_salt", F.pmod(F.xxhash64("from_id"), F.lit(spread)).cast("int"))
     answers = symbols.groupBy("package", F.col("name").alias("symbol")).agg(F.min("id").alias("to_id"), F.count("*").alias("candidates"))
     copies = answers.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
-    met = asked.join(copies, ["package", "symbol", "_salt"], "left")
+    met = dealt(asked, "package", "symbol", "_salt").join(dealt(copies, "package", "symbol", "_salt"), ["package", "symbol", "_salt"], "left")
     return met.select("from_id", "dep_type", "package", "symbol", "to_id", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 def edges(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """H-11: (from_id, to_id, dep_type, symbol) of the calls that a symbol answers, but for those that a symbol makes of itself."""
     found = resolved(calls, imports, symbols).filter("to_id is not null and from_id <> to_id")
-    return found.select("from_id", "to_id", "dep_type", "symbol").distinct()
+    return dealt(found.select("from_id", "to_id", "dep_type", "symbol"), "from_id", "to_id").distinct()

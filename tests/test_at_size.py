@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tessera.operators import ask, graph, indexing, inverted, kpis, summaries
+from tessera.operators import ask, graph, indexing, inverted, kpis, lineage, scopes, summaries
 from tessera.plans import registry
 from tessera.sources import content_model
 
@@ -136,3 +136,13 @@ def test_lines_of_a_directory_are_cut_by_many_tasks(spark):
     assert "_part" in plan(got)
     (body,) = [r["body"] for r in got.collect()]
     assert want.startswith(body.encode()) and 7_900 < len(body) <= 8_000
+
+
+def test_scoped_calls_are_dealt_to_a_number_of_tasks(spark):
+    calls = spark.range(3_000).selectExpr("-id as from_id", "cast(id % 700 as string) as scope", "cast(null as string) as package", "'q' as qualifier", "concat('n', id % 50) as symbol", "'call' as dep_type")
+    imports = spark.range(700).selectExpr("cast(id as string) as scope", "'q' as alias", "concat('x/p', id % 3) as path")
+    symbols = spark.range(150).selectExpr("id + 1 as id", "concat('p', id % 3) as package", "concat('n', id % 50) as name")
+    got = scopes.edges(calls, imports, symbols)
+    assert got.rdd.getNumPartitions() == lineage.tasks(spark)  # few bytes, and yet not one task
+    want = {(-i, min(k + 1 for k in range(150) if k % 3 == i % 700 % 3 and k % 50 == i % 50), f"n{i % 50}") for i in range(3_000)}
+    assert {(r["from_id"], r["to_id"], r["symbol"]) for r in got.collect()} == want and got.count() == 3_000
