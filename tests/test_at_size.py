@@ -29,6 +29,29 @@ def test_pairs_of_one_name_are_not_shuffled(spark):
     assert "Aggregate" not in above and "Exchange" not in above
 
 
+def test_pairs_of_a_name_are_written_by_tiles(spark, tmp_path, monkeypatch):
+    # 25,000 ids don't come again within a page, so that in their order each pair takes two bytes and more.
+    rows = spark.range(25_400).selectExpr("id", "if(id < 400, null, 'a') AS name", "if(id < 400, array('a'), array()) AS calls")
+    got = graph.derive_edges(rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size
+    try:
+        got.write.parquet(str(tmp_path / "edges"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.read.parquet(str(tmp_path / "edges")).distinct().count() == 400 * 25_000
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 400 * 25_000 / 2
+    # Behind the join a fence, as generated code holds all that comes of a row.
+    above = plan(got).split("Join")[0]
+    assert above.index("Generate") < above.index("Coalesce")
+    monkeypatch.setattr(graph, "TILE", 3)
+    odd = [(i, "ab"[i % 2], ["a", "b", "a", None, "c"][i % 3 :]) for i in range(50)] * 2 + [(None, "a", ["b"]), (90, None, ["a"]), (91, "c", None)]
+    want = {(i, j, "call", n) for i, _, calls in odd for c in set(calls or []) for j, n, _ in odd if n == c and None not in (i, j, n) and i != j}
+    for spread in (1, 4, 10):
+        found = [tuple(r) for r in graph.derive_edges(spark.createDataFrame(odd, "id int, name string, calls array<string>"), spread).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_pagerank_has_the_digits_of_its_sql(spark):
     ranks = [r["rank"] for r in registry.QUERIES["pagerank"](spark, SF).collect()]
     assert ranks == [round(r, 9) for r in ranks]
